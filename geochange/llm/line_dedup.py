@@ -118,11 +118,14 @@ def line_dedup(docs: DataFrame, min_words: int = 40) -> DataFrame:
     new = ("n_lines", "n_deleted")
     docs = docs.select(*[F.col(f"`{c}`").alias(f"source_{c}" if c in new else c) for c in docs.columns])
     runs = common.written(repeated_runs(docs.select("doc_id", "text"), min_words), "deleted")
-    keyed = docs.withColumn("_d", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))).withColumn("_t", F.xxhash64(F.coalesce("text", F.lit(""))))
-    both = keyed.join(runs, (F.col("_d") == F.col("d")) & (F.col("_t") == F.col("t")), "left")
-    lines = F.split("text", "\n", -1)
+    # The row travels as one column, so that no name of it meets one made here.
+    text = F.col("row.text")
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    keyed = keyed.select("row", F.coalesce(F.col("row.doc_id").cast("long"), F.lit(-(2**63))).alias("d"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("t"))
+    both = keyed.join(runs, ["d", "t"], "left")
+    lines = F.split(text, "\n", -1)
     left = F.filter(lines, lambda x, i: ~F.exists("runs", lambda r: i.between(r["first"], r["last"])))
-    size = F.when(F.col("text").isNull(), 0).otherwise(F.size(lines))
+    size = F.when(text.isNull(), 0).otherwise(F.size(lines))
     gone = F.coalesce(F.aggregate("runs", F.lit(0), lambda n, r: n + r["last"] - r["first"] + 1), F.lit(0))
-    text = F.when(F.col("runs").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
-    return both.select(*[text.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns], size.alias("n_lines"), gone.alias("n_deleted"))
+    cut = F.when(F.col("runs").isNull(), text).otherwise(F.array_join(left, "\n"))
+    return both.select(*[cut.alias("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns], size.alias("n_lines"), gone.alias("n_deleted"))

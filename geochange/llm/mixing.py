@@ -132,5 +132,7 @@ def mix_sources(docs: DataFrame, opts: Mix = Mix()) -> DataFrame:
     position = F.col("_before") + F.coalesce(F.sum("_n").over(inside), F.lit(0))
     drawn = drawn.withColumn("mix_position", position).where("mix_position < quota")
     drawn = drawn.select(F.col("source").alias("_s"), F.col("_key").alias("_k"), "mix_repeat", F.col("weight").alias("mix_weight"), "mix_position")
-    full = docs.withColumn("_key", key)
-    return full.join(drawn, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_key") == F.col("_k"))).select(*columns, *new)
+    # The row travels as one column, so that no name of it meets one made here.
+    full = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), F.col("source"), key.alias("_key"))
+    out = full.join(drawn, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_key") == F.col("_k")))
+    return out.select(*[F.col(f"row.`{c}`").alias(c) for c in columns], *new)
