@@ -122,7 +122,8 @@ def line_dedup(docs: DataFrame, min_words: int = 40) -> DataFrame:
     text = F.col("row.text")
     keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     keyed = keyed.select("row", F.coalesce(F.col("row.doc_id").cast("long"), F.lit(-(2**63))).alias("d"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("t"))
-    both = keyed.join(runs, ["d", "t"], "left")
+    # One plan at every size: left to Spark, few runs would be broadcast and many not.
+    both = keyed.join(runs.hint("merge"), ["d", "t"], "left")
     lines = F.split(text, "\n", -1)
     left = F.filter(lines, lambda x, i: ~F.exists("runs", lambda r: i.between(r["first"], r["last"])))
     size = F.when(text.isNull(), 0).otherwise(F.size(lines))
