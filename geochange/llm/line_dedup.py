@@ -68,7 +68,8 @@ def repeated_runs(docs: DataFrame, min_words: int = 40) -> DataFrame:
     """(d, t, runs): for each document with any, the deleted ranges of lines [first, last], disjoint and in order."""
     lines = _lines(docs)
     # Only lines that occur twice can be in a repeated run; the others cut the sequences.
-    often = lines.groupBy("h1", "h2").agg(F.count("*").alias("_n")).where("_n > 1").drop("_n")
+    # Written, as Spark splits the rows of a hot line only in a join that does nothing else in its stage.
+    often = common.written(lines.groupBy("h1", "h2").agg(F.count("*").alias("_n")).where("_n > 1").drop("_n"), "repeated-ids")
     kept = lines.join(often, ["h1", "h2"]).dropDuplicates(["d", "t", "pos"])
     along = Window.partitionBy("d", "t").orderBy("pos")
     kept = kept.withColumn("seq", F.col("pos") - F.row_number().over(along))
@@ -94,7 +95,7 @@ def repeated_runs(docs: DataFrame, min_words: int = 40) -> DataFrame:
     named = common.written(left.join(table.select("d", "t", "seq", F.col("pos").alias("p2"), F.col("r").alias("r2")), ["d", "t", "seq", "p2"]).select("d", "t", "a", "b", "m", "ra", F.col("r2")[F.col("k")].alias("rb")), "intervals")
     # An interval's first run in the order of documents stays.
     place = F.struct("d", "t", "a")
-    least = named.groupBy("m", "ra", "rb").agg(F.min(place).alias("_first"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
+    least = common.written(named.groupBy("m", "ra", "rb").agg(F.min(place).alias("_first"), F.count("*").alias("_n")).where("_n > 1").drop("_n"), "first-runs")
     later = named.join(least, ["m", "ra", "rb"]).where(place > F.col("_first")).select("d", "t", "a", "b")
     # Ranges that overlap or touch become one.
     before = Window.partitionBy("d", "t").orderBy("a", "b").rowsBetween(Window.unboundedPreceding, -1)
