@@ -107,7 +107,8 @@ def insert_missing(old: DataFrame, new: DataFrame, key: Sequence[str]) -> DataFr
 
 def cascade_counts(scene_ids: DataFrame, tiles: DataFrame, candidates: DataFrame, reviews: DataFrame, alerts: DataFrame) -> DataFrame:
     """How many rows of each table go with the given scenes, children first."""
-    gone = candidates.join(scene_ids, (F.col("scene_a") == F.col("scene_id")) | (F.col("scene_b") == F.col("scene_id")), "left_semi").select("candidate_id")
+    sides = candidates.select("candidate_id", F.explode(F.array_distinct(F.array("scene_a", "scene_b"))).alias("scene_id"))
+    gone = sides.join(scene_ids, "scene_id", "left_semi").select("candidate_id").distinct()
     parts = {
         "reviews": reviews.join(gone, "candidate_id", "left_semi"),
         "alerts": alerts.join(gone, "candidate_id", "left_semi"),
@@ -154,3 +155,38 @@ def merged(members: DataFrame, group: str) -> DataFrame:
     dirs = by_dir.join(types.select(group, "change_type"), [group, "change_type"], "left_semi")
     lead = dirs.groupBy(group).agg(F.max(F.struct("a", "c", "direction"))["direction"].alias("direction"))
     return base.join(types, group).join(lead, group)
+
+
+FINAL = ("completed", "insufficient_evidence", "alignment_failed", "grid_mismatch")
+
+
+def job_states(log: DataFrame) -> DataFrame:
+    """Each job's last state in an append-only log (job_id, state, at, seq); one that was interrupted waits again."""
+    last = log.groupBy("job_id").agg(F.max_by("state", F.struct("at", "seq")).alias("state"), F.max("at").alias("at"), F.count("*").alias("entries"))
+    return last.withColumn("effective", F.when(F.col("state") == "running", "queued").otherwise(F.col("state")))
+
+
+def acknowledged(alerts: DataFrame, ids: DataFrame | None, at: Column) -> DataFrame:
+    """Open alerts of the given locations (of all if None) are acknowledged; those that were stay as they are."""
+    if ids is None:
+        return alerts.withColumn("acknowledged_at", F.coalesce("acknowledged_at", at))
+    hit = ids.select("watch_id").distinct().withColumn("_hit", F.lit(True))
+    return alerts.join(hit, "watch_id", "left").withColumn("acknowledged_at", F.coalesce("acknowledged_at", F.when(F.col("_hit"), at))).drop("_hit")
+
+
+def migrated(rows: DataFrame, schema: DataFrame) -> DataFrame:
+    """Rows of an older layout in the columns of a newer one; columns that it lacks are null, others stay."""
+    return schema.limit(0).unionByName(rows, allowMissingColumns=True)
+
+
+def stage_timings(rows: DataFrame, names: dict[str, str]) -> DataFrame:
+    """Milliseconds by operation and stage, repeated stages added, under the report's names."""
+    renamed = F.coalesce(F.create_map(*[F.lit(x) for kv in names.items() for x in kv])[F.col("stage")], F.col("stage"))
+    return rows.groupBy("operation", renamed.alias("stage")).agg(F.sum("ms").alias("ms"), F.count("*").alias("runs"))
+
+
+def embedding_status(places: DataFrame, tiles: DataFrame, running: DataFrame) -> DataFrame:
+    """what is tracked, else ready if a scene has tiles."""
+    n = tiles.groupBy("scene_id").agg(F.count("*").alias("tiles"))
+    out = places.join(n, "scene_id", "left").join(running.select("scene_id", "state"), "scene_id", "left")
+    return out.select("scene_id", F.coalesce("tiles", F.lit(0)).alias("tiles"), F.coalesce("state", F.when(F.col("tiles") > 0, "ready").otherwise("not_embedded")).alias("status"))

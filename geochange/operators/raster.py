@@ -76,19 +76,19 @@ def invariant_fit(pixels: DataFrame, a: str, b: str) -> DataFrame:
     """Fit, keep the fifth of pixels with the smallest residuals, fit again; a round sends back three numbers."""
     rows = pixels.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(a, b)
     fit = regression(rows, a, b).first()
-    kept = rows
+    near = rows
     for _ in range(P.pif_iterations):
         residual = F.abs(F.col(a) - (F.col(b) * fit["slope"] + fit["intercept"]))
         cut = rows.agg(F.percentile(residual, F.lit(P.pif_percentile))).first()[0]
         if cut is None:
             break
-        kept = rows.where(residual <= cut)
-        again = regression(kept, a, b).first()
+        near = rows.where(residual <= cut)
+        again = regression(near, a, b).first()
         moved = abs(again["slope"] - fit["slope"])
         fit = again
         if moved <= P.pif_tolerance + 1e-5 * abs(again["slope"]):
             break
-    return regression(kept, a, b).select("n", F.round("slope", 6).alias("slope"), F.round("intercept", 6).alias("intercept"))
+    return regression(near, a, b).select("n", F.round("slope", 6).alias("slope"), F.round("intercept", 6).alias("intercept"))
 
 
 def two_means(values: DataFrame, value: str, rounds: int = 100) -> DataFrame:
@@ -181,19 +181,21 @@ def labelled(rows: DataFrame, width: int, chunk: int = CHUNK, max_rounds: int =
     """
     numbered = rows.withColumn("number", F.col("r") * width + F.col("c")).withColumn("cr", F.floor(F.col("r") / chunk)).withColumn("cc", F.floor(F.col("c") / chunk))
     local = numbered.groupBy("cr", "cc").applyInPandas(lambda pdf: _label_chunk(pdf), "r long, c long, local long")
-    local = _kept(local)
+    local = kept(local)
     edge = local.where((F.col("r") % chunk).isin(0, chunk - 1) | (F.col("c") % chunk).isin(0, chunk - 1))
     other = edge.select(F.col("r").alias("r2"), F.col("c").alias("c2"), F.col("local").alias("local2"))
     near = edge.select("local", F.explode(F.array(F.struct((F.col("r") + 1).alias("r2"), F.col("c").alias("c2")), F.struct(F.col("r").alias("r2"), (F.col("c") + 1).alias("c2")))).alias("p")).select("local", "p.*")
     seams = near.join(other, ["r2", "c2"]).where("local <> local2").select(F.col("local").alias("u"), F.col("local2").alias("v")).distinct()
-    both = _kept(seams.union(seams.select("v", "u")))
-    labels = _kept(both.select(F.col("u").alias("node")).distinct().withColumn("label", F.col("node")))
+    both = kept(seams.union(seams.select("v", "u")))
+    if not both.limit(1).count():
+        return local.select("r", "c", F.col("local").alias("label"))
+    labels = kept(both.select(F.col("u").alias("node")).distinct().withColumn("label", F.col("node")))
     for _ in range(max_rounds):
         least = both.join(labels, both["v"] == labels["node"]).groupBy("u").agg(F.min("label").alias("m"))
         after = labels.join(least, labels["node"] == least["u"], "left").select("node", F.least("label", "m").alias("label"))
         # Jump: a node takes the label that its label has by now.
         jump = after.select(F.col("node").alias("label"), F.col("label").alias("next"))
-        after = _kept(after.join(jump, "label", "left").select("node", F.least("label", "next").alias("label")))
+        after = kept(after.join(jump, "label", "left").select("node", F.least("label", "next").alias("label")))
         moved = after.join(labels, ["node", "label"], "left_anti").limit(1).count()
         labels = after
         if not moved:
@@ -201,7 +203,7 @@ def labelled(rows: DataFrame, width: int, chunk: int = CHUNK, max_rounds: int =
     return local.join(labels, local["local"] == labels["node"], "left").select("r", "c", F.coalesce("label", "local").alias("label"))
 
 
-def _kept(df: DataFrame) -> DataFrame:
+def kept(df: DataFrame) -> DataFrame:
     """Cut from its lineage by a checkpoint in the shared folder; one of this machine only where none is set."""
     import tempfile
 

@@ -13,17 +13,19 @@ def _cells(lo: Column, hi: Column, size: float) -> Column:
     return F.explode(F.sequence(F.floor(lo / size), F.floor(hi / size)))
 
 
-def box_join(left: DataFrame, right: DataFrame, size: float, on: Column | None = None) -> DataFrame:
+def box_join(left: DataFrame, right: DataFrame, size: float, on: Column | None = None, keys: tuple[str, ...] = ()) -> DataFrame:
     """Pairs of rows whose closed boxes intersect, as structs l and r. Each box goes to the cells that it covers;
-    a pair that shares several counts in the first of them, so no distinct is needed. on: a further condition on l and r."""
+    a pair that shares several counts in the first of them, so no distinct is needed. keys: columns that must be equal
+    too and join the cell in dealing the rows out; on: a further condition on l and r."""
 
     def dealt(df: DataFrame, name: str) -> DataFrame:
         b = S.box()
-        return df.select(F.struct("*").alias(name), _cells(b["min_x"], b["max_x"], size).alias("cx"), "min_y", "max_y").select(name, "cx", _cells(F.col("min_y"), F.col("max_y"), size).alias("cy"))
+        wide = df.select(F.struct("*").alias(name), *keys, _cells(b["min_x"], b["max_x"], size).alias("cx"), "min_y", "max_y")
+        return wide.select(name, *keys, "cx", _cells(F.col("min_y"), F.col("max_y"), size).alias("cy"))
 
     a, b = S.box("l."), S.box("r.")
     first = (F.col("cx") == F.greatest(F.floor(a["min_x"] / size), F.floor(b["min_x"] / size))) & (F.col("cy") == F.greatest(F.floor(a["min_y"] / size), F.floor(b["min_y"] / size)))
-    out = dealt(left, "l").join(dealt(right, "r"), ["cx", "cy"]).where(S.intersects(a, b) & first)
+    out = dealt(left, "l").join(dealt(right, "r"), [*keys, "cx", "cy"]).where(S.intersects(a, b) & first)
     return (out if on is None else out.where(on)).select("l", "r")
 
 
@@ -40,17 +42,16 @@ def watch_counts(watchlist: DataFrame, alerts: DataFrame, acknowledged: Column)
     return out.select("watch_id", "name", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("alerts", "open_alerts")])
 
 
-def footprint_pairs(scenes: DataFrame) -> DataFrame:
-    """Ordered pairs of different scenes of one sensor with intersecting footprints, and how much they overlap."""
-    a, b = scenes.alias("a"), scenes.alias("b")
-    fa, fb = S.box("a."), S.box("b.")
-    both = a.join(b, (F.col("a.sensor") == F.col("b.sensor")) & (F.col("a.scene_id") != F.col("b.scene_id")) & S.intersects(fa, fb))
+def footprint_pairs(scenes: DataFrame, cell: float = 2.0) -> DataFrame:
+    """Ordered pairs of different scenes of one sensor with intersecting footprints, and how much they overlap.
+    Rows are dealt out by sensor and cell, so a sensor of very many scenes is as many groups as it covers cells."""
+    both = box_join(scenes, scenes, cell, F.col("l.scene_id") != F.col("r.scene_id"), ("sensor",))
     return both.select(
-        F.col("a.scene_id").alias("scene_id"),
-        F.col("b.scene_id").alias("other_id"),
-        F.col("a.acquired").alias("acquired"),
-        F.col("b.acquired").alias("other_acquired"),
-        S.overlap_fraction(fa, fb).alias("overlap"),
+        F.col("l.scene_id").alias("scene_id"),
+        F.col("r.scene_id").alias("other_id"),
+        F.col("l.acquired").alias("acquired"),
+        F.col("r.acquired").alias("other_acquired"),
+        S.overlap_fraction(S.box("l."), S.box("r.")).alias("overlap"),
     )
 
 

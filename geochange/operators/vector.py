@@ -45,3 +45,22 @@ def midrank_percentile(rows: DataFrame, group: str, value: str) -> DataFrame:
     upto = over.rangeBetween(Window.unboundedPreceding, Window.currentRow)
     n = F.count("*").over(Window.partitionBy(group))
     return rows.withColumn("percentile", (F.rank().over(over) - 1 + F.count("*").over(upto)) / 2 / n)
+
+
+def renumbered(rows: DataFrame, key: str, buckets: int = 64) -> DataFrame:
+    """V9: dense numbers from 0 in the order of key, as dense_id: numbers within sampled ranges of key, and the counts
+    of the ranges before; no window is over all rows."""
+    cuts = sorted(set(rows.approxQuantile(key, [i / buckets for i in range(1, buckets)], 0.2 / buckets)))
+    bucket = F.aggregate(F.array(*[F.lit(float(x)) for x in cuts]), F.lit(0), lambda n, x: n + (F.col(key) >= x).cast("int")) if cuts else F.lit(0)
+    dealt = rows.withColumn("_b", bucket)
+    before = dealt.groupBy("_b").agg(F.count("*").alias("_n")).withColumn("_off", F.sum("_n").over(Window.orderBy("_b")) - F.col("_n"))  # at most `buckets` rows
+    numbered = dealt.withColumn("_i", F.row_number().over(Window.partitionBy("_b").orderBy(key)))
+    return numbered.join(F.broadcast(before.drop("_n")), "_b").withColumn("dense_id", F.col("_off") + F.col("_i") - 1).drop("_b", "_i", "_off")
+
+
+def appended(index: DataFrame, new: DataFrame, key: str) -> DataFrame:
+    """New vectors behind those that are there. A batch with one that is not finite is refused whole; rows whose
+    key is there already are left out."""
+    if new.where(~finite(F.col("embedding"))).limit(1).count():
+        raise ValueError("a vector of the batch is not finite")
+    return index.unionByName(new.join(index.select(key), key, "left_anti"))

@@ -36,7 +36,7 @@ def box_coverage(features: DataFrame, blobs: DataFrame, cell: int = 64) -> DataF
 def detect(pixels: DataFrame, width: int, alignment_quality: float = P.same_tile_quality, cloud_trust: float = 1.0, min_px: int = P.min_blob_px, levels: tuple[int, ...] = (*P.large_dilations, *P.near_dilations), chunk: int = raster.CHUNK) -> Detection:
     """R20, R21 and the steps before them, in the order in which they must run: groups before ranks, as the pool of
     ranks is one peak a group; the floor on confidence after merging. The driver sees a few numbers a step."""
-    features = pixels.transform(raster.pixel_features)
+    features = raster.kept(raster.pixel_features(pixels))  # read by every step below
     n, valid, height = features.agg(F.count("*"), F.count_if("valid"), F.max("r") + 1).first()
     trace: dict[str, float | int | None] = {"pixels": n, "mutual_coverage": valid / n if n else 0.0}
     if not n or valid / n < P.min_coverage:
@@ -49,9 +49,10 @@ def detect(pixels: DataFrame, width: int, alignment_quality: float = P.same_tile
     cleaned = raster.opened_closed(raw, height, width).join(features.where("valid").select("r", "c"), ["r", "c"], "left_semi")
     labels = raster.labelled(cleaned, width, chunk)
     blobs = raster.blob_stats(labels, min_px)
-    labels = labels.join(blobs.select("label"), "label", "left_semi")
-    groups = raster.groups(labels, height, width, levels, chunk)
+    labels = raster.kept(labels.join(blobs.select("label"), "label", "left_semi"))
+    groups = raster.kept(raster.groups(labels, height, width, levels, chunk))
     means = labels.join(features.select("r", "c", "diff"), ["r", "c"]).groupBy("label").agg(F.avg("diff").alias("mean_diff"))
+    blobs = raster.blob_stats(labels, min_px)
     rows = blobs.join(means, "label").join(groups, "label").join(box_coverage(features, blobs), "label").where(F.col("coverage") >= P.candidate_coverage)
     ranked = raster.cluster_pool_rank(rows, "group", "mean_diff")
     confidence = S.confidence(F.lit(alignment_quality), F.col("cluster_pct"), F.col("coverage"), F.lit(cloud_trust))

@@ -510,6 +510,50 @@ def safe_names(spark, d):
     return load(spark, d, "products").select("id", S.safe_id(n).alias("safe"), S.landsat_name(n)["path"].alias("path"))
 
 
+@query("""with l as (select user_id as job_id, case event_type when 'view' then 'queued' when 'click' then 'running' when 'purchase' then 'completed' when 'error' then 'failed' else 'alignment_failed' end as state, ts as "at", event_id as seq from events)
+    select job_id, arg_max(state, row("at", seq)) as state, max("at") as "at", count(*) as entries, case when arg_max(state, row("at", seq)) = 'running' then 'queued' else arg_max(state, row("at", seq)) end as effective from l group by job_id""")
+def job_states(spark, d):
+    kind = F.col("event_type")
+    state = F.when(kind == "view", "queued").when(kind == "click", "running").when(kind == "purchase", "completed").when(kind == "error", "failed").otherwise("alignment_failed")
+    return catalog.job_states(load(spark, d, "events").select(F.col("user_id").alias("job_id"), state.alias("state"), F.col("ts").alias("at"), F.col("event_id").alias("seq")))
+
+
+@query(f"with {ALERTS} select watch_id, candidate_id, case when candidate_id % 3 = 0 then timestamp '2024-01-01' when watch_id in (1, 3, 7) then timestamp '2024-02-02' end as acknowledged_at from al")
+def acknowledge(spark, d):
+    stamp = lambda x: F.lit(x).cast("timestamp_ntz")
+    a = _alerts(spark, d).select("watch_id", "candidate_id", F.when(F.col("candidate_id") % 3 == 0, stamp("2024-01-01")).alias("acknowledged_at"))
+    ids = load(spark, d, "watchlist").where(F.col("watch_id").isin(1, 3, 7))
+    return catalog.acknowledged(a, ids, stamp("2024-02-02"))
+
+
+@query("select event_type as operation, case user_id % 4 when 0 then 'normalisation' when 1 then 'classification' when 2 then 'detection' else 'masking' end as stage, round(sum(value), 2) as ms, count(*) as runs from events group by all")
+def stage_timings(spark, d):
+    stage = F.element_at(F.array(*map(F.lit, ("radiometry", "direction", "detection", "masking"))), (F.col("user_id") % 4).cast("int") + 1)
+    rows = load(spark, d, "events").select(F.col("event_type").alias("operation"), stage.alias("stage"), F.col("value").alias("ms"))
+    return catalog.stage_timings(rows, {"radiometry": "normalisation", "direction": "classification"}).withColumn("ms", F.round("ms", 2))
+
+
+@query("""with t as (select scene_id, count(*) as tiles from {tiles} where tile_id % 20 <> scene_id group by scene_id) select p.scene_id, coalesce(tiles, 0) as tiles, case when p.scene_id = 4 then 'embedding' when tiles > 0 then 'ready' else 'not_embedded' end as status from {places} p left join t using (scene_id)""")
+def embedding_status(spark, d):
+    places = load(spark, d, "places")
+    running = places.where("scene_id = 4").select("scene_id", F.lit("embedding").alias("state"))
+    return catalog.embedding_status(places, load(spark, d, "tiles").where("tile_id % 20 <> scene_id"), running)
+
+
+@query("select tile_id, row_number() over (order by tile_id) - 1 as dense_id from {tiles} where scene_id <> 3")
+def renumber_ids(spark, d):
+    return vector.renumbered(load(spark, d, "tiles").where("scene_id <> 3").select("tile_id"), "tile_id")
+
+
+@query("""with v as (select candidate_id, case candidate_id % 3 when 0 then 'seasonal' when 1 then 'unverified' end as status, case candidate_id % 3 when 0 then 0.5 else 0.85 end as factor from {candidates} where candidate_id % 7 < 5 and candidate_id % 3 < 2)
+    select c.candidate_id, coalesce(seasonality, status) as seasonality, round(case when seasonality is null and status is not null then confidence * factor else confidence end + 1e-9, 6) as confidence from {candidates} c left join v on c.candidate_id = v.candidate_id""")
+def seasonal_annotation(spark, d):
+    c = load(spark, d, "candidates").select("candidate_id", "seasonality", "confidence")
+    k = F.col("candidate_id") % 3
+    v = c.where("candidate_id % 7 < 5 and candidate_id % 3 < 2").select("candidate_id", F.when(k == 0, "seasonal").otherwise("unverified").alias("status"), F.when(k == 0, 0.5).otherwise(0.85).alias("factor"))
+    return seasonal.annotated(c, v).withColumn("confidence", F.round(F.col("confidence") + 1e-9, 6))
+
+
 @query()
 def incremental_pairs(spark, d):
     """I1-I3 through a stream of scene files; a test holds the end state against planned_jobs."""

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions import scalar as S
 from .operators import raster
-from .params import P
+from .plans import detect
 from .sources.projections import load, with_projections
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -229,3 +229,13 @@ def regrid_shift(spark, d):
 def cluster_pool_rank(spark, d):
     b = load(spark, d, "events").select("event_id", F.col("user_id").alias("grp"), "value")
     return raster.cluster_pool_rank(b, "grp", "value").select("event_id", "cluster_pct")
+
+
+@query()
+def detect_changes(spark, d):
+    """The whole plan from pixels to merged detections; tests hold it against scenes with a known truth."""
+    clear = {"scl_a": F.when(F.col("r") % 25 == 24, 9).otherwise(4), "scl_b": F.when(F.col("c") % 40 == 39, 3).otherwise(5)}
+    found = detect.detect(load(spark, d, "pixels").withColumns(clear), WIDTH, min_px=20, levels=(5,), chunk=128)
+    if found.detections is None:
+        return spark.createDataFrame([], "group long, status string").withColumn("status", F.lit(found.status))
+    return found.detections.withColumn("status", F.lit(found.status))
