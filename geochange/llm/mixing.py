@@ -98,8 +98,8 @@ def mix_sources(docs: DataFrame, opts: Mix = Mix()) -> DataFrame:
     new = ("mix_repeat", "mix_weight", "mix_position")
     docs = docs.select(*[F.col(f"`{c}`").alias(f"source_{c}" if c in new else c) for c in docs.columns])
     columns = docs.columns
-    # The checksum sets apart texts that share a doc_id.
-    key = F.concat_ws("/", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).cast("string"))
+    # The digest sets apart texts that share a doc_id.
+    key = F.concat_ws("/", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.md5(F.coalesce("text", F.lit(""))))
     rows = docs.select(F.col("source"), key.alias("_key"), doc_tokens(F.col("text")).alias("_n")).where("_n > 0")
     rows = common.written(rows.groupBy("source", "_key").agg(F.sum("_n").alias("_n")), "mix")
     totals = common.written(rows.groupBy("source").agg(F.sum("_n").alias("tokens"), F.count("*").alias("rows")), "mix-totals")

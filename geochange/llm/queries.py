@@ -87,9 +87,48 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {
-        "op5_exact_dedup": """
-            with t as (select doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as norm from documents),
-            g as (select norm, max(doc_id) as keep_id, count(*) as group_size from t group by norm)
-            select t.doc_id, g.keep_id, g.group_size, t.doc_id = g.keep_id as kept, sha256(t.norm) as text_sha256 from t join g using (norm)""",
-    }
+    return {"op2_mixing": MIXING_SQL, "op5_exact_dedup": EXACT_SQL, "op10_line_dedup": LINES_SQL}
+
+
+EXACT_SQL = """
+with t as (select doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as norm from documents),
+g as (select norm, max(doc_id) as keep_id, count(*) as group_size from t group by norm)
+select t.doc_id, g.keep_id, g.group_size, t.doc_id = g.keep_id as kept, sha256(t.norm) as text_sha256 from t join g using (norm)"""
+
+#: The exponents by plain bisection (be: entropy, br: repeats), then the blocks' and documents' running sums.
+MIXING_SQL = r"""
+with recursive rows_ as (select source, coalesce(cast(doc_id as varchar), 'null') || '/' || md5(coalesce(text, '')) as k, doc_id, len(regexp_extract_all(coalesce(text, ''), '\S+')) as n from documents),
+r as (select source, k, any_value(doc_id) as doc_id, sum(n) as n, count(*) as copies from rows_ where n > 0 group by source, k),
+tt as (select source, cast(sum(n) as double) as tokens, sum(copies) as docs from r group by source),
+sh as (select *, tokens / sum(tokens) over () as p, sum(tokens) over () as whole from tt),
+be(i, lo, hi) as (select 0, 0e0, 1e0 union all select i + 1,
+    case when (select ln(sum(pow(p, (lo + hi) / 2))) - sum(pow(p, (lo + hi) / 2) * ln(pow(p, (lo + hi) / 2))) / sum(pow(p, (lo + hi) / 2)) >= 0.98 * ln(count(*)) from sh) then (lo + hi) / 2 else lo end,
+    case when (select ln(sum(pow(p, (lo + hi) / 2))) - sum(pow(p, (lo + hi) / 2) * ln(pow(p, (lo + hi) / 2))) / sum(pow(p, (lo + hi) / 2)) >= 0.98 * ln(count(*)) from sh) then hi else (lo + hi) / 2 end from be where i < 34),
+br(i, lo, hi) as (select 0, 0e0, 1e0 union all select i + 1,
+    case when (select max(pow(p, (lo + hi) / 2) / tokens) / sum(pow(p, (lo + hi) / 2)) * max(whole) >= 4 from sh) then (lo + hi) / 2 else lo end,
+    case when (select max(pow(p, (lo + hi) / 2) / tokens) / sum(pow(p, (lo + hi) / 2)) * max(whole) >= 4 from sh) then hi else (lo + hi) / 2 end from br where i < 34),
+al as (select case when (select count(*) from sh) < 2 then 1e0 else greatest(
+    case when (select ln(sum(p)) - sum(p * ln(p)) / sum(p) >= 0.98 * ln(count(*)) from sh) then 1e0 else (select floor(lo * 1e6) / 1e6 from be where i = 34) end,
+    case when (select max(1 / tokens) / count(*) * max(whole) <= 4 from sh) then 0e0 else (select least(1e0, ceil(lo * 1e6) / 1e6) from br where i = 34) end) end as a),
+pl as (select source, tokens, round(pow(p, a) / sum(pow(p, a)) over (), 9) as weight, whole, ceil(docs / 1000e0) as blocks from sh, al),
+q as (select *, cast(least(floor(weight * whole), floor(tokens * 4e0)) as bigint) as quota from pl),
+bl as (select r.*, cast(('0x' || substr(md5('mix/' || k), 1, 15)) as bigint) % cast(blocks as bigint) as block from r join q on r.source is not distinct from q.source),
+sz as (select source, block, sum(n) as size from bl group by source, block),
+cp as (select sz.source, block, size, weight, tokens, quota, unnest(range(0, greatest(1, cast(ceil(quota / tokens) as bigint)))) as rep from sz join q on sz.source is not distinct from q.source),
+ob as (select *, rep * tokens + coalesce(sum(size) over (partition by source, rep order by cast(('0x' || substr(md5('mix/' || rep || '/' || block), 1, 15)) as bigint), block rows between unbounded preceding and 1 preceding), 0) as before from cp),
+dr as (select bl.*, ob.rep, ob.weight, ob.quota, before + coalesce(sum(bl.n) over (partition by bl.source, ob.rep, bl.block order by cast(('0x' || substr(md5('mix/' || ob.rep || '/' || k), 1, 15)) as bigint), k rows between unbounded preceding and 1 preceding), 0) as position
+   from bl join ob on bl.source is not distinct from ob.source and bl.block = ob.block and ob.before < ob.quota)
+select doc_id, source, cast(rep as int) as mix_repeat, weight as mix_weight, cast(position as bigint) as mix_position, cast(n / copies as bigint) as n_tokens from dr, range(cast(copies as bigint)) where position < quota"""
+
+#: By the definition's shortest windows: for each line the least run of 40 words from it on and up to it, compared as text.
+LINES_SQL = r"""
+with d as (select doc_id, text, string_split(text, chr(10)) as ls from documents where text is not null),
+l as (select doc_id, unnest(range(len(ls))) as pos, unnest(ls) as line from d),
+c as (select *, len(regexp_extract_all(line, '\S+')) as words, sum(len(regexp_extract_all(line, '\S+'))) over (partition by doc_id order by pos) as up from l),
+x as (select a.doc_id, a.pos as a, b.pos as b from c a join c b on a.doc_id = b.doc_id and b.pos >= a.pos and b.up - a.up + a.words >= 40),
+r as (select doc_id, a, min(b) as b from x group by doc_id, a union select doc_id, max(a) as a, b from x group by doc_id, b),
+t as (select r.doc_id, r.a, r.b, string_agg(c.line, chr(10) order by c.pos) as body from r join c on r.doc_id = c.doc_id and c.pos between r.a and r.b group by r.doc_id, r.a, r.b),
+f as (select *, row_number() over (partition by body, b - a order by doc_id, a) as n from t),
+g as (select distinct f.doc_id, c.pos from f join c on f.doc_id = c.doc_id and c.pos between f.a and f.b where n > 1),
+o as (select c.doc_id, count(*) as n_lines, count(g.pos) as n_deleted, coalesce(string_agg(c.line, chr(10) order by c.pos) filter (where g.pos is null), '') as left_text from c left join g on c.doc_id = g.doc_id and c.pos = g.pos group by c.doc_id)
+select e.doc_id, cast(coalesce(n_lines, 0) as int) as n_lines, cast(coalesce(n_deleted, 0) as int) as n_deleted, length(left_text) as chars_left, sha256(coalesce(left_text, '')) as text_sha256 from documents e left join o on e.doc_id = o.doc_id"""
