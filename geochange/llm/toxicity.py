@@ -247,8 +247,9 @@ def fit_toxicity(labelled: DataFrame, label: str = "toxic", rows_per_class: int
             for text, y in zip(batch.column("text").to_pylist(), batch.column("_y").to_pylist(), strict=True):
                 for i, c in enumerate(chains(text)):
                     if i % 8 == 0 or any(f in known.value for w in c for f in word_features(w)):
-                        words.append(c[:200])
-                        own.append(y)
+                        for k in range(0, len(c), 200):  # a chain without a sentence's end in pieces
+                            words.append(c[k : k + 200])
+                            own.append(y)
             yield pa.RecordBatch.from_arrays([pa.array(words, pa.list_(pa.string())), pa.array(own, pa.int32())], names=["words", "_y"])
 
     order = F.xxhash64(F.array_join("words", " "))
