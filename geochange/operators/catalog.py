@@ -190,3 +190,32 @@ def embedding_status(places: DataFrame, tiles: DataFrame, running: DataFrame) ->
     n = tiles.groupBy("scene_id").agg(F.count("*").alias("tiles"))
     out = places.join(n, "scene_id", "left").join(running.select("scene_id", "state"), "scene_id", "left")
     return out.select("scene_id", F.coalesce("tiles", F.lit(0)).alias("tiles"), F.coalesce("state", F.when(F.col("tiles") > 0, "ready").otherwise("not_embedded")).alias("status"))
+
+
+DECISIONS = ("confirmed", "rejected")
+
+
+def append_reviews(rows: DataFrame, path: str) -> None:
+    """Reviews are only ever added; one with another decision refuses the batch."""
+    if rows.where(~F.coalesce(F.col("decision").isin(*DECISIONS), F.lit(False))).limit(1).count():
+        raise ValueError(f"decision: one of {DECISIONS}")
+    rows.write.mode("append").parquet(path)
+
+
+def replace_jobs(rows: DataFrame, path: str) -> None:
+    """A job's detections take the place of its earlier ones; other jobs' files are not touched, and running
+    it again changes nothing."""
+    rows.repartition("job_id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("job_id").parquet(path)
+
+
+def add_watch(watchlist: DataFrame, new: DataFrame, cap: int = P.watch_cap) -> DataFrame:
+    """With the new locations, unless there would be over `cap`."""
+    if watchlist.count() + new.count() > cap:
+        raise ValueError(f"at most {cap} watched locations")
+    return watchlist.unionByName(new)
+
+
+def remove_watch(watchlist: DataFrame, alerts: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Without the given locations and, first, their alerts."""
+    gone = ids.select("watch_id").distinct()
+    return watchlist.join(gone, "watch_id", "left_anti"), alerts.join(gone, "watch_id", "left_anti")
