@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows that go to Python in one Arrow batch. Texts may be long, so this is small.
@@ -68,12 +68,6 @@ def pick_ids(df: DataFrame, by: str, n: int) -> DataFrame:
 
     The window is cut to n rows a group before the shuffle, so that a group of any size costs n rows a task.
     """
-    from pyspark.sql import Window
-
     order = Window.partitionBy(by).orderBy(F.xxhash64("doc_id"), "doc_id")
     return df.select(by, "doc_id").distinct().withColumn("_rn", F.row_number().over(order)).where(F.col("_rn") <= n).drop("_rn")
 
-
-def spaced(ids: DataFrame, n: int) -> list[tuple]:
-    """The rows of a pick_ids() sample, at most n; the driver gets no more."""
-    return [tuple(r) for r in ids.limit(n).collect()]

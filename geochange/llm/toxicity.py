@@ -226,7 +226,8 @@ def fit_toxicity(labelled: DataFrame, label: str = "toxic", rows_per_class: int
     rows = labelled.where(f"{label} in (0, 1) and text is not null").select("doc_id", "text", F.col(label).cast("int").alias("_y"))
     fold = F.crc32(F.concat(F.lit("tox"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))) % 3
     ids = common.pick_ids(rows.where(fold < 2), "_y", rows_per_class)
-    sample = rows.where(fold < 2).join(F.broadcast(ids), ["doc_id", "_y"], "left_semi").select("text", "_y")
+    # By doc_id alone Spark can cut the texts down to the sample below the join with the labels.
+    sample = rows.where(fold < 2).join(F.broadcast(ids.select("doc_id")), "doc_id", "left_semi").select("text", "_y")
     sample = common.written(sample, "toxicity-sample")
     totals = {r["_y"]: r["n"] for r in sample.groupBy("_y").agg(F.count("*").alias("n")).collect()}
     n0, n1 = totals.get(0, 0), totals.get(1, 0)

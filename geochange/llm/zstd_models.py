@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -15,13 +15,12 @@ from . import common
 def training_texts(labelled: DataFrame, by: str, rows_per_class: int, bytes_per_class: int) -> dict[object, list[str]]:
     """A bounded sample of whole texts for each value of column by: at most rows_per_class rows, and no row that
     begins beyond bytes_per_class. labelled: doc_id, text and by; equal texts count once."""
-    ids = F.broadcast(common.pick_ids(labelled, by, rows_per_class))  # bounded: rows_per_class ids a class
+    ids = F.broadcast(common.pick_ids(labelled, by, rows_per_class).select("doc_id"))  # bounded: rows_per_class ids a class
     size = F.octet_length("text")
-    rows = labelled.join(ids.select("doc_id", by), ["doc_id", by], "left_semi").where("length(text) > 0").select(by, "text", F.xxhash64("doc_id").alias("_h"), size.alias("_b"))
+    # By doc_id alone Spark can cut the texts down to the sample below the join with the labels.
+    rows = labelled.join(ids, "doc_id", "left_semi").where("length(text) > 0").select(by, "text", F.xxhash64("doc_id").alias("_h"), size.alias("_b"))
     # Texts over a fourth of the room for a class give way to others here; they are scored whole like any other.
     rows = rows.where(F.col("_b") <= bytes_per_class // 4)
-    from pyspark.sql import Window
-
     order = Window.partitionBy(by).orderBy("_h", "text")
     fits = rows.dropDuplicates([by, "text"]).withColumn("_sum", F.sum("_b").over(order)).where(F.col("_sum") <= bytes_per_class)
     found: dict[object, list[str]] = {}
