@@ -99,7 +99,7 @@ select t.doc_id, g.keep_id, g.group_size, t.doc_id = g.keep_id as kept, sha256(t
 MIXING_SQL = r"""
 with recursive rows_ as (select source, coalesce(cast(doc_id as varchar), 'null') || '/' || md5(coalesce(text, '')) as k, doc_id, len(regexp_extract_all(coalesce(text, ''), '\S+')) as n from documents),
 r as (select source, k, any_value(doc_id) as doc_id, sum(n) as n, count(*) as copies from rows_ where n > 0 group by source, k),
-tt as (select source, cast(sum(n) as double) as tokens, sum(copies) as docs from r group by source),
+tt as (select source, cast(sum(n) as double) as tokens, count(*) as docs from r group by source),
 sh as (select *, tokens / sum(tokens) over () as p, sum(tokens) over () as whole from tt),
 be(i, lo, hi) as (select 0, 0e0, 1e0 union all select i + 1,
     case when (select ln(sum(pow(p, (lo + hi) / 2))) - sum(pow(p, (lo + hi) / 2) * ln(pow(p, (lo + hi) / 2))) / sum(pow(p, (lo + hi) / 2)) >= 0.98 * ln(count(*)) from sh) then (lo + hi) / 2 else lo end,
