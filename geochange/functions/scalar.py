@@ -290,3 +290,45 @@ def mgrs(lat: Column, lon: Column) -> Column:
     digits = [F.lpad(F.floor(at[k] % 100000).cast("string"), 5, "0") for k in ("easting", "northing")]
     ref = F.concat(F.lpad(at["zone"].cast("string"), 2, "0"), band, col, row, *digits)
     return F.when(lat.between(-80, 84) & lon.between(-180, 180), ref)
+
+
+# --- texts and documents of a detection --------------------------------------------------------------------------
+
+
+def band_offsets(tag: Column, bands: int) -> Column:
+    """comma-separated offsets as numbers, what is no number as 0, filled up with zeros to the bands."""
+    found = F.transform(F.split(F.coalesce(tag, F.lit("")), ","), lambda x: F.coalesce(F.trim(x).try_cast("double"), F.lit(0.0)))
+    return F.slice(F.concat(found, F.array_repeat(F.lit(0.0), bands)), 1, bands)
+
+
+def ring_area(ring: Column) -> Column:
+    """Twice the signed area of a closed ring of [x, y]; positive if it runs against the clock."""
+    steps = F.zip_with(F.slice(ring, 1, F.size(ring) - 1), F.slice(ring, 2, F.size(ring) - 1), lambda a, b: a[0] * b[1] - b[0] * a[1])
+    return F.aggregate(steps, F.lit(0.0), lambda s, x: s + x)
+
+
+def wound(ring: Column) -> Column:
+    """outer rings run against the clock."""
+    return F.when(ring_area(ring) < 0, F.reverse(ring)).otherwise(ring)
+
+
+def confidence_terms(terms: dict[str, tuple[Column, float]], factor: Column) -> Column:
+    """value, weight and contribution of each term, and the season's factor."""
+    rows = [F.struct(F.lit(k).alias("term"), v.alias("value"), F.lit(w).alias("weight"), (v * w).alias("contribution")) for k, (v, w) in terms.items()]
+    return F.struct(F.array(*rows).alias("terms"), F.coalesce(factor, F.lit(1.0)).alias("factor"))
+
+
+#: How steps are named to the reader.
+METHOD_NAMES = {"same_tile": "Shared tile grid", "ecc": "Intensity correlation", "orb": "Feature matching", "pif": "Invariant pixels", "identity": "None needed"}
+
+
+def method_name(code: Column) -> Column:
+    """the reader's name of a method, the code itself where there is none."""
+    names = F.create_map(*[F.lit(x) for kv in METHOD_NAMES.items() for x in kv])
+    return F.coalesce(names[code], code)
+
+
+def scene_paths(analysis: Column, display: Column, sensor: Column) -> Column:
+    """the analysis raster, else the display raster; and what its mask is."""
+    mask = F.when(sensor.startswith("sentinel"), "scl").when(sensor.startswith("landsat"), "qa").otherwise("data")
+    return F.struct(F.coalesce(analysis, display).alias("raster"), mask.alias("mask"))

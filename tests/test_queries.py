@@ -2,13 +2,14 @@
 
 import pytest
 
+from geochange import lookup_queries as lookups
 from geochange import queries as engine
 from geochange import raster_queries as raster
 from tests.oracle import compare
 
 D = "/root/testdata/sf0.001"
-ALL = engine.QUERIES | raster.QUERIES
-SQL = engine.SQL | raster.SQL
+ALL = engine.QUERIES | raster.QUERIES | lookups.QUERIES
+SQL = engine.SQL | raster.SQL | lookups.SQL
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
@@ -25,7 +26,7 @@ def test_stream_of_scenes_ends_where_the_batch_does(spark):
 
 
 def test_no_names_clash():
-    assert not engine.QUERIES.keys() & raster.QUERIES.keys()
+    assert len(ALL) == len(engine.QUERIES) + len(raster.QUERIES) + len(lookups.QUERIES)
     assert SQL.keys() <= ALL.keys()
 
 
