@@ -14,7 +14,7 @@ def after_tiles(candidates: DataFrame, scored: DataFrame, tiles: DataFrame, cell
     """Each candidate's best tile in its after-scene among those that meet it, and that tile's similarity and
     percentile, taken over all tiles of the scene before any is left out. Ties go to the smaller id."""
     boxed = vector.percentile_in_scene(scored).join(tiles.select("tile_id", *S.BOX), "tile_id")
-    pairs = spatial.box_join(candidates, boxed, cell, F.col("l.scene_b") == F.col("r.scene_id"))
+    pairs = spatial.box_join(candidates.withColumn("scene", F.col("scene_b")), boxed.withColumn("scene", F.col("scene_id")), cell, keys=("scene",))
     rank = F.struct(F.col("r.similarity").alias("s"), (-F.col("r.tile_id")).alias("t"), F.col("r.percentile").alias("p"))
     best = pairs.groupBy(F.col("l.candidate_id").alias("candidate_id"), F.col("r.query_id").alias("query_id")).agg(F.max(rank).alias("k"))
     return best.select("query_id", "candidate_id", (-F.col("k.t")).alias("tile_id"), F.col("k.s").alias("similarity"), F.col("k.p").alias("percentile"))
