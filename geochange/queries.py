@@ -486,12 +486,12 @@ def trace_lines(spark, d):
 
 
 @query(f"""with {WINDOWS} select scene_a, scene_b, date_a, date_b, datediff('day', date_a, date_b) as days, round((max_x - min_x) * (max_y - min_y) / 4.0, 6) as coverage from wn
-    where min_x < max_x and min_y < max_y and not exists (select 1 from {{candidates}} c where c.place % 100 = scene_a % 100 and c.job_id = 1)""")
+    where min_x < max_x and min_y < max_y and not exists (select 1 from {{candidates}} c where c.place % 1000 = wn.scene_a % 1000 and c.job_id = 1 and c.confidence >= 0.9)""")
 def negative_evidence(spark, d):
     """Pairs that were analysed without a detection: dates and how much of a footprint both show."""
     w = pair_windows(spark, d)
-    c = load(spark, d, "candidates").where("job_id = 1").select((F.col("place") % 100).alias("_p")).distinct()
-    out = w.join(c, F.col("scene_a") % 100 == F.col("_p"), "left_anti")
+    c = load(spark, d, "candidates").where("job_id = 1 and confidence >= 0.9").select((F.col("place") % 1000).alias("_p")).distinct()
+    out = w.join(c, F.col("scene_a") % 1000 == F.col("_p"), "left_anti")
     return out.select("scene_a", "scene_b", "date_a", "date_b", F.datediff("date_b", "date_a").cast("long").alias("days"), F.round(S.area(S.box()) / 4.0, 6).alias("coverage"))
 
 
