@@ -32,8 +32,8 @@ def test_no_names_clash():
 
 def test_plans(spark):
     plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
-    assert "WindowGroupLimit" in plan(engine.browse_capped_area(spark, D))
-    assert "TakeOrderedAndProject" in plan(engine.list_top(spark, D))
-    boxes = plan(engine.grid_join_equivalence(spark, D))
+    assert "WindowGroupLimit" in plan(ALL["browse_capped_area"](spark, D))
+    assert "TakeOrderedAndProject" in plan(ALL["list_top"](spark, D))
+    boxes = plan(ALL["grid_join_equivalence"](spark, D))
     assert "NestedLoop" not in boxes and "Cartesian" not in boxes
     assert "PushedFilters: [IsNotNull(o_orderkey)" in plan(spark.read.parquet(f"{D}/orders.parquet").where("o_orderkey > 5"))
