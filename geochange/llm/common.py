@@ -46,6 +46,16 @@ def dropped(*frames: DataFrame | None) -> None:
             at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def row_key() -> Column:
+    """doc_id as a key without nulls, d."""
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("d")
+
+
+def text_key() -> Column:
+    """A hash of the text, t: with d it tells rows of different texts apart, whatever their doc_id."""
+    return F.xxhash64(F.coalesce("text", F.lit("")), F.col("text").isNull()).alias("t")
+
+
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

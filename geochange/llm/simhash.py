@@ -50,14 +50,14 @@ def fingerprint(text: str | None, shingle: int = 4, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 4, seed: int = 42) -> DataFrame:
-    """doc_id and fp, the fingerprint as a signed long, for each row of docs."""
+    """doc_id, t (a hash of the text) and fp, the fingerprint as a signed long, for each row of docs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = np.array([fingerprint(t, shingle, seed) for t in batch.column("text").to_pylist()], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("t"), pa.array(found.view(np.int64))], names=["doc_id", "t", "fp"])
 
-    return common.arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, fp long")
+    return common.arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_key(), "text"), run, "doc_id long, t long, fp long")
 
 
 def choices(bits: int, extra: int = 2) -> list[int]:
@@ -208,7 +208,13 @@ def near_links(distinct: DataFrame, bits: int = 4) -> DataFrame:
 
 
 def near_components(docs: DataFrame, bits: int = 4, shingle: int = 4, seed: int = 42) -> DataFrame:
-    """One row per row of docs: doc_id, fingerprint (16 hex digits) and component_id.
+    """One row per row of docs: doc_id, fingerprint (16 hex digits) and component_id."""
+    return row_components(docs, bits, shingle, seed).select("doc_id", "fingerprint", "component_id")
+
+
+def row_components(docs: DataFrame, bits: int = 4, shingle: int = 4, seed: int = 42) -> DataFrame:
+    """near_components with t, the text's hash, which tells rows of one or no doc_id apart, and root, which names the
+    component also where none of its rows has a doc_id.
 
     Only doc_id and text are read. Null and blank texts have the fingerprint 0 and are linked like any other; texts of
     fewer words than a shingle are one shingle. component_id is the smallest doc_id that links reach, null doc_ids
@@ -220,6 +226,6 @@ def near_components(docs: DataFrame, bits: int = 4, shingle: int = 4, seed: int
     # Classes of fingerprints carry the smallest doc_id; only linked fingerprints are in roots.
     named = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = named.select("fp", "root").join(least, "root").select("fp", "component_id")
+    classes = named.select("fp", "root").join(least, "root").select("fp", "root", "component_id")
     out = found.join(classes, "fp", "left")
-    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return out.select("doc_id", "t", "root", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -515,3 +515,14 @@ def test_exact_sql(spark):
 
     for name, sql in queries.oracle_sql().items():
         assert compare(queries.queries()[name](spark, D), sql, D) == ""
+
+
+def test_near_copies_keep_texts_that_share_an_id(spark, odd):
+    import corpus_pipeline as pipe
+
+    docs = odd.select("doc_id", "text", "lang", "source", "n_chars")
+    kept = collections.Counter((r.doc_id, r.text and r.text[:9]) for r in pipe.drop_near_copies(spark, docs, D).collect())
+    # (null, null), 4 and 5 are copies of 3, 2 is one of 1 and 7 one of 6; a text of its own stays, whatever its id.
+    assert kept == collections.Counter([(1, "Hello the"), (3, None), (None, "a null id"), (6, "w0 w1 w2 "), (8, "ÀÉ ß İ Σ "), (8, "another t")])
+    rows = [(None, f"text number {i} of {i * i} has words {i + 7} like {i**3}", "en", "a", 9) for i in range(40)]
+    assert pipe.drop_near_copies(spark, spark.createDataFrame(rows * 2, DOC), D).count() == 40
