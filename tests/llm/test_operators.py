@@ -13,7 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from geochange.llm import bpe, chat, common, components, exact_dedup, language, line_dedup, mixing, quality, queries, simhash, sketch, toxicity
+from geochange.llm import bpe, chat, common, components, exact_dedup, language, line_dedup, mixing, near_copies, quality, queries, simhash, sketch, toxicity
 
 D = "/root/testdata/sf0.001"
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
@@ -526,3 +526,58 @@ def test_near_copies_keep_texts_that_share_an_id(spark, odd):
     assert kept == collections.Counter([(1, "Hello the"), (3, None), (None, "a null id"), (6, "w0 w1 w2 "), (8, "ÀÉ ß İ Σ "), (8, "another t")])
     rows = [(None, f"text number {i} of {i * i} has words {i + 7} like {i**3}", "en", "a", 9) for i in range(40)]
     assert pipe.drop_near_copies(spark, spark.createDataFrame(rows * 2, DOC), D).count() == 40
+
+
+def _tuples(text):
+    words = text.lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+
+def _likeness(a, b):
+    a, b = _tuples(a), _tuples(b)
+    return len(a & b) / len(a | b)
+
+
+def _planted(rng, edits, n=400):
+    """A text of n words and a copy in which this many words, apart from one another, are others."""
+    words = [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    copy = list(words)
+    for i in rng.sample(range(5, n - 5, 6), edits):
+        copy[i] = f"x{rng.randrange(10**6)}"
+    return " ".join(words), " ".join(copy)
+
+
+def test_near_copies_of_four_fifths_are_candidates():
+    rng = random.Random(3)
+    for edits in (2, 4, 6, 8):  # likeness 0.95 to 0.82
+        missed = 0
+        for _ in range(150):
+            a, b = (near_copies.shingles(near_copies.words_of(t)) for t in _planted(rng, edits))
+            assert len(np.intersect1d(a, b)) >= near_copies.LIKENESS * len(np.union1d(a, b))
+            near = bin(near_copies.simhash_of(a) ^ near_copies.simhash_of(b)).count("1") <= near_copies.REACH
+            missed += not (near and (near_copies.bands(a) == near_copies.bands(b)).any())
+        assert missed <= 1
+
+
+def test_pipeline_drops_planted_near_copies(spark, monkeypatch):
+    import corpus_pipeline as pipe
+
+    rng = random.Random(4)
+    texts = [t for i in range(30) for t in _planted(rng, 1 + i % 14)]  # likeness 0.97 to 0.7
+    chain = [_planted(rng, 0)[0]]
+    for _ in range(11):  # each is like the one before, the ends are not alike
+        words = chain[-1].split()
+        for i in rng.sample(range(5, 395, 6), 6):
+            words[i] = f"y{rng.randrange(10**6)}"
+        chain.append(" ".join(words))
+    texts += chain + ["a b c", "A  b c", "a b d", "", None]
+    docs = spark.createDataFrame([(i, t, "en", "a", 1) for i, t in enumerate(texts)], DOC)
+    to = list(range(len(texts)))
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        if _likeness(texts[i] or "", texts[j] or "") >= 0.8:
+            to = [to[i] if x == to[j] else x for x in to]
+    want = {to.index(x) for x in to}
+    assert 40 < len(want) < 60
+    assert {r.doc_id for r in pipe.drop_near_copies(spark, docs, D).collect()} == want
+    monkeypatch.setattr(near_copies, "BLOCK", 3)  # pools of several blocks
+    assert {r.doc_id for r in pipe.drop_near_copies(spark, docs, D).collect()} == want
