@@ -27,6 +27,17 @@ def similarities(tiles: DataFrame, queries: DataFrame) -> DataFrame:
     return tiles.join(F.broadcast(queries), F.lit(True)).select("query_id", "tile_id", "scene_id", F.round(dot(F.col("embedding"), F.col("query")), 4).alias("similarity"))
 
 
+def similarities_in_blocks(tiles: DataFrame, queries: DataFrame, block: int = 256, parts: int = 8) -> DataFrame:
+    """similarities of any number of queries. Queries and tiles are dealt by hash: each block of about `block` queries
+    meets each of `parts` shares of the tiles in a group of its own, so that no side is broadcast."""
+    n = max(1, -(-queries.count() // block))
+    shares, blocks = F.sequence(F.lit(0), F.lit(parts - 1)), F.sequence(F.lit(0), F.lit(n - 1))
+    q = queries.select("query_id", "query", F.pmod(F.xxhash64("query_id"), F.lit(n)).cast("int").alias("_b"), F.explode(shares).alias("_p"))
+    t = tiles.select("tile_id", "scene_id", "embedding", F.pmod(F.xxhash64("tile_id"), F.lit(parts)).cast("int").alias("_p"), F.explode(blocks).alias("_b"))
+    both = t.join(q.hint("shuffle_hash"), ["_b", "_p"])
+    return both.select("query_id", "tile_id", "scene_id", F.round(dot(F.col("embedding"), F.col("query")), 4).alias("similarity"))
+
+
 def top_k(scored: DataFrame, k: int) -> DataFrame:
     """The k most similar tiles of each query, ties by id; each task keeps k before the shuffle."""
     over = Window.partitionBy("query_id").orderBy(F.desc("similarity"), F.asc("tile_id"))

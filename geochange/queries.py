@@ -300,12 +300,24 @@ def grid_references(spark, d):
 # --- vectors and search -----------------------------------------------------------------------------------------
 
 SIM = "round(list_dot_product(cast({a} as double[]), cast({b} as double[])), 4)"
-SCORED = f"q as (select tile_id as query_id, embedding as query from {{tiles}} where tile_id in (3, 77, 140)), s as (select query_id, tile_id, scene_id, {SIM.replace('{a}', 'embedding').replace('{b}', 'query')} as similarity from {{tiles}}, q)"
+SCORED_AS = f"q as (select tile_id as query_id, embedding as query from {{tiles}} where %s), s as (select query_id, tile_id, scene_id, {SIM.replace('{a}', 'embedding').replace('{b}', 'query')} as similarity from {{tiles}}, q)"
+SCORED = SCORED_AS.replace("%s", "tile_id % 20 = 0")
+SCORED_77 = SCORED_AS.replace("%s", "tile_id = 77")
 
 
-def _scored(spark, d, ids=(3, 77, 140)):
+def _query_tiles(tiles):
+    """The searches' queries: every tile whose id is divisible by 20."""
+    return tiles.where(F.col("tile_id") % 20 == 0).select(F.col("tile_id").alias("query_id"), F.col("embedding").alias("query"))
+
+
+def _scored(spark, d):
+    tiles = load(spark, d, "tiles")
+    return vector.similarities_in_blocks(tiles, _query_tiles(tiles))
+
+
+def _scored_77(spark, d):
     tiles = load(spark, d, "tiles")
-    return vector.similarities(tiles, tiles.where(F.col("tile_id").isin(*ids)).select(F.col("tile_id").alias("query_id"), F.col("embedding").alias("query")))
+    return vector.similarities(tiles, tiles.where("tile_id = 77").select(F.col("tile_id").alias("query_id"), F.col("embedding").alias("query")))
 
 
 def _ranked(where: str, k: int) -> str:
@@ -345,7 +357,7 @@ def midrank_cluster_pct(spark, d):
 
 
 QUERY_TEXT = "new construction near the growing town"
-BEST = f"""{SCORED}, p as (select *, cume_dist() over (partition by query_id, scene_id order by similarity) as percentile from s where query_id = 77),
+BEST = f"""{SCORED_77}, p as (select *, cume_dist() over (partition by query_id, scene_id order by similarity) as percentile from s where query_id = 77),
     j as (select c.candidate_id, p.query_id, p.tile_id, similarity, percentile, row_number() over (partition by c.candidate_id order by similarity desc, p.tile_id) as n
       from {{candidates}} c join p on c.scene_b = p.scene_id join {{tiles}} t on p.tile_id = t.tile_id and c.min_x <= t.max_x and c.max_x >= t.min_x and c.min_y <= t.max_y and c.max_y >= t.min_y),
     b as (select * from j where n = 1)"""
@@ -353,7 +365,7 @@ BEST = f"""{SCORED}, p as (select *, cume_dist() over (partition by query_id, sc
 
 @query(f"with {BEST} select query_id, candidate_id, tile_id, similarity, percentile from b")
 def best_after_tile(spark, d):
-    return search.after_tiles(load(spark, d, "candidates"), _scored(spark, d, (77,)), load(spark, d, "tiles"))
+    return search.after_tiles(load(spark, d, "candidates"), _scored_77(spark, d), load(spark, d, "tiles"))
 
 
 MATCH = f"""{BEST}, {VIEW.strip()}, mt as (select query_id, b.candidate_id, tile_id, similarity, percentile, confidence, direction, change_type, review,
@@ -363,7 +375,7 @@ MATCH = f"""{BEST}, {VIEW.strip()}, mt as (select query_id, b.candidate_id, tile
 
 @query(f"with {MATCH} select * from mt")
 def hybrid_change_search(spark, d):
-    return search.change_matches(_view(spark, d), _scored(spark, d, (77,)), load(spark, d, "tiles"), QUERY_TEXT)
+    return search.change_matches(_view(spark, d), _scored_77(spark, d), load(spark, d, "tiles"), QUERY_TEXT)
 
 
 @query(f"with {MATCH} select (select count(distinct job_id) from {{candidates}}) as jobs, (select count(*) from v) as changes, (select count(*) from mt) as matches, 'found' as status")

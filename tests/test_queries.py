@@ -37,3 +37,10 @@ def test_plans(spark):
     boxes = plan(ALL["grid_join_equivalence"](spark, D))
     assert "NestedLoop" not in boxes and "Cartesian" not in boxes
     assert "PushedFilters: [IsNotNull(o_orderkey)" in plan(spark.read.parquet(f"{D}/orders.parquet").where("o_orderkey > 5"))
+
+
+def test_searches_take_every_twentieth_tile(spark):
+    ids = {r[0] for r in engine.load(spark, D, "tiles").where("tile_id % 20 = 0").select("tile_id").collect()}
+    for name in ("knn_exact", "knn_scoped", "find_similar", "semantic_percentile"):
+        assert {r[0] for r in ALL[name](spark, D).select("query_id").distinct().collect()} == ids, name
+        assert "Broadcast" not in ALL[name](spark, D)._jdf.queryExecution().executedPlan().toString()
