@@ -1,12 +1,16 @@
 """BPE by a deterministic tokenization automaton.
 
-The automaton reads tokens and accepts exactly the sequences that merging would produce. It starts as one state with
-an arc for each symbol; each merge (x, y) -> z in turn adds its gadget: wherever an x-arc leads to a state with a
-y-arc, a z-arc by-passes the two to where they led, and the x-arc now leads to a copy of that state without a y-arc. All arcs of one
-token lead to one state, so a state is its parent, the one token it lacks against the parent, and when it was made;
-arcs are worked out from these tables when first asked for, and kept. A word has exactly one path, and so has each of
-its prefixes: encoding goes from state to state by the longest token that has an arc, and where no arc leads on, steps
-back; what has no way on is noted, so that no state is left twice at one place. Decoding emits the labels of the arcs.
+Two tables are compiled from a vocabulary file. The first is over tokens and accepts exactly the sequences that merging
+would produce. It starts as one state with an arc for each symbol; each merge (x, y) -> z in turn adds its gadget:
+wherever an x-arc leads to a state with a y-arc, a z-arc by-passes the two to where they led, and the x-arc now leads
+to a copy of that state without a y-arc. All arcs of one token lead to one state. With tokens numbered so that a token
+is followed by those that begin with it, the latest gadget first, what a copy lacks is one range of numbers: a state's
+row is the bounds of the ranges that it and the states that it was copied from lack.
+
+The second is over bytes: a state is the set of tokens begun and not ended, each with the token before it. As each
+prefix of a word has exactly one path, a byte ends exactly one token on a path, so a state has one token to its name,
+and one next state for each byte. Encoding is a look-up for each byte, and the tokens are read off from the word's end.
+States and rows are worked out when first reached, and kept. Decoding emits the labels of the arcs.
 """
 
 from __future__ import annotations
@@ -17,6 +21,7 @@ import re
 import struct
 import unicodedata
 from array import array
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -28,10 +33,9 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Words whose tokens a task keeps; beyond it the cache starts anew.
+#: Words whose tokens a task keeps, and states of the byte table; beyond it either starts anew.
 CACHE = 300_000
-#: Arcs that a task keeps.
-ARCS = 1_000_000
+STATES = 150_000
 
 
 @lru_cache(maxsize=1)
@@ -60,91 +64,136 @@ class Automaton:
     """tokens: id of each token string; merges: pairs in order of rank; end: what the last symbol of a word carries."""
 
     def __init__(self, tokens: dict[str, int], merges: list[tuple[str, str]], end: str, special: dict[str, int]):
-        self.end, self.special, self.ids = end, special, tokens
+        self.special = special
         self.labels = {i: t for t, i in (tokens | special).items()}
         n = max(self.labels) + 1
-        #: Of tokens: the first half and the time of the gadget (0: a symbol). Of states: what it lacks, parent, time.
-        self.left, self.made = array("i", [-1] * n), array("i", [0] * n)
-        self.lacks, self.parent, self.since = array("i", [-1]), array("i", [0]), array("i", [0])
-        #: The state that all arcs of a token lead to.
-        self.target = array("i", [0] * n)
+        #: Of tokens: the time of the gadget (0: a symbol), and the state that all arcs of a token lead to.
+        made, self.target = array("i", [0] * n), array("i", [0] * n)
+        #: Of states: the range of token numbers that it lacks against its parent.
+        self.parent, lacks = array("i", [0]), [(-1, 0)]
+        longer: list[list[int]] = [[] for _ in range(n)]
         for when, (x, y) in enumerate(merges, 1):
             a, b, z = tokens[x], tokens[y], tokens[x + y]
-            self.left[z], self.made[z] = a, when
+            made[z] = when
+            longer[a].append(z)
             self.target[z] = self.target[b]
-            before = self.target[a]
-            self.lacks.append(b)
-            self.parent.append(before)
-            self.since.append(when)
-            self.target[a] = len(self.lacks) - 1
-        self.arcs: dict[int, bool] = {}
+            self.parent.append(self.target[a])
+            lacks.append((b, when))
+            self.target[a] = len(lacks) - 1
+        self.number, stop = array("i", [0] * n), array("i", [0] * n)
+        at = 0
+        todo = [(t, False) for t in tokens.values() if not made[t]]
+        while todo:
+            t, left = todo.pop()
+            if left:
+                stop[t] = at
+                continue
+            self.number[t] = at
+            at += 1
+            todo.append((t, True))
+            todo += [(z, False) for z in longer[t]]  # the latest is on top
+        # A copy made at a time lacks b and all that begin with b by gadgets from that time on.
+        self.low, self.high = array("i"), array("i")
+        for b, when in lacks:
+            known = longer[b] if b >= 0 else []
+            first = bisect_left(known, when, key=made.__getitem__)
+            self.low.append(self.number[b] if b >= 0 else 0)
+            self.high.append(stop[known[first]] if first < len(known) else self.low[-1] + (b >= 0))
+        self.rows: dict[int, array] = {}
         self.words = _Words(self)
-        self.n = n
-        symbols = byte_symbols()
-        back = {c: b for b, c in enumerate(symbols)}
-        #: Tokens by the bytes they stand for, within a word and at its end.
-        self.inner = {bytes(back[c] for c in t): i for t, i in tokens.items() if not t.endswith(end)}
-        self.final = {bytes(back[c] for c in t[: -len(end)]): i for t, i in tokens.items() if t.endswith(end)}
-
-        #: The longest token that begins with each three bytes; where none does, tokens have two at most.
-        self.reach: dict[bytes, int] = {}
-        for known in (self.inner, self.final):
-            for t in known:
-                self.reach[t[:3]] = max(self.reach.get(t[:3], 0), len(t))
-
-    def arc(self, state: int, token: int) -> bool:
-        """Whether the state has an arc of this token: a gadget's arc starts where the arc of its first half did, and
-        a copied state has the arcs of its parent but for the one it lacks."""
-        key = state * self.n + token
-        found = self.arcs.get(key)
+
+        back = {c: b for b, c in enumerate(byte_symbols())}
+        #: The tokens' bytes as a tree: next node by node and byte, and the token that a node ends, within a word and at its end.
+        self.tree: dict[int, int] = {}
+        self.inner, self.final, self.size, self.n = array("i", [-1]), array("i", [-1]), array("i", [0] * n), n
+        for token, i in tokens.items():
+            last = token.endswith(end)
+            node = 0
+            raw = bytes(back[c] for c in (token[: -len(end)] if last else token))
+            self.size[i] = len(raw)
+            for byte in raw:
+                node = self.tree.setdefault(node << 8 | byte, len(self.inner))
+                if node == len(self.inner):
+                    self.inner.append(-1)
+                    self.final.append(-1)
+            (self.final if last else self.inner)[node] = i
+        self.restart()
+
+    def restart(self) -> None:
+        """The byte table with its first state alone: nothing begun, no token before."""
+        self.states: list[tuple[tuple[int, int], ...]] = [((0, -1),)]
+        self.known, self.ended = {self.states[0]: 0}, array("i", [-1])
+        self.next: dict[int, int] = {}
+        self.last: dict[int, int] = {}
+
+    def row(self, state: int) -> array:
+        """Bounds of the ranges of token numbers that a state lacks, in order."""
+        found = self.rows.get(state)
         if found is None:
-            s, t, found = state, token, True
-            while True:
-                if self.made[t] and self.made[t] >= self.since[s]:
-                    t = self.left[t]
-                elif s == 0:
-                    break
-                elif self.lacks[s] == t:
-                    found = False
-                    break
+            spans, s = [], state
+            while s:
+                spans.append((self.low[s], self.high[s]))
+                s = self.parent[s]
+            found = array("i")
+            for a, b in sorted(spans):
+                if found and a <= found[-1]:
+                    found[-1] = max(found[-1], b)
                 else:
-                    s = self.parent[s]
-            if len(self.arcs) >= ARCS:
-                self.arcs.clear()
-            self.arcs[key] = found
+                    found.extend((a, b))
+            self.rows[state] = found
+        return found
+
+    def arc(self, before: int, token: int) -> bool:
+        """Whether the state after a token (-1: the first state) has an arc of another."""
+        return before < 0 or not bisect_right(self.row(self.target[before]), self.number[token]) & 1
+
+    def step(self, state: int, byte: int) -> int:
+        """The entry of the byte table for a byte within a word."""
+        begun, ended = [], -1
+        for node, before in self.states[state]:
+            to = self.tree.get(node << 8 | byte)
+            if to is not None:
+                begun.append((to, before))
+                if self.inner[to] >= 0 and self.arc(before, self.inner[to]):
+                    ended = self.inner[to]
+        if ended < 0:
+            raise ValueError(f"the vocabulary has no token for the byte {byte}")
+        own = ((0, ended), *begun)
+        found = self.known.setdefault(own, len(self.states))
+        if found == len(self.states):
+            self.states.append(own)
+            self.ended.append(ended)
+        self.next[state << 8 | byte] = found
         return found
 
+    def stop(self, state: int, byte: int) -> int:
+        """The entry for a word's last byte: the token that ends with it."""
+        for node, before in self.states[state]:
+            to = self.tree.get(node << 8 | byte)
+            if to is not None and self.final[to] >= 0 and self.arc(before, self.final[to]):
+                self.last[state << 8 | byte] = self.final[to]
+                return self.final[to]
+        raise ValueError(f"the vocabulary has no token for the last byte {byte}")
+
     def encode_word(self, word: bytes) -> list[int]:
         """The tokens on the one path of a pre-split word."""
-        n, inner, final, arc, target, reach = len(word), self.inner, self.final, self.arc, self.target, self.reach
-        if not n:
+        if not word:
             return []
-        path: list[int] = []
-        places = [(0, 0)]
-        untried = [min(n, reach.get(word[:3], 2))]
-        dead: set[tuple[int, int]] = set()
-        while places:
-            start, state = places[-1]
-            length = untried[-1]
-            while length:
-                stop = start + length
-                token = inner.get(word[start:stop]) if stop < n else final.get(word[start:])
-                if token is not None and arc(state, token) and (stop, target[token]) not in dead:
-                    break
-                length -= 1
-            if not length:
-                dead.add(places.pop())
-                untried.pop()
-                if path:
-                    path.pop()
-                continue
-            untried[-1] = length - 1
-            path.append(token)
-            if stop == n:
-                return path
-            places.append((stop, target[token]))
-            untried.append(min(n - stop, reach.get(word[stop : stop + 3], 2)))
-        raise ValueError(f"the vocabulary has no tokens for {word!r}")
+        if len(self.states) > STATES:
+            self.restart()
+        state, path, get = 0, [], self.next.get
+        for byte in word[:-1]:
+            to = get(state << 8 | byte)
+            state = self.step(state, byte) if to is None else to
+            path.append(state)
+        key = state << 8 | word[-1]
+        token = self.last[key] if key in self.last else self.stop(state, word[-1])
+        out, at = [token], len(word) - self.size[token]
+        while at:
+            token = self.ended[path[at - 1]]
+            out.append(token)
+            at -= self.size[token]
+        return out[::-1]
 
     def encode_words(self, words: list[str]) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
@@ -157,12 +206,15 @@ class Automaton:
 
 
 class Tokenizer:
-    """Reads a tokenizers JSON file of the word-end kind; its text rules are those that the file states."""
-
-    #: The file's splitting pattern, whose first alternatives begin with an apostrophe and so may follow the letters;
-    #: what it doesn't match is dropped.
-    WORDS = regex.compile(r"[\p{L}]+|[\p{N}]|'s|'t|'re|'ve|'m|'ll|'d|[^\p{White_Space}\p{L}\p{N}]+")
-    #: The same for texts of code points under 256, which have no case or form outside of them.
+    """Reads a tokenizers JSON file of the word-end kind: its rules of splitting are taken from the file, and a file
+    with others than these is refused."""
+
+    #: The normalizer, and the steps of splitting with the pattern left out, that this class follows.
+    NORMAL = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+    SPLIT = [{"type": "Split", "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]
+    #: Fixed value: the pattern of splitting whose form for texts of code points under 256, which have no case or form
+    #: outside of them, is LATIN.
+    PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
     LATIN = re.compile("[a-zªµºß-öø-ÿ]+|[0-9²³¹¼-¾]|'s|'t|'re|'ve|'m|'ll|'d|[^\t-\r \x85\xa0a-z0-9ªµº²³¹¼-¾ß-öø-ÿ]+")
 
     def __init__(self, content: str):
@@ -170,27 +222,39 @@ class Tokenizer:
         model = known["model"]
         if model["type"] != "BPE" or not model.get("end_of_word_suffix") or known["decoder"] or known["post_processor"]:
             raise ValueError("only BPE files with word ends, without decoder and post-processor, are read")
+        if any(model.get(x) for x in ("dropout", "unk_token", "continuing_subword_prefix", "byte_fallback", "ignore_merges")):
+            raise ValueError("the file's model has options that are not read")
+        steps = [dict(x) for x in (known["pre_tokenizer"] or {}).get("pretokenizers", [])]
+        pattern = (steps[0].pop("pattern", None) or {}).get("Regex") if steps else None
+        if (known["normalizer"] or {}).get("normalizers") != self.NORMAL or steps != self.SPLIT or not pattern:
+            raise ValueError("the file's normalizer or splitting is of a kind that is not read")
+        if any(x.get(k) for x in known["added_tokens"] for k in ("single_word", "lstrip", "rstrip", "normalized")):
+            raise ValueError("the file's added tokens have flags that are not read")
         merges = [tuple(m) if not isinstance(m, str) else tuple(m.split(" ")) for m in model["merges"]]
-        special = {x["content"]: x["id"] for x in known["added_tokens"]}
-        self.automaton = Automaton(model["vocab"], merges, model["end_of_word_suffix"], special)
-        self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
+        self.special = {x["content"]: x["id"] for x in known["added_tokens"]}
+        self.automaton = Automaton(model["vocab"], merges, model["end_of_word_suffix"], self.special)
+        self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
+        self.latin = pattern == self.PATTERN
+        self.pattern = regex.compile(pattern.replace("\\s", "\\p{White_Space}"))
 
     def words(self, text: str) -> list[str]:
-        try:
-            text.encode("latin-1")
-            return self.LATIN.findall(text.lower())
-        except UnicodeEncodeError:
-            pass
-        # Letter by letter: a final sigma is lower-cased like any other.
-        return self.WORDS.findall(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())
+        if self.latin:
+            try:
+                text.encode("latin-1")
+                return self.LATIN.findall(text.lower())
+            except UnicodeEncodeError:
+                pass
+        # Letter by letter: a final sigma is lower-cased like any other. White space is not made one space first, as
+        # the pattern drops it.
+        return [m[0] for m in self.pattern.finditer(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())]
 
     def packed(self, text: str | None) -> bytes:
         if not text:
             return b""
         a = self.automaton
-        if self.cut is None or "<|" not in text:
+        if not any(x in text for x in self.special):
             return a.encode_words(self.words(text))
-        return b"".join([struct.pack("<I", a.special[x]) if x in a.special else a.encode_words(self.words(x)) for x in self.cut.split(text)])
+        return b"".join([struct.pack("<I", self.special[x]) if x in self.special else a.encode_words(self.words(x)) for x in self.cut.split(text)])
 
     def encode(self, text: str | None) -> list[int]:
         return np.frombuffer(self.packed(text), "<u4").tolist()
