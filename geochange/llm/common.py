@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Rows that go to Python in one Arrow batch. Texts may be long, so this is small.
+#: Rows of an Arrow batch that are worked on at a time. Texts may be long, so this is small.
 ARROW_ROWS = 1024
 
 
@@ -19,9 +19,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares; a folder of this machine only where none is set, as in tests."""
+    """The folder that the cluster shares; a folder of this machine only where none is set and the master is local, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='spark-shared-')}"
         spark.sparkContext.setCheckpointDir(found)
     return found
@@ -61,11 +63,15 @@ def shuffle_parts(spark: SparkSession) -> int:
 
 
 def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """mapInArrow with small batches, so that long texts don't add up to much memory."""
-    spark = df.sparkSession
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > ARROW_ROWS:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
-    return df.mapInArrow(fn, schema)
+    """mapInArrow whose function sees pieces of ARROW_ROWS rows, so that long texts don't add up to much memory. Spark
+    bounds the bytes of a batch itself; the session's settings stay as they are."""
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, ARROW_ROWS):
+                yield batch.slice(i, ARROW_ROWS)
+
+    return df.mapInArrow(lambda batches: fn(pieces(batches)), schema)
 
 
 def held_out(doc_id: Column, folds: int, fold: int) -> Column:

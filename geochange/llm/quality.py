@@ -14,7 +14,7 @@ from . import common, zstd_models
 
 
 #: Small block and high level: short blocks keep the dictionary in play, and the two alphabets of shapes are few bytes.
-LEVEL, BLOCK = 12, 600
+LEVEL, BLOCK = 12, 300
 #: A byte's shape: letters of either case become one letter each, digits one digit; marks and white space stay.
 SHAPES = bytes(65 if 65 <= c <= 90 else 97 if 97 <= c <= 122 or c >= 128 else 48 if 48 <= c <= 57 else c for c in range(256))
 
@@ -23,8 +23,8 @@ SHAPES = bytes(65 if 65 <= c <= 90 else 97 if 97 <= c <= 122 or c >= 128 else 48
 class QualityModel:
     bad: bytes
     good: bytes
-    #: Of the normalised size difference, of the logarithm of the mean compressed share, and the bias.
-    weights: tuple[float, float, float]
+    #: Of the normalised size difference, and the bias.
+    weights: tuple[float, float]
 
 
 def prepared(text: str | None) -> bytes:
@@ -32,22 +32,20 @@ def prepared(text: str | None) -> bytes:
     return (text or "").encode().translate(SHAPES)
 
 
-def features(texts: list[bytes], sizes: zstd_models.SizeBy) -> np.ndarray:
-    """(bad - good) / (bad + good) of the compressed sizes, positive where good text explains it better; and how far
-    the text can be compressed at all, which repetition lowers."""
+def difference(texts: list[bytes], sizes: zstd_models.SizeBy) -> np.ndarray:
+    """(bad - good) / (bad + good) of the compressed sizes, positive where good text explains it better."""
     s = sizes(texts)
-    both = np.maximum(s.sum(axis=1), 1)
-    return np.stack([(s[:, 0] - s[:, 1]) / both, np.log(both / 2 / np.array([max(len(t), 1) for t in texts]))], axis=1)
+    return (s[:, 0] - s[:, 1]) / np.maximum(s.sum(axis=1), 1)
 
 
-def scores(texts: list[str | None], sizes: zstd_models.SizeBy, weights: tuple[float, ...]) -> np.ndarray:
+def scores(texts: list[str | None], sizes: zstd_models.SizeBy, weights: tuple[float, float]) -> np.ndarray:
     if not texts:
         return np.zeros(0)
-    z = features([prepared(t) for t in texts], sizes) @ np.array(weights[:-1]) + weights[-1]
+    z = difference([prepared(t) for t in texts], sizes) * weights[0] + weights[1]
     return 1 / (1 + np.exp(-np.clip(z, -35, 35)))
 
 
-def fit_quality(labelled: DataFrame, label: str = "quality", rows_per_class: int = 1500, bytes_per_class: int = 64_000, calibrate_rows: int = 3000) -> QualityModel:
+def fit_quality(labelled: DataFrame, label: str = "quality", rows_per_class: int = 1500, bytes_per_class: int = 128_000, calibrate_rows: int = 3000) -> QualityModel:
     """Learns from doc_id, text and a 0/1 label column; rows with a null label or text are no examples.
 
     Dictionaries take at most bytes_per_class of each class, and calibration at most calibrate_rows of other rows, in
@@ -64,14 +62,14 @@ def fit_quality(labelled: DataFrame, label: str = "quality", rows_per_class: int
         sizes = zstd_models.SizeBy([bad, good], LEVEL, BLOCK)
         for batch in batches:
             if batch.num_rows:
-                x = features([prepared(t) for t in batch.column("text").to_pylist()], sizes)
-                yield pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1]), batch.column("_y")], names=["x", "r", "y"])
+                x = difference([prepared(t) for t in batch.column("text").to_pylist()], sizes)
+                yield pa.RecordBatch.from_arrays([pa.array(x), batch.column("_y")], names=["x", "y"])
 
-    seen = common.arrow_map(sample.select("text", "_y"), measure, "x double, r double, y int").collect()
-    x, y = np.array([[r.x, r.r] for r in seen]).reshape(-1, 2), np.array([r.y for r in seen], dtype=float)
-    scale = np.where(x.std(axis=0) > 0, x.std(axis=0), 1.0) if len(x) else np.ones(2)
+    seen = common.arrow_map(sample.select("text", "_y"), measure, "x double, y int").collect()
+    x, y = np.array([r.x for r in seen]).reshape(-1, 1), np.array([r.y for r in seen], dtype=float)
+    scale = float(x.std()) if len(x) and x.std() > 0 else 1.0
     w = zstd_models.fit_logistic(x / scale, y)
-    return QualityModel(bad, good, (float(w[0] / scale[0]), float(w[1] / scale[1]), float(w[2])))
+    return QualityModel(bad, good, (float(w[0]) / scale, float(w[1])))
 
 
 _SCHEMA = "doc_id long, score double"

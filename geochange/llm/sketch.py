@@ -20,20 +20,21 @@ PIECE = 64
 OPENING = (4, 8, 16, 32)
 #: Digests of both sides that a sub-sketch of a retry is to hold about.
 LOAD = 12
-#: Retries, each with twice as many sub-sketches; what is left after them is compared without a sketch.
-RETRIES = 6
+#: Characters of texts that a range of documents holds about, where the next document is looked up.
+RANGE_CHARS = 32 << 20
 
 
 def paragraph_digests(text: Column) -> Column:
-    """The distinct digests of a text's paragraphs: its lines, those of over PIECE words in pieces of that many. The
-    opening line is in pieces of OPENING words first. An empty text has none."""
+    """The distinct digests of a text's paragraphs: its lines, those of over 2 * PIECE characters in pieces of PIECE
+    words with the white space after them. The opening line, unless it begins with white space, is in pieces of OPENING
+    words first, then of PIECE. An empty text has none."""
     lines = F.split(text, "\n", -1)
     words = rf"(?s)(?:\S+\s*){{1,{PIECE}}}|\s+"
     opening = F.element_at(lines, 1)
     # The k-th opening piece follows the words of those before it.
     ahead = [sum(OPENING[:k]) for k in range(len(OPENING))]
     first = [F.regexp_extract(opening, rf"(?s)^(?:\S+\s+){{{n}}}((?:\S+\s*){{1,{m}}})", 1) for n, m in zip(ahead, OPENING, strict=True)]
-    rest = F.regexp_replace(opening, rf"(?s)^(?:\S+\s+){{0,{sum(OPENING)}}}", "")
+    rest = F.substring(opening, sum((F.length(x) for x in first), F.lit(1)), F.length(opening))
     pieces = F.concat(F.array(*first), F.regexp_extract_all(rest, F.lit(words), F.lit(0)))
     more = F.flatten(F.transform(F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0))), lambda x: F.when(F.length(x) <= 2 * PIECE, F.array(x)).otherwise(F.regexp_extract_all(x, F.lit(words), F.lit(0)))))
     return F.array_distinct(F.transform(F.filter(F.concat(pieces, more), lambda x: x != ""), lambda x: F.xxhash64(x)))
@@ -137,10 +138,12 @@ def likeness(n_a: Column, n_b: Column, ours: Column, theirs: Column) -> Column:
 
 def differences(pairs: DataFrame, a: str, b: str) -> DataFrame:
     """For rows (id, digests a, digests b) that a single sketch failed for: id, ours, theirs, how many digests each
-    side has alone. The digests are dealt out to sub-sketches of about LOAD, and pairs that fail again to twice as many."""
-    left, done = pairs.select("id", F.col(a).alias("a"), F.col(b).alias("b")), None
+    side has alone. The digests are dealt out to sub-sketches of about LOAD; pairs that fail again are dealt anew, to
+    twice as many, until all have peeled: what fails is digests that share their cells, which each dealing parts."""
+    left, done, seed = pairs.select("id", F.col(a).alias("a"), F.col(b).alias("b")), None, 0
     left = common.written(left.withColumn("subs", F.greatest(F.lit(1), F.ceil((F.size("a") + F.size("b")) / LOAD)).cast("long")), "sketch-retry")
-    for seed in range(1, RETRIES + 1):
+    while True:
+        seed += 1
         side = F.concat(F.transform("a", lambda k: F.struct(F.lit(1).alias("s"), k.alias("k"))), F.transform("b", lambda k: F.struct(F.lit(-1).alias("s"), k.alias("k"))))
         rows = left.select("id", "subs", F.explode(side).alias("e")).select("id", F.pmod(F.xxhash64("e.k", F.lit(7 * seed)), F.col("subs")).alias("sub"), F.col("e.s").alias("s"), F.col("e.k").alias("k"))
         # A sub-sketch holds a few digests of one pair.
@@ -156,8 +159,24 @@ def differences(pairs: DataFrame, a: str, b: str) -> DataFrame:
         common.dropped(left)
         left = again
         if not left.limit(1).count():
+            common.dropped(left)
             return done
-    return done.unionByName(left.select("id", F.size(F.array_except("a", "b")).cast("long").alias("ours"), F.size(F.array_except("b", "a")).cast("long").alias("theirs")))
+
+
+def _passed(value: Column, cuts: list[float]) -> Column:
+    """How many of the cuts, in order, are at most value: first by groups of them, then in the group."""
+    if not cuts:
+        return F.lit(0)
+    step = max(1, round(len(cuts) ** 0.5))
+    groups = [cuts[i : i + step] for i in range(0, len(cuts), step)]
+
+    def among(xs: Column) -> Column:
+        return F.aggregate(xs, F.lit(0), lambda n, x: n + (value >= x).cast("int"))
+
+    firsts = among(F.lit([g[0] for g in groups]))
+    # Bound once by a transform over one element.
+    inner = F.transform(F.array(firsts), lambda k: F.when(k == 0, 0).otherwise((k - 1) * step + among(F.get(F.lit(groups), k - 1))))
+    return F.get(inner, F.lit(0))
 
 
 def with_next(docs: DataFrame, columns: list[str], buckets: int) -> DataFrame:
@@ -169,7 +188,7 @@ def with_next(docs: DataFrame, columns: list[str], buckets: int) -> DataFrame:
     """
     spark = docs.sparkSession
     cuts = sorted(set(docs.approxQuantile("d", [i / buckets for i in range(1, buckets)], 0.2 / buckets))) if buckets > 1 else []
-    bucket = F.aggregate(F.array(*[F.lit(float(x)) for x in cuts]), F.lit(0), lambda n, x: n + (F.col("d") >= x).cast("int")) if cuts else F.lit(0)
+    bucket = _passed(F.col("d"), cuts)
     rows = docs.withColumn("_b", bucket)
     # One small row for each bucket; the last bucket in order is followed by the first.
     tops = sorted(tuple(r["top"]) + (r["_b"],) for r in docs.select("d", "t").withColumn("_b", bucket).groupBy("_b").agg(F.max(F.struct("d", "t")).alias("top")).collect())
@@ -196,7 +215,10 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     text = F.coalesce("text", F.lit(""))
     rows = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("d"), F.xxhash64(text).alias("t"), text.alias("text"))
-    rows = with_next(rows.withColumn("a", paragraph_digests(F.col("text"))), ["text", "a"], 2 * common.shuffle_parts(spark))
+    chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
+    # So many ranges that one holds no more as the table grows, each a row of the driver's; 65536 hold 2 TB so.
+    ranges = max(2 * common.shuffle_parts(spark), min(-(-chars // RANGE_CHARS), 65536))
+    rows = with_next(rows.withColumn("a", paragraph_digests(F.col("text"))), ["text", "a"], ranges)
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("next_text"), F.lit(1), half))
@@ -204,25 +226,26 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     rows = rows.withColumn("b", paragraph_digests(F.col("edited"))).withColumn("edited_sha256", F.sha2(F.col("edited").cast("binary"), 256)).withColumn("edited_own", F.xxhash64("edited")).withColumn("edited_chars", F.length("edited"))
     # Written, as the sketches read the digests many times over.
     rows = common.written(rows.drop("edited").withColumn("id", F.monotonically_increasing_id()), "digests")
-    cells = rows.select("id", "a", "b", "c", sketch(F.col("a")).alias("sa"), sketch(F.col("b")).alias("sb"), sketch(F.col("c")).alias("sc"))
-    peeled = cells.select("id", "a", "b", "c", peel(subtract(F.col("sa"), F.col("sb"))).alias("e"), peel(subtract(F.col("sa"), F.col("sc"))).alias("n"))
-    sides = {x: [F.size(f"{x}.ours").cast("long").alias(f"{x}_ours"), F.size(f"{x}.theirs").cast("long").alias(f"{x}_theirs"), F.col(f"{x}.left").alias(f"{x}_left")] for x in "en"}
-    counts = common.written(peeled.select("id", *sides["e"], *sides["n"]), "peeled")
-    failed = rows.join(counts.where("e_left > 0 or n_left > 0"), "id")
+    cells = rows.select("*", sketch(F.col("a")).alias("sa"), sketch(F.col("b")).alias("sb"), sketch(F.col("c")).alias("sc"))
+    shown = [written_sketch(F.col("n_chars"), F.col("own"), F.col("sa")).alias("fingerprint"), written_sketch(F.col("edited_chars"), F.col("edited_own"), F.col("sb")).alias("edited_fingerprint")]
+    sizes = [F.size(x).alias(f"n_{x}") for x in "abc"]
+    peeled = cells.select("id", "doc_id", "n_chars", "edited_sha256", *shown, *sizes, peel(subtract(F.col("sa"), F.col("sb"))).alias("e"), peel(subtract(F.col("sa"), F.col("sc"))).alias("n"))
+    sides = [c for x in "en" for c in (F.size(f"{x}.ours").cast("long").alias(f"{x}_ours"), F.size(f"{x}.theirs").cast("long").alias(f"{x}_theirs"), F.col(f"{x}.left").alias(f"{x}_left"))]
+    counts = common.written(peeled.select("id", "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "n_a", "n_b", "n_c", *sides), "peeled")
+    failed = rows.select("id", "a", "b", "c").join(counts.where("e_left > 0 or n_left > 0").select("id", "e_left", "n_left"), "id")
     pairs = failed.select(F.explode(F.array(F.when(F.col("e_left") > 0, F.struct((F.col("id") * 2).alias("id"), "a", F.col("b").alias("b"))), F.when(F.col("n_left") > 0, F.struct((F.col("id") * 2 + 1).alias("id"), "a", F.col("c").alias("b"))))).alias("p"))
     again = common.written(differences(pairs.where("p is not null").select("p.*"), "a", "b"), "peeled-again")
+    common.dropped(rows)
     found = again.groupBy(F.floor(F.col("id") / 2).alias("id")).agg(*[F.max(F.when(F.col("id") % 2 == k, F.col(c))).alias(f"{x}_{c}_2") for k, x in enumerate("en") for c in ("ours", "theirs")])
-    both = rows.join(counts, "id").join(found, "id", "left")
+    both = counts.join(found, "id", "left")
     part = {f"{x}_{c}": F.coalesce(f"{x}_{c}_2", F.col(f"{x}_{c}")) for x in "en" for c in ("ours", "theirs")}
-    print_a = written_sketch(F.col("n_chars"), F.col("own"), sketch(F.col("a")))
-    print_b = written_sketch(F.col("edited_chars"), F.col("edited_own"), sketch(F.col("b")))
     return both.select(
         "doc_id",
         "n_chars",
         "edited_sha256",
-        print_a.alias("fingerprint"),
-        print_b.alias("edited_fingerprint"),
-        likeness(F.size("a"), F.size("b"), part["e_ours"], part["e_theirs"]).alias("near_edited"),
-        likeness(F.size("a"), F.size("c"), part["n_ours"], part["n_theirs"]).alias("near_next"),
+        "fingerprint",
+        "edited_fingerprint",
+        likeness(F.col("n_a"), F.col("n_b"), part["e_ours"], part["e_theirs"]).alias("near_edited"),
+        likeness(F.col("n_a"), F.col("n_c"), part["n_ours"], part["n_theirs"]).alias("near_next"),
         (part["e_ours"] + part["e_theirs"]).alias("edits"),
     )

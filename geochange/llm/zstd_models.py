@@ -13,16 +13,18 @@ from . import common
 
 
 def training_texts(labelled: DataFrame, by: str, rows_per_class: int, bytes_per_class: int) -> dict[object, list[str]]:
-    """A bounded sample of whole texts for each value of column by: at most rows_per_class rows, and no row that
-    begins beyond bytes_per_class. labelled: doc_id, text and by; equal texts count once."""
+    """A bounded sample of texts for each value of column by, to learn from: at most rows_per_class rows, and no row
+    that begins beyond bytes_per_class. Of a text over a fourth of that, a piece of as many characters from its middle
+    is taken, so that a class of long texts alone has its examples too. labelled: doc_id, text and by; equal texts
+    count once."""
     ids = F.broadcast(common.pick_ids(labelled, by, rows_per_class).select("doc_id"))  # bounded: rows_per_class ids a class
-    size = F.octet_length("text")
+    room = bytes_per_class // 8  # characters, mostly of one or two bytes
+    begin = F.greatest(F.floor((F.length("text") - room) / 2).cast("int"), F.lit(0)) + 1
     # By doc_id alone Spark can cut the texts down to the sample below the join with the labels.
-    rows = labelled.join(ids, "doc_id", "left_semi").where("length(text) > 0").select(by, "text", F.xxhash64("doc_id").alias("_h"), size.alias("_b"))
-    # Texts over a fourth of the room for a class give way to others here; they are scored whole like any other.
-    rows = rows.where(F.col("_b") <= bytes_per_class // 4)
+    rows = labelled.join(ids, "doc_id", "left_semi").where("length(text) > 0").select(by, F.substring("text", begin, F.lit(room)).alias("text"), F.xxhash64("doc_id").alias("_h"))
+    rows = rows.withColumn("_b", F.octet_length("text"))
     order = Window.partitionBy(by).orderBy("_h", "text")
-    fits = rows.dropDuplicates([by, "text"]).withColumn("_sum", F.sum("_b").over(order)).where(F.col("_sum") <= bytes_per_class)
+    fits = rows.dropDuplicates([by, "text"]).withColumn("_sum", F.sum("_b").over(order)).where(F.col("_sum") - F.col("_b") < bytes_per_class)
     found: dict[object, list[str]] = {}
     for value, text in fits.orderBy(by, "_h", "text").select(by, "text").collect():
         found.setdefault(value, []).append(text)

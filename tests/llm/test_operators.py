@@ -318,24 +318,40 @@ def test_mixing_odd(odd, empty):
 
 
 def _pieces(text):
-    import re
+    """The paragraphs by the definition, word by word, without the operator's expressions."""
+    import regex
 
-    words = re.compile(r"(?:\S+\s*){1,64}|\s+")
-    lines = text.split("\n")
-    opening, out = lines[0], []
-    for ahead, n in zip((0, 4, 12, 28), (4, 8, 16, 32), strict=True):
-        m = re.match(rf"(?:\S+\s+){{{ahead}}}((?:\S+\s*){{1,{n}}})", opening)
-        out.append(m[1] if m else "")
-    out += words.findall(re.sub(r"^(?:\S+\s+){0,60}", "", opening, count=1))
-    for x in lines[1:]:
-        out += [x] if len(x) <= 128 else words.findall(x)
-    return {x for x in out if x}
+    out = set()
+    for k, line in enumerate(text.split("\n")):
+        if k and len(line) <= 128:
+            out.add(line)
+            continue
+        words = regex.findall(r"\S+\s*", line, flags=regex.ASCII)  # of Java, whose classes are ASCII
+        lead = line[: len(line) - len("".join(words))]
+        out.add(lead)
+        at, sizes = 0, itertools.repeat(64) if k or lead else itertools.chain((4, 8, 16, 32), itertools.repeat(64))
+        while at < len(words):
+            n = next(sizes)
+            out.add("".join(words[at : at + n]))
+            at += n
+    return out - {""}
+
+
+def test_short_opening_lines_share_nothing_that_they_have_not(spark):
+    rows = [(2, "alpha beta gamma"), (1, "delta epsilon gamma")]
+    assert [r.near_next for r in sketch.fingerprint_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()] == [0.0, 0.0]
+
+
+def test_retries_go_on_until_all_peel(spark):
+    rows = spark.createDataFrame([(1, list(range(3000)), list(range(2000, 4500))), (2, [1], [1]), (3, [], [5])], "id long, a array<long>, b array<long>")
+    got = {r.id: (r.ours, r.theirs) for r in sketch.differences(rows, "a", "b").collect()}
+    assert got == {1: (2000, 1500), 2: (0, 0), 3: (0, 1)}
 
 
 def test_sketches(spark):
     rng = random.Random(9)
     line = lambda: " ".join(rng.choice(["alpha", "beta", "gamma", "delta"]) + str(rng.randint(0, 50)) for _ in range(rng.randint(1, 90)))
-    rows = [(i, "\n".join(line() for _ in range(rng.choice([1, 1, 3, 8, 120])))) for i in range(30)] + [(40, ""), (41, None), (42, "same"), (43, "same")]
+    rows = [(i, "\n".join(line() for _ in range(rng.choice([1, 1, 3, 8, 120])))) for i in range(30)] + [(40, ""), (41, None), (42, "same"), (43, "same"), (44, " lead b c d e f g"), (45, "\n\n x"), (46, "a b c d"), (47, "a b c d e"), (48, " ".join(["w"] * 300))]
     got = {r.doc_id: r for r in sketch.fingerprint_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     ordered = sorted(((i, t or "") for i, t in rows), reverse=True)
     for k, (i, t) in enumerate(ordered):
