@@ -74,7 +74,8 @@ def tokens(text: str | None) -> int:
 
 @dataclass(frozen=True)
 class Windows:
-    """budget: tokens of a window; history: tokens of repeated turns at most. A turn larger than the budget has a window alone."""
+    """budget: tokens of a window, as tokens() counts them; history: tokens of repeated turns at most. A turn that
+    exceeds the budget has a window of its own, with the system turn before it."""
 
     budget: int = 2048
     history: int = 256

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Rows of an Arrow batch that are worked on at a time. Texts may be long, so this is small.
 ARROW_ROWS = 1024
+#: Buckets of a running sum in two steps, as a power of two: no window is over all rows, or over a hot key's.
+BUCKET_BITS = 10
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -92,3 +94,15 @@ def pick_ids(df: DataFrame, by: str, n: int) -> DataFrame:
     hashed = ids.join(counts, by).withColumn("_h", F.xxhash64("doc_id"))
     low = hashed.where(F.col("_h") / F.lit(2.0**64) + 0.5 <= F.lit(4.0 * n + 200) / F.col("_n"))
     return low.select(by, "doc_id", "_h").distinct().withColumn("_rn", F.row_number().over(order)).where(F.col("_rn") <= n).select(by, "doc_id")
+
+
+def sums_before(pairs: DataFrame, part: list[str], by: str, bucket: Column, extra: list[str]) -> DataFrame:
+    """pairs with `less`, the sum of n over rows of the same part with a smaller `by` (then `extra`), in two steps: by
+    bucket, whose order is that of `by`, and within the bucket. The columns of part have no nulls."""
+    pairs = pairs.withColumn("_b", bucket)
+    sums = pairs.groupBy(*part, "_b").agg(F.sum("n").alias("_s"))
+    over = Window.partitionBy(*(part or [F.lit(0)])).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.withColumn("_off", F.coalesce(F.sum("_s").over(over), F.lit(0))).drop("_s")
+    within = Window.partitionBy(*part, "_b").orderBy(by, *extra).rowsBetween(Window.unboundedPreceding, -1)
+    out = pairs.withColumn("_in", F.coalesce(F.sum("n").over(within), F.lit(0))).join(sums, [*part, "_b"])
+    return out.withColumn("less", F.col("_off") + F.col("_in")).drop("_off", "_in", "_b")

@@ -1,7 +1,8 @@
 """Exact duplicates by a content sort.
 
 Sampled splitters deal the rows out by the range of their normalised bytes, each range is sorted on disk if need be,
-and one pass over it compares neighbours in full. The order ends with doc_id, so that a group of equal texts of any
+and one pass over it compares neighbours in full. The order is that of the leading bytes; texts that agree in these
+are in the order of a hash, then of all bytes. It ends with doc_id, so that a group of equal texts of any
 size is cut into as many ranges as it needs; the pieces of a group that touch the ends of ranges are joined from one
 small row each.
 """

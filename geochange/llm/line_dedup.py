@@ -11,13 +11,11 @@ the first run in the order of documents stays and the others are deleted.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
 
-#: Buckets of ranks and digests for running sums in two steps, so that none is over all rows or over a hot line's.
-BUCKETS = 1024
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -28,18 +26,6 @@ def _lines(docs: DataFrame) -> DataFrame:
     return rows.select("d", "t", "pos", F.xxhash64(line).alias("h1"), F.xxhash64(F.lit("#"), line).alias("h2"), F.regexp_count(line, F.lit("\\S+")).alias("words"))
 
 
-def _before(pairs: DataFrame, part: list[str], by: str, bucket: Column, extra: list[str]) -> DataFrame:
-    """pairs with `less`, the sum of n over rows of the same part with a smaller `by` (then `extra`): in two steps, by bucket of `by` and
-    within the bucket."""
-    pairs = pairs.withColumn("_b", bucket)
-    sums = pairs.groupBy(*part, "_b").agg(F.sum("n").alias("_s"))
-    over = Window.partitionBy(*(part or [F.lit(0)])).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.withColumn("_off", F.coalesce(F.sum("_s").over(over), F.lit(0))).drop("_s")
-    within = Window.partitionBy(*part, "_b").orderBy(by, *extra).rowsBetween(Window.unboundedPreceding, -1)
-    out = pairs.withColumn("_in", F.coalesce(F.sum("n").over(within), F.lit(0))).join(sums, [*part, "_b"])
-    return out.withColumn("less", F.col("_off") + F.col("_in")).drop("_off", "_in", "_b")
-
-
 def suffix_ranks(lines: DataFrame, rounds: int) -> DataFrame:
     """lines with r0 .. r<rounds>: the rank of each suffix by its first 2^k lines, null where its sequence has fewer.
 
@@ -48,16 +34,16 @@ def suffix_ranks(lines: DataFrame, rounds: int) -> DataFrame:
     """
     ids = lines.groupBy("h1", "h2").agg(F.count("*").alias("n"))
     # Digests are even, so their leading bits part them evenly.
-    ids = _before(ids, [], "h1", F.shiftrightunsigned("h1", 64 - 10), ["h2"]).select("h1", "h2", F.col("less").alias("r0"))
+    ids = common.sums_before(ids, [], "h1", F.shiftrightunsigned("h1", 64 - common.BUCKET_BITS), ["h2"]).select("h1", "h2", F.col("less").alias("r0"))
     now = common.written(lines.join(ids, ["h1", "h2"]).drop("h1", "h2"), "suffixes")
     total = now.count()
-    width = max(1, -(-total // BUCKETS))
+    width = max(1, -(-total >> common.BUCKET_BITS))
     along = Window.partitionBy("d", "t", "seq").orderBy("pos")
     for k in range(rounds):
         r, new = f"r{k}", f"r{k + 1}"
         both = now.withColumn("_next", F.lead(r, 1 << k).over(along))
         pairs = both.where("_next is not null").groupBy(r, "_next").agg(F.count("*").alias("n"))
-        ranked = _before(pairs, [r], "_next", F.floor(F.col("_next") / width), []).select(r, "_next", (F.col(r) + F.col("less")).alias(new))
+        ranked = common.sums_before(pairs, [r], "_next", F.floor(F.col("_next") / width), []).select(r, "_next", (F.col(r) + F.col("less")).alias(new))
         after = common.written(both.join(ranked, [r, "_next"], "left").drop("_next"), "suffixes")
         common.dropped(now)
         now = after

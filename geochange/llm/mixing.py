@@ -124,9 +124,11 @@ def mix_sources(docs: DataFrame, opts: Mix = Mix()) -> DataFrame:
     # One row for each block and repetition, with the tokens before it.
     turns = F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.col("quota") / F.col("tokens")).cast("int") - 1))
     copies = sizes.join(plan.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).select("source", "_block", "_size", "weight", "tokens", "quota", F.explode(turns).alias("mix_repeat"))
-    order = Window.partitionBy("source", "mix_repeat").orderBy(draw(seed, F.col("mix_repeat").cast("string"), F.col("_block").cast("string")), "_block").rowsBetween(Window.unboundedPreceding, -1)
-    before = F.col("mix_repeat") * F.col("tokens") + F.coalesce(F.sum("_size").over(order), F.lit(0))
-    copies = copies.withColumn("_before", before).where("_before < quota")
+    # A source's blocks are in the order of a draw, whose leading bits part them evenly.
+    named = F.when(F.col("source").isNull(), "").otherwise(F.concat(F.lit("="), "source"))
+    copies = copies.withColumn("_part", named).withColumn("_draw", draw(seed, F.col("mix_repeat").cast("string"), F.col("_block").cast("string"))).withColumn("n", F.col("_size"))
+    copies = common.sums_before(copies, ["_part", "mix_repeat"], "_draw", F.shiftright("_draw", 60 - common.BUCKET_BITS), ["_block"])
+    copies = copies.withColumn("_before", F.col("mix_repeat") * F.col("tokens") + F.col("less")).where("_before < quota")
     drawn = blocked.join(copies.select(F.col("source").alias("_s"), F.col("_block").alias("_b"), "mix_repeat", "_before", "_size", "quota", "weight"), F.col("source").eqNullSafe(F.col("_s")) & (F.col("_block") == F.col("_b")))
     inside = Window.partitionBy("source", "mix_repeat", "_block").orderBy(draw(seed, F.col("mix_repeat").cast("string"), F.col("_key")), "_key").rowsBetween(Window.unboundedPreceding, -1)
     position = F.col("_before") + F.coalesce(F.sum("_n").over(inside), F.lit(0))

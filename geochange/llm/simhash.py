@@ -25,7 +25,7 @@ from .components import components
 #: Points that a leaf of the tree in a shard compares with one another.
 LEAF = 192
 #: Points of a shard that one task takes at a time; larger shards are met block against block.
-BLOCK = 8192
+BLOCK = 65536
 #: Vantage points of a partition; more part it no finer once their rings tell all its values apart.
 VANTAGES = 12
 
@@ -187,18 +187,19 @@ def _links(bits: int):
     return run
 
 
-def near_links(distinct: DataFrame, bits: int = 4) -> DataFrame:
-    """Links (u, v) between the distinct fingerprints fp of a table: enough of them to join all that is linked."""
+def near_links(distinct: DataFrame, bits: int = 4, extra: int = 2, block: int = BLOCK) -> DataFrame:
+    """Links (u, v) between the distinct fingerprints fp of a table: enough of them to join all that is linked. The more
+    extra blocks of places a choice has, the smaller are the shards and the more copies of each point are dealt out."""
     spark = distinct.sparkSession
-    masks = choices(bits)
+    masks = choices(bits, extra)
     shards = []
     for i, mask in enumerate(masks):
         rings = [F.bit_count(F.col("fp").bitwiseAND(F.lit(_signed(mask))).bitwiseXOR(F.lit(_signed(v)))) for v in vantage_points(mask)]
         shards.append(F.xxhash64(F.lit(i), *rings))
     rows = distinct.select("fp", F.explode(F.array(*shards)).alias("ring"))
-    # A shard of over BLOCK points is met block against block, so that no task holds more than two blocks of it.
+    # A shard of over block points is met block against block, so that no task holds more than two blocks of it.
     size = rows.groupBy("ring").agg(F.count("*").alias("n"))
-    large = size.where(F.col("n") > BLOCK).select("ring", F.ceil(F.col("n") / F.lit(BLOCK / 2)).cast("int").alias("b"))
+    large = size.where(F.col("n") > block).select("ring", F.ceil(F.col("n") / F.lit(block / 2)).cast("int").alias("b"))
     dealt = rows.join(large, "ring", "left").withColumn("own", F.pmod(F.xxhash64("fp"), F.col("b")))
     pair = F.transform(F.sequence(F.lit(0), F.col("b") - 1), lambda o: F.xxhash64("ring", F.least(F.col("own"), o.cast("long")), F.greatest(F.col("own"), o.cast("long"))))
     shard = F.explode(F.when(F.col("b").isNull(), F.array("ring")).otherwise(pair)).alias("shard")
@@ -207,12 +208,12 @@ def near_links(distinct: DataFrame, bits: int = 4) -> DataFrame:
     return common.arrow_map(placed, _links(bits), "u long, v long").distinct()
 
 
-def near_components(docs: DataFrame, bits: int = 4, shingle: int = 4, seed: int = 42) -> DataFrame:
+def near_components(docs: DataFrame, bits: int = 4, shingle: int = 4, seed: int = 42, extra: int = 2) -> DataFrame:
     """One row per row of docs: doc_id, fingerprint (16 hex digits) and component_id."""
-    return row_components(docs, bits, shingle, seed).select("doc_id", "fingerprint", "component_id")
+    return row_components(docs, bits, shingle, seed, extra).select("doc_id", "fingerprint", "component_id")
 
 
-def row_components(docs: DataFrame, bits: int = 4, shingle: int = 4, seed: int = 42) -> DataFrame:
+def row_components(docs: DataFrame, bits: int = 4, shingle: int = 4, seed: int = 42, extra: int = 2) -> DataFrame:
     """near_components with t, the text's hash, which tells rows of one or no doc_id apart, and root, which names the
     component also where none of its rows has a doc_id.
 
@@ -222,7 +223,7 @@ def row_components(docs: DataFrame, bits: int = 4, shingle: int = 4, seed: int =
     """
     found = common.written(fingerprints(docs, shingle, seed), "fingerprints")
     distinct = common.written(found.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    roots = common.written(components(near_links(distinct.select("fp"), bits)), "roots")
+    roots = common.written(components(near_links(distinct.select("fp"), bits, extra)), "roots")
     # Classes of fingerprints carry the smallest doc_id; only linked fingerprints are in roots.
     named = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))

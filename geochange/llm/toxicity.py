@@ -1,13 +1,16 @@
 """Toxic spans by a linear-chain conditional random field over words.
 
 Labels say which documents are toxic, not which words. Words of toxic training documents whose features hardly occur
-in others are taken as the labelled tokens; on these a chain of two tags (clean, toxic) is fitted. Forward-backward
+in others are the first labelled tokens; on these a chain of two tags (clean, toxic) is fitted, with features of each
+word and of the words beside it. The tags of toxic documents are then taken anew from the chain's own marginals, given
+that a toxic document holds a toxic word and others hold none, and the chain is fitted again. Forward-backward
 marginals then give each word's chance to be toxic, and these add up to a document's score and its offending offsets.
 """
 
 from __future__ import annotations
 
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -33,6 +36,12 @@ def word_features(word: str) -> list[str]:
     return [w, *(f"{w[:k]}*" for k in PREFIXES if len(w) >= k)]
 
 
+def chain_features(words: list[str]) -> list[list[str]]:
+    """Of each word of a chain its own features, and the words before (<) and after it (>)."""
+    low = [w.lower() for w in words]
+    return [[*word_features(w), *([f"<{low[i - 1]}"] if i else []), *([f">{low[i + 1]}"] if i + 1 < len(low) else [])] for i, w in enumerate(words)]
+
+
 @dataclass(frozen=True)
 class ToxicityModel:
     #: Weight of each feature for the toxic tag, the toxic tag's bias, log-potentials [from, to] of tags and of a start.
@@ -98,10 +107,11 @@ def chains(text: str) -> list[list[str]]:
 
 
 def fit_chain(examples: list[tuple[list[list[str]], np.ndarray]], names: list[str], rounds: int = 80, ridge: float = 1.0) -> tuple[dict[str, float], float, np.ndarray, np.ndarray]:
-    """Maximum likelihood with a ridge, by gradient steps of adapted size. examples: (features of each word, tags)."""
+    """Maximum likelihood with a ridge, by gradient steps of adapted size. examples: (features of each word, tags); a
+    tag is 0, 1 or, where it isn't certain, the chance of 1."""
     index = {f: i for i, f in enumerate(names)}
     lengths = np.array([len(t) for _, t in examples], dtype=np.int64)
-    tags = np.concatenate([t for _, t in examples]).astype(np.int64)
+    tags = np.concatenate([t for _, t in examples]).astype(float)
     word, feat, k = [], [], 0
     for fs, _ in examples:
         for f in fs:
@@ -115,7 +125,9 @@ def fit_chain(examples: list[tuple[list[list[str]], np.ndarray]], names: list[st
     inside[ends] = False
     at = np.flatnonzero(inside)
     seen_pairs = np.zeros((2, 2))
-    np.add.at(seen_pairs, (tags[at], tags[at + 1]), 1)
+    for i, x in enumerate((1 - tags[at], tags[at])):
+        for j, y in enumerate((1 - tags[at + 1], tags[at + 1])):
+            seen_pairs[i, j] = (x * y).sum()
     begins = ends - lengths + 1
     seen_feat = np.bincount(feat, weights=tags[word], minlength=len(names))
     theta = np.zeros(len(names) + 1 + 4 + 2)
@@ -133,17 +145,36 @@ def fit_chain(examples: list[tuple[list[list[str]], np.ndarray]], names: list[st
     return dict(zip(names, theta[: len(names)].tolist(), strict=True)), float(theta[len(names)]), theta[-6:-2].reshape(2, 2), theta[-2:]
 
 
+def expected_tags(features: list[list[list[str]]], toxic: np.ndarray, doc: np.ndarray, emission: dict[str, float], bias: float, transition: np.ndarray, start: np.ndarray) -> list[np.ndarray]:
+    """Each chain's chances of toxic words given its document's label: none in a clean document; in a toxic one the
+    chain's marginals over the chance that one of the document's words is toxic."""
+    lengths = np.array([len(c) for c in features], dtype=np.int64)
+    scores = np.array([bias + sum(emission.get(f, 0.0) for f in fs) for c in features for fs in c])
+    p = marginals(scores, lengths, transition, start)[0]
+    own = np.repeat(doc, lengths)
+    none = np.exp(np.bincount(own, weights=np.log1p(-np.minimum(p, 1 - 1e-9)), minlength=int(doc.max()) + 1))
+    q = np.where(np.repeat(toxic, lengths), np.minimum(p / np.maximum(1 - none[own], 1e-9), 1.0), 0.0)
+    return np.split(q, np.cumsum(lengths)[:-1])
+
+
 class _Scores(dict):
-    """The toxic tag's log-potential of each word that a task has met; what ends a sentence is no number."""
+    """The place of each word that a task has met, and by place the toxic tag's log-potential of the word (of what ends
+    a sentence no number) and what the word adds to those of the words after and before it."""
 
     def __init__(self, emission: dict[str, float], bias: float):
         self.emission, self.bias = emission, bias
-
-    def __missing__(self, word: str) -> float:
-        if len(self) >= CACHE:
-            self.clear()
-        get = self.emission.get
-        found = self[word] = float("nan") if word in ".!?\n" else self.bias + sum([get(f, 0.0) for f in word_features(word)])
+        self.restart()
+
+    def restart(self) -> None:
+        self.clear()
+        self.own, self.onward, self.back = array("d"), array("d"), array("d")
+
+    def __missing__(self, word: str) -> int:
+        get, low, end = self.emission.get, word.lower(), word in ".!?\n"
+        self.own.append(float("nan") if end else self.bias + sum([get(f, 0.0) for f in word_features(word)]))
+        self.onward.append(0.0 if end else get(f"<{low}", 0.0))
+        self.back.append(0.0 if end else get(f">{low}", 0.0))
+        found = self[word] = len(self.own) - 1
         return found
 
 
@@ -159,9 +190,15 @@ class Tagger:
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         """The marginal of each word of each text, in order."""
         kept, parts = self.scores, []
+        if len(kept) >= CACHE:
+            kept.restart()
         for text in texts:
-            parts.append(np.array([kept[w] for w in WORD.findall(text)] + [np.nan]))
-        held = np.concatenate([np.zeros(0), *parts])
+            parts.append(np.array([kept[w] for w in WORD.findall(text)] + [kept["."]]))
+        place = np.concatenate([np.zeros(0, np.int64), *parts])
+        own, onward, back = (np.array(x) for x in (kept.own, kept.onward, kept.back))
+        held = own[place]
+        held[1:] += onward[place[:-1]]
+        held[:-1] += back[place[1:]]
         ends = np.isnan(held)
         chain, scores = np.cumsum(ends)[~ends], held[~ends]
         p = np.zeros(len(scores))
@@ -175,7 +212,7 @@ class Tagger:
             for n in np.unique(lengths[~hot]):
                 same = first[~hot & (lengths == n)]
                 p[same[:, None] + np.arange(n)] = self.plain[n - 1]
-        sizes = [int(len(x) - np.isnan(x).sum()) for x in parts]
+        sizes = [int(len(x) - np.isnan(own[x]).sum()) for x in parts]
         return np.split(p, np.cumsum(sizes)[:-1]) if sizes else []
 
 
@@ -210,17 +247,19 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         n = [Counter(), Counter()]
         for text, y in zip(batch.column("text").to_pylist(), batch.column("_y").to_pylist(), strict=True):
-            n[y].update({f for w in set(WORD.findall(text)) if w not in ".!?\n" for f in word_features(w)})
+            n[y].update({f for c in chains(text) for fs in chain_features(c) for f in fs})
         names = list(n[0].keys() | n[1].keys())
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *(pa.array([n[k][f] for f in names], pa.int64()) for k in (0, 1))], names=["feature", "clean", "toxic"])
 
 
-def fit_toxicity(labelled: DataFrame, label: str = "toxic", rows_per_class: int = 2500, max_features: int = 1500, max_chains: int = 12_000, calibrate_rows: int = 3000) -> ToxicityModel:
+def fit_toxicity(labelled: DataFrame, label: str = "toxic", rows_per_class: int = 2500, max_features: int = 1500, max_chains: int = 12_000, plain_chains: int = 8, max_words: int = 200, refits: int = 1, calibrate_rows: int = 3000) -> ToxicityModel:
     """Learns from doc_id, text and a 0/1 label column; rows with a null label or text are no examples.
 
     All fitting is on a bounded sample: rows_per_class documents of each label for words and chains (at most
-    max_chains of these), calibrate_rows other documents in their natural shares for the score. Words count over the
-    sample in Spark; the driver gets max_features features, the chains and three numbers for each calibration row.
+    max_chains of these: all with a telling word, and of the others every plain_chains-th of a document; each in pieces
+    of max_words), calibrate_rows other documents in their natural shares for the score. Words count over the sample in
+    Spark; the driver gets max_features features, the chains and three numbers for each calibration row. refits is how
+    often tags are taken anew. Without an example of either label, or a telling word, all texts get one score.
     """
     spark = labelled.sparkSession
     rows = labelled.where(f"{label} in (0, 1) and text is not null").select("doc_id", "text", F.col(label).cast("int").alias("_y"))
@@ -242,25 +281,28 @@ def fit_toxicity(labelled: DataFrame, label: str = "toxic", rows_per_class: int
     known = spark.sparkContext.broadcast(frozenset(names))
 
     def telling_chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """All chains with a telling word, and every 8th of the others."""
         for batch in batches:
-            words, own = [], []
-            for text, y in zip(batch.column("text").to_pylist(), batch.column("_y").to_pylist(), strict=True):
+            words, own, docs = [], [], []
+            for text, y, d in zip(*(batch.column(k).to_pylist() for k in ("text", "_y", "_d")), strict=True):
                 for i, c in enumerate(chains(text)):
-                    if i % 8 == 0 or any(f in known.value for w in c for f in word_features(w)):
-                        for k in range(0, len(c), 200):  # a chain without a sentence's end in pieces
-                            words.append(c[k : k + 200])
+                    if i % plain_chains == 0 or any(f in known.value for w in c for f in word_features(w)):
+                        for k in range(0, len(c), max_words):
+                            words.append(c[k : k + max_words])
                             own.append(y)
-            yield pa.RecordBatch.from_arrays([pa.array(words, pa.list_(pa.string())), pa.array(own, pa.int32())], names=["words", "_y"])
+                            docs.append(d)
+            yield pa.RecordBatch.from_arrays([pa.array(words, pa.list_(pa.string())), pa.array(own, pa.int32()), pa.array(docs, pa.int64())], names=["words", "_y", "_d"])
 
     order = F.xxhash64(F.array_join("words", " "))
-    picked = common.arrow_map(sample, telling_chains, "words array<string>, _y int").orderBy(order, "_y").limit(max_chains).collect()
-    examples = []
-    for r in picked:
-        fs = [word_features(w) for w in r["words"]]
-        tags = np.array([r["_y"] == 1 and any(f in known.value for f in x) for x in fs], dtype=np.int64)
-        examples.append((fs, tags))
-    emission, bias, transition, start = fit_chain(examples, names)
+    picked = common.arrow_map(sample.withColumn("_d", F.xxhash64("text")), telling_chains, "words array<string>, _y int, _d long").orderBy(order, "_y", "_d").limit(max_chains).collect()
+    features = [chain_features(r["words"]) for r in picked]
+    toxic = np.array([r["_y"] == 1 for r in picked])
+    # The words beside a telling word aren't labelled for it.
+    tags = [np.array([y and any(f in known.value for f in word_features(w)) for w in r["words"]], dtype=float) for r, y in zip(picked, toxic, strict=True)]
+    emission, bias, transition, start = fit_chain(list(zip(features, tags, strict=True)), names)
+    doc = np.unique([r["_d"] for r in picked], return_inverse=True)[1]
+    for _ in range(refits):
+        tags = expected_tags(features, toxic, doc, emission, bias, transition, start)
+        emission, bias, transition, start = fit_chain(list(zip(features, tags, strict=True)), names)
     emission = {f: w for f, w in emission.items() if abs(w) > 1e-3}
     parts = (emission, bias, tuple(map(tuple, transition.tolist())), tuple(start.tolist()))
     held = spark.sparkContext.broadcast(parts)

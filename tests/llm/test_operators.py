@@ -9,6 +9,7 @@ import zlib
 import numpy as np
 import pytest
 import xxhash
+import zstandard
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -144,6 +145,20 @@ def test_a_linked_pair_shares_a_shard():
         assert any(d & m == 0 for m in masks)
 
 
+def test_hot_rings_are_met_block_against_block(spark):
+    rng = np.random.default_rng(6)
+    fp = np.unique(rng.integers(0, 2**16, 900, dtype=np.int64))  # most places agree: most rings hold all
+    df = spark.createDataFrame([(int(x),) for x in fp], "fp long")
+
+    def classes(block, extra=2):
+        return {r.node: r.root for r in components.components(simhash.near_links(df, 4, extra, block)).collect()}
+
+    whole = classes(simhash.BLOCK)
+    assert classes(100) == whole == classes(100, 3)
+    brute = {(int(a), int(b)) for i, a in enumerate(fp) for b in fp[i + 1 :][np.bitwise_count(a ^ fp[i + 1 :]) <= 4]}
+    assert all(whole[a] == whole[b] for a, b in brute) and len(whole) == len({x for e in brute for x in e})
+
+
 def test_components_of_a_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (7, 7)], "u long, v long")
     got = {r.node: r.root for r in components.components(edges).collect()}
@@ -171,6 +186,43 @@ def test_bpe_equals_the_library(tokenizers_pair, text):
     assert own.decode(ids) == lib.decode(ids, skip_special_tokens=False)
 
 
+def test_bpe_table_accepts_what_merging_makes(tokenizers_pair):
+    """Pairs of tokens: an arc leads on exactly if merging the pair's symbols by rank gives the pair back."""
+    import json
+
+    own = tokenizers_pair[0].automaton
+    model = json.loads(queries.tokenizer_file())["model"]
+    rank = {tuple(m if isinstance(m, list) else m.split(" ")): k for k, m in enumerate(model["merges"])}
+    vocab = [t for t in model["vocab"] if not t.endswith("</w>")]
+    rng = random.Random(8)
+    for _ in range(3000):
+        x, y = rng.choice(vocab[:3000]), rng.choice(vocab[:3000])
+        parts = list(x + y)
+        while True:
+            k = min(range(len(parts) - 1), key=lambda i: rank.get((parts[i], parts[i + 1]), 1e9), default=None)
+            if k is None or (parts[k], parts[k + 1]) not in rank:
+                break
+            pair, i, now = (parts[k], parts[k + 1]), 0, []
+            while i < len(parts):
+                if tuple(parts[i : i + 2]) == pair:
+                    now.append(pair[0] + pair[1])
+                    i += 2
+                else:
+                    now.append(parts[i])
+                    i += 1
+            parts = now
+        assert own.arc(model["vocab"][x], model["vocab"][y]) == (parts == [x, y])
+
+
+def test_bpe_refuses_files_of_other_rules():
+    import json
+
+    content = json.loads(queries.tokenizer_file())
+    for change in ({"normalizer": None}, {"pre_tokenizer": {"type": "ByteLevel"}}, {"added_tokens": [content["added_tokens"][0] | {"lstrip": True}]}, {"decoder": {"type": "BPEDecoder"}}):
+        with pytest.raises(ValueError):
+            bpe.Tokenizer(json.dumps(content | change))
+
+
 def test_bpe_special_tokens(tokenizers_pair):
     own, lib = tokenizers_pair
     for text in ("a<|endoftext|>b", "<|startoftext|><|endoftext|>", "<|ENDOFTEXT|> x", "aaaaaaaa<|"):
@@ -491,6 +543,95 @@ def test_marginals_equal_enumeration(seed):
     assert p == pytest.approx(want_p) and pairs == pytest.approx(want_pairs)
 
 
+def _plain_sizes(raw, content, level, block):
+    """The summed sizes of a text's blocks, each compressed by a new compressor under the raw dictionary."""
+    known = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    pack = lambda t: len(zstandard.ZstdCompressor(level=level, dict_data=known, write_content_size=False, write_checksum=False, write_dict_id=False).compress(t))
+    return sum(pack(raw[i : i + block]) for i in range(0, max(len(raw), 1), block))
+
+
+@pytest.fixture(scope="module")
+def labelled(spark):
+    return queries._labelled(spark, "/root/testdata/sf0.01").cache()
+
+
+def _by_text(frame, *columns):
+    return {(r.doc_id, r.n_chars): tuple(r[c] for c in columns) for r in frame.collect()}
+
+
+def test_quality_equals_plain_compression(spark, odd, labelled):
+    model = quality.fit_quality(labelled)
+    docs = common.table(spark, D, "documents").unionByName(odd.select("doc_id", "text", "lang", "source", "n_chars"))
+    got = sorted((r.doc_id is None, r.doc_id or 0, r.score) for r in quality.score_quality(docs, model).collect())
+    want = []
+    for r in docs.collect():
+        raw = quality.prepared(r.text)
+        bad, good = (_plain_sizes(raw, x, quality.LEVEL, quality.BLOCK) for x in (model.bad, model.good))
+        z = (bad - good) / (bad + good) * model.weights[0] + model.weights[1]
+        want.append((r.doc_id is None, r.doc_id or 0, 1 / (1 + np.exp(-np.clip(z, -35, 35)))))
+    assert [x[2] for x in got] == pytest.approx([x[2] for x in sorted(want)])
+    empty_scores = {r.score for r in quality.score_quality(docs.where("text is null or text = ''"), model).collect()}
+    assert len(empty_scores) == 1
+    kept = quality.filter_quality(odd, model)
+    assert kept.columns == odd.columns and kept.count() == sum(s >= 0.3 for _, _, s in ((0, 0, x.score) for x in quality.score_quality(odd, model).collect()))
+
+
+def test_language_equals_plain_compression(spark, odd):
+    d = "/root/testdata/sf0.01"
+    model = language.fit_language(common.table(spark, d, "documents"))
+    docs = common.table(spark, D, "documents").select("doc_id", "text").unionByName(odd.select("doc_id", "text"))
+    got = sorted((r.doc_id is None, r.doc_id or 0, r.lang_pred, r.score) for r in language.identify_language(docs, model).collect())
+    want = []
+    for r in docs.collect():
+        if not any(c.isalpha() for c in r.text or ""):
+            want.append((r.doc_id is None, r.doc_id or 0, "und", 0.0))
+            continue
+        s = [_plain_sizes(language.prepared(r.text), x, language.LEVEL, language.BLOCK) for x in model.dictionaries]
+        e = [np.exp(-model.sharpness * (x - min(s)) / min(s)) for x in s]
+        want.append((r.doc_id is None, r.doc_id or 0, model.languages[s.index(min(s))], max(e) / sum(e)))
+    want.sort()
+    assert [x[:3] for x in got] == [x[:3] for x in want] and [x[3] for x in got] == pytest.approx([x[3] for x in want])
+
+
+def test_numbers_are_no_letters(spark):
+    model = language.LanguageModel(("en", "de"), (b"the and of it", b"der die das und"))
+    rows = [(1, "½ ² ①"), (2, "Ⅷ 12"), (3, "日"), (4, "a"), (5, "_"), (6, None)]
+    got = {r.doc_id: r.lang_pred for r in language.identify_language(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    assert {i for i, x in got.items() if x == "und"} == {1, 2, 5, 6}
+
+
+def test_a_class_of_long_texts_has_its_examples(spark):
+    rows = [(i, f"{'aeiou'[i % 5]} text of one {i}", "short") for i in range(40)] + [(100 + i, f"largo{i} " * 30_000, "long") for i in range(5)]
+    model = language.fit_language(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert set(model.languages) == {"short", "long"} and all(len(x) > 100 for x in model.dictionaries)
+
+
+def test_toxicity_equals_plain_forward_backward(spark, odd, labelled):
+    model = toxicity.fit_toxicity(labelled)
+    docs = common.table(spark, D, "documents").select("doc_id", "text").unionByName(odd.where("doc_id < 6 or doc_id > 7 or doc_id is null").select("doc_id", "text"))
+    got = sorted((r.doc_id is None, r.doc_id or 0, r.score) for r in toxicity.score_toxicity(docs, model).collect())
+    want = []
+    for r in docs.collect():
+        p = []
+        for words in toxicity.chains(r.text or ""):
+            s = [model.bias + sum(model.emission.get(f, 0.0) for f in fs) for fs in toxicity.chain_features(words)]
+            ahead = [[np.exp(model.start[0]), np.exp(model.start[1] + s[0])]]
+            for x in s[1:]:
+                a = ahead[-1]
+                now = [sum(a[i] * np.exp(model.transition[i][j]) for i in (0, 1)) * (np.exp(x) if j else 1) for j in (0, 1)]
+                ahead.append([v / sum(now) for v in now])
+            back = [[1.0, 1.0]]
+            for x in s[:0:-1]:
+                b = back[-1]
+                now = [np.exp(model.transition[i][0]) * b[0] + np.exp(model.transition[i][1] + x) * b[1] for i in (0, 1)]
+                back.append([v / sum(now) for v in now])
+            p += [a[1] * b[1] / (a[0] * b[0] + a[1] * b[1]) for a, b in zip(ahead, back[::-1], strict=True)]
+        z = float(np.dot(toxicity.evidence(np.array(p)), model.calibration[:-1])) + model.calibration[-1]
+        want.append((r.doc_id is None, r.doc_id or 0, 1 / (1 + np.exp(-np.clip(z, -35, 35)))))
+    assert [x[2] for x in got] == pytest.approx([x[2] for x in sorted(want)], rel=1e-6, abs=1e-9)
+    assert any(x[2] > 0.5 for x in got)
+
+
 def test_spans_are_the_words():
     text = "You IDIOT fool. Not this. moron"
     assert [text[a:b] for a, b in toxicity.spans(text, np.array([0, 0.9, 0.8, 0, 0.1, 0.7]))] == ["IDIOT fool", "moron"]
@@ -514,16 +655,58 @@ def test_pipeline_stages(spark):
 
 
 def test_pipeline_takes_odd_rows(spark, odd):
+    """Columns of other names keep their values through every stage, and rows lose nothing but what a stage is for."""
     import corpus_pipeline as pipe
 
-    docs = odd.select("doc_id", "text", "lang", "source", "n_chars")
-    for _, stage in pipe.STAGES:
-        docs = common.written(stage(spark, docs, D), "test")
-    for frame in (odd.where("false"),):
-        docs = frame.select("doc_id", "text", "lang", "source", "n_chars")
-        for _, stage in pipe.STAGES:
-            docs = common.written(stage(spark, docs, D), "test")
-        assert docs.count() == 0
+    more = odd.select("doc_id", "text", "lang", "source", "n_chars", *[F.lit(77).alias(c) for c in ("n_lines", "n_deleted", "mix_repeat", "mix_weight", "_key", "row", "d", "t", "place", "others", "root", "n_tokens")])
+    for frame in (more, more.where("false")):
+        docs = frame
+        for name, stage in pipe.STAGES[:-1]:
+            after = common.written(stage(spark, docs, D), "test")
+            assert after.columns == docs.columns, name
+            assert {x for r in after.collect() for x in r[5:]} <= {77}, name
+            docs = after
+        last = pipe.STAGES[-1][1](spark, docs, D)
+        assert {r.source_n_tokens for r in last.collect()} <= {77}
+        assert (last.count() == 0) == (frame is not more)
+    rows = [(None, "one text of its own"), (None, "and quite another one"), (8, "a third that shares an id"), (8, "with this fourth text here"), (9, "a fifth")]
+    five = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in rows], DOC)
+    for stage in (pipe.drop_repeated_lines, pipe.drop_near_copies):
+        assert sorted(r.text for r in stage(spark, five, D).collect()) == sorted(t for _, t in rows)
+
+
+def test_pipeline_stages_equal_brute_force(spark, tokenizers_pair):
+    """On documents as they are: each stage's output from its input, by plain code."""
+    import corpus_pipeline as pipe
+
+    docs = common.table(spark, D, "documents").where("doc_id < 60")
+    rows = {r.doc_id: r for r in docs.collect()}
+    labels = common.table(spark, D, "labels").select("doc_id", "quality")
+    model = quality.fit_quality(docs.where(~common.held_out(F.col("doc_id"), 5, 0)).join(labels, "doc_id"))
+    want = set()
+    for i, r in rows.items():
+        bad, good = (_plain_sizes(quality.prepared(r.text), x, quality.LEVEL, quality.BLOCK) for x in (model.bad, model.good))
+        if 1 / (1 + np.exp(-np.clip((bad - good) / (bad + good) * model.weights[0] + model.weights[1], -35, 35))) >= 0.3:
+            want.add(i)
+    kept = common.written(pipe.keep_quality(spark, docs, D), "test")
+    assert {r.doc_id for r in kept.collect()} == want
+    left = _brute_lines([(r.doc_id, r.text) for r in kept.collect()], 40)
+    lines = common.written(pipe.drop_repeated_lines(spark, kept, D), "test")
+    assert {r.doc_id: (r.text, r.n_chars) for r in lines.collect()} == {i: (t, len(t)) for i, t in left.items() if t or not rows[i].text}
+    near = common.written(pipe.drop_near_copies(spark, lines, D), "test")
+    texts, to = {r.doc_id: r.text for r in lines.collect()}, {}
+    for i in sorted(texts):
+        to[i] = i
+        for j in [j for j in to if j < i and to[j] != to[i] and _likeness(texts[i], texts[j]) >= 0.8]:
+            a, b = sorted((to[i], to[j]))
+            to = {k: a if x == b else x for k, x in to.items()}
+    assert {r.doc_id for r in near.collect()} == set(to.values())
+    mixed = common.written(pipe.mix(spark, near, D), "test")
+    drawn = mixing.mix_sources(near).groupBy("doc_id").count().collect()
+    assert collections.Counter(r.doc_id for r in mixed.collect()) == {r.doc_id: r["count"] for r in drawn}
+    lib = tokenizers_pair[1]
+    for r in pipe.tokenize(spark, mixed, D).collect():
+        assert r.ids == lib.encode(texts[r.doc_id], add_special_tokens=False).ids
 
 
 def test_exact_sql(spark):
