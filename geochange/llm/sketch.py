@@ -21,7 +21,7 @@ OPENING = (4, 8, 16, 32)
 #: Digests of both sides that a sub-sketch of a retry is to hold about.
 LOAD = 12
 #: Characters of texts that a range of documents holds about, where the next document is looked up.
-RANGE_CHARS = 32 << 20
+RANGE_CHARS = 4 << 20
 
 
 def paragraph_digests(text: Column) -> Column:
@@ -198,7 +198,8 @@ def with_next(docs: DataFrame, columns: list[str], buckets: int) -> DataFrame:
     ghosts = ghosts.withColumn("_b", F.col("_to")).drop("_d", "_t", "_to")
     both = rows.withColumn("_ghost", F.lit(False)).unionByName(ghosts.withColumn("_ghost", F.lit(True)))
     order = Window.partitionBy("_b").orderBy("_ghost", F.desc("d"), F.desc("t"))
-    return both.select("*", *[F.lead(c).over(order).alias(f"next_{c}") for c in columns]).where("not _ghost").drop("_ghost", "_b")
+    # As many tasks as ranges, so that a task holds no more as the table grows.
+    return both.repartition(buckets, "_b").select("*", *[F.lead(c).over(order).alias(f"next_{c}") for c in columns]).where("not _ghost").drop("_ghost", "_b")
 
 
 def fingerprint_documents(docs: DataFrame) -> DataFrame:
@@ -216,7 +217,7 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     rows = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("d"), F.xxhash64(text).alias("t"), text.alias("text"))
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
-    # So many ranges that one holds no more as the table grows, each a row of the driver's; 65536 hold 2 TB so.
+    # So many ranges that one holds no more as the table grows, each a row of the driver's, up to 65536.
     ranges = max(2 * common.shuffle_parts(spark), min(-(-chars // RANGE_CHARS), 65536))
     rows = with_next(rows.withColumn("a", paragraph_digests(F.col("text"))), ["text", "a"], ranges)
     n = F.length("text")
@@ -237,7 +238,9 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     again = common.written(differences(pairs.where("p is not null").select("p.*"), "a", "b"), "peeled-again")
     common.dropped(rows)
     found = again.groupBy(F.floor(F.col("id") / 2).alias("id")).agg(*[F.max(F.when(F.col("id") % 2 == k, F.col(c))).alias(f"{x}_{c}_2") for k, x in enumerate("en") for c in ("ours", "theirs")])
-    both = counts.join(found, "id", "left")
+    # Only rows that were retried are dealt out for it; the others, with their fingerprints, stay where they are.
+    retried = F.expr("e_left > 0 or n_left > 0")
+    both = counts.where(~retried).unionByName(counts.where(retried).join(found, "id"), allowMissingColumns=True)
     part = {f"{x}_{c}": F.coalesce(f"{x}_{c}_2", F.col(f"{x}_{c}")) for x in "en" for c in ("ours", "theirs")}
     return both.select(
         "doc_id",
