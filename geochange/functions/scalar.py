@@ -12,19 +12,31 @@ from ..params import CHANGE_TYPES, HINTS, SEASONAL_TYPES, P
 
 # --- names and dates -------------------------------------------------------------------------------------------
 
-#: Sensors in the order in which names are tried.
+#: Sensors in the order in which upper-cased names are tried.
 SENSOR_PATTERNS = (
-    ("sentinel2", r"(?i)(^|[^0-9A-Z])(S2[ABC]|SENTINEL-?2)(?![0-9A-Z])"),
-    ("landsat9", r"(?i)(^|[^0-9A-Z])L[COTEM]09(?![0-9A-Z])|LANDSAT-?9"),
-    ("landsat8", r"(?i)(^|[^0-9A-Z])L[COTEM]08(?![0-9A-Z])|LANDSAT-?8"),
-    ("liss3", r"(?i)LISS[-_ ]?(3|III)(?![0-9A-Z])"),
-    ("bhuvan", r"(?i)BHUVAN"),
+    ("sentinel2", r"S2[AB]?|SENTINEL[-_]?2|MSIL[12][AC]"),
+    ("landsat9", r"LC09"),
+    ("landsat8", r"LC08|LT0[45]|LE07|LANDSAT"),
+    ("liss3", r"LISS[_-]?(3|III)(?![0-9A-Z])"),
+    ("bhuvan", r"LISS[_-]?\d|CARTOSAT|BHUVAN"),
 )
 
+#: Forms of a date in a name, in order; each has year, month and day as its groups.
+DATE_PATTERNS = (
+    r"(?:^|[^0-9])(20\d{2})(0[1-9]|1[0-2])(0[1-9]|[12]\d|3[01])T\d{6}",
+    r"(?:^|[^0-9])(20\d{2})-(0[1-9]|1[0-2])-(0[1-9]|[12]\d|3[01])(?![0-9])",
+    r"(?:^|[^0-9])(20\d{2})(0[1-9]|1[0-2])(0[1-9]|[12]\d|3[01])(?![0-9])",
+)
+
+#: A grid tile between separators, a product name, a path in a message.
+TILE_PATTERN = r"(?:^|[_\-.])T(\d{2}[C-HJ-NP-X][A-Z]{2})(?=$|[_\-.])"
+LANDSAT_PATTERN = r"(?i)^(LC0[89])_L2SP_(\d{3})(\d{3})_(\d{8})_(\d{8})_(\d{2})_(T1|T2|RT)"
+PATH_PATTERN = r"""(?:[A-Za-z]:[\\/]|/)[^\s'"),;]+"""
+
 
 def detect_sensor(name: Column) -> Column:
-    """the first sensor whose pattern is in a file name, else unknown."""
-    return F.coalesce(*[F.when(name.rlike(p), F.lit(s)) for s, p in SENSOR_PATTERNS], F.lit("unknown"))
+    """the first sensor whose pattern is in a file name of either case, else unknown."""
+    return F.coalesce(*[F.when(F.upper(name).rlike(p), F.lit(s)) for s, p in SENSOR_PATTERNS], F.lit("unknown"))
 
 
 def infer_sensor(bands: Column, projected: Column, res: Column) -> Column:
@@ -33,16 +45,14 @@ def infer_sensor(bands: Column, projected: Column, res: Column) -> Column:
 
 
 def acquisition_date(name: Column) -> Column:
-    """yyyymmdd before a T, then yyyy-mm-dd or yyyy_mm_dd, then a lone yyyymmdd; null where none is a date."""
-    with_time = F.regexp_extract(name, r"(\d{8})T\d{6}", 1)
-    dashed = F.regexp_replace(F.regexp_extract(name, r"(?<!\d)(\d{4}[-_]\d{2}[-_]\d{2})(?!\d)", 1), "[-_]", "")
-    lone = F.regexp_extract(name, r"(?<!\d)(\d{8})(?!\d)", 1)
-    return F.coalesce(*[F.try_to_date(F.nullif(x, F.lit("")), "yyyyMMdd") for x in (with_time, dashed, lone)])
+    """the date of the first form that is in the name; null where none is, or where it names no day."""
+    found = [F.when(name.rlike(p), F.concat_ws("-", *[F.regexp_extract(name, p, i) for i in (1, 2, 3)])) for p in DATE_PATTERNS]
+    return F.try_to_date(F.coalesce(*found), "yyyy-MM-dd")
 
 
 def tile_code(name: Column) -> Column:
     """a grid tile code between separators; null if there is none."""
-    return F.nullif(F.regexp_extract(name, r"(?:^|[_\W])T(\d{2}[C-HJ-NP-X][A-HJ-NP-Z][A-HJ-NP-V])(?=$|[_\W])", 1), F.lit(""))
+    return F.nullif(F.regexp_extract(name, TILE_PATTERN, 1), F.lit(""))
 
 
 def safe_id(name: Column) -> Column:
@@ -52,9 +62,8 @@ def safe_id(name: Column) -> Column:
 
 def landsat_name(name: Column) -> Column:
     """the parts of a product name."""
-    p = r"^(L[COTEM]0[89])_(L2SP|L2SR)_(\d{3})(\d{3})_(\d{8})_(\d{8})_(\d{2})_(T1|T2|RT)"
-    keys = ("mission", "level", "path", "row", "acquired", "processed", "collection", "tier")
-    return F.when(name.rlike(p), F.struct(*[F.regexp_extract(name, p, i + 1).alias(k) for i, k in enumerate(keys)]))
+    keys = ("mission", "path", "row", "acquired", "processed", "collection", "tier")
+    return F.when(name.rlike(LANDSAT_PATTERN), F.struct(*[F.regexp_extract(name, LANDSAT_PATTERN, i + 1).alias(k) for i, k in enumerate(keys)]))
 
 
 def tile_id(scene: Column, col: Column, row: Column) -> Column:
@@ -72,7 +81,21 @@ def spaced_mgrs(ref: Column) -> Column:
 
 def redacted(message: Column) -> Column:
     """paths in an error message go, and what is over 300 characters."""
-    return F.left(F.regexp_replace(message, r"([A-Za-z]:)?(?:[\\/][\w .\-]+)+", "<path>"), F.lit(300))
+    return F.left(F.regexp_replace(message, PATH_PATTERN, "<path>"), F.lit(300))
+
+
+def py_round(x: Column, digits: int) -> Column:
+    """the nearest number of that many digits to the exact binary value of a double, ties to even.
+
+    x * 10^digits is taken with what its double lacks of the exact product, so that a product that only looks like a
+    tie is none. For products under 2^52."""
+    b = float(10**digits)
+    p, wide = x * b, x * 134217729.0
+    high = wide - (wide - x)
+    lacks = (high * b - p) + (x - high) * b
+    low = F.floor(p).cast("double")
+    tie = (p - low == 0.5) & ((lacks > 0) | ((lacks == 0) & (F.abs(low) % 2 == 1)))
+    return (low + F.when((p - low > 0.5) | tie, 1.0).otherwise(0.0)) / b
 
 
 def season_gap(a: Column, b: Column) -> Column:
@@ -192,6 +215,57 @@ def display_rgb(refl: Column) -> Column:
 # --- scores and rules ------------------------------------------------------------------------------------------
 
 
+def pixel_area_ha(width_m: Column, height_m: Column, projected: Column) -> Column:
+    """hectares of a pixel; null where the grid is not in metres."""
+    return F.when(projected, F.abs(width_m * height_m) / 10000.0)
+
+
+def hectares(area_ha: Column, area_px: Column) -> Column:
+    """the recorded area, else that of as many pixels of 10 m."""
+    return F.coalesce(area_ha, area_px / 100)
+
+
+def shown_hectares(area_ha: Column, area_px: Column) -> Column:
+    """with one decimal and thousands apart."""
+    return F.concat(F.format_number(hectares(area_ha, area_px), 1), F.lit(" ha"))
+
+
+def job_coverage(details: Column) -> Column:
+    """a job's coverage after alignment, else before it, from its details in JSON."""
+    return F.coalesce(*[F.get_json_object(details, f"$.{k}").try_cast("double") for k in ("mutual_coverage_after_alignment", "mutual_coverage")])
+
+
+def ablation_status(recorded: Column, in_flight: Column) -> Column:
+    """a recorded run that nothing works on any more was none."""
+    return F.when((recorded == "running") & ~in_flight, "not_run").otherwise(F.coalesce(recorded, F.lit("not_run")))
+
+
+def throughput(done: Column, seconds: Column) -> Column:
+    """Pieces a second, null before the first or without a span."""
+    return F.when((done > 0) & (seconds > 0), py_round(done / seconds, 2))
+
+
+#: Zero-based bands by role, of LISS-III and of any other raster of four bands or more.
+BAND_ROLES = {"liss3": {"blue": None, "green": 0, "red": 1, "nir": 2}, None: {"blue": 0, "green": 1, "red": 2, "nir": 3}}
+
+
+def band_role(role: str, sensor: Column, bands: Column) -> Column:
+    """the band of a role; null where a raster has under four bands, or the sensor lacks it."""
+    named = F.when(sensor.eqNullSafe("liss3"), F.lit(BAND_ROLES["liss3"][role]).cast("int")).otherwise(F.lit(BAND_ROLES[None][role]))
+    return F.when(bands >= 4, named)
+
+
+def cloud_trust(source: Column, invalid: Column, heuristic_pct: Column) -> Column:
+    """one less the share of invalid pixels where a mask removed them, one less the estimate where none did."""
+    return F.when(source == "heuristic", 1 - F.coalesce(heuristic_pct, F.lit(0.0)) / 100).when(source.isin("scl", "qa_pixel"), 1 - invalid).otherwise(1.0)
+
+
+def job_trust(source_a: Column, trust_a: Column, source_b: Column, trust_b: Column) -> Column:
+    """what a job's confidence takes from its scenes: the least trust of those with an estimate only, else 1."""
+    own = [F.when(s == "heuristic", t) for s, t in ((source_a, trust_a), (source_b, trust_b))]
+    return F.coalesce(F.least(*own), F.lit(1.0))
+
+
 def clamp01(x: Column) -> Column:
     return F.least(F.greatest(x, F.lit(0.0)), F.lit(1.0))
 

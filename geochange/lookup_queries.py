@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import scalar as S
+from .plans import search
 from .params import P
-from .sources.projections import load, with_projections
+from .sources.projections import load, sql_round, with_projections
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -73,12 +74,9 @@ def mask_intersection(spark, d):
     return p.where(S.valid_scl(F.col("scl_a"))).select("r", "c").intersect(p.where(S.valid_scl(F.col("scl_b"))).select("r", "c"))
 
 
-@query("""select 3 as scene_id union select p.scene_id from {places} p, {places} o where o.scene_id = 3 and p.min_x <= o.max_x and p.max_x >= o.min_x and p.min_y <= o.max_y and p.max_y >= o.min_y""")
+@query("""select 3 as scene_id union select p.scene_id from {places} p, {places} o where o.scene_id = 3 and p.sensor = o.sensor and p.min_x <= o.max_x and p.max_x >= o.min_x and p.min_y <= o.max_y and p.max_y >= o.min_y""")
 def scope_set(spark, d):
-    p = load(spark, d, "places")
-    one = p.where("scene_id = 3").select(*[F.col(c).alias(f"o_{c}") for c in S.BOX])
-    near = p.join(F.broadcast(one), S.intersects(S.box(), S.box("o_"))).select("scene_id")  # one row
-    return p.where("scene_id = 3").select("scene_id").union(near).distinct()
+    return search.scope_scenes(load(spark, d, "places"), 3)
 
 
 @query("select day from (select acquired as day from {scenes} where sensor % 10 = 1 union select cast(found_at as date) from {candidates} where job_id = 4) x")
@@ -87,18 +85,69 @@ def dates_analysed(spark, d):
     return a.union(load(spark, d, "candidates").where("job_id = 4").select(F.col("found_at").cast("date"))).distinct()
 
 
-@query("select scene_a, scene_b, max(found_at) as last_found, count(*) as n from {candidates} group by scene_a, scene_b order by last_found desc, scene_a, scene_b limit 20")
+@query("""select k.scene_a, k.scene_b, a.acquired as date_a, b.acquired as date_b, row_number() over (order by b.acquired desc, a.acquired desc, k.scene_a, k.scene_b) as place
+    from {pair_jobs} k join {places} a on k.scene_a = a.scene_id join {places} b on k.scene_b = b.scene_id order by place limit 20""")
 def pairs_by_date(spark, d):
-    n = load(spark, d, "candidates").groupBy("scene_a", "scene_b").agg(F.max("found_at").alias("last_found"), F.count("*").alias("n"))
-    return n.orderBy(F.desc("last_found"), "scene_a", "scene_b").limit(20)
+    """T5: the newest pairs."""
+    out, places = load(spark, d, "pair_jobs").select("scene_a", "scene_b"), load(spark, d, "places")
+    for side in "ab":
+        out = out.join(places.select(F.col("scene_id").alias(f"scene_{side}"), F.col("acquired").alias(f"date_{side}")), f"scene_{side}")
+    order = (F.desc("date_b"), F.desc("date_a"), "scene_a", "scene_b")
+    return out.orderBy(*order).limit(20).withColumn("place", F.row_number().over(Window.orderBy(*order)))  # over twenty rows
+
+
+@query("""select k.scene_a, k.scene_b, cast(coalesce(json_extract_string(details, '$.mutual_coverage_after_alignment'), json_extract_string(details, '$.mutual_coverage')) as double) as coverage,
+    case when json_extract_string(details, '$.ablation.status') = 'running' and scene_a % 2 = 0 then 'not_run' else json_extract_string(details, '$.ablation.status') end as ablation, a.acquired as date_a, b.acquired as date_b
+    from {pair_jobs} k left join {places} a on k.scene_a = a.scene_id left join {places} b on k.scene_b = b.scene_id""")
+def job_details(spark, d):
+    """Each job's dates, and what its details say."""
+    out, places = load(spark, d, "pair_jobs"), load(spark, d, "places")
+    for side in "ab":
+        out = out.join(places.select(F.col("scene_id").alias(f"scene_{side}"), F.col("acquired").alias(f"date_{side}")), f"scene_{side}", "left")
+    state = S.ablation_status(F.get_json_object("details", "$.ablation.status"), F.col("scene_a") % 2 == 1)
+    return out.select("scene_a", "scene_b", S.job_coverage(F.col("details")).alias("coverage"), state.alias("ablation"), "date_a", "date_b")
+
+
+@query("""select id, case when bands >= 4 and sensor <> 'liss3' then 0 end as blue, case when bands >= 4 then case sensor when 'liss3' then 0 else 1 end end as green, case when bands >= 4 then case sensor when 'liss3' then 1 else 2 end end as red,
+    case when bands >= 4 then case sensor when 'liss3' then 2 else 3 end end as nir, case when id % 2 = 0 then (10 + id % 3 * 10) * (10 + id % 3 * 10) / 10000e0 end as pixel_ha
+    from (select id, id % 6 as bands, case id % 4 when 0 then 'liss3' else 'bhuvan' end as sensor from {products}) x""")
+def band_roles(spark, d):
+    """F22, F23."""
+    i = F.col("id")
+    sensor, size = F.when(i % 4 == 0, "liss3").otherwise("bhuvan"), (10 + i % 3 * 10)
+    roles = [S.band_role(r, sensor, i % 6).alias(r) for r in ("blue", "green", "red", "nir")]
+    return load(spark, d, "products").select("id", *roles, S.pixel_area_ha(size, -size, i % 2 == 0).alias("pixel_ha"))
+
+
+@query("""select job_id, 'direction' as kind, coalesce(raw_direction, 'unclassified') as name, count(*) as n from {candidates} group by all
+    union all select job_id, 'type', case when raw_type in ('clearance', 'construction', 'revegetation', 'urban_expansion', 'vegetation_loss', 'vegetation_retreat', 'water_loss') then raw_type else 'unclassified' end, count(*) from {candidates} group by all""")
+def trace_counters(spark, d):
+    """Detections of each job by direction and by type, in one pass."""
+    named = F.array(F.struct(F.lit("direction").alias("kind"), F.coalesce("raw_direction", F.lit("unclassified")).alias("name")), F.struct(F.lit("type").alias("kind"), S.normal_type(F.col("raw_type")).alias("name")))
+    return load(spark, d, "candidates").select("job_id", F.explode(named).alias("x")).groupBy("job_id", "x.kind", "x.name").agg(F.count("*").alias("n"))
+
+
+@query("""select kind, sum(value) as crops, case when sum(value) > 0 and epoch(max(ts)) - epoch(min(ts)) > 0 then round(sum(value) / (epoch(max(ts)) - epoch(min(ts))), 2) end as crops_per_sec from {latencies} group by kind""")
+def throughput(spark, d):
+    """A32."""
+    span = F.unix_micros(F.max("ts").cast("timestamp")) / 1e6 - F.unix_micros(F.min("ts").cast("timestamp")) / 1e6
+    x = load(spark, d, "latencies").groupBy("kind").agg(F.sum("value").alias("crops"), span.alias("s"))
+    return x.select("kind", "crops", F.round(S.throughput(F.col("crops"), F.col("s")), 2).alias("crops_per_sec"))
+
+
+@query("""select candidate_id, coalesce(area_ha, area_px / 100e0) as ha, case when area_ha is null then 'pixels' else 'recorded' end as source from {candidates}""")
+def hectares(spark, d):
+    """F39."""
+    c = load(spark, d, "candidates")
+    return c.select("candidate_id", S.hectares(F.col("area_ha"), F.col("area_px")).alias("ha"), F.when(F.col("area_ha").isNull(), "pixels").otherwise("recorded").alias("source"))
 
 
-@query("""select candidate_id, round(area_px / 5000e0 * 0.35e0 + 1e-9, 6) as alignment, round(confidence * 0.35e0 + 1e-9, 6) as cluster, 0.15e0 as terrain, case seasonality when 'seasonal' then 0.5e0 when 'unverified' then 0.85e0 else 1e0 end as factor from {candidates}""")
+@query(f"""select candidate_id, {sql_round('a', 6)} as alignment, {sql_round('c', 6)} as cluster, 0.15e0 as terrain, case seasonality when 'seasonal' then 0.5e0 when 'unverified' then 0.85e0 else 1e0 end as factor from (select *, area_px / 5000e0 * 0.35e0 as a, confidence * 0.35e0 as c from {{candidates}}) x""")
 def confidence_breakdown(spark, d):
     factor = F.when(F.col("seasonality") == "seasonal", P.season_factor).when(F.col("seasonality") == "unverified", P.unverified_factor)
     terms = {"alignment": (F.col("area_px") / 5000, P.w_alignment), "cluster": (F.col("confidence"), P.w_cluster), "terrain": (F.lit(P.terrain), P.w_terrain)}
     x = load(spark, d, "candidates").select("candidate_id", S.confidence_terms(terms, factor).alias("x"))
-    part = lambda i: F.round(F.col("x.terms")[i]["contribution"] + 1e-9, 6)
+    part = lambda i: S.py_round(F.col("x.terms")[i]["contribution"], 6)
     return x.select("candidate_id", part(0).alias("alignment"), part(1).alias("cluster"), F.col("x.terms")[2]["contribution"].alias("terrain"), F.col("x.factor").alias("factor"))
 
 
@@ -109,11 +158,11 @@ def offset_tags(spark, d):
     return load(spark, d, "products").select("id", tag.alias("tag"), F.array_join(F.transform(S.band_offsets(tag, 4), lambda x: x.cast("string")), ",").alias("offsets"))
 
 
-@query("select candidate_id, (max_x - min_x) * (max_y - min_y) * 2 > 0 as counter_clockwise, candidate_id % 2 = 1 as turned from {candidates} where job_id = 1")
+@query("select candidate_id, (max_x - min_x) * (max_y - min_y) * 2 > 0 as counter_clockwise, candidate_id % 2 = 1 as turned from {candidates}")
 def ring_winding(spark, d):
     x0, y0, x1, y1 = (F.col(c) for c in S.BOX)
     ring = F.array(F.array(x0, y0), F.array(x1, y0), F.array(x1, y1), F.array(x0, y1), F.array(x0, y0))
-    c = load(spark, d, "candidates").where("job_id = 1").withColumn("ring", F.when(F.col("candidate_id") % 2 == 1, F.reverse(ring)).otherwise(ring))
+    c = load(spark, d, "candidates").withColumn("ring", F.when(F.col("candidate_id") % 2 == 1, F.reverse(ring)).otherwise(ring))
     return c.select("candidate_id", (S.ring_area(S.wound(F.col("ring"))) > 0).alias("counter_clockwise"), (S.ring_area(F.col("ring")) < 0).alias("turned"))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -14,14 +16,24 @@ from ..params import P
 CHUNK = 1024
 
 
+BANDS = ("b02", "b03", "b04", "b08")
+
+
+def validity(pixels: DataFrame, date: str) -> Column:
+    """R1 of one date: a band of 0 or null has no data; without a mask column only that counts."""
+    data = reduce(lambda x, y: x & y, [F.coalesce(F.col(f"{b}_{date}") != 0, F.lit(False)) for b in BANDS])
+    return data & F.coalesce(S.valid_scl(F.col(f"scl_{date}")), F.lit(True)) if f"scl_{date}" in pixels.columns else data
+
+
 def pixel_features(pixels: DataFrame) -> DataFrame:
     """R1, R12, F13-F17 in one pass: validity of both dates, and where both are valid the NIR difference, dNDVI, class
-    of each date and brightness gain; null elsewhere."""
+    of each date and brightness gain; null elsewhere. A pixel is valid on a date if its mask's class is, or there is no
+    mask, and every band has data."""
     refl = {f"{b}_{d}": F.col(f"{b}_{d}") / 10000.0 for b in ("b02", "b03", "b04", "b08") for d in "ab"}
     ndvi = {d: S.ratio(refl[f"b08_{d}"], refl[f"b04_{d}"]) for d in "ab"}
     ndwi = {d: S.ratio(refl[f"b03_{d}"], refl[f"b08_{d}"]) for d in "ab"}
     light = {d: S.brightness(refl[f"b02_{d}"], refl[f"b03_{d}"], refl[f"b04_{d}"]) for d in "ab"}
-    valid = S.valid_scl(F.col("scl_a")) & S.valid_scl(F.col("scl_b"))
+    valid = validity(pixels, "a") & validity(pixels, "b")
     out = pixels.withColumn("valid", valid)
     return out.select(
         "r",
@@ -173,11 +185,12 @@ def _label_chunk(pdf: pd.DataFrame) -> pd.DataFrame:
     return pdf[["r", "c", "local"]]
 
 
-def labelled(rows: DataFrame, width: int, chunk: int = CHUNK, max_rounds: int = 60) -> DataFrame:
+def labelled(rows: DataFrame, width: int, chunk: int = CHUNK) -> DataFrame:
     """4-connected components of marked pixels (r, c). label is the least r * width + c in the component.
 
     Chunks are labelled apart; what the seams between them join is a small graph on labels, settled by passing on the
-    least label, in as many rounds as a component crosses chunks.
+    least label and that of the label itself, until no label moves: rounds grow with the logarithm of the chunks that a
+    component crosses.
     """
     numbered = rows.withColumn("number", F.col("r") * width + F.col("c")).withColumn("cr", F.floor(F.col("r") / chunk)).withColumn("cc", F.floor(F.col("c") / chunk))
     local = numbered.groupBy("cr", "cc").applyInPandas(lambda pdf: _label_chunk(pdf), "r long, c long, local long")
@@ -190,7 +203,7 @@ def labelled(rows: DataFrame, width: int, chunk: int = CHUNK, max_rounds: int =
     if not both.limit(1).count():
         return local.select("r", "c", F.col("local").alias("label"))
     labels = kept(both.select(F.col("u").alias("node")).distinct().withColumn("label", F.col("node")))
-    for _ in range(max_rounds):
+    while True:
         least = both.join(labels, both["v"] == labels["node"]).groupBy("u").agg(F.min("label").alias("m"))
         after = labels.join(least, labels["node"] == least["u"], "left").select("node", F.least("label", "m").alias("label"))
         # Jump: a node takes the label that its label has by now.
@@ -209,6 +222,8 @@ def kept(df: DataFrame) -> DataFrame:
 
     spark = df.sparkSession
     if not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()):
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='spark-shared-')}")
     return df.checkpoint()
 

@@ -22,9 +22,16 @@ def finite(v: Column) -> Column:
     return F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
 
 
+#: Query vectors that are sent to every task; more are met in blocks.
+FEW = 64
+
+
 def similarities(tiles: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query_id, tile_id, scene_id, similarity) of a stated, small set of query vectors (query_id, query) against all tiles."""
-    return tiles.join(F.broadcast(queries), F.lit(True)).select("query_id", "tile_id", "scene_id", F.round(dot(F.col("embedding"), F.col("query")), 4).alias("similarity"))
+    """(query_id, tile_id, scene_id, similarity) of query vectors (query_id, query) against all tiles. Similarities are
+    not rounded: what ranks or counts them needs them as they are."""
+    if queries.limit(FEW + 1).count() > FEW:
+        return similarities_in_blocks(tiles, queries)
+    return tiles.join(F.broadcast(queries), F.lit(True)).select("query_id", "tile_id", "scene_id", dot(F.col("embedding"), F.col("query")).alias("similarity"))
 
 
 def similarities_in_blocks(tiles: DataFrame, queries: DataFrame, block: int = 256, parts: int = 8) -> DataFrame:
@@ -35,7 +42,12 @@ def similarities_in_blocks(tiles: DataFrame, queries: DataFrame, block: int = 25
     q = queries.select("query_id", "query", F.pmod(F.xxhash64("query_id"), F.lit(n)).cast("int").alias("_b"), F.explode(shares).alias("_p"))
     t = tiles.select("tile_id", "scene_id", "embedding", F.pmod(F.xxhash64("tile_id"), F.lit(parts)).cast("int").alias("_p"), F.explode(blocks).alias("_b"))
     both = t.join(q.hint("shuffle_hash"), ["_b", "_p"])
-    return both.select("query_id", "tile_id", "scene_id", F.round(dot(F.col("embedding"), F.col("query")), 4).alias("similarity"))
+    return both.select("query_id", "tile_id", "scene_id", dot(F.col("embedding"), F.col("query")).alias("similarity"))
+
+
+def shown(scored: DataFrame) -> DataFrame:
+    """The similarity as it is shown: 4 digits, after all ranking."""
+    return scored.withColumn("similarity", F.round("similarity", 4))
 
 
 def top_k(scored: DataFrame, k: int) -> DataFrame:

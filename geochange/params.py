@@ -58,6 +58,7 @@ class Params:
     # Search
     match_percentile: float = 0.75
     match_cap: int = 50
+    search_top_k: int = 10
     # Crops and display
     crop: int = 224
     crop_valid: float = 0.5
@@ -70,7 +71,7 @@ P = Params()
 CHANGE_TYPES = ("clearance", "construction", "revegetation", "urban_expansion", "vegetation_loss", "vegetation_retreat", "water_loss")
 DIRECTIONS = ("appearance", "disappearance", "expansion", "contraction", "unclassified")
 SEASONAL_TYPES = ("clearance", "vegetation_loss", "vegetation_retreat")
-#: Words of a query that hint at a direction.
+#: Words of a query that hint at a direction.
 HINTS = {
     "appearance": ("new", "appeared", "built", "construction"),
     "disappearance": ("cleared", "removed", "demolished", "deforestation"),

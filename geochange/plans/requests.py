@@ -1,73 +1,72 @@
-"""Requests as checked records: what is out of bounds is refused before any job starts."""
+"""Checks of requests that come as rows: each function adds `problem`, what the first broken bound is, or null."""
 
 from __future__ import annotations
 
-import re
-from dataclasses import dataclass, field
-
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
 
-_ID = re.compile(r"^[\w\-.]{1,200}$")
-MAX_RADIUS_M, DEFAULT_RADIUS_M = 50_000.0, 500.0
-
-
-def _check(ok: bool, what: str) -> None:
-    if not ok:
-        raise ValueError(what)
-
-
-@dataclass(frozen=True)
-class SearchRequest:
-    query: str
-    top_k: int = 20
-    scene_id: str | None = None
-
-    def __post_init__(self):
-        _check(1 <= len(self.query) <= 500 and bool(self.query.strip()), "query: 1 to 500 characters, not blank")
-        _check(1 <= self.top_k <= 100, "top_k: 1 to 100")
-        _check(self.scene_id is None or bool(_ID.match(self.scene_id)), "scene_id: letters, digits, _ - .")
-
-
-@dataclass(frozen=True)
-class SimilarRequest:
-    """Exactly one seed: a tile, a vector's number or a detection."""
-
-    tile_id: str | None = None
-    vector_id: int | None = None
-    candidate_id: int | None = None
-    top_k: int = 10
-
-    def __post_init__(self):
-        _check(sum(x is not None for x in (self.tile_id, self.vector_id, self.candidate_id)) == 1, "exactly one of tile_id, vector_id and candidate_id")
-        _check(1 <= self.top_k <= 100, "top_k: 1 to 100")
-        _check(self.tile_id is None or bool(_ID.match(self.tile_id)), "tile_id: letters, digits, _ - .")
-
-
-@dataclass(frozen=True)
-class WatchRequest:
-    """A named place, as bounds (min_lon, min_lat, max_lon, max_lat) or as a centre (lon, lat) with a radius."""
-
-    name: str
-    bounds: tuple[float, float, float, float] | None = None
-    center: tuple[float, float] | None = None
-    radius_m: float = DEFAULT_RADIUS_M
-    threshold: float = 0.5
-    box: dict[str, Column] = field(init=False, compare=False, repr=False)
-
-    def __post_init__(self):
-        _check(bool(self.name.strip()), "name: not blank")
-        _check((self.bounds is None) != (self.center is None), "either bounds or center")
-        _check(0 <= self.threshold <= 1, "threshold: 0 to 1")
-        if self.bounds is not None:
-            x0, y0, x1, y1 = self.bounds
-            _check(-180 <= x0 < x1 <= 180 and -90 <= y0 < y1 <= 90, "bounds: in order and on the globe")
-            made = dict(zip(S.BOX, map(F.lit, self.bounds), strict=True))
-        else:
-            lon, lat = self.center
-            _check(-180 <= lon <= 180 and -90 <= lat <= 90, "center: on the globe")
-            _check(0 < self.radius_m <= MAX_RADIUS_M, "radius_m: over 0, at most 50 km")
-            made = S.box_around(F.lit(lon), F.lit(lat), F.lit(self.radius_m))
-        object.__setattr__(self, "box", made)
+#: Bounds of requests.
+DEFAULT_TOP_K, MAX_TOP_K, MAX_QUERY = 10, 100, 500
+SCENE_PATTERN, TILE_PATTERN = r"^[\w\-.]{1,200}$", r"^[A-Za-z0-9_.-]{1,300}$"
+DEFAULT_RADIUS_M, MAX_RADIUS_M, DEFAULT_THRESHOLD, MAX_NAME = 500.0, 50_000.0, 0.5, 100
+
+
+def _first(**broken: Column) -> Column:
+    return F.coalesce(*[F.when(F.coalesce(bad, F.lit(False)), F.lit(name)) for name, bad in broken.items()])
+
+
+def _top_k() -> Column:
+    return F.coalesce("top_k", F.lit(DEFAULT_TOP_K))
+
+
+def checked_searches(rows: DataFrame) -> DataFrame:
+    """P14. rows: query, top_k (null: 10), scene_id (null: every scene)."""
+    text = F.coalesce("query", F.lit(""))
+    return rows.withColumns({
+        "problem": _first(
+            query=(F.length(text) > MAX_QUERY) | ~text.rlike(r"\S"),
+            top_k=~_top_k().between(1, MAX_TOP_K),
+            scene_id=~F.col("scene_id").rlike(SCENE_PATTERN),
+        ),
+        "top_k": _top_k(),
+    })
+
+
+def checked_similar(rows: DataFrame) -> DataFrame:
+    """P14. rows: tile_id, vector_id and candidate_id, of which one is the seed, and top_k."""
+    seeds = sum(F.col(c).isNotNull().cast("int") for c in ("tile_id", "vector_id", "candidate_id"))
+    return rows.withColumns({
+        "problem": _first(
+            seed=seeds != 1,
+            tile_id=~F.col("tile_id").rlike(TILE_PATTERN),
+            vector_id=F.col("vector_id") < 0,
+            candidate_id=F.col("candidate_id") < 1,
+            top_k=~_top_k().between(1, MAX_TOP_K),
+        ),
+        "top_k": _top_k(),
+    })
+
+
+def checked_watches(rows: DataFrame) -> DataFrame:
+    """P14, F10. rows: name, either min_x .. max_y or lon and lat with radius_m (null: 500), threshold (null: 0.5).
+    Rows without a problem get their box: the one given, or the one around the centre."""
+    given = [F.col(c).isNotNull() for c in S.BOX]
+    some, whole = given[0] | given[1] | given[2] | given[3], given[0] & given[1] & given[2] & given[3]
+    centre, point = F.col("lon").isNotNull() | F.col("lat").isNotNull(), F.col("lon").isNotNull() & F.col("lat").isNotNull()
+    b = S.box()
+    ordered = (b["min_x"] >= -180) & (b["min_x"] < b["max_x"]) & (b["max_x"] <= 180) & (b["min_y"] >= -90) & (b["min_y"] < b["max_y"]) & (b["max_y"] <= 90)
+    radius, threshold = F.coalesce("radius_m", F.lit(DEFAULT_RADIUS_M)), F.coalesce("threshold", F.lit(DEFAULT_THRESHOLD))
+    problem = _first(
+        name=F.length("name") > MAX_NAME,
+        place=(some == centre) | (some & ~whole) | (centre & ~point),
+        bounds=whole & ~ordered,
+        center=point & ~(F.col("lon").between(-180, 180) & F.col("lat").between(-90, 90)),
+        radius_m=(radius <= 0) | (radius > MAX_RADIUS_M),
+        threshold=~threshold.between(0, 1),
+    )
+    around = S.box_around(F.col("lon"), F.col("lat"), radius)
+    out = rows.withColumns({"problem": problem, "_threshold": threshold, **{f"_{k}": F.coalesce(b[k], around[k]) for k in S.BOX}})
+    fine = F.col("problem").isNull()
+    return out.withColumns({"threshold": F.col("_threshold"), **{k: F.when(fine, F.col(f"_{k}")) for k in S.BOX}}).drop("_threshold", *[f"_{k}" for k in S.BOX])

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from .functions import scalar as S
 from .operators import catalog, seasonal, spatial, vector
 from .params import CHANGE_TYPES, P
-from .plans import search
-from .sources.projections import load, with_projections
+from .plans import requests, search
+from .sources.projections import load, sql_round, with_projections
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -128,17 +128,17 @@ def finalize_cap(spark, d):
 @query("""with m as (select c.*, case when raw_type in (%s) then raw_type else 'unclassified' end as change_type, coalesce(raw_direction, 'unclassified') as direction from {candidates} c),
     b as (select place, arg_max(candidate_id, row(confidence, area_px, -candidate_id)) as lead_id, max(confidence) as confidence, min(min_x) as min_x, min(min_y) as min_y, max(max_x) as max_x, max(max_y) as max_y,
         sum(area_px) as area_px, case when count(*) = count(area_ha) then round(sum(area_ha), 4) end as area_ha,
-        round(sum(area_px * mean_dndvi) / sum(area_px) filter (where mean_dndvi is not null) + 1e-9, 6) as mean_dndvi, count(*) as members from m group by place),
+        sum(area_px * mean_dndvi) / sum(area_px) filter (where mean_dndvi is not null) as mean_raw, count(*) as members from m group by place),
     t as (select place, change_type, sum(area_px) as a, max(confidence) as c from m group by place, change_type),
     u as (select *, row_number() over (partition by place order by change_type <> 'unclassified' desc, a desc, c desc, change_type desc) as n, max(a) over (partition by place) as largest, count(*) over (partition by place) as n_types from t),
     e as (select m.place, m.direction, sum(area_px) as a, max(m.confidence) as c from m join u on m.place = u.place and m.change_type = u.change_type and u.n = 1 group by m.place, m.direction),
     f as (select *, row_number() over (partition by place order by a desc, c desc, direction desc) as n from e)
-    select b.place, lead_id, confidence, min_x, min_y, max_x, max_y, cast(area_px as bigint) as area_px, area_ha, mean_dndvi, members, u.change_type, cast(u.largest as bigint) as largest_type_px, u.n_types, f.direction
+    select b.place, lead_id, confidence, min_x, min_y, max_x, max_y, cast(area_px as bigint) as area_px, area_ha, round(mean_raw, 9) as mean_dndvi, members, u.change_type, cast(u.largest as bigint) as largest_type_px, u.n_types, f.direction
     from b join u on b.place = u.place and u.n = 1 join f on b.place = f.place and f.n = 1""" % TYPES)
 def merge_candidates(spark, d):
     c = load(spark, d, "candidates")
     c = c.withColumn("change_type", S.normal_type(F.col("raw_type"))).withColumn("direction", F.coalesce("raw_direction", F.lit("unclassified")))
-    return catalog.merged(c, "place").withColumn("mean_dndvi", F.round(F.col("mean_dndvi") + 1e-9, 6))  # off the ties of the last digit
+    return catalog.merged(c, "place").withColumn("mean_dndvi", F.round("mean_dndvi", 9))
 
 
 @query("""with m as (select place, case when raw_type in (%s) then raw_type else 'unclassified' end as change_type, area_px from {candidates}),
@@ -206,10 +206,9 @@ def alert_list(spark, d):
     return out
 
 
-@query("select c.candidate_id, t.tile_id from {candidates} c join {tiles} t on c.min_x <= t.max_x and c.max_x >= t.min_x and c.min_y <= t.max_y and c.max_y >= t.min_y where c.job_id = 2")
+@query("select c.candidate_id, t.tile_id from {candidates} c join {tiles} t on c.min_x <= t.max_x and c.max_x >= t.min_x and c.min_y <= t.max_y and c.max_y >= t.min_y")
 def grid_join_equivalence(spark, d):
-    c = load(spark, d, "candidates").where("job_id = 2")
-    return spatial.box_join(c, load(spark, d, "tiles"), 2.0).select(F.col("l.candidate_id").alias("candidate_id"), F.col("r.tile_id").alias("tile_id"))
+    return spatial.box_join(load(spark, d, "candidates"), load(spark, d, "tiles"), 2.0).select(F.col("l.candidate_id").alias("candidate_id"), F.col("r.tile_id").alias("tile_id"))
 
 
 @query("select candidate_id from {candidates} c where exists (select 1 from {watchlist} w where c.min_x <= w.max_x and c.max_x >= w.min_x and c.min_y <= w.max_y and c.max_y >= w.min_y)")
@@ -299,7 +298,7 @@ def grid_references(spark, d):
 
 # --- vectors and search -----------------------------------------------------------------------------------------
 
-SIM = "round(list_dot_product(cast({a} as double[]), cast({b} as double[])), 4)"
+SIM = "list_dot_product(cast({a} as double[]), cast({b} as double[]))"
 SCORED_AS = f"q as (select tile_id as query_id, embedding as query from {{tiles}} where %s), s as (select query_id, tile_id, scene_id, {SIM.replace('{a}', 'embedding').replace('{b}', 'query')} as similarity from {{tiles}}, q)"
 SCORED = SCORED_AS.replace("%s", "tile_id % 20 = 0")
 SCORED_77 = SCORED_AS.replace("%s", "tile_id = 77")
@@ -321,27 +320,27 @@ def _scored_77(spark, d):
 
 
 def _ranked(where: str, k: int) -> str:
-    return f"with {SCORED}, n as (select *, row_number() over (partition by query_id order by similarity desc, tile_id) as rank from s where {where}) select query_id, tile_id, scene_id, similarity, rank from n where rank <= {k}"
+    return f"with {SCORED}, n as (select *, row_number() over (partition by query_id order by similarity desc, tile_id) as rank from s where {where}) select query_id, tile_id, scene_id, round(similarity, 4) as similarity, rank from n where rank <= {k}"
 
 
 @query(_ranked("true", 10))
 def knn_exact(spark, d):
-    return vector.top_k(_scored(spark, d), 10)
+    return vector.shown(vector.top_k(_scored(spark, d), 10))
 
 
 @query(_ranked("scene_id in (2, 4)", 5))
 def knn_scoped(spark, d):
-    return vector.top_k(_scored(spark, d).where(F.col("scene_id").isin(2, 4)), 5)
+    return vector.shown(vector.top_k(_scored(spark, d).where(F.col("scene_id").isin(2, 4)), 5))
 
 
 @query(_ranked("tile_id <> query_id", 10))
 def find_similar(spark, d):
-    return vector.top_k(_scored(spark, d).where("tile_id <> query_id"), 10)
+    return vector.shown(vector.top_k(_scored(spark, d).where("tile_id <> query_id"), 10))
 
 
-@query(f"with {SCORED} select query_id, tile_id, scene_id, similarity, cume_dist() over (partition by query_id, scene_id order by similarity) as percentile from s")
+@query(f"with {SCORED} select query_id, tile_id, scene_id, round(similarity, 4) as similarity, cume_dist() over (partition by query_id, scene_id order by similarity) as percentile from s")
 def semantic_percentile(spark, d):
-    return vector.percentile_in_scene(_scored(spark, d))
+    return vector.shown(vector.percentile_in_scene(_scored(spark, d)))
 
 
 @query("select tile_id, scene_id, round(sqrt(list_dot_product(cast(embedding as double[]), cast(embedding as double[]))), 5) as norm, true as finite from {tiles}")
@@ -357,31 +356,71 @@ def midrank_cluster_pct(spark, d):
 
 
 QUERY_TEXT = "new construction near the growing town"
-BEST = f"""{SCORED_77}, p as (select *, cume_dist() over (partition by query_id, scene_id order by similarity) as percentile from s where query_id = 77),
+MEETS = "c.min_x <= t.max_x and c.max_x >= t.min_x and c.min_y <= t.max_y and c.max_y >= t.min_y"
+
+
+def _best(pool: str) -> str:
+    """J6 of a pool of candidates in SQL, for the query of tile 77."""
+    return f"""p as (select *, cume_dist() over (partition by query_id, scene_id order by similarity) as percentile from s),
     j as (select c.candidate_id, p.query_id, p.tile_id, similarity, percentile, row_number() over (partition by c.candidate_id order by similarity desc, p.tile_id) as n
-      from {{candidates}} c join p on c.scene_b = p.scene_id join {{tiles}} t on p.tile_id = t.tile_id and c.min_x <= t.max_x and c.max_x >= t.min_x and c.min_y <= t.max_y and c.max_y >= t.min_y),
+      from {pool} c join p on c.scene_b = p.scene_id join {{tiles}} t on p.tile_id = t.tile_id and {MEETS}),
     b as (select * from j where n = 1)"""
 
 
-@query(f"with {BEST} select query_id, candidate_id, tile_id, similarity, percentile from b")
+BEST = f"{SCORED_77}, {_best('{candidates}')}"
+
+
+@query(f"with {BEST} select query_id, candidate_id, tile_id, round(similarity, 4) as similarity, percentile from b")
 def best_after_tile(spark, d):
-    return search.after_tiles(load(spark, d, "candidates"), _scored_77(spark, d), load(spark, d, "tiles"))
+    return vector.shown(search.after_tiles(load(spark, d, "candidates"), _scored_77(spark, d), load(spark, d, "tiles")))
+
 
+#: The scene around which the hybrid search looks.
+SCENE = 4
+SCOPE = f"""sc as (select p.scene_id from {{places}} p, {{places}} o where o.scene_id = {SCENE} and (p.scene_id = o.scene_id or (p.sensor = o.sensor and p.min_x <= o.max_x and p.max_x >= o.min_x and p.min_y <= o.max_y and p.max_y >= o.min_y))),
+    js as (select k.*, a.acquired as date_a, e.acquired as date_b, cast(coalesce(json_extract_string(details, '$.mutual_coverage_after_alignment'), json_extract_string(details, '$.mutual_coverage')) as double) as coverage
+      from {{pair_jobs}} k left join {{places}} a on scene_a = a.scene_id left join {{places}} e on scene_b = e.scene_id where scene_a in (select scene_id from sc) and scene_b in (select scene_id from sc)),
+    jc as (select * from js where status = 'completed')"""
+SCORE = "(0.5e0 * percentile + 0.5e0 * confidence + case when direction in ('appearance', 'expansion') then 0.2e0 else 0e0 end)"
+MATCH = f"""{SCORED_77}, {VIEW.strip()}, {SCOPE}, pool as (select v.* from v join jc on v.scene_a = jc.scene_a and v.scene_b = jc.scene_b),
+    h as (select t.* from s join {{tiles}} t using (tile_id) where s.scene_id = {SCENE} order by s.similarity desc, t.tile_id limit 10),
+    near as (select * from pool c where exists (select 1 from h t where {MEETS})), {_best('near')},
+    rt as (select near.*, query_id, tile_id, similarity, percentile, {SCORE} as raw from near left join b using (candidate_id)),
+    mt as (select query_id, candidate_id, tile_id, round(similarity, 4) as similarity, percentile, confidence, direction, change_type, review, {sql_round('raw', 4)} as score
+      from rt where percentile >= 0.75 order by score desc, confidence desc, area_px desc, candidate_id limit 50)"""
 
-MATCH = f"""{BEST}, {VIEW.strip()}, mt as (select query_id, b.candidate_id, tile_id, similarity, percentile, confidence, direction, change_type, review,
-      round(0.5 * percentile + 0.5 * confidence + case when direction in ('appearance', 'expansion') then 0.2 else 0 end + 1e-9, 4) as score
-    from b join v on b.candidate_id = v.candidate_id where percentile >= 0.75 order by score desc, b.candidate_id limit 50)"""
+
+def _search(spark, d):
+    tables = (load(spark, d, t) for t in ("tiles", "places"))
+    return search.change_search(_view(spark, d), load(spark, d, "pair_jobs"), _scored_77(spark, d), *tables, QUERY_TEXT, SCENE)
 
 
 @query(f"with {MATCH} select * from mt")
 def hybrid_change_search(spark, d):
-    return search.change_matches(_view(spark, d), _scored_77(spark, d), load(spark, d, "tiles"), QUERY_TEXT)
+    return _search(spark, d).matches
 
 
-@query(f"with {MATCH} select (select count(distinct job_id) from {{candidates}}) as jobs, (select count(*) from v) as changes, (select count(*) from mt) as matches, 'found' as status")
+@query(f"""with {MATCH}, o as (select (select count(*) from js) as jobs, (select count(*) from jc) as completed, (select min(date_a) from jc) as first_date, (select max(date_b) from jc) as last_date, (select min(coverage) from jc) as valid_coverage,
+      (select coalesce(string_agg(distinct cast(x as varchar), ',' order by cast(x as varchar)), '') from (select date_a as x from jc union select date_b from jc) y where x is not null) as dates_analysed,
+      (select count(*) from pool) as changes, (select count(*) from rt where percentile >= 0.75) as matching, (select count(*) from rt where percentile is null) as unscored)
+    select *, case when completed = 0 then 'no_comparison_available' when changes = 0 then 'no_change_detected' when matching = 0 then 'no_match' else 'found' end as status from o""")
 def search_status(spark, d):
-    c = load(spark, d, "candidates")
-    return search.search_status(_view(spark, d), c.select("job_id").distinct(), hybrid_change_search(spark, d))
+    return _search(spark, d).status
+
+
+@query(f"with {VIEW.strip()}, {SCOPE}, n as (select scene_a, scene_b, count(*) as candidates from v group by scene_a, scene_b) select jc.scene_a, jc.scene_b, date_a, date_b, coverage, coalesce(candidates, 0) as candidates from jc left join n using (scene_a, scene_b)")
+def searched_pairs(spark, d):
+    return search.searched_pairs(_search(spark, d))
+
+
+@query(f"with {SCOPE} select scene_id from sc")
+def scope_of_scene(spark, d):
+    return search.scope_scenes(load(spark, d, "places"), SCENE)
+
+
+@query(f"with {SCORED}, x as (select s.query_id, s.tile_id, s.scene_id, t.min_x, t.min_y, t.max_x, t.max_y, name, acquired, similarity, row_number() over (partition by query_id order by similarity desc, s.tile_id) as rank from s join {{tiles}} t on s.tile_id = t.tile_id join {{places}} p on s.scene_id = p.scene_id) select * replace (round(similarity, 4) as similarity) from x where rank <= 10")
+def search_hits(spark, d):
+    return search.search_hits(_scored(spark, d), load(spark, d, "tiles"), load(spark, d, "places"))
 
 
 @query(f"with {BEST} select count(*) as candidates, count(*) - count(b.candidate_id) as unscored from {{candidates}} c left join b on c.candidate_id = b.candidate_id")
@@ -391,13 +430,14 @@ def unscored_count(spark, d):
     return c.join(found, "candidate_id", "left").agg(F.count("*").alias("candidates"), F.count_if(F.col("_f").isNull()).alias("unscored"))
 
 
-@query(f"""with k as (select t.tile_id, {HOLDS} as h, {SHARED} as s, t.embedding as query from {{candidates}} c join {{tiles}} t on c.min_x <= t.max_x and c.max_x >= t.min_x and c.min_y <= t.max_y and c.max_y >= t.min_y where c.candidate_id = 12),
+@query(f"""with k as (select t.tile_id, {HOLDS} as h, {SHARED} as s, t.embedding as query from {{candidates}} c join {{tiles}} t on c.scene_b = t.scene_id and {MEETS} where c.candidate_id = 12),
     sd as (select tile_id as query_id, query from k where h or s > 0 order by h desc, s desc, tile_id limit 1),
-    s as (select tile_id, scene_id, {SIM.replace('{a}', 'embedding').replace('{b}', 'query')} as similarity, min_x, min_y, max_x, max_y from {{tiles}}, sd where tile_id <> query_id),
-    j as (select c.candidate_id, t.tile_id, similarity, row_number() over (partition by c.candidate_id order by similarity desc, t.tile_id) as n from {{candidates}} c join s t on c.scene_b = t.scene_id and c.min_x <= t.max_x and c.max_x >= t.min_x and c.min_y <= t.max_y and c.max_y >= t.min_y where c.candidate_id <> 12)
-    select candidate_id, tile_id, similarity from j where n = 1 order by similarity desc, candidate_id limit 10""")
+    s as (select tile_id, scene_id, query_id, {SIM.replace('{a}', 'embedding').replace('{b}', 'query')} as similarity, min_x, min_y, max_x, max_y from {{tiles}}, sd),
+    o as (select c.* from {{candidates}} c join {{pair_jobs}} k on c.scene_a = k.scene_a and c.scene_b = k.scene_b and k.status = 'completed' where c.candidate_id <> 12),
+    j as (select c.candidate_id, c.confidence, c.area_px, t.tile_id, t.query_id, similarity, row_number() over (partition by c.candidate_id order by similarity desc, t.tile_id) as n from o c join s t on c.scene_b = t.scene_id and {MEETS})
+    select candidate_id, tile_id, round(similarity, 4) as similarity from j where n = 1 and tile_id <> query_id order by round(similarity, 4) desc, confidence desc, area_px desc, candidate_id limit 10""")
 def similar_changes(spark, d):
-    return search.similar_changes(load(spark, d, "candidates"), 12, load(spark, d, "tiles"))
+    return search.similar_changes(load(spark, d, "candidates"), load(spark, d, "pair_jobs"), 12, load(spark, d, "tiles"))
 
 
 def _hint_sql() -> str:
@@ -439,10 +479,10 @@ def seasonal_eligible(spark, d):
     return _view(spark, d).where(S.seasonal_eligible(F.col("change_type"), F.col("mean_dndvi"))).select("candidate_id", "change_type", "mean_dndvi")
 
 
-@query("select candidate_id, round(least(greatest(0.35 * least(area_px / 5000.0, 1) + 0.35 * confidence + 0.15 + 0.15 * confidence * 0.9, 0), 1) + 1e-9, 6) as confidence from {candidates}")
+@query(f"select candidate_id, {sql_round('x', 6)} as confidence from (select candidate_id, least(greatest(0.35e0 * least(area_px / 5000e0, 1e0) + 0.35e0 * confidence + 0.15e0 + 0.15e0 * confidence * 0.9e0, 0e0), 1e0) as x from {{candidates}}) y")
 def confidence_score(spark, d):
     c = F.col("confidence")
-    return load(spark, d, "candidates").select("candidate_id", F.round(S.confidence(F.col("area_px") / 5000, c, c, F.lit(0.9)) + 1e-9, 6).alias("confidence"))
+    return load(spark, d, "candidates").select("candidate_id", S.py_round(S.confidence(F.col("area_px") / 5000, c, c, F.lit(0.9)), 6).alias("confidence"))
 
 
 @query("""select kind, count(*) as n, round(avg(value), 1) as mean, round(quantile_cont(value, 0.5), 1) as p50, round(quantile_cont(value, 0.95), 1) as p95, round(quantile_cont(value, 0.99), 1) as p99, max(value) as max
@@ -497,31 +537,62 @@ def trace_lines(spark, d):
     return _view(spark, d).select("candidate_id", F.concat_ws(" | ", *lines).alias("trace"))
 
 
-@query(f"""with {WINDOWS} select scene_a, scene_b, date_a, date_b, datediff('day', date_a, date_b) as days, round((max_x - min_x) * (max_y - min_y) / 4.0, 6) as coverage from wn
-    where min_x < max_x and min_y < max_y and not exists (select 1 from {{candidates}} c where c.place % 1000 = wn.scene_a % 1000 and c.job_id = 1 and c.confidence >= 0.9)""")
+@query("""with w as (select k.scene_a, k.scene_b, a.acquired as date_a, b.acquired as date_b, cast(coalesce(json_extract_string(details, '$.mutual_coverage_after_alignment'), json_extract_string(details, '$.mutual_coverage')) as double) as coverage,
+      greatest(a.min_x, b.min_x) as min_x, greatest(a.min_y, b.min_y) as min_y, least(a.max_x, b.max_x) as max_x, least(a.max_y, b.max_y) as max_y
+      from {pair_jobs} k join {places} a on k.scene_a = a.scene_id join {places} b on k.scene_b = b.scene_id where status = 'completed')
+    select scene_a, scene_b, date_a, date_b, datediff('day', date_a, date_b) as days, coverage as confidence_in_absence from w where min_x < max_x and min_y < max_y
+      and not exists (select 1 from {candidates} c where c.scene_a = w.scene_a and c.scene_b = w.scene_b and c.confidence >= 0.999)""")
 def negative_evidence(spark, d):
-    """Pairs that were analysed without a detection: dates and how much of a footprint both show."""
-    w = pair_windows(spark, d)
-    c = load(spark, d, "candidates").where("job_id = 1 and confidence >= 0.9").select((F.col("place") % 1000).alias("_p")).distinct()
-    out = w.join(c, F.col("scene_a") % 1000 == F.col("_p"), "left_anti")
-    return out.select("scene_a", "scene_b", "date_a", "date_b", F.datediff("date_b", "date_a").cast("long").alias("days"), F.round(S.area(S.box()) / 4.0, 6).alias("coverage"))
+    """Analysed pairs without a detection of that confidence: dates, and how sure an absence is, the coverage."""
+    k = load(spark, d, "pair_jobs").where("status = 'completed'")
+    w = spatial.pair_windows(k.select("scene_a", "scene_b"), load(spark, d, "places"))
+    found = load(spark, d, "candidates").where("confidence >= 0.999").select("scene_a", "scene_b")
+    out = w.join(found, ["scene_a", "scene_b"], "left_anti").join(k.select("scene_a", "scene_b", S.job_coverage(F.col("details")).alias("confidence_in_absence")), ["scene_a", "scene_b"])
+    return out.select("scene_a", "scene_b", "date_a", "date_b", F.datediff("date_b", "date_a").cast("long").alias("days"), "confidence_in_absence")
+
+
+def _date_sql() -> str:
+    """The forms of a date in SQL, whose patterns know no looking ahead."""
+    day = "(20[0-9]{2})%s(0[1-9]|1[0-2])%s(0[1-9]|[12][0-9]|3[01])"
+    forms = [f"(?:^|[^0-9]){day % ('', '')}T[0-9]{{6}}", f"(?:^|[^0-9]){day % ('-', '-')}(?:$|[^0-9])", f"(?:^|[^0-9]){day % ('', '')}(?:$|[^0-9])"]
+    return "case " + " ".join(f"when regexp_matches(name, '{p}') then " + " || '-' || ".join(f"regexp_extract(name, '{p}', {i})" for i in (1, 2, 3)) for p in forms) + " end"
 
 
-@query("""select id, case when regexp_matches(name, '(?i)(^|[^0-9A-Z])(S2[ABC]|SENTINEL-?2)([^0-9A-Z]|$)') then 'sentinel2' when regexp_matches(name, '(?i)(^|[^0-9A-Z])L[COTEM]09([^0-9A-Z]|$)') then 'landsat9'
-      when regexp_matches(name, '(?i)(^|[^0-9A-Z])L[COTEM]08([^0-9A-Z]|$)') then 'landsat8' when regexp_matches(name, '(?i)LISS3([^0-9A-Z]|$)') then 'liss3' when regexp_matches(name, '(?i)BHUVAN') then 'bhuvan' else 'unknown' end as sensor,
-    coalesce(try_strptime(nullif(regexp_extract(name, '([0-9]{8})T[0-9]{6}', 1), ''), '%Y%m%d'), try_strptime(replace(replace(nullif(regexp_extract(name, '([0-9]{4}[-_][0-9]{2}[-_][0-9]{2})', 1), ''), '-', ''), '_', ''), '%Y%m%d'), try_strptime(nullif(regexp_extract(name, '_([0-9]{8})[_.]', 1), ''), '%Y%m%d'))::date as acquired,
-    nullif(regexp_extract(name, '_T([0-9]{2}[C-HJ-NP-X][A-HJ-NP-Z][A-HJ-NP-V])_', 1), '') as tile from {products}""")
+NAMES = """select *, upper(name) as u from (select id, name from {products} union all select id + 1000000, case id % 8 when 0 then 'CARTOSAT2_' || id || '.tif' when 1 then 'le07_' || id when 2 then 'LT05-2019-03-02' when 3 then 'Landsat_5 20210230' when 4 then 'x_MSIL2A_20191301T101010'
+      when 5 then 'liss-4_20200131T235959' when 6 then 'LISS_III_1998-01-01' else 'T43RGM_S2_' || id end from {products}) y"""
+
+
+@query(f"""select id, case when regexp_matches(u, 'S2[AB]?|SENTINEL[-_]?2|MSIL[12][AC]') then 'sentinel2' when contains(u, 'LC09') then 'landsat9' when regexp_matches(u, 'LC08|LT0[45]|LE07|LANDSAT') then 'landsat8'
+      when regexp_matches(u, 'LISS[_-]?(3|III)($|[^0-9A-Z])') then 'liss3' when regexp_matches(u, 'LISS[_-]?[0-9]|CARTOSAT|BHUVAN') then 'bhuvan' else 'unknown' end as sensor,
+    try_cast({_date_sql()} as date) as acquired, nullif(regexp_extract(name, '(?:^|[_.-])T([0-9]{{2}}[C-HJ-NP-X][A-Z]{{2}})(?:$|[_.-])', 1), '') as tile from ({NAMES}) z""")
 def filename_sensor_date(spark, d):
     n = F.col("name")
-    return load(spark, d, "products").select("id", S.detect_sensor(n).alias("sensor"), S.acquisition_date(n).alias("acquired"), S.tile_code(n).alias("tile"))
+    made = F.expr("""case id % 8 when 0 then 'CARTOSAT2_' || id || '.tif' when 1 then 'le07_' || id when 2 then 'LT05-2019-03-02' when 3 then 'Landsat_5 20210230' when 4 then 'x_MSIL2A_20191301T101010'
+      when 5 then 'liss-4_20200131T235959' when 6 then 'LISS_III_1998-01-01' else 'T43RGM_S2_' || id end""")
+    names = load(spark, d, "products").select("id", "name")
+    names = names.union(names.select(F.col("id") + 1000000, made))
+    return names.select("id", S.detect_sensor(n).alias("sensor"), S.acquisition_date(n).alias("acquired"), S.tile_code(n).alias("tile"))
 
 
-@query("select id, regexp_replace(name, '[^0-9A-Za-z_.-]', '_', 'g') as safe, case when name like 'L%' then regexp_extract(name, '_L2SP_([0-9]{3})', 1) end as path from {products}")
+@query("select id, regexp_replace(name, '[^0-9A-Za-z_.-]', '_', 'g') as safe, nullif(regexp_extract(name, '(?i)^LC0[89]_L2SP_([0-9]{3})[0-9]{3}_[0-9]{8}_[0-9]{8}_[0-9]{2}_(T1|T2|RT)', 1), '') as path from {products}")
 def safe_names(spark, d):
     n = F.col("name")
     return load(spark, d, "products").select("id", S.safe_id(n).alias("safe"), S.landsat_name(n)["path"].alias("path"))
 
 
+@query("""select id, case when length(q) > 500 or not regexp_matches(q, '\\S') then 'query' when not k between 1 and 100 then 'top_k' when not regexp_matches(s, '^[a-zA-Z0-9_.-]{1,200}$') then 'scene_id' end as problem, k as top_k
+    from (select p_partkey as id, case when p_partkey % 9 = 0 then ' ' else p_name end as q, coalesce(case when p_partkey % 4 > 0 then p_size * 3 end, 10) as k, case when p_partkey % 5 = 0 then p_brand when p_partkey % 5 = 1 then replace(p_brand, '#', '-') end as s from part) x""")
+def checked_searches(spark, d):
+    i = F.col("p_partkey")
+    rows = spark.read.parquet(f"{d}/part.parquet").select(
+        i.alias("id"),
+        F.when(i % 9 == 0, " ").otherwise(F.col("p_name")).alias("query"),
+        F.when(i % 4 > 0, F.col("p_size") * 3).alias("top_k"),
+        F.when(i % 5 == 0, F.col("p_brand")).when(i % 5 == 1, F.replace("p_brand", F.lit("#"), F.lit("-"))).alias("scene_id"),
+    )
+    return requests.checked_searches(rows).select("id", "problem", "top_k")
+
+
 @query("""with l as (select user_id as job_id, case event_type when 'view' then 'queued' when 'click' then 'running' when 'purchase' then 'completed' when 'error' then 'failed' else 'alignment_failed' end as state, ts as "at", event_id as seq from events)
     select job_id, arg_max(state, row("at", seq)) as state, max("at") as "at", count(*) as entries, case when arg_max(state, row("at", seq)) = 'running' then 'queued' else arg_max(state, row("at", seq)) end as effective from l group by job_id""")
 def job_states(spark, d):
@@ -557,13 +628,14 @@ def renumber_ids(spark, d):
     return vector.renumbered(load(spark, d, "tiles").where("scene_id <> 3").select("tile_id"), "tile_id")
 
 
-@query("""with v as (select candidate_id, case candidate_id % 3 when 0 then 'seasonal' when 1 then 'unverified' end as status, case candidate_id % 3 when 0 then 0.5 else 0.85 end as factor from {candidates} where candidate_id % 7 < 5 and candidate_id % 3 < 2)
-    select c.candidate_id, coalesce(seasonality, status) as seasonality, round(case when seasonality is null and status is not null then confidence * factor else confidence end + 1e-9, 6) as confidence from {candidates} c left join v on c.candidate_id = v.candidate_id""")
+@query(f"""with v as (select candidate_id, case candidate_id % 3 when 0 then 'seasonal' when 1 then 'unverified' end as status, case candidate_id % 3 when 0 then 0.5e0 else 0.85e0 end as factor from {{candidates}} where candidate_id % 7 < 5 and candidate_id % 3 < 2),
+    x as (select c.candidate_id, coalesce(seasonality, status) as seasonality, case when seasonality is null and status is not null then confidence * factor else confidence end as raw from {{candidates}} c left join v on c.candidate_id = v.candidate_id)
+    select candidate_id, seasonality, {sql_round('raw', 6)} as confidence from x""")
 def seasonal_annotation(spark, d):
     c = load(spark, d, "candidates").select("candidate_id", "seasonality", "confidence")
     k = F.col("candidate_id") % 3
     v = c.where("candidate_id % 7 < 5 and candidate_id % 3 < 2").select("candidate_id", F.when(k == 0, "seasonal").otherwise("unverified").alias("status"), F.when(k == 0, 0.5).otherwise(0.85).alias("factor"))
-    return seasonal.annotated(c, v).withColumn("confidence", F.round(F.col("confidence") + 1e-9, 6))
+    return seasonal.annotated(c, v).withColumn("confidence", S.py_round(F.col("confidence"), 6))
 
 
 @query()
@@ -585,6 +657,8 @@ def _through_stream(spark, d, what):
     from .streaming import incremental
 
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not shared and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     top = f"{shared or 'file://' + tempfile.mkdtemp(prefix='spark-shared-')}/{what}-{uuid.uuid4().hex}"
     rows, key = (load(spark, d, "scenes"), "scene_id") if what == "pairs" else (load(spark, d, "candidates"), "candidate_id")
     for part in (F.col(key) % 2 == 1, F.col(key) % 2 == 0):

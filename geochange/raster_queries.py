@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .functions import scalar as S
 from .operators import raster
 from .plans import detect
-from .sources.projections import load, with_projections
+from .sources.projections import load, sql_round, with_projections
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -40,8 +40,9 @@ def _class(d: str) -> str:
 
 
 VALID = "scl_a in (4, 5, 6, 7, 11) and scl_b in (4, 5, 6, 7, 11)"
+DATA = " and ".join(f"{b}_{d} <> 0" for b in ("b02", "b03", "b04", "b08") for d in "ab")
 FEATURES = f"""
-    i as (select r, c, {VALID} as valid, {', '.join(f"cast({_refl(b, d)} as double) as {b}{d}" for b in ('b02', 'b03', 'b04', 'b08') for d in 'ab')} from {{pixels}}),
+    i as (select r, c, {VALID} and {DATA} as valid, {', '.join(f"cast({_refl(b, d)} as double) as {b}{d}" for b in ('b02', 'b03', 'b04', 'b08') for d in 'ab')} from {{pixels}}),
     x as (select *, {', '.join(f"{_ratio(f'b08{d}', f'b04{d}')} as ndvi_{d}, {_ratio(f'b03{d}', f'b08{d}')} as ndwi_{d}, (b02{d} + b03{d} + b04{d}) / 3 as light_{d}" for d in 'ab')} from i),
     ft as (select r, c, valid, case when valid then abs(b08b - b08a) end as diff, case when valid then ndvi_b - ndvi_a end as dndvi, case when valid then {_class('a')} end as class_a, case when valid then {_class('b')} end as class_b,
         case when valid then (light_b - light_a) / greatest(light_a, 0.01) end as gain from x)"""
@@ -51,10 +52,10 @@ def _features(spark, d):
     return raster.pixel_features(load(spark, d, "pixels"))
 
 
-@query(f"with {FEATURES} select r, c, valid, round(diff, 6) as diff, round(dndvi + 1e-9, 5) as dndvi, class_a, class_b, round(gain + 1e-9, 5) as gain from ft")
+@query(f"with {FEATURES} select r, c, valid, round(diff, 6) as diff, {sql_round('dndvi', 5)} as dndvi, class_a, class_b, {sql_round('gain', 5)} as gain from ft")
 def pixel_features(spark, d):
     f = _features(spark, d)
-    return f.select("r", "c", "valid", F.round("diff", 6).alias("diff"), F.round(F.col("dndvi") + 1e-9, 5).alias("dndvi"), "class_a", "class_b", F.round(F.col("gain") + 1e-9, 5).alias("gain"))
+    return f.select("r", "c", "valid", F.round("diff", 6).alias("diff"), S.py_round(F.col("dndvi"), 5).alias("dndvi"), "class_a", "class_b", S.py_round(F.col("gain"), 5).alias("gain"))
 
 
 @query("""select count(*) as pixels, round(count(*) filter (where scl_a in (4, 5, 6, 7, 11)) / cast(count(*) filter (where scl_a <> 0) as double), 6) as valid, round(count(*) filter (where scl_a in (3, 8, 9, 10)) / cast(count(*) filter (where scl_a <> 0) as double), 6) as cloud,
@@ -216,11 +217,11 @@ def overview_class(spark, d):
     return raster.overview(load(spark, d, "pixels"), "scl_a", 4, categorical=True)
 
 
-@query("""with p as (select r, c, cast(b08_a as double) as v from {pixels}) select a.r, a.c, case when count(*) = 4 then round(sum(b.v * case when b.r = a.r then 0.75 else 0.25 end * case when b.c = a.c then 0.5 else 0.5 end) + 1e-9, 5) end as b08_a
+@query("""with p as (select r, c, cast(b08_a as double) as v from {pixels}) select a.r, a.c, case when count(*) = 4 then sum(b.v * case when b.r = a.r then 0.75e0 else 0.25e0 end * 0.5e0) end as b08_a
     from p a join p b on b.r in (a.r, a.r + 1) and b.c in (a.c, a.c + 1) group by a.r, a.c""")
 def regrid_shift(spark, d):
     p = load(spark, d, "pixels").select("r", "c", F.col("b08_a").cast("double").alias("b08_a"))
-    return raster.regridded(p, "b08_a", 0.25, 0.5).withColumn("b08_a", F.round(F.col("b08_a") + 1e-9, 5))
+    return raster.regridded(p, "b08_a", 0.25, 0.5)
 
 
 @query("""with b as (select event_id, user_id as grp, value from {events}), p as (select max(value) as v from b group by grp),

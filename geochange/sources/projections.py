@@ -50,8 +50,16 @@ PROJECTIONS: dict[str, str] = {
         from {orders}""",
     # The ten scenes of the tiles.
     "places": """
-        select cast(label as bigint) as scene_id, 'scene_' || label as name, label * 1.5e0 as min_x, label * 1.0e0 as min_y, label * 1.5e0 + 9.0e0 as max_x, label + 12.0e0 as max_y
+        select cast(label as bigint) as scene_id, 'scene_' || label as name, case when label % 3 = 0 then 'landsat8' else 'sentinel2' end as sensor,
+               date '2024-01-01' + cast(label * 20 as int) as acquired, label * 1.5e0 as min_x, label * 1.0e0 as min_y, label * 1.5e0 + 9.0e0 as max_x, label + 12.0e0 as max_y
         from (select distinct label from {embeddings}) x""",
+    # Analyses of pairs of scenes: state, and details as JSON in which the coverage after alignment may be missing. Braces
+    # are written by number, as they name tables here.
+    "pair_jobs": """
+        select scene_a, scene_b, case (scene_a * 7 + scene_b * 3) % 5 when 0 then 'insufficient_evidence' when 1 then 'failed' else 'completed' end as status,
+               chr(123) || '"mutual_coverage":0.' || (30 + (scene_a * 5 + scene_b) % 60) || case when (scene_a + scene_b) % 3 = 0 then '' else ',"mutual_coverage_after_alignment":0.' || (20 + (scene_a * 11 + scene_b * 3) % 70) end
+               || ',"ablation":' || chr(123) || '"status":"' || case scene_b % 3 when 0 then 'running' when 1 then 'completed' else 'failed' end || '"' || chr(125) || chr(125) as details
+        from (select distinct scene_a, scene_b from {candidates}) x""",
     "watchlist": """
         select cast(n_nationkey as bigint) as watch_id, n_name as name, cast(n_nationkey % 5 * 5 as double) as min_x, floor(n_nationkey / 5) * 4.0e0 as min_y,
                n_nationkey % 5 * 5 + 3.0e0 as max_x, floor(n_nationkey / 5) * 4.0e0 + 2.5e0 as max_y, 0.4e0 + (n_nationkey % 6) / 10.0e0 as threshold
@@ -89,6 +97,15 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
 _NAME = re.compile(r"\{([a-z_]+)\}")
 
 
+def sql_round(x: str, digits: int) -> str:
+    """functions.scalar.py_round in SQL, of a column of doubles."""
+    b = f"1e{digits}"
+    high = f"({x} * 134217729e0 - ({x} * 134217729e0 - {x}))"
+    lacks = f"(({high} * {b} - {x} * {b}) + ({x} - {high}) * {b})"
+    over = f"({x} * {b} - floor({x} * {b}))"
+    return f"((floor({x} * {b}) + case when {over} > 0.5e0 or ({over} = 0.5e0 and ({lacks} > 0 or ({lacks} = 0 and abs(floor({x} * {b})) % 2 = 1))) then 1 else 0 end) / {b})"
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A given table, or a projection over given tables."""
     if name in TABLES:

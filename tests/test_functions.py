@@ -23,6 +23,14 @@ def one(spark, *cols):
         ("R2_LISS3_2023-05-12_band.tif", "liss3", "2023-05-12"),
         ("x_20240230_y.tif", "unknown", None),
         ("", "unknown", None),
+        ("CARTOSAT2_scene.tif", "bhuvan", None),
+        ("le07_x-2019-03-02.tif", "landsat8", "2019-03-02"),
+        ("LT05_1998-03-02", "landsat8", None),
+        ("Landsat 5", "landsat8", None),
+        ("T_MSIL2A_x_20191301T101010", "sentinel2", None),
+        ("LISS-4_20200131", "bhuvan", "2020-01-31"),
+        ("liss_iii.tif", "liss3", None),
+        ("2023_05_12", "unknown", None),
         (None, "unknown", None),
     ],
 )
@@ -37,6 +45,40 @@ def test_tile_code_and_ids(spark):
     assert one(spark, S.spaced_mgrs(F.lit("43RCL0139196701")), S.spaced_mgrs(F.lit("43RCL"))) == ("43RCL 01391 96701", "43RCL")
 
 
+def test_rounding_is_that_of_the_language(spark):
+    rng = np.random.default_rng(1)
+    xs = [*rng.uniform(-2000, 2000, 2000).tolist(), *(rng.integers(-400000, 400000, 2000) / 200).tolist(), *(rng.integers(-400000, 400000, 2000) * 0.00005).tolist()]
+    df = spark.createDataFrame([(x,) for x in [0.285, 2.675, 0.125, 0.375, -0.5, 0.43675, None, *xs]], "x double")
+    for digits in (1, 2, 4):
+        for r in df.select("x", S.py_round(F.col("x"), digits).alias("y")).collect():
+            assert r.y == (None if r.x is None else round(r.x, digits)), r.x
+
+
+def test_names_of_products_and_paths(spark):
+    p = S.landsat_name(F.lit("lc09_l2sp_146040_20240210_20240301_02_t1_SR_B4"))
+    assert one(spark, p["path"], p["row"], p["acquired"]) == ("146", "040", "20240210")
+    assert one(spark, S.landsat_name(F.lit("LC09_L2SR_146040_20240210_20240301_02_T1")), S.landsat_name(F.lit("LE07_L2SP_146040_20240210_20240301_02_T1"))) == (None, None)
+    assert one(spark, S.redacted(F.lit("cannot open '/data/a b/c.tif' or C:\\x\\y.tif, (see /tmp/z)"))) == ("cannot open '<path> b<path>' or <path>, (see <path>)",)
+    assert one(spark, F.length(S.redacted(F.lit("e" * 400)))) == (300,)
+    assert one(spark, S.tile_code(F.lit("S2_T43RZZ.SAFE")), S.tile_code(F.lit("xT43RCLx"))) == ("43RZZ", None)
+
+
+def test_trust_and_states(spark):
+    assert one(spark, S.cloud_trust(F.lit("heuristic"), F.lit(0.2), F.lit(30.0)), S.cloud_trust(F.lit("scl"), F.lit(0.2), F.lit(30.0)), S.cloud_trust(F.lit("data_mask"), F.lit(0.2), F.lit(None).cast("double"))) == (0.7, 0.8, 1.0)
+    assert one(spark, S.job_trust(F.lit("heuristic"), F.lit(0.7), F.lit("scl"), F.lit(0.2)), S.job_trust(F.lit("scl"), F.lit(0.7), F.lit("scl"), F.lit(0.2))) == (0.7, 1.0)
+    assert one(spark, S.ablation_status(F.lit("running"), F.lit(False)), S.ablation_status(F.lit("running"), F.lit(True)), S.ablation_status(F.lit(None).cast("string"), F.lit(False))) == ("not_run", "running", "not_run")
+    assert one(spark, S.shown_hectares(F.lit(None).cast("double"), F.lit(123456))) == ("1,234.6 ha",)
+    assert one(spark, S.job_coverage(F.lit('{"mutual_coverage":0.5}')), S.job_coverage(F.lit('{"mutual_coverage":0.5,"mutual_coverage_after_alignment":0.25}')), S.job_coverage(F.lit("{}"))) == (0.5, 0.25, None)
+
+
+def test_close_similarities_are_told_apart(spark):
+    tiles = spark.createDataFrame([(1, 0, [0.90001]), (2, 0, [0.90004]), (3, 0, [0.1])], "tile_id long, scene_id long, embedding array<double>")
+    query = spark.createDataFrame([(9, [1.0])], "query_id long, query array<double>")
+    for scored in (vector.similarities(tiles, query), vector.similarities_in_blocks(tiles, query)):
+        assert [(r.tile_id, r.similarity) for r in vector.shown(vector.top_k(scored, 1)).collect()] == [(2, 0.9)]
+        assert {r.tile_id: r.percentile for r in vector.percentile_in_scene(scored).collect()} == {3: 1 / 3, 1: 2 / 3, 2: 1.0}
+
+
 @pytest.mark.parametrize(
     ("prior", "now", "same"),
     [("2022-01-10", "2024-01-20", True), ("2024-01-10", "2024-01-20", False), ("2022-12-20", "2024-01-10", True), ("2022-02-28", "2024-02-29", True), ("2022-04-01", "2024-06-01", False)],

@@ -6,38 +6,39 @@ import pytest
 from pyspark.sql import functions as F
 
 from geochange.operators import catalog, vector
-from geochange.plans.requests import SearchRequest, SimilarRequest, WatchRequest
+from geochange.plans import requests
 from geochange.streaming import incremental
 
 
-@pytest.mark.parametrize(
-    "make",
-    [
-        lambda: SearchRequest(""),
-        lambda: SearchRequest("  "),
-        lambda: SearchRequest("x" * 501),
-        lambda: SearchRequest("x", 0),
-        lambda: SearchRequest("x", 101),
-        lambda: SearchRequest("x", scene_id="a b"),
-        lambda: SimilarRequest(),
-        lambda: SimilarRequest(tile_id="a", candidate_id=1),
-        lambda: WatchRequest("", bounds=(0, 0, 1, 1)),
-        lambda: WatchRequest("a"),
-        lambda: WatchRequest("a", bounds=(1, 0, 0, 1)),
-        lambda: WatchRequest("a", center=(0, 0), radius_m=50_001),
-        lambda: WatchRequest("a", center=(0, 0), threshold=1.1),
-    ],
-)
-def test_refused(spark, make):
-    with pytest.raises(ValueError):
-        make()
-
-
-def test_watch_box(spark):
-    b = WatchRequest("a", center=(10.0, 60.0), radius_m=1000).box
-    r = spark.range(1).select(*[b[k].alias(k) for k in b]).first()
-    assert (r.max_y - r.min_y) * 111320 == pytest.approx(2000)
-    assert (r.max_x - r.min_x) * 111320 * 0.5 == pytest.approx(2000, rel=1e-6)
+def test_searches_are_checked(spark):
+    rows = [("", 5, None), ("  ", 5, None), ("x" * 501, 5, None), ("x", 0, None), ("x", 101, None), ("x", 5, "a b"), ("x", 5, "S2A_x-1.y"), ("x", None, None), (None, 5, None)]
+    got = [(r.problem, r.top_k) for r in requests.checked_searches(spark.createDataFrame(rows, "query string, top_k int, scene_id string")).collect()]
+    assert [p for p, _ in got] == ["query", "query", "query", "top_k", "top_k", "scene_id", None, None, "query"] and got[7][1] == 10
+
+
+def test_seeds_are_checked(spark):
+    rows = [(None, None, None, 5), ("a", None, 1, 5), ("a", None, None, None), (None, -1, None, 5), (None, None, 0, 5), ("a b", None, None, 5), (None, 0, None, 200)]
+    got = [r.problem for r in requests.checked_similar(spark.createDataFrame(rows, "tile_id string, vector_id long, candidate_id long, top_k int")).collect()]
+    assert got == ["seed", "seed", None, "vector_id", "candidate_id", "tile_id", "top_k"]
+
+
+def test_watches_are_checked(spark):
+    none = (None,) * 4
+    rows = [
+        ("a" * 101, *none, 0.0, 0.0, None, None),
+        ("a", *none, None, None, None, None),
+        ("a", 1.0, 0.0, 0.0, 1.0, None, None, None, None),
+        ("a", 0.0, 0.0, 1.0, 1.0, 0.0, 0.0, None, None),
+        ("a", *none, 0.0, 0.0, 50_001.0, None),
+        ("a", *none, 0.0, 0.0, None, 1.1),
+        (None, *none, 10.0, 60.0, 1000.0, None),
+        ("a", 0.0, 0.0, 1.0, 2.0, None, None, None, 0.7),
+    ]
+    got = requests.checked_watches(spark.createDataFrame(rows, "name string, min_x double, min_y double, max_x double, max_y double, lon double, lat double, radius_m double, threshold double")).collect()
+    assert [r.problem for r in got] == ["name", "place", "bounds", "place", "radius_m", "threshold", None, None]
+    assert (got[6].max_y - got[6].min_y) * 111320 == pytest.approx(2000) and got[6].threshold == 0.5
+    assert (got[6].max_x - got[6].min_x) * 111320 * 0.5 == pytest.approx(2000, rel=1e-6)
+    assert (got[7].max_x, got[7].threshold, got[0].min_x) == (1.0, 0.7, None)
 
 
 def test_jobs_are_replaced_one_by_one(spark, tmp_path):
