@@ -80,6 +80,21 @@ def coarse_to_fine(a: np.ndarray, b: np.ndarray) -> tuple[float, float, float, f
     return *p, rho
 
 
+def decimation(height: int, width: int) -> int:
+    """The factor, doubled until at most MAX_PIXELS are left."""
+    factor = 1
+    while (height // factor) * (width // factor) > MAX_PIXELS:
+        factor *= 2
+    return factor
+
+
+def same_grid(a: dict, b: dict) -> bool:
+    """R2: grids (crs, width, height, transform of six numbers) are one: the numbers within a millionth of the pixel's size or of themselves."""
+    if any(a[k] != b[k] for k in ("crs", "width", "height")):
+        return False
+    return all(abs(x - y) <= 1e-6 * max(1.0, abs(x)) for x, y in zip(a["transform"], b["transform"], strict=True))
+
+
 def register(pairs: DataFrame, factor: int = 1) -> DataFrame:
     """For pixels (pair_id, r, c, a, b, valid) of pairs, each pair's angle and shift of b against a in
     pixels, the correlation, the largest shift of a corner, and status: aligned, identity (under 0.02 pixels) or

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 import numpy as np
@@ -91,7 +92,7 @@ def invariant_fit(pixels: DataFrame, a: str, b: str) -> DataFrame:
     near = rows
     for _ in range(P.pif_iterations):
         residual = F.abs(F.col(a) - (F.col(b) * fit["slope"] + fit["intercept"]))
-        cut = rows.agg(F.percentile(residual, F.lit(P.pif_percentile))).first()[0]
+        cut = quantiles(rows, residual, (P.pif_percentile,))[0]
         if cut is None:
             break
         near = rows.where(residual <= cut)
@@ -105,14 +106,17 @@ def invariant_fit(pixels: DataFrame, a: str, b: str) -> DataFrame:
 
 def two_means(values: DataFrame, value: str, rounds: int = 100) -> DataFrame:
     """Centroids of two classes of a number, from its extremes; each round is one aggregate that sends back two
-    numbers. threshold is their midpoint, null where all values are alike or it is under the least magnitude."""
-    rows = values.where(F.col(value).isNotNull()).select(value)
-    lo, hi = rows.agg(F.min(value), F.max(value)).first()
+    numbers. threshold is their midpoint, null where all values are alike or it is under the least magnitude. Rounds
+    run over the distinct values with their counts, which are written once: for bands of 16 bits 65536 at most."""
+    rows = kept(values.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count("*").alias("n")))
+    lo, hi = rows.agg(F.min("v"), F.max("v")).first()
     if lo is None or lo == hi:
         return rows.agg(F.lit(lo).cast("double").alias("low"), F.lit(hi).cast("double").alias("high"), F.lit(None).cast("double").alias("threshold"))
+    total = F.col("v") * F.col("n")
     for _ in range(rounds):
-        near = F.col(value) <= (lo + hi) / 2
-        a, b = rows.agg(F.avg(F.when(near, F.col(value))), F.avg(F.when(~near, F.col(value)))).first()
+        near = F.col("v") <= (lo + hi) / 2
+        part = lambda hit: F.sum(F.when(hit, total)) / F.sum(F.when(hit, F.col("n")))
+        a, b = rows.agg(part(near), part(~near)).first()
         done = abs(a - lo) < 1e-12 and abs(b - hi) < 1e-12
         lo, hi = a, b
         if done:
@@ -122,32 +126,72 @@ def two_means(values: DataFrame, value: str, rounds: int = 100) -> DataFrame:
     return one.withColumn("threshold", F.when(mid >= P.min_magnitude, mid))
 
 
-def _window(rows: DataFrame, hit: int) -> DataFrame:
-    """Pixels of which at least `hit` of the 3 x 3 around are in rows; combines before the shuffle."""
-    near = F.explode(F.array(*[F.struct((F.col("r") + i).alias("r"), (F.col("c") + j).alias("c")) for i in (-1, 0, 1) for j in (-1, 0, 1)])).alias("p")
-    return rows.select(near).select("p.*").groupBy("r", "c").agg(F.count("*").alias("n")).where(F.col("n") >= hit).select("r", "c")
+def quantiles(rows: DataFrame, value: Column | str, shares: tuple[float, ...], buckets: int = 256) -> list[float | None]:
+    """Exact quantiles of all values, between neighbours in proportion; null for none.
+
+    Values are counted before the shuffle. The counts of sampled ranges, `buckets` rows, tell the driver in which range
+    a wanted place lies, and only the values of that range are put in order."""
+    v = F.col(value) if isinstance(value, str) else value
+    counts = kept(rows.select(v.cast("double").alias("v")).where("v is not null").groupBy("v").agg(F.count("*").alias("n")))
+    cuts = sorted(set(counts.approxQuantile("v", [i / buckets for i in range(1, buckets)], 0.2 / buckets)))
+    bucket = F.aggregate(F.array(*[F.lit(x) for x in cuts]), F.lit(0), lambda k, x: k + (F.col("v") >= x).cast("int")) if cuts else F.lit(0)
+    sums = sorted(tuple(x) for x in counts.groupBy(bucket.alias("b")).agg(F.sum("n")).collect())
+    total = sum(n for _, n in sums)
+    if not total:
+        return [None for _ in shares]
+    wanted = sorted({i for s in shares for i in (math.floor((total - 1) * s), math.ceil((total - 1) * s))})
+    found, before = {}, 0
+    for b, n in sums:
+        here = [i for i in wanted if before <= i < before + n]
+        if here:
+            upto = F.sum("n").over(Window.orderBy("v")) + before  # over one range of values
+            placed = counts.where(bucket == b).withColumn("upto", upto)
+            for i in here:
+                found[i] = placed.where(F.col("upto") > i).agg(F.min("v")).first()[0]
+        before += n
+    out = []
+    for s in shares:
+        at = (total - 1) * s
+        low, high = found[math.floor(at)], found[math.ceil(at)]
+        out.append(low + (high - low) * (at - math.floor(at)))
+    return out
+
+
+def _dealt(rows: DataFrame, halo: int, chunk: int) -> DataFrame:
+    """Marked pixels for each chunk whose halo they lie in: (r, c, cr, cc)."""
+    span = F.sequence(F.floor((F.col("r") - halo) / chunk), F.floor((F.col("r") + halo) / chunk))
+    wide = F.sequence(F.floor((F.col("c") - halo) / chunk), F.floor((F.col("c") + halo) / chunk))
+    return rows.select("r", "c", F.explode(span).alias("cr"), wide.alias("w")).select("r", "c", "cr", F.explode("w").alias("cc"))
+
+
+def opened_closed(rows: DataFrame, height: int, width: int, chunk: int = CHUNK) -> DataFrame:
+    """Opening, then closing, with a square of 3; what is outside the raster doesn't count. One shuffle: each chunk
+    gets the pixels around it up to the four steps' reach, and takes all of them on a dense array."""
+    halo = 4
 
-
-def _inside(rows: DataFrame, height: int, width: int) -> DataFrame:
-    return rows.where(F.col("r").between(0, height - 1) & F.col("c").between(0, width - 1))
-
-
-def eroded(rows: DataFrame, height: int, width: int) -> DataFrame:
-    """Where all of the 3 x 3 within the raster is marked; what is outside doesn't count."""
-    around = (3 - (F.col("r") == 0).cast("int") - (F.col("r") == height - 1).cast("int")) * (3 - (F.col("c") == 0).cast("int") - (F.col("c") == width - 1).cast("int"))
-    near = F.explode(F.array(*[F.struct((F.col("r") + i).alias("r"), (F.col("c") + j).alias("c")) for i in (-1, 0, 1) for j in (-1, 0, 1)])).alias("p")
-    n = rows.select(near).select("p.*").groupBy("r", "c").agg(F.count("*").alias("n"))
-    return _inside(n, height, width).where(F.col("n") == around).select("r", "c")
-
-
-def dilated(rows: DataFrame, height: int, width: int) -> DataFrame:
-    return _inside(_window(rows, 1), height, width)
-
-
-def opened_closed(rows: DataFrame, height: int, width: int) -> DataFrame:
-    """Opening, then closing, with a square of 3."""
-    opened = dilated(eroded(rows, height, width), height, width)
-    return eroded(dilated(opened, height, width), height, width)
+    def work(pdf: pd.DataFrame) -> pd.DataFrame:
+        r0, c0 = int(pdf["cr"].iloc[0]) * chunk - halo, int(pdf["cc"].iloc[0]) * chunk - halo
+        size = chunk + 2 * halo
+        mark = np.zeros((size, size), dtype=bool)
+        mark[pdf["r"].to_numpy() - r0, pdf["c"].to_numpy() - c0] = True
+        y, x = np.arange(size) + r0, np.arange(size) + c0
+        outside = ~((y >= 0) & (y < height))[:, None] | ~((x >= 0) & (x < width))[None, :]
+
+        def step(m: np.ndarray, all_of: bool) -> np.ndarray:
+            """Of each pixel's three rows, then columns: whether all, or any, are marked."""
+            m = m | outside if all_of else m & ~outside
+            join = np.logical_and if all_of else np.logical_or
+            for axis in (0, 1):
+                p = np.pad(m, [(1, 1) if k == axis else (0, 0) for k in (0, 1)], constant_values=all_of)
+                a, b, c = (p[i : i + size] if axis == 0 else p[:, i : i + size] for i in range(3))
+                m = join(join(a, b), c)
+            return m & ~outside
+
+        out = step(step(step(step(mark, True), False), False), True)
+        y, x = np.nonzero(out[halo:-halo, halo:-halo])
+        return pd.DataFrame({"r": y.astype(np.int64) + r0 + halo, "c": x.astype(np.int64) + c0 + halo})
+
+    return _dealt(rows, halo, chunk).groupBy("cr", "cc").applyInPandas(work, "r long, c long")
 
 
 def _label_chunk(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -249,9 +293,7 @@ def ellipse(radius: int) -> list[tuple[int, int]]:
 
 def dilated_ellipse(rows: DataFrame, radius: int, height: int, width: int, chunk: int = CHUNK) -> DataFrame:
     """Dilation by an ellipse. Each chunk gets the marked pixels around it up to the radius, and works on a dense array."""
-    span = F.sequence(F.floor((F.col("r") - radius) / chunk), F.floor((F.col("r") + radius) / chunk))
-    wide = F.sequence(F.floor((F.col("c") - radius) / chunk), F.floor((F.col("c") + radius) / chunk))
-    dealt = rows.select("r", "c", F.explode(span).alias("cr"), wide.alias("w")).select("r", "c", "cr", F.explode("w").alias("cc"))
+    dealt = _dealt(rows, radius, chunk)
 
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
         r0, c0 = int(pdf["cr"].iloc[0]) * chunk, int(pdf["cc"].iloc[0]) * chunk
@@ -321,9 +363,62 @@ def regridded(pixels: DataFrame, value: str, shift_r: Column | float, shift_c: C
 
 def stretched(pixels: DataFrame, value: str, lo: float = 0.02, hi: float = 0.98) -> DataFrame:
     """Values between two percentiles put on 0 to 255."""
-    cuts = pixels.agg(F.percentile(value, F.array(F.lit(lo), F.lit(hi))).alias("q"))
-    scaled = (F.col(value) - F.col("q")[0]) / F.greatest(F.col("q")[1] - F.col("q")[0], F.lit(1e-9)) * 255
-    return pixels.join(cuts, F.lit(True)).select("r", "c", F.floor(F.least(F.greatest(scaled, F.lit(0.0)), F.lit(255.0))).cast("int").alias("stretched"))
+    low, high = quantiles(pixels, value, (lo, hi))
+    low, high = low or 0.0, high or 0.0
+    scaled = (F.col(value) - low) / max(high - low, 1e-9) * 255
+    return pixels.select("r", "c", F.floor(F.least(F.greatest(scaled, F.lit(0.0)), F.lit(255.0))).cast("int").alias("stretched"))
+
+
+def upsampled(pixels: DataFrame, value: str) -> DataFrame:
+    """Each pixel as two by two, for a mask of half the resolution."""
+    four = F.explode(F.array(*[F.struct((F.col("r") * 2 + i).alias("r"), (F.col("c") * 2 + j).alias("c")) for i in (0, 1) for j in (0, 1)])).alias("p")
+    return pixels.select(four, value).select("p.r", "p.c", value)
+
+
+def bounded_sample(pixels: DataFrame, most: int, total: int, seed: int = 0) -> DataFrame:
+    """About `most` of `total` pixels, by a hash of their place: the same pixels however often it is read; all of
+    them where there are no more."""
+    if total <= most:
+        return pixels
+    return pixels.where(F.xxhash64("r", "c", F.lit(seed)) / F.lit(2.0**64) + 0.5 < most / total)
+
+
+def warped(pixels: DataFrame, bands: list[str], angle: float, dx: float, dy: float, height: int, width: int, mask: str | None = None) -> DataFrame:
+    """Values of the source at each pixel's place after a turn about the raster's centre and a shift: bilinear
+    for bands, of which all neighbours with weight must be there, and the nearest pixel for the mask."""
+    cy, cx, cos, sin = (height - 1) / 2, (width - 1) / 2, math.cos(angle), math.sin(angle)
+    x = cos * (F.col("c") - cx) - sin * (F.col("r") - cy) + cx + dx
+    y = sin * (F.col("c") - cx) + cos * (F.col("r") - cy) + cy + dy
+    at = pixels.select("r", "c", x.alias("x"), y.alias("y")).select("r", "c", F.floor("x").alias("x0"), F.floor("y").alias("y0"), (F.col("x") - F.floor("x")).alias("fx"), (F.col("y") - F.floor("y")).alias("fy"))
+    near = (F.col("y0") + (F.col("fy") >= 0.5).cast("long"), F.col("x0") + (F.col("fx") >= 0.5).cast("long"))
+    corner = lambda i, j: F.struct((F.col("y0") + i).alias("sr"), (F.col("x0") + j).alias("sc"), ((F.col("fy") if i else 1 - F.col("fy")) * (F.col("fx") if j else 1 - F.col("fx"))).alias("w"), ((near[0] == F.col("y0") + i) & (near[1] == F.col("x0") + j)).alias("near"))
+    spread = at.select("r", "c", F.explode(F.array(*[corner(i, j) for i in (0, 1) for j in (0, 1)])).alias("p")).select("r", "c", "p.*").where("w > 0")
+    source = pixels.select(F.col("r").alias("sr"), F.col("c").alias("sc"), *bands, *([mask] if mask else []))
+    both = spread.join(source, ["sr", "sc"])
+    sums = [F.when(F.sum(F.when(F.col(b).isNotNull(), F.col("w"))) > 1 - 1e-9, F.sum(F.col("w") * F.col(b))).alias(b) for b in bands]
+    if mask:
+        sums.append(F.max(F.when(F.col("near"), F.col(mask))).alias(mask))
+    out = both.groupBy("r", "c").agg(*sums)
+    return pixels.select("r", "c").join(out, ["r", "c"], "left")
+
+
+def mean_ndvi_inside(pixels: DataFrame, labels: DataFrame, date: str, least_valid: float = 0.5) -> DataFrame:
+    """(label, ndvi): the mean NDVI of a date over each detection's own pixels, null unless enough are valid."""
+    ndvi = S.ratio(F.col(f"b08_{date}") / 10000.0, F.col(f"b04_{date}") / 10000.0)
+    of = labels.join(pixels.select("r", "c", validity(pixels, date).alias("ok"), ndvi.alias("ndvi")), ["r", "c"])
+    share = F.avg(F.col("ok").cast("double"))
+    return of.groupBy("label").agg(F.when(share >= least_valid, F.avg(F.when(F.col("ok"), F.col("ndvi")))).alias("ndvi"))
+
+
+def direction_evidence() -> Column:
+    """what a named direction rests on, from the columns of blob_classes."""
+    kinds = ("vegetation", "water", "bare", "other")
+
+    def shares(d: str) -> Column:
+        total = F.greatest(sum((F.col(f"{k}_{d}") for k in kinds), F.lit(0)), F.lit(1))
+        return F.struct(*[S.py_round(F.col(f"{k}_{d}") / total, 4).alias(k) for k in kinds])
+
+    return F.struct(F.col("top_a").alias("dominant_a"), F.col("top_b").alias("dominant_b"), shares("a").alias("share_a"), shares("b").alias("share_b"), S.py_round(F.col("dndvi"), 4).alias("delta_ndvi"), S.py_round(F.col("gain"), 4).alias("brightness_gain"), F.lit(False).alias("swir_available"))
 
 
 def overview(pixels: DataFrame, value: str, factor: int, categorical: bool = False) -> DataFrame:

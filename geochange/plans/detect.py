@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
-from ..operators import catalog, raster
+from ..operators import alignment, catalog, raster
 from ..params import P
 
 
@@ -33,20 +33,70 @@ def box_coverage(features: DataFrame, blobs: DataFrame, cell: int = 64) -> DataF
     return blobs.select("label", size.alias("_size")).join(n, "label", "left").select("label", (F.coalesce("_n", F.lit(0)) / F.col("_size")).alias("coverage"))
 
 
-def detect(pixels: DataFrame, width: int, alignment_quality: float = P.same_tile_quality, cloud_trust: float = 1.0, min_px: int = P.min_blob_px, levels: tuple[int, ...] = (*P.large_dilations, *P.near_dilations), chunk: int = raster.CHUNK) -> Detection:
-    """R20, R21 and the steps before them, in the order in which they must run: groups before ranks, as the pool of
-    ranks is one peak a group; the floor on confidence after merging. The driver sees a few numbers a step."""
-    features = raster.kept(raster.pixel_features(pixels))  # read by every step below
-    n, valid, height = features.agg(F.count("*"), F.count_if("valid"), F.max("r") + 1).first()
-    trace: dict[str, float | int | None] = {"pixels": n, "mutual_coverage": valid / n if n else 0.0}
-    if not n or valid / n < P.min_coverage:
+def aligned(pixels: DataFrame, height: int, width: int) -> tuple[DataFrame | None, dict]:
+    """The pixels with date b put on date a, and what was found; None where it can't be registered."""
+    ok = raster.validity(pixels, "a") & raster.validity(pixels, "b")
+    pair = pixels.select(F.lit(0).cast("long").alias("pair_id"), "r", "c", F.col("b08_a").cast("double").alias("a"), F.col("b08_b").cast("double").alias("b"), ok.alias("valid"))
+    got = alignment.register(pair, alignment.decimation(height, width)).first()
+    trace = {"alignment": got["status"], "rho": got["rho"], "max_shift_px": got["max_shift"]}
+    if got["status"] == "alignment_failed":
+        return None, trace
+    if got["status"] == "identity":
+        return pixels, trace
+    names = [f"{b}_b" for b in raster.BANDS]
+    mask = "scl_b" if "scl_b" in pixels.columns else None
+    source = pixels.select("r", "c", *[F.when(F.col(n) != 0, F.col(n)).alias(n) for n in names], *([mask] if mask else []))
+    moved = raster.warped(source, names, got["angle"], got["dx"], got["dy"], height, width, mask)
+    return pixels.drop(*names, *([mask] if mask else [])).join(moved, ["r", "c"], "left"), trace
+
+
+def normalised(pixels: DataFrame) -> tuple[DataFrame, dict]:
+    """Each band of date b on the scale of date a, by the fit over what doesn't change."""
+    ok = pixels.where(raster.validity(pixels, "a") & raster.validity(pixels, "b"))
+    fits, trace = {}, {}
+    for b in raster.BANDS:
+        fit = raster.invariant_fit(ok, f"{b}_a", f"{b}_b").first()
+        fits[f"{b}_b"] = F.col(f"{b}_b") * fit["slope"] + fit["intercept"]
+        trace |= {f"slope_{b}": fit["slope"], f"intercept_{b}": fit["intercept"], "pif_pixels": fit["n"]}
+    # No data stays no data, and what has data doesn't become none.
+    return pixels.withColumns({n: F.when(F.col(n) != 0, F.when(x == 0, 1e-6).otherwise(x)).otherwise(F.col(n)) for n, x in fits.items()}), trace
+
+
+def detect(pixels: DataFrame, width: int, same_tile: bool = True, normalise: bool = True, cloud_trust: float = 1.0, pixel_ha: float | None = 0.01, min_px: int = P.min_blob_px, levels: tuple[int, ...] = (*P.large_dilations, *P.near_dilations), chunk: int = raster.CHUNK) -> Detection:
+    """R20, R21 and the steps before them, in the order in which they must run: coverage, alignment unless both scenes
+    are of one tile and grid, coverage again, the radiometric fit, the difference; groups before ranks, as the pool of
+    ranks is one peak a group; the floor on confidence after merging. pixel_ha: hectares of a pixel, null where the
+    grid is not in metres. The driver sees a few numbers a step."""
+    def covered(px: DataFrame) -> tuple[int, float, int]:
+        n, valid, height = px.agg(F.count("*"), F.count_if(raster.validity(px, "a") & raster.validity(px, "b")), F.max("r") + 1).first()
+        return n, valid / n if n else 0.0, height or 0
+
+    n, coverage, height = covered(pixels)
+    trace: dict[str, float | int | str | None] = {"pixels": n, "mutual_coverage": coverage}
+    if coverage < P.min_coverage:
         return Detection("insufficient_evidence", trace, None)
+    quality = P.same_tile_quality
+    if not same_tile:
+        pixels, found = aligned(pixels, height, width)
+        trace |= found
+        if pixels is None:
+            return Detection("alignment_failed", trace, None)
+        pixels = raster.kept(pixels)
+        quality = min(max(found["rho"], 0.0), 1.0)
+        coverage = covered(pixels)[1]
+    trace["mutual_coverage_after_alignment"] = coverage
+    if coverage < P.min_coverage:
+        return Detection("insufficient_evidence", trace, None)
+    if normalise:
+        pixels, found = normalised(pixels)
+        trace |= found
+    features = raster.kept(raster.pixel_features(pixels))  # read by every step below
     low, high, threshold = raster.two_means(features, "diff").first()
     trace |= {"low": low, "high": high, "threshold": threshold}
     if threshold is None:
         return Detection("no_change", trace, None)
     raw = features.where(F.col("diff") > threshold).select("r", "c")
-    cleaned = raster.opened_closed(raw, height, width).join(features.where("valid").select("r", "c"), ["r", "c"], "left_semi")
+    cleaned = raster.opened_closed(raw, height, width, chunk).join(features.where("valid").select("r", "c"), ["r", "c"], "left_semi")
     labels = raster.labelled(cleaned, width, chunk)
     blobs = raster.blob_stats(labels, min_px)
     labels = raster.kept(labels.join(blobs.select("label"), "label", "left_semi"))
@@ -55,15 +105,15 @@ def detect(pixels: DataFrame, width: int, alignment_quality: float = P.same_tile
     blobs = raster.blob_stats(labels, min_px)
     rows = blobs.join(means, "label").join(groups, "label").join(box_coverage(features, blobs), "label").where(F.col("coverage") >= P.candidate_coverage)
     ranked = raster.cluster_pool_rank(rows, "group", "mean_diff")
-    confidence = S.confidence(F.lit(alignment_quality), F.col("cluster_pct"), F.col("coverage"), F.lit(cloud_trust))
-    named = raster.blob_classes(features, labels).select("label", F.col("dndvi").alias("mean_dndvi"), "direction", "change_type")
+    confidence = S.confidence(F.lit(quality), F.col("cluster_pct"), F.col("coverage"), F.lit(cloud_trust))
+    named = raster.blob_classes(features, labels).select("label", F.col("dndvi").alias("mean_dndvi"), "direction", "change_type", raster.direction_evidence().alias("evidence"))
     members = ranked.join(named, "label").select(
         F.col("label").alias("candidate_id"),
         "group",
         "dilation_px",
         confidence.alias("confidence"),
         "area_px",
-        (F.col("area_px") / 100).alias("area_ha"),
+        (F.col("area_px") * F.lit(pixel_ha).cast("double")).alias("area_ha"),
         "mean_dndvi",
         F.col("min_c").cast("double").alias("min_x"),
         F.col("min_r").cast("double").alias("min_y"),
@@ -71,8 +121,14 @@ def detect(pixels: DataFrame, width: int, alignment_quality: float = P.same_tile
         (F.col("max_r") + 1).cast("double").alias("max_y"),
         "direction",
         "change_type",
+        "evidence",
     )
-    merged = catalog.merged(members, "group").withColumnRenamed("lead_id", "candidate_id").withColumn("_job", F.lit(0))
+    merged = catalog.merged(members, "group").withColumnRenamed("lead_id", "candidate_id")
+    # The outline and centre of the undilated pixels of a detection; the evidence is that of its lead.
+    own = labels.join(groups.select("label", "group"), "label")
+    centre = own.groupBy("group").agg((F.avg("c") + 0.5).alias("centre_x"), (F.avg("r") + 0.5).alias("centre_y"))
+    rings = alignment.outlines(labels).join(groups.select("label", "group"), "label").groupBy("group").agg(F.array_sort(F.collect_list("ring")).alias("outline"))
+    merged = merged.join(members.select("candidate_id", "evidence"), "candidate_id").join(centre, "group").join(rings, "group").withColumn("_job", F.lit(0))
     kept = catalog.area_capped(merged, "_job", P.store_cap, P.area_reserve).drop("_job", "reserved", "place_in_job")
     return Detection("completed", trace, kept)
 
@@ -84,5 +140,5 @@ def raw_detect(pixels: DataFrame, width: int, min_px: int = P.min_blob_px, chunk
     height = (rows.agg(F.max("r")).first()[0] or 0) + 1
     threshold = raster.two_means(rows, "diff").first()["threshold"]
     raw = rows.where(F.col("diff") > threshold if threshold is not None else F.lit(False)).select("r", "c")
-    blobs = raster.blob_stats(raster.labelled(raster.opened_closed(raw, height, width), width, chunk), min_px)
+    blobs = raster.blob_stats(raster.labelled(raster.opened_closed(raw, height, width, chunk), width, chunk), min_px)
     return blobs.orderBy(F.desc("area_px"), F.asc("label")).limit(P.store_cap)

@@ -79,10 +79,9 @@ def qa_decode(spark, d):
     q as (select quantile_cont(light, 0.75) as cut from i) select count(*) as valid, round(count(*) filter (where ndvi < 0.2 and light > cut) / cast(count(*) as double) * 100, 4) as cloud_pct from i, q""")
 def cloud_pct_heuristic(spark, d):
     i = load(spark, d, "pixels").where(S.valid_scl(F.col("scl_a"))).select(S.ratio(F.col("b08_a"), F.col("b04_a")).alias("ndvi"), S.brightness(F.col("b02_a"), F.col("b03_a"), F.col("b04_a")).alias("light"))
-    cut = i.agg(F.percentile("light", F.lit(0.75)).alias("cut"))
-    both = i.join(F.broadcast(cut), F.lit(True))  # one row
-    hit = F.count_if((F.col("ndvi") < 0.2) & (F.col("light") > F.col("cut")))
-    return both.agg(F.count("*").alias("valid"), F.round(hit / F.count("*") * 100, 4).alias("cloud_pct"))
+    cut = raster.quantiles(i, "light", (0.75,))[0]
+    hit = F.count_if((F.col("ndvi") < 0.2) & (F.col("light") > F.lit(cut).cast("double")))
+    return i.agg(F.count("*").alias("valid"), F.round(hit / F.count("*") * 100, 4).alias("cloud_pct"))
 
 
 @query(f"with i as (select b04_a, b04_b from {{pixels}} where {VALID}) select count(*) as n, round(case when var_pop(b04_b) > 1e-9 and regr_slope(b04_a, b04_b) between 0.5 and 2 then regr_slope(b04_a, b04_b) else 1 end, 6) as slope, round(case when var_pop(b04_b) > 1e-9 and regr_slope(b04_a, b04_b) between 0.5 and 2 then regr_intercept(b04_a, b04_b) else 0 end, 4) as intercept from i")
@@ -132,7 +131,7 @@ def _height(df: DataFrame) -> int:
 def _opened(spark, d):
     m = load(spark, d, "marked")
     h = _height(m)
-    return raster.opened_closed(m, h, WIDTH), h
+    return raster.opened_closed(m, h, WIDTH, 64), h
 
 
 @query(f"with {OPENED} select r, c from oc")
@@ -234,9 +233,24 @@ def cluster_pool_rank(spark, d):
 
 @query()
 def detect_changes(spark, d):
-    """The whole plan from pixels to merged detections; tests hold it against scenes with a known truth."""
-    clear = {"scl_a": F.when(F.col("r") % 25 == 24, 9).otherwise(4), "scl_b": F.when(F.col("c") % 40 == 39, 3).otherwise(5)}
-    found = detect.detect(load(spark, d, "pixels").withColumns(clear), WIDTH, min_px=20, levels=(5,), chunk=128)
+    """The whole plan with its own thresholds, from pixels with realistic masks to merged detections: one row each, or
+    one row that says why there is none; tests hold it against scenes with a known truth."""
+    found = detect.detect(load(spark, d, "clear_pixels"), WIDTH, chunk=128)
+    names = ("candidate_id", "group", "confidence", "area_px", "area_ha", "mean_dndvi", "min_x", "min_y", "max_x", "max_y", "direction", "change_type", "members")
     if found.detections is None:
-        return spark.createDataFrame([], "group long, status string").withColumn("status", F.lit(found.status))
-    return found.detections.withColumn("status", F.lit(found.status))
+        return spark.range(1).select(F.lit(found.status).alias("status"), *[F.lit(None).cast("string" if n in ("direction", "change_type") else "double").alias(n) for n in names])
+    return found.detections.select(F.lit(found.status).alias("status"), *[F.col(n).cast("double").alias(n) if n not in ("direction", "change_type") else F.col(n) for n in names])
+
+
+@query("select r, c, scl from (select 2 * r + i as r, 2 * c + j as c, scl_a as scl from {pixels}, (values (0), (1)) x(i), (values (0), (1)) y(j)) z")
+def upsampled_mask(spark, d):
+    return raster.upsampled(load(spark, d, "pixels").withColumnRenamed("scl_a", "scl"), "scl")
+
+
+@query("""with x as (select cast(floor(r / 10) * 100 + floor(c / 10) as bigint) as label, scl_b in (4, 5, 6, 7, 11) as ok, case when b08_b / 10000.0 + b04_b / 10000.0 > 1e-6 then (b08_b / 10000.0 - b04_b / 10000.0) / (b08_b / 10000.0 + b04_b / 10000.0) end as ndvi from {pixels})
+    select label, round(case when avg(ok::int) >= 0.3 then avg(ndvi) filter (where ok) end, 9) as ndvi from x group by label""")
+def outline_ndvi(spark, d):
+    """A25 over blocks of ten by ten pixels."""
+    p = load(spark, d, "pixels")
+    labels = p.select("r", "c", (F.floor(F.col("r") / 10) * 100 + F.floor(F.col("c") / 10)).alias("label"))
+    return raster.mean_ndvi_inside(p, labels, "b", 0.3).withColumn("ndvi", F.round("ndvi", 9))

@@ -74,6 +74,10 @@ PROJECTIONS: dict[str, str] = {
                case when (floor(event_id / 1200) + floor(event_id % 100 / 9)) % 4 = 0 then 100 else 800 end + (event_id * 13 + user_id * 7) % 2800 + event_id % 50 as b08_b,
                event_id * 3 % 64 as qa, value
         from {events}""",
+    # The same with masks as scenes have them: whole stripes under cloud, the rest clear.
+    "clear_pixels": """
+        select r, c, case when r % 25 = 24 then 9 else 4 end as scl_a, case when c % 40 = 39 then 3 else 5 end as scl_b, b02_a, b03_a, b04_a, b08_a, b02_b, b03_b, b04_b,
+               case when floor(r / 40) % 2 = 0 and c between 20 and 45 and r % 40 between 10 and 34 then 3 * b08_b else b08_b end as b08_b from {pixels}""",
     # Patches of marked pixels, for morphology and components.
     "marked": """
         select r, c from (select cast(floor(event_id / 100) as bigint) as r, event_id % 100 as c from {events}) x

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from geochange.operators import alignment
+from geochange.operators import alignment, raster
 from geochange.plans import detect
 
 
@@ -31,6 +31,82 @@ def test_one_patch_is_found(spark):
     assert one.mean_dndvi < -0.05
 
 
+def test_a_shifted_scene_of_other_gain_is_put_right(spark):
+    """Date b is date a moved by (3, -2), brighter and lifted, with one patch cleared."""
+    size = 96
+    rng = np.random.default_rng(1)
+    waves = [(rng.normal(0, 0.16, 2), rng.uniform(0, 6)) for _ in range(25)]
+    image = lambda y, x: 3000 + 150 * sum(np.sin(k[0] * y + k[1] * x + p) for k, p in waves)
+    y, x = np.mgrid[0:size, 0:size].astype(float)
+    a, b = image(y, x), image(y + 2, x - 3)
+    b = 1.2 * b + 100
+    b[40:60, 30:50] *= 0.6
+    rows = [(i, j, 4, 4, *(int(v) for v in (a[i, j] / 4, a[i, j] / 3, a[i, j] / 5, a[i, j], b[i, j] / 4, b[i, j] / 3, b[i, j] / 5, b[i, j]))) for i in range(size) for j in range(size)]
+    px = spark.createDataFrame(rows, "r long, c long, scl_a int, scl_b int, b02_a long, b03_a long, b04_a long, b08_a long, b02_b long, b03_b long, b04_b long, b08_b long")
+    d = detect.detect(px, size, same_tile=False, levels=(10,), chunk=64)
+    assert d.status == "completed" and d.trace["alignment"] == "aligned"
+    assert d.trace["slope_b08"] == pytest.approx(1 / 1.2, abs=0.08)
+    one = max(d.detections.collect(), key=lambda r: r.area_px)
+    assert abs(one.min_x - 27) <= 1 and abs(one.min_y - 42) <= 1 and abs(one.area_px - 400) <= 60
+    assert one.evidence.share_a is not None and abs(one.centre_x - 37) < 1 and one.outline
+    assert detect.detect(px.withColumn("b08_b", F.lit(500)), size, same_tile=False, chunk=64).status == "alignment_failed"
+
+
+def test_pixels_without_data_are_no_evidence(spark):
+    px = scene(spark)
+    assert detect.detect(px.withColumn("b03_b", F.when(F.col("c") < 70, 0).otherwise(F.col("b03_b"))), 80, chunk=40).status == "insufficient_evidence"
+    d = detect.detect(px.drop("scl_a", "scl_b"), 80, levels=(10,), chunk=40, pixel_ha=0.09)
+    assert d.detections.first().area_ha == pytest.approx(81.0)
+
+
+@pytest.mark.parametrize("chunk", [5, 16, 64])
+def test_morphology_does_not_depend_on_chunks(spark, chunk):
+    mask = np.random.default_rng(2).random((29, 37)) < 0.75
+
+    def around(m, all_of):
+        out = np.zeros_like(m)
+        for y, x in np.ndindex(*m.shape):
+            near = m[max(0, y - 1) : y + 2, max(0, x - 1) : x + 2]
+            out[y, x] = near.all() if all_of else near.any()
+        return out
+
+    want = around(around(around(around(mask, True), False), False), True)
+    df = spark.createDataFrame([(int(y), int(x)) for y, x in zip(*np.nonzero(mask), strict=True)], "r long, c long")
+    assert {(r.r, r.c) for r in raster.opened_closed(df, 29, 37, chunk).collect()} == {(int(y), int(x)) for y, x in zip(*np.nonzero(want), strict=True)}
+
+
+def test_quantiles_are_exact(spark):
+    rng = np.random.default_rng(3)
+    v = np.concatenate([rng.normal(size=4000), np.repeat(0.5, 2000)])
+    df = spark.createDataFrame([(float(x),) for x in v], "v double")
+    assert raster.quantiles(df, "v", (0.0, 0.02, 0.2, 0.75, 0.98, 1.0), 16) == pytest.approx(np.percentile(v, [0, 2, 20, 75, 98, 100]).tolist())
+    assert raster.quantiles(df.where("false"), "v", (0.5,)) == [None]
+
+
+def test_warps_turn_and_shift(spark):
+    y, x = np.mgrid[0:20, 0:30].astype(float)
+    rows = [(int(i), int(j), float(3 * i + 5 * j), int(i)) for i in range(20) for j in range(30)]
+    df = spark.createDataFrame(rows, "r long, c long, v double, m int")
+    angle, dx, dy = 0.1, 1.3, -0.6
+    for r in raster.warped(df, ["v"], angle, dx, dy, 20, 30, "m").collect():
+        sx = np.cos(angle) * (r.c - 14.5) - np.sin(angle) * (r.r - 9.5) + 14.5 + dx
+        sy = np.sin(angle) * (r.c - 14.5) + np.cos(angle) * (r.r - 9.5) + 9.5 + dy
+        if 0 <= sx <= 29 and 0 <= sy <= 19:
+            assert r.v == pytest.approx(3 * sy + 5 * sx) and r.m == int(np.floor(sy + 0.5))
+        else:
+            assert r.v is None
+
+
+def test_grids_and_samples(spark):
+    g = {"crs": "EPSG:32643", "width": 10, "height": 10, "transform": (10.0, 0.0, 600000.0, 0.0, -10.0, 3000000.0)}
+    assert alignment.same_grid(g, g | {"transform": (10.0, 0.0, 600000.1, 0.0, -10.0, 3000000.0)}) and not alignment.same_grid(g, g | {"crs": "EPSG:32644"})
+    assert not alignment.same_grid(g, g | {"transform": (20.0, 0.0, 600000.0, 0.0, -20.0, 3000000.0)})
+    assert (alignment.decimation(10980, 10980), alignment.decimation(3000, 3000)) == (4, 1)
+    px = spark.range(20000).select(F.col("id").alias("r"), F.lit(0).alias("c"))
+    n = raster.bounded_sample(px, 2000, 20000).count()
+    assert 1700 < n < 2300 and raster.bounded_sample(px, 2000, 20000).count() == n and raster.bounded_sample(px, 20000, 20000).count() == 20000
+
+
 def test_clouds_are_no_change_and_hide_it(spark):
     d = detect.detect(scene(spark, cloud=(0, 80, 0, 60)), 80, levels=(10,), chunk=40)
     assert d.status in ("insufficient_evidence", "no_change")
