@@ -406,3 +406,111 @@ def scene_paths(analysis: Column, display: Column, sensor: Column) -> Column:
     """the analysis raster, else the display raster; and what its mask is."""
     mask = F.when(sensor.startswith("sentinel"), "scl").when(sensor.startswith("landsat"), "qa").otherwise("data")
     return F.struct(F.coalesce(analysis, display).alias("raster"), mask.alias("mask"))
+
+
+# --- decision trace ----------------------------------------------------------------------------------------------
+
+
+def fixed(x: Column, digits: int = 2) -> Column:
+    """A number with that many digits, n/a for none."""
+    return F.when(x.isNull(), "n/a").otherwise(F.format_string(f"%.{digits}f", py_round(x.cast("double"), digits)))
+
+
+def _line(key: str, text: Column) -> Column:
+    return F.when(text.isNotNull(), F.struct(F.lit(key).alias("key"), text.alias("text")))
+
+
+def trace(details: Column, c: dict[str, Column]) -> Column:
+    """F32: what led to a detection, a line for each step that took part, in the order of the plan. details: a job's,
+    in JSON; c: sub_blobs, merged_dilation, large_area, direction, dominant_a, dominant_b, rule, mean_dndvi, seasonality,
+    priors_clear, current_ndvi, prior_mean, prior_std of the detection. The sentences are fixed values."""
+
+    def get(path: str) -> Column:
+        return F.get_json_object(details, f"$.{path}")
+
+    def num(path: str) -> Column:
+        return get(path).try_cast("double")
+
+    source_a, source_b = get("masking.scene_a.source"), get("masking.scene_b.source")
+    trust = F.concat(F.lit("CloudTrust A: "), fixed(num("masking.scene_a.cloud_trust")), F.lit(", CloudTrust B: "), fixed(num("masking.scene_b.cloud_trust")))
+    described = F.when(source_a == "scl", "SCL-based").when(source_a == "qa_pixel", "QA_PIXEL-based").when(source_a == "heuristic", "Heuristic (no QA band: CloudTrust reduced, no pixel removed)").otherwise("Data-mask based (no QA band available)")
+    unknown = F.lit("unknown")
+    masking = F.when(source_a == source_b, F.concat_ws(", ", described, trust)).when(F.coalesce(source_a, source_b).isNotNull(), F.concat(F.lit("A: "), F.coalesce(source_a, unknown), F.lit(", B: "), F.coalesce(source_b, unknown), F.lit(", "), trust))
+    method, shift = get("alignment.method"), F.concat(F.lit(", largest shift "), fixed(num("alignment.max_shift_px")), F.lit(" px"))
+    tile = F.coalesce(get("alignment.tiles[0]"), get("alignment.tiles[1]"))
+    tile = F.when(tile.startswith("T"), tile).otherwise(F.coalesce(F.concat(F.lit("T"), tile), unknown))
+    alignment = (
+        F.when(method == "same_tile", F.concat(F.lit("Same MGRS tile ("), tile, F.lit(") — grid verified by definition")))
+        .when(method == "ecc", F.concat(F.lit("ECC registration, correlation "), fixed(num("alignment.rho"), 3), shift))
+        .when(method == "orb", F.concat(F.lit("ORB feature matching, inlier ratio "), fixed(num("alignment.inlier_ratio")), shift))
+        .otherwise(method)
+    )
+    nir = F.coalesce(num("radiometry.slope[3]"), num("radiometry.slope[0]")), F.coalesce(num("radiometry.intercept[3]"), num("radiometry.intercept[0]"))
+    gain = F.when(nir[0].isNotNull() & nir[1].isNotNull(), F.concat(F.lit(", gain: "), fixed(nir[0]), F.lit(", offset: "), fixed(nir[1], 1))).otherwise("")
+    normalisation = F.when(get("radiometry.tier") == "pif", F.concat(F.lit("PIF robust regression, "), F.format_number(F.coalesce(num("radiometry.pif_pixels"), F.lit(0.0)), 0), F.lit(" anchor pixels"), gain)).when(get("radiometry").isNotNull(), "None applied (too few stable pixels)")
+    band = F.when(get("detection.difference_band").startswith("B08"), "NIR difference").otherwise("Mean-intensity difference")
+    detection = F.when(get("detection.kmeans_centroids").isNotNull(), F.concat(band, F.lit(" → K-Means K=2, change centroid magnitude: "), fixed(num("detection.kmeans_centroids[1]"), 1)))
+    large = F.coalesce(c["large_area"], F.lit(False))
+    grow = F.coalesce(c["merged_dilation"], F.when(large, P.large_dilations[-1]).otherwise(P.near_dilations[0]))
+    grouping = F.when(c["sub_blobs"] > 1, F.concat(F.when(large, "Large-area change: merged").otherwise("Merged"), F.lit(" from "), c["sub_blobs"], F.lit(" change blobs less than "), 2 * grow, F.lit(" px apart; area, outline and ΔNDVI are those of the blobs themselves")))
+    named = F.coalesce(c["direction"], F.lit("unclassified"))
+    rule = F.when((named == "unclassified") & c["rule"].isNotNull(), F.concat(F.lit(" ("), c["rule"], F.lit(")"))).otherwise("")
+    direction = F.when(c["dominant_a"].isNull(), "Not classified (analysed before direction classification, or without a NIR band)").otherwise(F.concat(F.initcap(named), F.lit(" — dominant class A: "), c["dominant_a"], F.lit(", dominant class B: "), c["dominant_b"], rule))
+    evidence = F.when(c["mean_dndvi"].isNotNull(), F.concat(F.lit("ΔNDVI: "), fixed(c["mean_dndvi"])))
+    clear = F.coalesce(c["priors_clear"], F.lit(0))
+    spread = F.concat(F.lit("NDVI "), fixed(c["current_ndvi"]), F.lit(" against a same-season mean of "), fixed(c["prior_mean"]), F.lit(" (±"), fixed(c["prior_std"]), F.lit(") over "), clear, F.lit(" prior years"))
+    few = F.concat(F.lit("Unverified — "), clear, F.lit(" clear same-season prior observation"), F.when(clear == 1, "").otherwise("s"), F.lit(f" (needs {P.season_priors}); confidence ×{P.unverified_factor}"))
+    season = (
+        F.when(c["seasonality"] == "unverified", few)
+        .when(c["seasonality"] == "seasonal", F.concat(F.lit("Seasonal — "), spread, F.lit(f"; within {P.season_sigmas:g} std devs, confidence ×{P.season_factor}")))
+        .when(c["seasonality"].isNotNull(), F.concat(F.lit("Anomalous — "), spread, F.lit(f"; drop exceeds {P.season_sigmas:g} std devs, confidence unchanged")))
+    )
+    lines = {"masking": masking, "alignment": alignment, "normalisation": normalisation, "detection": detection, "grouping": grouping, "direction": direction, "evidence": evidence, "seasonality": season}
+    return F.array_compact(F.array(*[_line(k, x) for k, x in lines.items()]))
+
+
+def exported_feature(c: dict[str, Column], geometry: Column, details: Column) -> Column:
+    """A detection as one GeoJSON feature, in JSON. geometry: its outline as JSON, null where there is none: then
+    its box. c: the detection's columns by name; names that it lacks are null."""
+
+    def get(path: str) -> Column:
+        return F.get_json_object(details, f"$.{path}")
+
+    x0, y0, x1, y1 = (c[k] for k in BOX)
+    ring = F.array(*[F.array(a, b) for a, b in ((x0, y0), (x1, y0), (x1, y1), (x0, y1), (x0, y0))])
+    box = F.to_json(F.struct(F.lit("Polygon").alias("type"), F.array(ring).alias("coordinates")))
+    source_a, source_b = get("masking.scene_a.source"), get("masking.scene_b.source")
+    masking = F.when(source_a == source_b, source_a).when(F.coalesce(source_a, source_b).isNotNull(), F.concat_ws("", F.coalesce(source_a, F.lit("None")), F.lit(" (A) / "), F.coalesce(source_b, F.lit("None")), F.lit(" (B)"))).otherwise("unknown")
+    method, tier = get("alignment.method"), get("radiometry.tier")
+    processing = F.struct(
+        masking.alias("masking"),
+        get("masking.scene_a.cloud_trust").try_cast("double").alias("cloud_trust_a"),
+        get("masking.scene_b.cloud_trust").try_cast("double").alias("cloud_trust_b"),
+        F.when(method == "same_tile", "same_mgrs_grid").otherwise(F.coalesce(method, F.lit("unknown"))).alias("alignment"),
+        get("alignment.quality").try_cast("double").alias("alignment_quality"),
+        F.when(tier == "pif", "pif_robust_regression").when(tier == "identity", "none").otherwise(F.coalesce(tier, F.lit("unknown"))).alias("normalisation"),
+        get("radiometry.pif_pixels").try_cast("long").alias("pif_pixels"),
+    )
+    terms = ("alignment_quality", "cluster_distance_percentile", "terrain_flatness", "valid_coverage")
+    plain = ("mgrs", "scene_a_id", "scene_b_id", "date_a", "date_b", "sensor")
+    none = F.lit(None).cast("string")
+    props = F.struct(
+        *[c[k].alias(k) for k in ("candidate_id", "direction", "change_type")],
+        py_round(c["confidence"], 4).alias("confidence"),
+        F.struct(*[c.get(k, none).alias(k) for k in terms]).alias("confidence_breakdown"),
+        *[c.get(k, none).alias(k) for k in plain],
+        py_round(c["mean_dndvi"], 4).alias("delta_ndvi"),
+        F.coalesce(c["review"], F.lit("pending")).alias("analyst_decision"),
+        *[c.get(k, none).alias(k) for k in ("analyst_id", "reviewed_at")],
+        processing.alias("processing"),
+        c["area_px"].alias("area_px"),
+        py_round(c["area_ha"], 2).alias("area_ha"),
+        c["sub_blobs"].alias("sub_blobs"),
+        c["seasonality"].alias("seasonality_status"),
+        c.get("direction_evidence", none).alias("direction_evidence"),
+        F.when(geometry.isNull(), "bounding_box").otherwise("changed_pixel_outline").alias("geometry_source"),
+        *[c.get(k, none).alias(k) for k in ("raw_checksum_a", "raw_checksum_b", "analyst_notes")],
+        F.coalesce(c.get("review_count", F.lit(0)), F.lit(0)).alias("review_count"),
+    )
+    keep_null = {"ignoreNullFields": "false"}
+    return F.concat(F.lit('{"type":"Feature","id":'), c["candidate_id"].cast("string"), F.lit(',"geometry":'), F.coalesce(geometry, box), F.lit(',"properties":'), F.to_json(props, keep_null), F.lit("}"))

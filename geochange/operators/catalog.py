@@ -122,6 +122,24 @@ def cascade_counts(scene_ids: DataFrame, tiles: DataFrame, candidates: DataFrame
     return out
 
 
+def exported(candidates: DataFrame, reviews: DataFrame, places: DataFrame, jobs: DataFrame, job_id: int | None = None, min_confidence: float = 0.0, decisions: Sequence[str] | None = None) -> DataFrame:
+    """(candidate_id, feature): detections with a filter by job, confidence and decision, each as a GeoJSON feature
+    with where it comes from; an outline where candidates have a `geometry` in JSON, else the box."""
+    v = filtered(candidate_view(candidates, reviews), min_confidence, jobs=None if job_id is None else [job_id], decisions=decisions)
+    v = v.join(reviews.groupBy("candidate_id").agg(F.count("*").alias("review_count"), F.max_by("reviewed_at", "seq").cast("string").alias("reviewed_at")), "candidate_id", "left")
+    for side in "ab":
+        own = places.select(F.col("scene_id").alias(f"scene_{side}"), F.col("name").alias(f"scene_{side}_id"), F.col("acquired").cast("string").alias(f"date_{side}"), *([F.col("sensor")] if side == "a" else []))
+        v = v.join(own, f"scene_{side}", "left")
+    v = v.join(jobs.select("scene_a", "scene_b", "details"), ["scene_a", "scene_b"], "left")
+    geometry = F.col("geometry") if "geometry" in v.columns else F.lit(None).cast("string")
+    return v.select("candidate_id", S.exported_feature({k: F.col(k) for k in v.columns}, geometry, F.col("details")).alias("feature"))
+
+
+def write_features(features: DataFrame, path: str) -> None:
+    """Features as lines of JSON, a file for each task; readers of GeoJSON sequences take them as they are."""
+    features.select(F.col("feature").alias("value")).write.mode("overwrite").text(path)
+
+
 def area_capped(candidates: DataFrame, partition: str, cap: int, reserve: int, floor: float = P.stored_confidence) -> DataFrame:
     """Of each partition the `reserve` largest, then by confidence up to `cap`; below the floor nothing."""
     kept = candidates.where(F.col("confidence") >= floor)

@@ -501,10 +501,16 @@ def runs_timeline(spark, d):
     return a.unionByName(load(spark, d, "candidates").select(F.lit("change").alias("operation"), F.col("candidate_id").alias("id"), F.col("found_at").alias("at")))
 
 
-@query("select job_id, count(*) as raw, count(*) filter (where confidence >= 0.3) as full_n, round((1 - count(*) filter (where confidence >= 0.3) / cast(count(*) as double)) * 100, 4) as reduction from {candidates} group by job_id")
+@query(f"""with n as (select job_id, count(*) as raw, count(*) filter (where confidence >= 0.3) as passed from {{candidates}} group by job_id), x as (select *, least(passed, 1000) as stored, passed - least(passed, 1000) as over_cap, (1e0 - passed / cast(raw as double)) * 100e0 as r from n)
+    select job_id, raw, stored, over_cap, stored + over_cap as full_n, {sql_round('r', 1)} as reduction from x""")
 def ablation_reduction(spark, d):
-    full = F.count_if(F.col("confidence") >= P.stored_confidence)
-    return load(spark, d, "candidates").groupBy("job_id").agg(F.count("*").alias("raw"), full.alias("full_n"), F.round((1 - full / F.count("*")) * 100, 4).alias("reduction"))
+    """What the safeguards remove: stored detections and those that only the cap left out, against raw ones."""
+    c = load(spark, d, "candidates")
+    stored = catalog.area_capped(c, "job_id", 1000, P.area_reserve).groupBy("job_id").agg(F.count("*").alias("stored"))
+    n = c.groupBy("job_id").agg(F.count("*").alias("raw"), F.count_if(F.col("confidence") >= P.stored_confidence).alias("passed")).join(stored, "job_id", "left")
+    full = F.col("stored") + F.col("over_cap")
+    n = n.select("job_id", "raw", F.coalesce("stored", F.lit(0)).alias("stored"), (F.col("passed") - F.coalesce("stored", F.lit(0))).alias("over_cap"))
+    return n.select("*", full.alias("full_n"), S.py_round((1 - full / F.col("raw")) * 100, 1).alias("reduction"))
 
 
 @query(f"""with {VIEW} select candidate_id, direction, change_type, review, round(area_ha, 4) as area_ha,
@@ -515,26 +521,53 @@ def export_features(spark, d):
     return catalog.filtered(_view(spark, d), 0.4).select("candidate_id", "direction", "change_type", "review", F.round("area_ha", 4).alias("area_ha"), ring.alias("ring"))
 
 
-@query()
+@query(f"""with {VIEW}, n as (select candidate_id, count(*) as n from {{reviews}} group by candidate_id)
+    select v.candidate_id, {sql_round('confidence', 4)} as confidence, {sql_round('mean_dndvi', 4)} as delta_ndvi, {sql_round('area_ha', 2)} as area_ha, review as decision, coalesce(n, 0) as review_count, cast(a.acquired as varchar) as date_a, 'bounding_box' as source, v.min_x as west
+    from v left join n on v.candidate_id = n.candidate_id left join {{places}} a on v.scene_a = a.scene_id where review <> 'rejected'""")
 def export_geojson(spark, d):
-    """One GeoJSON feature a row, for a JSON-lines sink; JSON text is not compared in SQL."""
-    v = _view(spark, d)
-    ring = F.array(F.array(*[F.array(a, b) for a, b in ((F.col("min_x"), F.col("min_y")), (F.col("max_x"), F.col("min_y")), (F.col("max_x"), F.col("max_y")), (F.col("min_x"), F.col("max_y")), (F.col("min_x"), F.col("min_y")))]))
-    props = F.struct(*[c for c in v.columns if c not in S.BOX], F.struct(F.lit("two-means").alias("threshold"), F.col("scene_a"), F.col("scene_b")).alias("provenance"))
-    feature = F.struct(F.lit("Feature").alias("type"), F.struct(F.lit("Polygon").alias("type"), ring.alias("coordinates")).alias("geometry"), props.alias("properties"))
-    return v.select("candidate_id", F.to_json(feature).alias("feature"))
+    """One GeoJSON feature a row, read back for the check; export_features.write_features writes the file."""
+    f = catalog.exported(load(spark, d, "candidates"), load(spark, d, "reviews"), load(spark, d, "places"), load(spark, d, "pair_jobs"), decisions=["pending", "confirmed"])
+    get = lambda path: F.get_json_object("feature", f"$.{path}")
+    p = "properties"
+    return f.select(
+        get("id").cast("long").alias("candidate_id"),
+        get(f"{p}.confidence").cast("double").alias("confidence"),
+        get(f"{p}.delta_ndvi").try_cast("double").alias("delta_ndvi"),
+        get(f"{p}.area_ha").cast("double").alias("area_ha"),
+        get(f"{p}.analyst_decision").alias("decision"),
+        get(f"{p}.review_count").cast("long").alias("review_count"),
+        get(f"{p}.date_a").alias("date_a"),
+        get(f"{p}.geometry_source").alias("source"),
+        get("geometry.coordinates[0][0][0]").cast("double").alias("west"),
+    )
+
+
+#: A job's details as the detection plan leaves them, from its scenes' numbers.
+DETAILS = """'{"masking":{"scene_a":{"source":"scl","cloud_trust":0.9},"scene_b":{"source":"' || case scene_b % 3 when 0 then 'scl' when 1 then 'qa_pixel' else 'heuristic' end || '","cloud_trust":0.' || (50 + scene_b) || '}},"alignment":{"method":"' ||
+    case scene_a % 3 when 0 then 'same_tile' when 1 then 'ecc' else 'orb' end || '","tiles":["43RCL","43RCL"],"rho":0.9' || scene_a || ',"inlier_ratio":0.5,"max_shift_px":1.25},"radiometry":{"tier":"' || case when scene_a = 5 then 'identity' else 'pif' end ||
+    '","slope":[1,1,1,1.0' || scene_b || '],"intercept":[0,0,0,12.5],"pif_pixels":' || (scene_a * 1000 + 7) || '},"detection":{"kmeans_centroids":[1.0,' || scene_a || '.5],"difference_band":"B08"}}'"""
 
 
-@query(f"""with {VIEW} select candidate_id, concat_ws(' | ', 'Detected with confidence ' || cast(floor(confidence * 100) as bigint) || ' %', case when seasonality = 'seasonal' then 'Seen in earlier years: confidence halved' when seasonality = 'unverified' then 'Too few earlier years to tell' end,
-    case when sub_blobs > 1 then 'Merged from ' || sub_blobs || ' parts' end, 'Review: ' || review) as trace from v""")
+@query(f"""with {VIEW} select candidate_id, array_to_string(list_filter([
+      case when scene_b % 3 = 0 then 'SCL-based, CloudTrust A: 0.90, CloudTrust B: 0.' || (50 + scene_b) else 'A: scl, B: ' || case scene_b % 3 when 1 then 'qa_pixel' else 'heuristic' end || ', CloudTrust A: 0.90, CloudTrust B: 0.' || (50 + scene_b) end,
+      case scene_a % 3 when 0 then 'Same MGRS tile (T43RCL) — grid verified by definition' when 1 then 'ECC registration, correlation 0.9' || scene_a || '0, largest shift 1.25 px' else 'ORB feature matching, inlier ratio 0.50, largest shift 1.25 px' end,
+      case when scene_a = 5 then 'None applied (too few stable pixels)' else 'PIF robust regression, ' || case when scene_a > 0 then scene_a || ',007' else '7' end || ' anchor pixels, gain: 1.0' || scene_b || ', offset: 12.5' end,
+      'NIR difference → K-Means K=2, change centroid magnitude: ' || scene_a || '.5',
+      case when sub_blobs > 1 then case when candidate_id % 5 = 0 then 'Large-area change: merged' else 'Merged' end || ' from ' || sub_blobs || ' change blobs less than ' || case when candidate_id % 5 = 0 then 40 else 20 end || ' px apart; area, outline and ΔNDVI are those of the blobs themselves' end,
+      case when candidate_id % 4 = 0 then 'Not classified (analysed before direction classification, or without a NIR band)' else upper(direction[1]) || direction[2:] || ' — dominant class A: vegetation, dominant class B: bare' || case when direction = 'unclassified' then ' (no rule)' else '' end end,
+      case when mean_dndvi is not null then 'ΔNDVI: ' || printf('%.2f', {sql_round('mean_dndvi', 2)}) end,
+      case seasonality when 'unverified' then 'Unverified — ' || candidate_id % 3 || ' clear same-season prior observation' || case when candidate_id % 3 = 1 then '' else 's' end || ' (needs 3); confidence ×0.85'
+        when 'seasonal' then 'Seasonal — NDVI 0.50 against a same-season mean of 0.55 (±0.05) over ' || candidate_id % 3 || ' prior years; within 2 std devs, confidence ×0.5'
+        when 'anomalous' then 'Anomalous — NDVI 0.50 against a same-season mean of 0.55 (±0.05) over ' || candidate_id % 3 || ' prior years; drop exceeds 2 std devs, confidence unchanged' end], lambda x: x is not null), ' | ') as trace from v""")
 def trace_lines(spark, d):
-    lines = [
-        F.concat(F.lit("Detected with confidence "), F.floor(F.col("confidence") * 100).cast("long"), F.lit(" %")),
-        F.when(F.col("seasonality") == "seasonal", "Seen in earlier years: confidence halved").when(F.col("seasonality") == "unverified", "Too few earlier years to tell"),
-        F.when(F.col("sub_blobs") > 1, F.concat(F.lit("Merged from "), F.col("sub_blobs"), F.lit(" parts"))),
-        F.concat(F.lit("Review: "), F.col("review")),
-    ]
-    return _view(spark, d).select("candidate_id", F.concat_ws(" | ", *lines).alias("trace"))
+    """F32 over details in JSON."""
+    v = _view(spark, d).withColumn("details", F.expr(DETAILS))
+    i = F.col("candidate_id")
+    num = lambda x: F.lit(x).cast("double")
+    own = {k: F.col(k) for k in ("sub_blobs", "direction", "mean_dndvi", "seasonality")}
+    own |= {"merged_dilation": F.lit(None).cast("int"), "large_area": i % 5 == 0, "dominant_a": F.when(i % 4 != 0, "vegetation"), "dominant_b": F.lit("bare"), "rule": F.lit("no rule")}
+    own |= {"priors_clear": i % 3, "current_ndvi": num(0.5), "prior_mean": num(0.55), "prior_std": num(0.05)}
+    return v.select("candidate_id", F.array_join(F.transform(S.trace(F.col("details"), own), lambda x: x["text"]), " | ").alias("trace"))
 
 
 @query("""with w as (select k.scene_a, k.scene_b, a.acquired as date_a, b.acquired as date_b, cast(coalesce(json_extract_string(details, '$.mutual_coverage_after_alignment'), json_extract_string(details, '$.mutual_coverage')) as double) as coverage,

@@ -32,6 +32,7 @@ def safe_products(spark: SparkSession, root: str) -> DataFrame:
         F.try_to_timestamp(value("PRODUCT_START_TIME")).alias("started"),
         value("PROCESSING_BASELINE").alias("baseline"),
         F.transform(F.xpath(xml, F.lit("//*[local-name()='BOA_ADD_OFFSET']/text()")), lambda x: x.try_cast("int")).alias("offsets"),
+        F.transform(F.xpath(xml, F.lit("//*[local-name()='BOA_ADD_OFFSET']/@band_id")), lambda x: x.try_cast("int")).alias("offset_bands"),
         xml.isNull().alias("_large"),
     )
     problem = F.when(F.col("_large"), "metadata too large").when(F.col("product_type").isNull(), "no product type").when(~F.col("product_type").contains("2A"), "not level 2A")
@@ -44,7 +45,9 @@ def landsat_scenes(spark: SparkSession, root: str) -> DataFrame:
     scenes = n.where(F.col("p").isNotNull() & (F.col("band") != "")).groupBy(F.regexp_extract("name", r"^(.*)_(?:SR_B\d|QA_PIXEL)\.TIF$", 1).alias("scene_id"))
     need = F.array(*[F.lit(b) for b in ("QA_PIXEL", "SR_B2", "SR_B3", "SR_B4", "SR_B5")])
     out = scenes.agg(F.first("p").alias("parts"), F.array_sort(F.collect_list("band")).alias("bands"), F.array_sort(F.collect_list("path")).alias("paths"))
-    return out.withColumn("complete", F.size(F.array_except(need, "bands")) == 0).withColumn("unique", F.size(F.array_distinct("bands")) == F.size("bands"))
+    complete, unique = F.size(F.array_except(need, "bands")) == 0, F.size(F.array_distinct("bands")) == F.size("bands")
+    problem = F.when(~complete, "a band is missing").when(~unique, "a band is there twice")
+    return out.withColumns({"complete": complete, "unique": unique, "problem": problem})
 
 
 def checksums(found: DataFrame) -> DataFrame:

@@ -6,6 +6,8 @@ has is left out by an anti-join, so a batch that runs again adds nothing.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,10 +43,13 @@ def pair_stream(scenes: DataFrame, catalog_path: str, jobs_path: str, checkpoint
     return scenes.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def alert_stream(candidates: DataFrame, watchlist: DataFrame, alerts_path: str, checkpoint: str):
-    """Detections as they come against the watched boxes; an alert of a location and detection is raised once."""
+def alert_stream(candidates: DataFrame, watchlist: DataFrame, alerts_path: str, checkpoint: str, completed: Callable[[], DataFrame] | None = None):
+    """Detections as they come against the watched boxes; an alert of a location and detection is raised once.
+    completed gives the job_ids that are completed by the time of a batch; detections of other jobs raise none."""
 
     def step(batch: DataFrame, batch_id: int) -> None:
+        if completed is not None:
+            batch = batch.join(completed().select("job_id").distinct(), "job_id", "left_semi")
         found = spatial.watch_alerts(batch, watchlist).dropDuplicates(["watch_id", "candidate_id"])
         old = _log(batch.sparkSession, alerts_path, found.schema)
         found.join(old, ["watch_id", "candidate_id"], "left_anti").write.mode("append").parquet(alerts_path)

@@ -71,6 +71,23 @@ def test_trust_and_states(spark):
     assert one(spark, S.job_coverage(F.lit('{"mutual_coverage":0.5}')), S.job_coverage(F.lit('{"mutual_coverage":0.5,"mutual_coverage_after_alignment":0.25}')), S.job_coverage(F.lit("{}"))) == (0.5, 0.25, None)
 
 
+def test_features_are_geojson(spark):
+    import json
+
+    c = spark.createDataFrame([(1, 7, 3, 4, 0.12345, 120, None, 1.0, 2.0, 3.0, 4.0, None, None, None, None)], "candidate_id long, job_id long, scene_a long, scene_b long, confidence double, area_px long, area_ha double, min_x double, min_y double, max_x double, max_y double, mean_dndvi double, raw_type string, raw_direction string, raw_sub_blobs long").withColumn("seasonality", F.lit(None).cast("string"))
+    reviews = spark.createDataFrame([(1, "confirmed", 1, "2024-01-01"), (1, "rejected", 2, "2024-01-02")], "candidate_id long, decision string, seq long, reviewed_at string")
+    places = spark.createDataFrame([(3, "A", "sentinel2", "2024-01-01"), (4, "B", "sentinel2", "2024-02-01")], "scene_id long, name string, sensor string, acquired string")
+    jobs = spark.createDataFrame([(3, 4, '{"alignment":{"method":"same_tile","quality":0.9},"radiometry":{"tier":"pif","pif_pixels":12},"masking":{"scene_a":{"source":"scl"},"scene_b":{"source":"scl"}}}')], "scene_a long, scene_b long, details string")
+    f = json.loads(catalog.exported(c, reviews, places, jobs).first().feature)
+    p = f["properties"]
+    assert f["type"] == "Feature" and f["id"] == 1 and f["geometry"]["coordinates"][0][2] == [3.0, 4.0] and len(p) == 26
+    assert (p["confidence"], p["area_ha"], p["analyst_decision"], p["review_count"], p["delta_ndvi"], p["geometry_source"], p["sensor"]) == (round(0.12345, 4), 1.2, "rejected", 2, None, "bounding_box", "sentinel2")
+    assert p["processing"]["alignment"] == "same_mgrs_grid" and p["processing"]["normalisation"] == "pif_robust_regression" and p["processing"]["pif_pixels"] == 12 and p["processing"]["masking"] == "scl"
+    outline = json.loads(catalog.exported(c.withColumn("geometry", F.lit('{"type":"Polygon","coordinates":[]}')), reviews, places, jobs, decisions=["rejected"]).first().feature)
+    assert outline["properties"]["geometry_source"] == "changed_pixel_outline" and outline["geometry"]["coordinates"] == []
+    assert catalog.exported(c, reviews, places, jobs, decisions=["pending"]).count() == 0
+
+
 def test_close_similarities_are_told_apart(spark):
     tiles = spark.createDataFrame([(1, 0, [0.90001]), (2, 0, [0.90004]), (3, 0, [0.1])], "tile_id long, scene_id long, embedding array<double>")
     query = spark.createDataFrame([(9, [1.0])], "query_id long, query array<double>")
