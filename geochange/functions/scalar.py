@@ -353,6 +353,20 @@ def utm(lon: Column, lat: Column) -> dict[str, Column]:
     return {"zone": zone, "easting": 500000 + _K0 * _R * east, "northing": F.when(lat < 0, 10_000_000.0).otherwise(0.0) + _K0 * _R * north}
 
 
+_BETA = (_N / 2 - 2 * _N**2 / 3 + 37 * _N**3 / 96, _N**2 / 48 + _N**3 / 15, 17 * _N**3 / 480)
+_DELTA = (2 * _N - 2 * _N**2 / 3 - 2 * _N**3, 7 * _N**2 / 3 - 8 * _N**3 / 5, 56 * _N**3 / 15)
+
+
+def lonlat(zone: Column, easting: Column, northing: Column, south: Column) -> dict[str, Column]:
+    """F37 backwards: longitude and latitude of a place in UTM, by the inverse of the same series."""
+    xi, eta = (northing - F.when(south, 10_000_000.0).otherwise(0.0)) / (_K0 * _R), (easting - 500000) / (_K0 * _R)
+    x = reduce(lambda v, j: v - _BETA[j] * F.sin(2 * (j + 1) * xi) * F.cosh(2 * (j + 1) * eta), range(3), xi)
+    y = reduce(lambda v, j: v - _BETA[j] * F.cos(2 * (j + 1) * xi) * F.sinh(2 * (j + 1) * eta), range(3), eta)
+    chi = F.asin(F.sin(x) / F.cosh(y))
+    lat = reduce(lambda v, j: v + _DELTA[j] * F.sin(2 * (j + 1) * chi), range(3), chi)
+    return {"lon": zone * 6 - 183 + F.degrees(F.atan2(F.sinh(y), F.cos(x))), "lat": F.degrees(lat)}
+
+
 def mgrs(lat: Column, lon: Column) -> Column:
     """a ten-digit grid reference; null outside of 80 S to 84 N. The standard zones, without their few exceptions."""
     at = utm(lon, lat)

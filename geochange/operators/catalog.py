@@ -210,6 +210,34 @@ def embedding_status(places: DataFrame, tiles: DataFrame, running: DataFrame) ->
     return out.select("scene_id", F.coalesce("tiles", F.lit(0)).alias("tiles"), F.coalesce("state", F.when(F.col("tiles") > 0, "ready").otherwise("not_embedded")).alias("status"))
 
 
+def step_progress(events: DataFrame) -> DataFrame:
+    """The steps of each import as its events (pipeline_id, seq, noted_at, step, state, done, total) leave them: one row a
+    step, `place` in the order of first mention. An event without a step ends the import, the first one for good: what
+    comes later doesn't count. After the end `done` a step that waits or runs was skipped; after `failed` the first one
+    that runs has failed. Seconds are from the first time that the step ran to the last time it was over."""
+    ends = events.where("step is null").groupBy("pipeline_id").agg(F.min("seq").alias("end_seq"), F.min_by("state", "seq").alias("pipeline_state"))
+    noted = events.where("step is not null").join(ends, "pipeline_id", "left").where("end_seq is null or seq < end_seq")
+    over = F.col("state").isin("done", "failed", "skipped")
+    steps = noted.groupBy("pipeline_id", "step").agg(
+        F.coalesce(F.first("pipeline_state"), F.lit("running")).alias("pipeline_state"),
+        F.min("seq").alias("first_seq"),
+        F.max_by("state", "seq").alias("noted"),
+        *[F.max_by(c, F.when(F.col("total").isNotNull(), F.col("seq"))).alias(c) for c in ("done", "total")],
+        F.min(F.when(F.col("state") == "active", F.col("noted_at"))).alias("began"),
+        F.max(F.when(over, F.col("noted_at"))).alias("ended"),
+    )
+    one = Window.partitionBy("pipeline_id")  # as many rows as an import has steps
+    runs = F.min(F.when(F.col("noted") == "active", F.col("first_seq"))).over(one) == F.col("first_seq")
+    state = (
+        F.when((F.col("pipeline_state") == "done") & F.col("noted").isin("pending", "active"), "skipped")
+        .when((F.col("pipeline_state") == "failed") & (F.col("noted") == "active") & runs, "failed")
+        .otherwise(F.col("noted"))
+    )
+    took = (F.unix_micros(F.col("ended").cast("timestamp")) - F.unix_micros(F.col("began").cast("timestamp"))) / 1e6
+    place = F.row_number().over(one.orderBy("first_seq"))
+    return steps.select("pipeline_id", "pipeline_state", place.alias("place"), "step", state.alias("state"), "done", "total", F.when(took >= 0, took).alias("seconds"))
+
+
 DECISIONS = ("confirmed", "rejected")
 
 

@@ -1,8 +1,12 @@
-"""Exact vector retrieval on array columns: no index to rebuild, and filters go below the ranking."""
+"""Vector retrieval on array columns: exact, where filters go below the ranking, or by lists of near vectors."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import math
+
+from pyspark.ml.clustering import KMeans, KMeansModel
+from pyspark.ml.functions import array_to_vector
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -87,3 +91,68 @@ def appended(index: DataFrame, new: DataFrame, key: str) -> DataFrame:
     if new.where(~finite(F.col("embedding"))).limit(1).count():
         raise ValueError("a vector of the batch is not finite")
     return index.unionByName(new.join(index.select(key), key, "left_anti"))
+
+
+# --- an index of lists -----------------------------------------------------------------------------------------
+
+#: About as many vectors are clustered to find the lists' centres. Every vector is in the index.
+FIT_ROWS = 20_000
+
+
+def _placed(rows: DataFrame, v: Column) -> DataFrame:
+    """rows with a vector of length one for the clustering; rows whose vector is null or not finite are left out."""
+    return rows.where(finite(v)).withColumn("_v", array_to_vector(normalised(F.transform(v, lambda x: x.cast("double")))))
+
+
+def fit_lists(tiles: DataFrame, lists: int = 64, rows: int = FIT_ROWS) -> KMeansModel:
+    """V2: centres of `lists` lists, by k-means over about `rows` vectors that a hash of their id picks."""
+    share = min(1.0, rows / max(1, tiles.count()))
+    picked = tiles.where(F.pmod(F.xxhash64("tile_id"), F.lit(1 << 20)) < math.ceil(share * (1 << 20)))
+    return KMeans(k=lists, seed=0, maxIter=10, featuresCol="_v", predictionCol="list").fit(_placed(picked, F.col("embedding")))
+
+
+def indexed(tiles: DataFrame, model: KMeansModel) -> DataFrame:
+    """V2: every vector with the list of its nearest centre. One pass without a shuffle."""
+    return model.transform(_placed(tiles, F.col("embedding"))).select("tile_id", "scene_id", "embedding", "list")
+
+
+def save_index(index: DataFrame, model: KMeansModel, path: str) -> None:
+    """The index as a table by list, its centres beside it. What is at path already is never overwritten; a table
+    without its _SUCCESS file was not finished."""
+    index.repartition("list", F.pmod(F.xxhash64("tile_id"), F.lit(8))).write.partitionBy("list").parquet(f"{path}/lists")
+    model.save(f"{path}/centres")
+
+
+def load_index(spark: SparkSession, path: str) -> tuple[DataFrame, KMeansModel]:
+    """An index and its centres. An unreadable one is an error and stays as it is, so that it can be recovered."""
+    return spark.read.parquet(f"{path}/lists"), KMeansModel.load(f"{path}/centres")
+
+
+def with_lists(queries: DataFrame, model: KMeansModel) -> DataFrame:
+    """Queries with the numbers of all lists, the nearest centre first. The centres are one row."""
+    one = queries.sparkSession.createDataFrame([([c.tolist() for c in model.clusterCenters()],)], "_centres array<array<double>>")
+    unit = normalised(F.transform("query", lambda x: x.cast("double")))
+    near = F.transform("_centres", lambda c, i: F.struct((dot(c, F.col("_unit")) - dot(c, c) / 2).alias("s"), (-i).alias("i")))
+    placed = queries.where(finite(F.col("query"))).withColumn("_unit", unit).join(F.broadcast(one), F.lit(True))
+    return placed.withColumn("lists", F.transform(F.sort_array(near, asc=False), lambda x: -x["i"])).drop("_centres", "_unit")
+
+
+def probes_for(index: DataFrame, queries: DataFrame, k: int, recall: float = 0.97) -> int:
+    """The lists to read for each query so that this share of its k nearest is found: measured on FEW of the queries
+    (rows of with_lists, by a hash of their id) against all vectors. Vectors in clumps need few lists, evenly spread
+    ones more than half."""
+    few = queries.orderBy(F.xxhash64("query_id")).limit(FEW)
+    hits = top_k(similarities(index, few), k).select("query_id", "tile_id")
+    place = F.array_position("lists", F.col("list"))
+    at = hits.join(index.select("tile_id", "list"), "tile_id").join(few.select("query_id", "lists"), "query_id").select(place.alias("place"))
+    most = at.agg(F.percentile("place", F.lit(recall))).first()[0]
+    return math.ceil(most or 1)
+
+
+def similarities_in_lists(index: DataFrame, queries: DataFrame, probes: int, parts: int = 8) -> DataFrame:
+    """similarities of queries (rows of with_lists) with the vectors of their `probes` nearest lists. A list is dealt
+    into `parts` shares, so that a large one is several groups."""
+    q = queries.select("query_id", "query", F.explode(F.slice("lists", 1, probes)).alias("list"))
+    q = q.select("*", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("_p"))
+    t = index.withColumn("_p", F.pmod(F.xxhash64("tile_id"), F.lit(parts)).cast("int"))
+    return t.join(q, ["list", "_p"]).select("query_id", "tile_id", "scene_id", dot(F.col("embedding"), F.col("query")).alias("similarity"))

@@ -328,6 +328,16 @@ def knn_exact(spark, d):
     return vector.shown(vector.top_k(_scored(spark, d), 10))
 
 
+@query()
+def knn_indexed(spark, d):
+    """V2 through an index of lists, read as far as recall needs; a test holds its recall against knn_exact."""
+    tiles = load(spark, d, "tiles")
+    model = vector.fit_lists(tiles)
+    index, queries = vector.indexed(tiles, model), vector.with_lists(_query_tiles(tiles), model)
+    probes = vector.probes_for(index, queries, 10)
+    return vector.shown(vector.top_k(vector.similarities_in_lists(index, queries, probes), 10))
+
+
 @query(_ranked("scene_id in (2, 4)", 5))
 def knn_scoped(spark, d):
     return vector.shown(vector.top_k(_scored(spark, d).where(F.col("scene_id").isin(2, 4)), 5))
@@ -656,6 +666,28 @@ def embedding_status(spark, d):
     return catalog.embedding_status(places, load(spark, d, "tiles").where("tile_id % 20 <> scene_id"), running)
 
 
+@query("""with e as (select pipeline_id, min(seq) as end_seq, arg_min(state, seq) as pipeline_state from {step_events} where step is null group by pipeline_id),
+    s as (select v.pipeline_id, step, coalesce(any_value(pipeline_state), 'running') as pipeline_state, min(seq) as first_seq, arg_max(state, seq) as noted, arg_max(done, seq) filter (where total is not null) as done, max(total) as total,
+        min(noted_at) filter (where state = 'active') as began, max(noted_at) filter (where state in ('done', 'failed', 'skipped')) as ended
+      from {step_events} v left join e on v.pipeline_id = e.pipeline_id where step is not null and (end_seq is null or seq < end_seq) group by v.pipeline_id, step)
+    select pipeline_id, pipeline_state, (select count(*) from s o where o.pipeline_id = s.pipeline_id and o.first_seq <= s.first_seq) as place, step,
+        case when pipeline_state = 'done' and noted in ('pending', 'active') then 'skipped'
+             when pipeline_state = 'failed' and noted = 'active' and not exists (select 1 from s o where o.pipeline_id = s.pipeline_id and o.noted = 'active' and o.first_seq < s.first_seq) then 'failed' else noted end as state,
+        done, total, case when ended >= began then (epoch_us(ended) - epoch_us(began)) / 1e6 end as seconds from s""")
+def step_progress(spark, d):
+    """I6."""
+    return catalog.step_progress(load(spark, d, "step_events"))
+
+
+@query(f"select candidate_id, {sql_round('(min_x * 15 - 180)', 6)} as lon, {sql_round('(min_y * 8 - 76)', 6)} as lat from {{candidates}}")
+def utm_and_back(spark, d):
+    """F37 both ways: the SQL is what went in."""
+    lat = F.col("min_y") * 8 - 76
+    at = S.utm(F.col("min_x") * 15 - 180, lat)
+    back = S.lonlat(at["zone"], at["easting"], at["northing"], lat < 0)
+    return load(spark, d, "candidates").select("candidate_id", *[F.round(back[k], 6).alias(k) for k in ("lon", "lat")])
+
+
 @query("select tile_id, row_number() over (order by tile_id) - 1 as dense_id from {tiles} where scene_id <> 3")
 def renumber_ids(spark, d):
     return vector.renumbered(load(spark, d, "tiles").where("scene_id <> 3").select("tile_id"), "tile_id")

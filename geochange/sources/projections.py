@@ -83,6 +83,13 @@ PROJECTIONS: dict[str, str] = {
         select r, c from (select cast(floor(event_id / 100) as bigint) as r, event_id % 100 as c from {events}) x
         where (r % 17 < 9 and c % 19 < 11 and (r * 31 + c * 17) % 23 <> 0) or (r * 13 + c * 7) % 41 = 0""",
     "latencies": "select event_type as kind, event_id, ts, value from {events}",
+    # What imports report of their steps; a row without a step ends an import.
+    "step_events": """
+        select user_id as pipeline_id, event_id as seq, ts as noted_at, case when event_id % 17 = 0 then null else 'step_' || (event_id % 11) end as step,
+               case when event_id % 17 = 0 then case when event_id % 2 = 0 then 'failed' else 'done' end
+                    else case event_id * 3 % 5 when 0 then 'pending' when 1 then 'active' when 2 then 'active' when 3 then 'done' else 'skipped' end end as state,
+               case when event_id * 3 % 5 = 2 then event_id % 50 end as done, case when event_id * 3 % 5 = 2 then 50 end as total
+        from {events}""",
     "products": """
         select p_partkey as id,
                case p_partkey % 7
