@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
 from ..params import P
+from .raster import kept
 
 
 def _cells(lo: Column, hi: Column, size: float) -> Column:
@@ -55,14 +58,41 @@ def footprint_pairs(scenes: DataFrame, cell: float = 2.0) -> DataFrame:
     )
 
 
-def pair_plan(scenes: DataFrame) -> DataFrame:
-    """For each scene the nearest earlier and the nearest later scene of its sensor with enough overlap. One
-    date never pairs; ties go to the smaller id."""
-    near = footprint_pairs(scenes).where((F.col("overlap") >= P.min_overlap) & (F.col("acquired") != F.col("other_acquired")))
-    earlier, later = F.col("other_acquired") < F.col("acquired"), F.col("other_acquired") > F.col("acquired")
-    best_before = F.max(F.when(earlier, F.struct("other_acquired", (-F.col("other_id")).alias("k"))))
-    best_after = F.min(F.when(later, F.struct("other_acquired", F.col("other_id").alias("k"))))
-    return near.groupBy("scene_id").agg((-best_before["k"]).alias("before_id"), best_after["k"].alias("after_id"))
+def pair_plan(scenes: DataFrame, subjects: DataFrame | None = None, cell: float = 2.0, near: int = 8, grow: int = 4) -> DataFrame:
+    """For each scene the nearest earlier and the nearest later scene of its sensor with enough overlap; with
+    subjects (scene_id) for those alone. One date never pairs; ties go to the smaller id.
+
+    A scene looks in its own span of days and the two beside it, which hold the nearest one if they hold any; what is
+    not found is looked for in spans `grow` times as long, the last of which hold everything. The first span has about
+    `near` scenes of a place, so that work grows with scenes near in time and not with the square of all revisits."""
+    rows = scenes.select("scene_id", "sensor", "acquired", *S.BOX, F.unix_date(F.col("acquired").cast("date")).alias("day"))
+    place = F.struct("sensor", F.floor(F.col("min_x") / cell).alias("x"), F.floor(F.col("min_y") / cell).alias("y"))
+    n, first, last, places = rows.agg(F.count("day"), F.min("day"), F.max("day"), F.approx_count_distinct(place)).first()
+    span = last - first + 1 if n else 1
+    days = max(1, near * span * places // n) if n else 1
+    todo = rows if subjects is None else rows.join(subjects.select("scene_id").distinct(), "scene_id", "left_semi")
+    todo = todo.withColumns({"ask_before": F.lit(True), "ask_after": F.lit(True)})
+    before = F.col("l.ask_before") & (F.col("r.acquired") < F.col("l.acquired"))
+    after = F.col("l.ask_after") & (F.col("r.acquired") > F.col("l.acquired"))
+    other = (F.col("l.scene_id") != F.col("r.scene_id")) & (S.overlap_fraction(S.box("l."), S.box("r.")) >= P.min_overlap)
+    best_before = F.max(F.when(before, F.struct(F.col("r.acquired").alias("d"), (-F.col("r.scene_id")).alias("k"))))
+    best_after = F.min(F.when(after, F.struct(F.col("r.acquired").alias("d"), F.col("r.scene_id").alias("k"))))
+    parts = []
+    while True:
+        own = F.floor(F.col("day") / days)
+        around = rows.withColumn("span", F.explode(F.array(own - 1, own, own + 1)))
+        both = box_join(todo.withColumn("span", own), around, cell, (before | after) & other, ("sensor", "span"))
+        found = both.groupBy(F.col("l.scene_id").alias("scene_id")).agg((-best_before["k"]).alias("before_id"), best_after["k"].alias("after_id"))
+        if days >= span:
+            parts.append(found)
+            break
+        parts.append(kept(found))
+        todo = todo.join(parts[-1], "scene_id", "left").withColumns({f"ask_{s}": F.col(f"ask_{s}") & F.col(f"{s}_id").isNull() for s in ("before", "after")})
+        todo = todo.where("ask_before or ask_after").drop("before_id", "after_id")
+        days *= grow
+    if len(parts) == 1:
+        return parts[0]
+    return reduce(DataFrame.union, parts).groupBy("scene_id").agg(*[F.max(c).alias(c) for c in ("before_id", "after_id")])
 
 
 def planned_jobs(plan: DataFrame) -> DataFrame:

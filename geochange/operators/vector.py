@@ -66,12 +66,19 @@ def percentile_in_scene(scored: DataFrame) -> DataFrame:
     return scored.withColumn("percentile", F.cume_dist().over(over))
 
 
-def midrank_percentile(rows: DataFrame, group: str, value: str) -> DataFrame:
-    """Each row against the pool of its group's values, ties by half: (smaller + not larger) / 2 / n."""
-    over = Window.partitionBy(group).orderBy(value)
-    upto = over.rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    n = F.count("*").over(Window.partitionBy(group))
-    return rows.withColumn("percentile", (F.rank().over(over) - 1 + F.count("*").over(upto)) / 2 / n)
+def midrank_percentile(rows: DataFrame, group: str, value: str, buckets: int = 256) -> DataFrame:
+    """Each row against the pool of its group's values, ties by half: (smaller + not larger) / 2 / n. Null values
+    are the smallest. Values are counted first; running counts are in two steps, within sampled ranges of a group's
+    values and over the ranges, so that a hot group is as many tasks' work as it has ranges."""
+    cuts = sorted(set(rows.approxQuantile(value, [i / buckets for i in range(1, buckets)], 0.2 / buckets)))
+    bucket = F.aggregate(F.array(*[F.lit(float(x)) for x in cuts]), F.lit(0), lambda n, x: n + (F.col("_v") >= x).cast("int")) if cuts else F.lit(0)
+    counts = rows.groupBy(F.col(group).alias("_g"), F.col(value).alias("_v")).agg(F.count("*").alias("_n")).withColumn("_b", F.coalesce(bucket, F.lit(-1)))
+    ranges = counts.groupBy("_g", "_b").agg(F.sum("_n").alias("_s"))  # at most `buckets` + 1 rows a group
+    ranges = ranges.select(F.col("_g").alias("_h"), F.col("_b").alias("_c"), (F.sum("_s").over(Window.partitionBy("_g").orderBy("_b")) - F.col("_s")).alias("_off"), F.sum("_s").over(Window.partitionBy("_g")).alias("_total"))
+    placed = counts.withColumn("_in", F.sum("_n").over(Window.partitionBy("_g", "_b").orderBy("_v")))
+    placed = placed.join(ranges, F.col("_g").eqNullSafe(F.col("_h")) & (F.col("_b") == F.col("_c")))
+    pct = placed.select("_g", "_v", ((2 * (F.col("_off") + F.col("_in")) - F.col("_n")) / 2 / F.col("_total")).alias("percentile"))
+    return rows.join(pct, rows[group].eqNullSafe(F.col("_g")) & rows[value].eqNullSafe(F.col("_v"))).drop("_g", "_v")
 
 
 def renumbered(rows: DataFrame, key: str, buckets: int = 64) -> DataFrame:

@@ -129,7 +129,7 @@ def detect(pixels: DataFrame, width: int, same_tile: bool = True, normalise: boo
     centre = own.groupBy("group").agg((F.avg("c") + 0.5).alias("centre_x"), (F.avg("r") + 0.5).alias("centre_y"))
     rings = alignment.outlines(labels).join(groups.select("label", "group"), "label").groupBy("group").agg(F.array_sort(F.collect_list("ring")).alias("outline"))
     merged = merged.join(members.select("candidate_id", "evidence"), "candidate_id").join(centre, "group").join(rings, "group").withColumn("_job", F.lit(0))
-    kept = catalog.area_capped(merged, "_job", P.store_cap, P.area_reserve).drop("_job", "reserved", "place_in_job")
+    kept = catalog.area_capped(raster.kept(merged), "_job", P.store_cap, P.area_reserve).drop("_job", "reserved", "place_in_job")
     return Detection("completed", trace, kept)
 
 

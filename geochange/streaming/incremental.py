@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import scalar as S
 from ..operators import spatial
 
 
@@ -35,9 +36,9 @@ def pair_stream(scenes: DataFrame, catalog_path: str, jobs_path: str, checkpoint
         fresh = batch.dropDuplicates(["scene_id"]).join(known, "scene_id", "left_anti")
         fresh.write.mode("append").parquet(catalog_path)
         everything = spark.read.schema(schema).parquet(catalog_path)
-        # Only the sensors of the batch can have new pairs.
-        touched = everything.join(batch.select("sensor").distinct(), "sensor", "left_semi")
-        planned = spatial.planned_jobs(spatial.pair_plan(touched))
+        # Only a scene that a new one meets, itself included, can have a new pair.
+        met = spatial.box_join(batch.select("sensor", *S.BOX), everything.select("scene_id", "sensor", *S.BOX), 2.0, keys=("sensor",))
+        planned = spatial.planned_jobs(spatial.pair_plan(everything, met.select(F.col("r.scene_id").alias("scene_id"))))
         planned.join(_log(spark, jobs_path, planned.schema), ["scene_a", "scene_b"], "left_anti").write.mode("append").parquet(jobs_path)
 
     return scenes.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
