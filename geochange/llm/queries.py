@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, common, exact_dedup, language, line_dedup, mixing, quality, simhash, sketch, toxicity
+from . import bpe, chat, clustering, common, exact_dedup, language, line_dedup, mixing, packing, quality, simhash, sketch, toxicity, whitening
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -81,13 +81,40 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_deleted", F.length("text").cast("long").alias("chars_left"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("text_sha256"))
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.cluster(common.table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(common.table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+def op13_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(common.table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_file(), ids=False)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_toxicity, op2_mixing, op3_bpe, op4_fingerprints, op5_exact_dedup, op6_language, op7_simhash, op8_chat, op9_quality, op10_line_dedup)
+    found = (op1_toxicity, op2_mixing, op3_bpe, op4_fingerprints, op5_exact_dedup, op6_language, op7_simhash, op8_chat, op9_quality, op10_line_dedup, op11_centroid_clustering, op12_embedding_whitening, op13_best_fit_packing)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mixing": MIXING_SQL, "op5_exact_dedup": EXACT_SQL, "op10_line_dedup": LINES_SQL}
+    return {"op2_mixing": MIXING_SQL, "op5_exact_dedup": EXACT_SQL, "op10_line_dedup": LINES_SQL, "op11_centroid_clustering": _clustering_sql()}
+
+
+def _clustering_sql(k: int = 40, rounds: int = 5) -> str:
+    """Every distance to every centroid in whole numbers; a round is two steps."""
+    parts = ["""t as materialized (select row_number() over () as i, vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as v from embeddings
+  where len(embedding) = 64 and list_bool_and(list_transform(embedding, lambda x: x is not null and isfinite(x))))""", f"""c0 as materialized (select row_number() over (order by h, v) - 1 as c, v from (select sha256('2:' || coalesce(cast(vec_id as varchar), '')) as h, v from t order by h, v limit {k}))"""]
+    far = "cast(list_sum(list_transform(list_zip(t.v, m.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) as bigint)"
+    for r in range(rounds + 1):
+        parts.append(f"a{r} as materialized (select t.i, min(struct_pack(d := {far}, c := m.c)) as b from t cross join c{r} m group by t.i)")
+        if r < rounds:
+            parts.append(f"""s{r} as materialized (select c, j, sum(x) as s, count(*) as n from (select a.b.c as c, unnest(range(1, 65)) as j, unnest(t.v) as x from t join a{r} a on t.i = a.i) group by c, j)""")
+            parts.append(f"""c{r + 1} as materialized (select m.c, coalesce(o.v, m.v) as v from c{r} m left join (select c, list(cast((s - ((s % n) + n) % n) // n as bigint) order by j) as v from s{r} group by c) o on m.c = o.c)""")
+    last = f"""select t.vec_id, cast(a.b.c as int) as cluster, a.b.d as distance, cast(sum(a.b.d) over (partition by a.b.c) as bigint) as cluster_inertia, cast(sum(a.b.d) over () as bigint) as inertia, sha256(array_to_string(m.v, ',')) as centroid_sha256
+  from t join a{rounds} a on t.i = a.i join c{rounds} m on m.c = a.b.c"""
+    return "with " + ",\n".join(parts) + "\n" + last
 
 
 EXACT_SQL = """
