@@ -16,6 +16,7 @@ MAX_SHIFT = 32.0
 MIN_RHO = 0.8
 STEPS = 100
 EPSILON = 1e-6
+IDENTITY = 0.02
 
 
 def standardised(img: np.ndarray, ok: np.ndarray) -> np.ndarray | None:
@@ -88,18 +89,16 @@ def decimation(height: int, width: int) -> int:
     return factor
 
 
-def same_grid(a: dict, b: dict) -> bool:
-    """R2: grids (crs, width, height, transform of six numbers) are one: the numbers within a millionth of the pixel's size or of themselves."""
-    if any(a[k] != b[k] for k in ("crs", "width", "height")):
-        return False
-    return all(abs(x - y) <= 1e-6 * max(1.0, abs(x)) for x, y in zip(a["transform"], b["transform"], strict=True))
+def decimated(pairs: DataFrame, factor: int) -> DataFrame:
+    """Block means of pixels (pair_id, r, c, a, b, valid); a block is valid if all of it is."""
+    return pairs.groupBy("pair_id", F.floor(F.col("r") / factor).alias("r"), F.floor(F.col("c") / factor).alias("c")).agg(F.avg("a").alias("a"), F.avg("b").alias("b"), F.bool_and("valid").alias("valid"))
 
 
-def register(pairs: DataFrame, factor: int = 1) -> DataFrame:
+def register(pairs: DataFrame, factor: int = 1, decimate: bool = True) -> DataFrame:
     """For pixels (pair_id, r, c, a, b, valid) of pairs, each pair's angle and shift of b against a in
     pixels, the correlation, the largest shift of a corner, and status: aligned, identity (under 0.02 pixels) or
-    alignment_failed (flat, correlation under 0.8 or a corner over 32 pixels). factor: decimation, by block means in Spark."""
-    small = pairs.groupBy("pair_id", F.floor(F.col("r") / factor).alias("r"), F.floor(F.col("c") / factor).alias("c")).agg(F.avg("a").alias("a"), F.avg("b").alias("b"), F.bool_and("valid").alias("valid"))
+    alignment_failed (flat, correlation under 0.8 or a corner over 32 pixels). factor: decimation, by block means in Spark, done before where `decimate` is off."""
+    small = decimated(pairs, factor) if decimate else pairs
 
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
         h, w = int(pdf.r.max()) + 1, int(pdf.c.max()) + 1
@@ -116,7 +115,7 @@ def register(pairs: DataFrame, factor: int = 1) -> DataFrame:
         dx, dy = dx * factor, dy * factor
         half = np.hypot(h, w) / 2 * factor
         corner = float(np.hypot(dx, dy) + abs(angle) * half)
-        status = "alignment_failed" if rho < MIN_RHO or corner > MAX_SHIFT else "identity" if corner < 0.02 else "aligned"
+        status = "alignment_failed" if rho < MIN_RHO or corner > MAX_SHIFT else "identity" if corner < IDENTITY else "aligned"
         return pd.DataFrame({"pair_id": [pdf.pair_id.iloc[0]], "angle": [angle], "dx": [dx], "dy": [dy], "rho": [rho], "max_shift": [corner], "status": [status]})
 
     return small.groupBy("pair_id").applyInPandas(work, "pair_id long, angle double, dx double, dy double, rho double, max_shift double, status string")

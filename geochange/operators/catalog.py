@@ -141,7 +141,8 @@ def write_features(features: DataFrame, path: str) -> None:
 
 
 def area_capped(candidates: DataFrame, partition: str, cap: int, reserve: int, floor: float = P.stored_confidence) -> DataFrame:
-    """Of each partition the `reserve` largest, then by confidence up to `cap`; below the floor nothing.
+    """Of each partition the `reserve` largest (of equal ones the surer), then by confidence, of equals the
+    larger, up to `cap`; below the floor nothing.
     Either list is cut in each task before the shuffle; of the `cap` surest at most as many are reserved as there are
     reserved rows, so the two together hold all that is kept. candidate_id is a key."""
     rows = candidates.where(F.col("confidence") >= floor)
@@ -150,11 +151,11 @@ def area_capped(candidates: DataFrame, partition: str, cap: int, reserve: int, f
         numbered = rows.withColumn("_n", F.row_number().over(Window.partitionBy(partition).orderBy(*order)))
         return numbered.where(F.col("_n") <= n).drop("_n").withColumn("reserved", F.lit(reserved))
 
-    large = best([F.desc("area_px"), F.asc("candidate_id")], reserve, True)
-    sure = best([F.desc("confidence"), F.asc("candidate_id")], cap, False)
+    large = best([F.desc("area_px"), F.desc("confidence"), F.asc("candidate_id")], reserve, True)
+    sure = best([F.desc("confidence"), F.desc("area_px"), F.asc("candidate_id")], cap, False)
     once = Window.partitionBy(partition, "candidate_id").orderBy(F.desc("reserved"))
     both = large.unionByName(sure).withColumn("_n", F.row_number().over(once)).where("_n = 1").drop("_n")
-    by_conf = Window.partitionBy(partition).orderBy(F.desc("reserved"), F.desc("confidence"), F.asc("candidate_id"))
+    by_conf = Window.partitionBy(partition).orderBy(F.desc("reserved"), F.desc("confidence"), F.desc("area_px"), F.asc("candidate_id"))
     return both.withColumn("place_in_job", F.row_number().over(by_conf)).where(F.col("place_in_job") <= cap)
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar as S
 from ..params import P
+from . import resampling
 
 #: Rows and columns of a chunk for neighbourhood work; a task holds one chunk and its halo.
 CHUNK = 1024
@@ -19,33 +21,49 @@ CHUNK = 1024
 
 BANDS = ("b02", "b03", "b04", "b08")
 
+#: What a reflectance of 1 is in a raster of a type; in any other 1.
+DN_SCALE = {"uint16": 10000.0, "uint8": 255.0}
+
+
+def dn_scale(dtype: str) -> float:
+    """F15."""
+    return DN_SCALE.get(dtype, 1.0)
+
 
 def validity(pixels: DataFrame, date: str) -> Column:
     """R1 of one date: a band of 0 or null has no data; without a mask column only that counts."""
-    data = reduce(lambda x, y: x & y, [F.coalesce(F.col(f"{b}_{date}") != 0, F.lit(False)) for b in BANDS])
+    data = reduce(lambda x, y: x & y, [F.coalesce(F.col(f"{b}_{date}") != 0, F.lit(False)) for b in bands_of(pixels)])
     return data & F.coalesce(S.valid_scl(F.col(f"scl_{date}")), F.lit(True)) if f"scl_{date}" in pixels.columns else data
 
 
-def pixel_features(pixels: DataFrame) -> DataFrame:
-    """R1, R12, F13-F17 in one pass: validity of both dates, and where both are valid the NIR difference, dNDVI, class
-    of each date and brightness gain; null elsewhere. A pixel is valid on a date if its mask's class is, or there is no
-    mask, and every band has data."""
-    refl = {f"{b}_{d}": F.col(f"{b}_{d}") / 10000.0 for b in ("b02", "b03", "b04", "b08") for d in "ab"}
-    ndvi = {d: S.ratio(refl[f"b08_{d}"], refl[f"b04_{d}"]) for d in "ab"}
-    ndwi = {d: S.ratio(refl[f"b03_{d}"], refl[f"b08_{d}"]) for d in "ab"}
-    light = {d: S.brightness(refl[f"b02_{d}"], refl[f"b03_{d}"], refl[f"b04_{d}"]) for d in "ab"}
+def bands_of(pixels: DataFrame) -> tuple[str, ...]:
+    """The bands that a pixel table has of both dates."""
+    return tuple(b for b in BANDS if f"{b}_a" in pixels.columns and f"{b}_b" in pixels.columns)
+
+
+def pixel_features(pixels: DataFrame, scale: float = 10000.0, offsets: tuple[float, ...] = (0.0, 0.0, 0.0, 0.0)) -> DataFrame:
+    """R1, R12, F13-F17 in one pass: validity of both dates, and where both are valid the difference, dNDVI, class of each
+    date and brightness gain; null elsewhere. A pixel is valid on a date if its mask's class is, or there is no mask, and
+    every band has data. The difference is of the NIR band; where the table lacks one, of the mean of the bands that it
+    has, and then there are no classes, dNDVI and gain. scale: numbers of a band that are a reflectance of 1 (see
+    dn_scale); offsets: of each band, added before the division (they cancel out in a difference)."""
+    own = bands_of(pixels)
+    refl = {f"{b}_{d}": (F.col(f"{b}_{d}") + F.lit(offsets[BANDS.index(b)])) / F.lit(scale) for b in own for d in "ab"}
     valid = validity(pixels, "a") & validity(pixels, "b")
     out = pixels.withColumn("valid", valid)
-    return out.select(
-        "r",
-        "c",
-        "valid",
-        F.when(F.col("valid"), F.abs(refl["b08_b"] - refl["b08_a"])).alias("diff"),
-        F.when(F.col("valid"), ndvi["b"] - ndvi["a"]).alias("dndvi"),
-        F.when(F.col("valid"), S.pixel_class(ndvi["a"], ndwi["a"])).alias("class_a"),
-        F.when(F.col("valid"), S.pixel_class(ndvi["b"], ndwi["b"])).alias("class_b"),
-        F.when(F.col("valid"), S.brightness_gain(light["a"], light["b"])).alias("gain"),
-    )
+    if "b08" in own:
+        change = (F.col("b08_b") - F.col("b08_a")) / F.lit(scale)
+    else:
+        change = sum((F.col(f"{b}_b") - F.col(f"{b}_a") for b in own), F.lit(0.0)) / F.lit(scale * len(own))
+    found = {"diff": F.abs(change)}
+    if len(own) == len(BANDS):
+        ndvi = {d: S.ratio(refl[f"b08_{d}"], refl[f"b04_{d}"]) for d in "ab"}
+        ndwi = {d: S.ratio(refl[f"b03_{d}"], refl[f"b08_{d}"]) for d in "ab"}
+        light = {d: S.brightness(refl[f"b02_{d}"], refl[f"b03_{d}"], refl[f"b04_{d}"]) for d in "ab"}
+        found |= {"dndvi": ndvi["b"] - ndvi["a"]} | {f"class_{d}": S.pixel_class(ndvi[d], ndwi[d]) for d in "ab"} | {"gain": S.brightness_gain(light["a"], light["b"])}
+    else:
+        found |= {"dndvi": F.lit(None).cast("double"), "class_a": F.lit(None).cast("string"), "class_b": F.lit(None).cast("string"), "gain": F.lit(None).cast("double")}
+    return out.select("r", "c", "valid", *[F.when(F.col("valid"), x).alias(k) for k, x in found.items()])
 
 
 def scene_stats(pixels: DataFrame, scl: str) -> DataFrame:
@@ -85,45 +103,107 @@ def regression(pixels: DataFrame, a: str, b: str) -> DataFrame:
     return pixels.where(F.col(a).isNotNull() & F.col(b).isNotNull()).agg(F.count("*").alias("n"), F.when(ok, slope).otherwise(1.0).alias("slope"), F.when(ok, cut).otherwise(0.0).alias("intercept"))
 
 
-def invariant_fit(pixels: DataFrame, a: str, b: str) -> DataFrame:
-    """Fit, keep the fifth of pixels with the smallest residuals, fit again; a round sends back three numbers."""
-    rows = pixels.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(a, b)
-    fit = regression(rows, a, b).first()
-    near = rows
-    for _ in range(P.pif_iterations):
-        residual = F.abs(F.col(a) - (F.col(b) * fit["slope"] + fit["intercept"]))
-        cut = quantiles(rows, residual, (P.pif_percentile,))[0]
-        if cut is None:
-            break
-        near = rows.where(residual <= cut)
-        again = regression(near, a, b).first()
-        moved = abs(again["slope"] - fit["slope"])
-        fit = again
-        if moved <= P.pif_tolerance + 1e-5 * abs(again["slope"]):
+@dataclass(frozen=True)
+class Fit:
+    """tier: pif, or identity where there was too little to fit; notes: why, or which bands stay as they are."""
+
+    slope: tuple[float, ...]
+    intercept: tuple[float, ...]
+    n: int
+    threshold: float
+    tier: str
+    iterations: int = 0
+    initial: tuple[float, ...] | None = None
+    notes: tuple[str, ...] = ()
+
+
+def _band_sums(rows: DataFrame, pairs: list[tuple[str, str]]) -> tuple[int, list[tuple[float, ...]]]:
+    """Of all bands in one pass: the number of rows, and each band's sums of a, b, b * b and a * b."""
+    own = [F.sum(x.cast("double")) for a, b in pairs for x in (F.col(a), F.col(b), F.col(b) * F.col(b), F.col(a) * F.col(b))]
+    n, *sums = rows.agg(F.count("*"), *own).first()
+    return n, [tuple(sums[4 * i : 4 * i + 4]) for i in range(len(pairs))]
+
+
+def _solved(n: int, sums: list[tuple[float, ...]]) -> tuple[tuple[float, ...], tuple[float, ...], tuple[str, ...]]:
+    """A line for each band from its sums; a band hardly varies, or has a gain that can't be, stays as it is."""
+    slope, intercept, notes = [], [], []
+    low, high = P.pif_slope
+    for i, (a, b, bb, ab) in enumerate(sums, 1):
+        var, cov = bb / n - (b / n) ** 2, ab / n - a / n * (b / n)
+        gain = cov / var if var > 1e-9 else None
+        fine = gain is not None and low <= gain <= high
+        if not fine:
+            notes.append(f"band {i}: PIF pixels have no variance; left unchanged" if gain is None else f"band {i}: fitted gain {gain:.3f} outside [{low}, {high}]; left unchanged")
+        slope.append(gain if fine else 1.0)
+        intercept.append(a / n - gain * b / n if fine else 0.0)
+    return tuple(slope), tuple(intercept), tuple(notes)
+
+
+def invariant_fit(pixels: DataFrame, pairs: list[tuple[str, str]], rows: int = P.strip_rows, strips: int = P.pif_strips) -> Fit:
+    """Lines that put each pair's second band on the scale of its first, all bands at once.
+
+    The first lines are fitted to all pixels, without a choice among them; then twice the fifth with the least residual is
+    kept, the mean over the bands of what a pixel is off its line, and fitted again, until no gain moves. The first lines and
+    the residuals' quantile are of the pixels in every so-many-th strip of `rows` rows, about `strips` of them (all in a
+    raster of fewer), the fits that count of all. pixels: (r, and the bands), valid ones. The driver sees the sums of a pass.
+    """
+    k = len(pairs)
+    own = pixels.select("r", *dict.fromkeys(c for p in pairs for c in p)).na.drop()
+    one = (1.0,) * k, (0.0,) * k
+
+    def identity(reason: str, n: int = 0, threshold: float = 0.0) -> Fit:
+        return Fit(*one, n, threshold, "identity", notes=(reason,))
+
+    strip = F.floor(F.col("r") / rows)
+    held = own.groupBy(strip.alias("s")).agg(F.count("*").alias("n")).orderBy("s").collect()  # a row a strip
+    if sum(x["n"] for x in held) < P.pif_min_pixels:
+        return identity("too few valid pixels")
+    step = max(1, len(held) // strips)
+    sample = own if step == 1 else own.where(strip.isin([x["s"] for x in held[::step]]))
+    n, sums = _band_sums(sample, pairs)
+    if n < P.pif_min_pixels:
+        return identity(f"only {n} valid pixels to fit", n)
+    slope, intercept, notes = _solved(n, sums)
+    initial, cut, done = tuple(round(x, 5) for x in slope), 0.0, 0
+    for i in range(P.pif_iterations):
+        off = [F.abs(F.col(a) - (F.col(b) * s + o)) for (a, b), s, o in zip(pairs, slope, intercept, strict=True)]
+        residual = reduce(lambda x, y: x + y, off) / k
+        cut = quantiles(sample, residual, (P.pif_percentile,))[0]
+        m, sums = _band_sums(own.where(residual <= cut), pairs)
+        if m < P.pif_min_pixels:
+            return identity(f"only {m} pseudo-invariant pixels", m, cut)
+        again, intercept, notes = _solved(m, sums)
+        still = all(abs(x - y) <= P.pif_tolerance + 1e-5 * abs(y) for x, y in zip(again, slope, strict=True))
+        slope, n, done = again, m, i + 1
+        if still:
             break
-    return regression(near, a, b).select("n", F.round("slope", 6).alias("slope"), F.round("intercept", 6).alias("intercept"))
-
-
-def two_means(values: DataFrame, value: str, rounds: int = 100) -> DataFrame:
-    """Centroids of two classes of a number, from its extremes; each round is one aggregate that sends back two
-    numbers. threshold is their midpoint, null where all values are alike or it is under the least magnitude. Rounds
-    run over the distinct values with their counts, which are written once: for bands of 16 bits 65536 at most."""
-    rows = kept(values.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count("*").alias("n")))
-    lo, hi = rows.agg(F.min("v"), F.max("v")).first()
-    if lo is None or lo == hi:
-        return rows.agg(F.lit(lo).cast("double").alias("low"), F.lit(hi).cast("double").alias("high"), F.lit(None).cast("double").alias("threshold"))
-    total = F.col("v") * F.col("n")
-    for _ in range(rounds):
-        near = F.col("v") <= (lo + hi) / 2
-        part = lambda hit: F.sum(F.when(hit, total)) / F.sum(F.when(hit, F.col("n")))
-        a, b = rows.agg(part(near), part(~near)).first()
-        done = abs(a - lo) < 1e-12 and abs(b - hi) < 1e-12
-        lo, hi = a, b
+    return Fit(slope, intercept, n, cut, "pif", done, initial, notes)
+
+
+def two_means(values: DataFrame, value: str, least: float = P.min_magnitude, bins: int = 1 << 14) -> DataFrame:
+    """The two classes of a number with the least sum of squares. low, high: their means; threshold: the mean of the
+    two, null where all values are alike or the class of change, the higher one, has a mean under `least`.
+
+    One pass counts and adds up the values in bins, whatever their number; the best cut between bins is the start of exact
+    passes over the values, each of which sends back two means, until these stay."""
+    v = F.col(value)
+    lo, hi = values.agg(F.min(v), F.max(v)).first()
+    if lo is None or hi - lo < 1e-9:
+        return values.sparkSession.createDataFrame([(None if lo is None else float(lo), None if hi is None else float(hi), None)], "low double, high double, threshold double")
+    place = F.least(F.floor((v - F.lit(float(lo))) / F.lit((float(hi) - float(lo)) / bins)), F.lit(bins - 1))
+    rows = values.where(v.isNotNull()).groupBy(place.alias("b")).agg(F.count("*").alias("n"), F.sum(v.cast("double")).alias("s")).orderBy("b").toPandas()  # at most `bins` rows
+    n, s = rows["n"].to_numpy(float).cumsum(), rows["s"].to_numpy(float).cumsum()
+    between = s[:-1] ** 2 / n[:-1] + (s[-1] - s[:-1]) ** 2 / (n[-1] - n[:-1])
+    at = int(between.argmax())
+    low, high = s[at] / n[at], (s[-1] - s[at]) / (n[-1] - n[at])
+    for _ in range(100):
+        near = v <= F.lit((low + high) / 2)
+        a, b = values.agg(F.avg(F.when(near, v)), F.avg(F.when(~near, v))).first()
+        done = abs(a - low) < 1e-12 and abs(b - high) < 1e-12
+        low, high = float(a), float(b)
         if done:
             break
-    mid = F.lit((lo + hi) / 2)
-    one = rows.agg(F.lit(lo).alias("low"), F.lit(hi).alias("high"))
-    return one.withColumn("threshold", F.when(mid >= P.min_magnitude, mid))
+    return values.sparkSession.createDataFrame([(low, high, (low + high) / 2 if high >= least else None)], "low double, high double, threshold double")
 
 
 def quantiles(rows: DataFrame, value: Column | str, shares: tuple[float, ...], buckets: int = 256) -> list[float | None]:
@@ -350,15 +430,12 @@ def blob_classes(features: DataFrame, labels: DataFrame) -> DataFrame:
     return out.withColumns({"direction": direction, "change_type": kind})
 
 
-def regridded(pixels: DataFrame, value: str, shift_r: Column | float, shift_c: Column | float) -> DataFrame:
+def regridded(pixels: DataFrame, value: str, shift_r: float, shift_c: float) -> DataFrame:
     """R3, R9 for a shift: bilinear values of the source at (r + shift_r, c + shift_c); a neighbour with weight that is
     missing or null makes the result null."""
-    fr, fc = F.lit(shift_r) - F.floor(F.lit(shift_r)), F.lit(shift_c) - F.floor(F.lit(shift_c))
-    base_r, base_c = F.col("r") - F.floor(F.lit(shift_r)), F.col("c") - F.floor(F.lit(shift_c))
-    parts = [F.struct((base_r - i).alias("r"), (base_c - j).alias("c"), (((fr if i else 1 - fr)) * (fc if j else 1 - fc)).alias("w")) for i in (0, 1) for j in (0, 1)]
-    spread = pixels.select(F.explode(F.array(*parts)).alias("p"), F.col(value).alias("v")).where("p.w > 0").select("p.r", "p.c", "p.w", "v")
-    out = spread.groupBy("r", "c").agg(F.sum(F.col("w") * F.col("v")).alias(value), F.sum(F.when(F.col("v").isNotNull(), F.col("w"))).alias("_w"))
-    return out.join(pixels.select("r", "c"), ["r", "c"], "left_semi").select("r", "c", F.when(F.col("_w") > 1 - 1e-9, F.col(value)).alias(value))
+    height, width = pixels.agg(F.max("r") + 1, F.max("c") + 1).first()
+    made = resampling.resampled(pixels, [value], lambda r, c: (r + shift_r, c + shift_c), height or 0, width or 0)
+    return pixels.select("r", "c").join(made, ["r", "c"], "left")
 
 
 def stretched(pixels: DataFrame, value: str, lo: float = 0.02, hi: float = 0.98) -> DataFrame:
@@ -383,23 +460,17 @@ def bounded_sample(pixels: DataFrame, most: int, total: int, seed: int = 0) -> D
     return pixels.where(F.xxhash64("r", "c", F.lit(seed)) / F.lit(2.0**64) + 0.5 < most / total)
 
 
-def warped(pixels: DataFrame, bands: list[str], angle: float, dx: float, dy: float, height: int, width: int, mask: str | None = None) -> DataFrame:
-    """Values of the source at each pixel's place after a turn about the raster's centre and a shift: bilinear
-    for bands, of which all neighbours with weight must be there, and the nearest pixel for the mask."""
+def turn(angle: float, dx: float, dy: float, height: int, width: int) -> np.ndarray:
+    """The matrix of a turn about the raster's centre and a shift, of (column, row)."""
     cy, cx, cos, sin = (height - 1) / 2, (width - 1) / 2, math.cos(angle), math.sin(angle)
-    x = cos * (F.col("c") - cx) - sin * (F.col("r") - cy) + cx + dx
-    y = sin * (F.col("c") - cx) + cos * (F.col("r") - cy) + cy + dy
-    at = pixels.select("r", "c", x.alias("x"), y.alias("y")).select("r", "c", F.floor("x").alias("x0"), F.floor("y").alias("y0"), (F.col("x") - F.floor("x")).alias("fx"), (F.col("y") - F.floor("y")).alias("fy"))
-    near = (F.col("y0") + (F.col("fy") >= 0.5).cast("long"), F.col("x0") + (F.col("fx") >= 0.5).cast("long"))
-    corner = lambda i, j: F.struct((F.col("y0") + i).alias("sr"), (F.col("x0") + j).alias("sc"), ((F.col("fy") if i else 1 - F.col("fy")) * (F.col("fx") if j else 1 - F.col("fx"))).alias("w"), ((near[0] == F.col("y0") + i) & (near[1] == F.col("x0") + j)).alias("near"))
-    spread = at.select("r", "c", F.explode(F.array(*[corner(i, j) for i in (0, 1) for j in (0, 1)])).alias("p")).select("r", "c", "p.*").where("w > 0")
-    source = pixels.select(F.col("r").alias("sr"), F.col("c").alias("sc"), *bands, *([mask] if mask else []))
-    both = spread.join(source, ["sr", "sc"])
-    sums = [F.when(F.sum(F.when(F.col(b).isNotNull(), F.col("w"))) > 1 - 1e-9, F.sum(F.col("w") * F.col(b))).alias(b) for b in bands]
-    if mask:
-        sums.append(F.max(F.when(F.col("near"), F.col(mask))).alias(mask))
-    out = both.groupBy("r", "c").agg(*sums)
-    return pixels.select("r", "c").join(out, ["r", "c"], "left")
+    return np.array([[cos, -sin, cx + dx - cos * cx + sin * cy], [sin, cos, cy + dy - sin * cx - cos * cy], [0.0, 0.0, 1.0]])
+
+
+def warped(pixels: DataFrame, bands: list[str], matrix: np.ndarray, height: int, width: int, mask: str | None = None, chunk: int = resampling.CHUNK) -> DataFrame:
+    """Values of the source at each pixel's place through a matrix (see turn): bilinear for bands, of which all
+    neighbours with weight must be there, and the nearest pixel for the mask."""
+    made = resampling.resampled(pixels, bands, resampling.homography(matrix), height, width, mask, chunk)
+    return pixels.select("r", "c").join(made, ["r", "c"], "left")
 
 
 def mean_ndvi_inside(pixels: DataFrame, labels: DataFrame, date: str, least_valid: float = 0.5) -> DataFrame:
@@ -411,14 +482,23 @@ def mean_ndvi_inside(pixels: DataFrame, labels: DataFrame, date: str, least_vali
 
 
 def direction_evidence() -> Column:
-    """what a named direction rests on, from the columns of blob_classes."""
+    """what a named direction rests on, from the columns of blob_classes. The sentences of `rule` are fixed values."""
     kinds = ("vegetation", "water", "bare", "other")
 
     def shares(d: str) -> Column:
         total = F.greatest(sum((F.col(f"{k}_{d}") for k in kinds), F.lit(0)), F.lit(1))
         return F.struct(*[S.py_round(F.col(f"{k}_{d}") / total, 4).alias(k) for k in kinds])
 
-    return F.struct(F.col("top_a").alias("dominant_a"), F.col("top_b").alias("dominant_b"), shares("a").alias("share_a"), shares("b").alias("share_b"), S.py_round(F.col("dndvi"), 4).alias("delta_ndvi"), S.py_round(F.col("gain"), 4).alias("brightness_gain"), F.lit(False).alias("swir_available"))
+    named, times = F.col("direction"), S.fixed(F.col("area_b") / F.greatest(F.col("area_a"), F.lit(1)), 1)
+    rule = (
+        F.when(named == "disappearance", F.concat("top_a", F.lit(" became bare")))
+        .when((named == "appearance") & (F.col("top_b") == "vegetation"), "vegetation appeared on bare ground")
+        .when(named == "appearance", "bare ground became brighter with falling NDVI (SWIR-free built-up proxy)")
+        .when(named == "expansion", F.concat("top_a", F.lit(" covers "), times, F.lit("x more of the blob")))
+        .when(named == "contraction", F.concat("top_a", F.lit(" covers "), times, F.lit("x of what it did")))
+        .otherwise("no direction rule matched")
+    )
+    return F.struct(F.col("top_a").alias("dominant_a"), F.col("top_b").alias("dominant_b"), shares("a").alias("share_a"), shares("b").alias("share_b"), S.py_round(F.col("dndvi"), 4).alias("delta_ndvi"), S.py_round(F.col("gain"), 4).alias("brightness_gain"), rule.alias("rule"), F.lit(False).alias("swir_available"))
 
 
 def overview(pixels: DataFrame, value: str, factor: int, categorical: bool = False) -> DataFrame:

@@ -13,11 +13,19 @@ class Params:
     snow_scl: int = 11
     min_coverage: float = 0.30
     min_overlap: float = 0.30
+    # Registration by features
+    features: int = 5000
+    feature_matches: int = 15
+    feature_ratio: float = 0.3
+    feature_reach: float = 3.0
     # Radiometry
     pif_percentile: float = 0.20
     pif_slope: tuple[float, float] = (0.5, 2.0)
     pif_iterations: int = 2
     pif_tolerance: float = 1e-3
+    pif_min_pixels: int = 1000
+    pif_strips: int = 8
+    strip_rows: int = 512
     # Detection
     min_magnitude: float = 0.03
     min_blob_px: int = 100

@@ -117,8 +117,8 @@ def scene_summaries(spark, d):
     return catalog.scene_summaries(*(load(spark, d, t) for t in ("places", "tiles", "candidates", "reviews")))
 
 
-@query("""with n as (select *, row_number() over (partition by job_id order by area_px desc, candidate_id) <= 500 as reserved from {candidates} where confidence >= 0.3),
-    m as (select job_id, candidate_id, reserved, row_number() over (partition by job_id order by reserved desc, confidence desc, candidate_id) as place_in_job from n)
+@query("""with n as (select *, row_number() over (partition by job_id order by area_px desc, confidence desc, candidate_id) <= 500 as reserved from {candidates} where confidence >= 0.3),
+    m as (select job_id, candidate_id, reserved, row_number() over (partition by job_id order by reserved desc, confidence desc, area_px desc, candidate_id) as place_in_job from n)
     select * from m where place_in_job <= 1000""")
 def finalize_cap(spark, d):
     found = catalog.area_capped(load(spark, d, "candidates"), "job_id", 1000, P.area_reserve)

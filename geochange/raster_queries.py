@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import scalar as S
-from .operators import raster
+from .operators import raster, summed
 from .plans import detect
 from .sources.projections import load, sql_round, with_projections
 
@@ -90,32 +90,65 @@ def pif_sufficient_stats(spark, d):
     return raster.regression(p, "b04_a", "b04_b").select("n", F.round("slope", 6).alias("slope"), F.round("intercept", 4).alias("intercept"))
 
 
-def _gated(a: str, b: str, part: str) -> str:
-    fit = f"regr_{part}({a}, {b})"
-    return f"case when var_pop({b}) > 1e-9 and regr_slope({a}, {b}) between 0.5 and 2.0 then {fit} else {1 if part == 'slope' else 0} end"
+#: Two bands of which one is noisier: what is stable in one of them alone isn't stable.
+FITTED = f"""select r, cast(b04_a as double) as a1, cast(1.25e0 * b04_a + 40 + (r * 13 + c * 7) % 97 as double) as b1, cast(b08_a as double) as a2,
+    cast(case when (r + c) % 10 < 3 then 3 * b08_a else 0.8e0 * b08_a - 30 + (r * 7 + c * 11) % 61 end as double) as b2 from {{pixels}} where {VALID} and {DATA}"""
 
 
-@query(f"""with i as (select cast(b08_a as double) as a, cast(0.8 * b08_a + (r * 13 + c * 7) % 97 as double) as b from {{pixels}}),
-    f0 as (select {_gated('a', 'b', 'slope')} as s, {_gated('a', 'b', 'intercept')} as k from i),
-    q1 as (select quantile_cont(abs(a - (b * s + k)), 0.2) as cut from i, f0), i1 as (select a, b from i, f0, q1 where abs(a - (b * s + k)) <= cut),
-    f1 as (select count(*) as n, {_gated('a', 'b', 'slope')} as s, {_gated('a', 'b', 'intercept')} as k from i1),
-    q2 as (select quantile_cont(abs(a - (b * s + k)), 0.2) as cut from i, f1), i2 as (select a, b from i, f1, q2 where abs(a - (b * s + k)) <= cut),
-    f2 as (select count(*) as n, {_gated('a', 'b', 'slope')} as s, {_gated('a', 'b', 'intercept')} as k from i2),
-    o as (select f1.* from f0, f1 where abs(f1.s - f0.s) <= 1e-3 + 1e-5 * abs(f1.s) union all select f2.* from f0, f1, f2 where not abs(f1.s - f0.s) <= 1e-3 + 1e-5 * abs(f1.s))
-    select n, round(s, 6) as slope, round(k, 6) as intercept from o""")
-def pif_refit(spark, d):
-    p = load(spark, d, "pixels").select(F.col("b08_a").cast("double").alias("a"), (0.8 * F.col("b08_a") + (F.col("r") * 13 + F.col("c") * 7) % 97).alias("b"))
-    return raster.invariant_fit(p, "a", "b")
+def _line(i: int, part: str) -> str:
+    a, b = f"a{i}", f"b{i}"
+    return f"case when var_pop({b}) > 1e-9 and regr_slope({a}, {b}) between 0.5 and 2.0 then regr_{part}({a}, {b}) else {1 if part == 'slope' else 0} end"
+
 
+LINES = ", ".join(f"{_line(i, part)} as {part[0]}{i}" for i in (1, 2) for part in ("slope", "intercept"))
+RESIDUAL = "(abs(a1 - (b1 * s1 + i1)) + abs(a2 - (b2 * s2 + i2))) / 2"
 
-@query(f"""with recursive {FEATURES.strip()}, dv as (select diff as v from ft where diff is not null), st as (select min(v) as lo, max(v) as hi from dv),
-    k(i, lo, hi) as (select 0, lo, hi from st union all select i + 1, (select avg(v) from dv where v <= (k.lo + k.hi) / 2), (select avg(v) from dv where v > (k.lo + k.hi) / 2) from k where i < 60)
-    select round(lo, 6) as low, round(hi, 6) as high, case when (lo + hi) / 2 >= 0.03 then round((lo + hi) / 2, 6) end as threshold from k where i = 60""")
+
+@query(f"""with px as ({FITTED}), st as (select s, row_number() over (order by s) - 1 as k, count(*) over () as n from (select distinct cast(floor(r / 512) as bigint) as s from px) x),
+    sa as (select px.* from px join st on cast(floor(r / 512) as bigint) = st.s where k % greatest(1, cast(floor(n / 8) as bigint)) = 0),
+    f0 as (select count(*) as n, {LINES} from sa),
+    q1 as (select quantile_cont({RESIDUAL}, 0.2) as cut from sa, f0), f1 as (select count(*) as n, {LINES}, max(cut) as cut from px, f0, q1 where {RESIDUAL} <= cut),
+    q2 as (select quantile_cont({RESIDUAL}, 0.2) as cut from sa, f1), f2 as (select count(*) as n, {LINES}, max(q2.cut) as cut from px, f1, q2 where {RESIDUAL.replace('s1', 'f1.s1').replace('s2', 'f1.s2').replace('i1', 'f1.i1').replace('i2', 'f1.i2')} <= q2.cut),
+    o as (select *, 1 as rounds from f1 union all select *, 2 from f2),
+    w as (select case when f1.n < 1000 or (abs(f1.s1 - f0.s1) <= 1e-3 + 1e-5 * abs(f0.s1) and abs(f1.s2 - f0.s2) <= 1e-3 + 1e-5 * abs(f0.s2)) then 1 else 2 end as rounds, f0.n as all_n from f0, f1),
+    g as (select o.*, all_n >= 1000 and o.n >= 1000 as fine, all_n from o join w on o.rounds = w.rounds)
+    select case when fine then 'pif' else 'identity' end as tier, case when all_n < 1000 then 0 else n end as n, case when all_n < 1000 then 0 else round(cut, 6) end as threshold,
+      case when fine then round(s1, 6) else 1 end as slope_b04, case when fine then round(i1, 4) else 0 end as intercept_b04, case when fine then round(s2, 6) else 1 end as slope_b08, case when fine then round(i2, 4) else 0 end as intercept_b08 from g""")
+def pif_refit(spark, d):
+    """A12-A14, R11 over two bands at once."""
+    p = load(spark, d, "pixels")
+    p = p.where(raster.validity(p, "a") & raster.validity(p, "b"))
+    r, c = F.col("r"), F.col("c")
+    b2 = F.when((r + c) % 10 < 3, 3 * F.col("b08_a")).otherwise(0.8 * F.col("b08_a") - 30 + (r * 7 + c * 11) % 61)
+    p = p.select("r", F.col("b04_a").cast("double").alias("a1"), (1.25 * F.col("b04_a") + 40 + (r * 13 + c * 7) % 97).alias("b1"), F.col("b08_a").cast("double").alias("a2"), b2.cast("double").alias("b2"))
+    fit = raster.invariant_fit(p, [("a1", "b1"), ("a2", "b2")])
+    row = (fit.tier, fit.n, round(fit.threshold, 6), round(fit.slope[0], 6), round(fit.intercept[0], 4), round(fit.slope[1], 6), round(fit.intercept[1], 4))
+    return spark.createDataFrame([row], "tier string, n long, threshold double, slope_b04 double, intercept_b04 double, slope_b08 double, intercept_b08 double")
+
+
+@query(f"""with {FEATURES.strip()}, dv as (select diff as v, count(*) as n from ft where diff is not null group by diff),
+    w as (select v, sum(n) over (order by v) as n1, sum(n * v) over (order by v) as s1, sum(n) over () as n2, sum(n * v) over () as s2 from dv),
+    k as (select s1 / n1 as low, (s2 - s1) / (n2 - n1) as high from w where n1 < n2 order by s1 * s1 / n1 + (s2 - s1) * (s2 - s1) / (n2 - n1) desc limit 1)
+    select round(low, 6) as low, round(high, 6) as high, case when high >= 0.03 then round((low + high) / 2, 6) end as threshold from k""")
 def diff_kmeans_threshold(spark, d):
+    """Of all ways to cut the differences in two, the one with the least sum of squares; change needs a class whose
+    mean is large enough."""
     t = raster.two_means(_features(spark, d), "diff")
     return t.select(*[F.round(c, 6).alias(c) for c in ("low", "high", "threshold")])
 
 
+@query(f"""with {FEATURES.strip()}, bx as (select r * 1000 + c as label, greatest(r - 3 - c % 9, 0) as min_r, least(r + r % 23, (select max(r) from ft)) as max_r, greatest(c - 5 - r % 11, 0) as min_c, least(c + 2 + c % 31, 99) as max_c from ft where (r * 7 + c * 3) % 97 = 0)
+    select label, count(*) filter (where valid) / cast(count(*) as double) as coverage from bx join ft on ft.r between min_r and max_r and ft.c between min_c and max_c group by label""")
+def box_coverage(spark, d):
+    """The share of valid pixels in boxes that overlap, over pixels in chunks."""
+    f = _features(spark, d)
+    h = _height(f)
+    r, c = F.col("r"), F.col("c")
+    least = lambda a, b: F.least(a, F.lit(b))
+    boxes = f.where((r * 7 + c * 3) % 97 == 0).select((r * 1000 + c).alias("label"), F.greatest(r - 3 - c % 9, F.lit(0)).alias("min_r"), least(r + r % 23, h - 1).alias("max_r"), F.greatest(c - 5 - r % 11, F.lit(0)).alias("min_c"), least(c + 2 + c % 31, WIDTH - 1).alias("max_c"))
+    return summed.box_coverage(f.where("valid"), boxes, h, WIDTH, chunk=32)
+
+
 def _near(rel: str, hit: str) -> str:
     return f"select r, c from (select x.r, x.c, count(*) as n from (select m.r + i.i as r, m.c + j.j as c from {rel} m, (values (-1), (0), (1)) i(i), (values (-1), (0), (1)) j(j)) x, sz where x.r between 0 and h - 1 and x.c between 0 and 99 group by x.r, x.c, h having count(*) >= {hit})"
 

@@ -54,8 +54,8 @@ def test_reserve_and_cap_by_definition(spark):
         want = []
         for j in (1, 2):
             own = [r for r in rows if r[0] == j and r[2] >= 0.3]
-            large = {r[1] for r in sorted(own, key=lambda r: (-r[3], r[1]))[:reserve]}
-            order = sorted(own, key=lambda r: (r[1] not in large, -r[2], r[1]))[:cap]
+            large = {r[1] for r in sorted(own, key=lambda r: (-r[3], -r[2], r[1]))[:reserve]}
+            order = sorted(own, key=lambda r: (r[1] not in large, -r[2], -r[3], r[1]))[:cap]
             want += [(j, r[1], r[1] in large, i) for i, r in enumerate(order, 1)]
         got = engine.catalog.area_capped(df, "job_id", cap, reserve).select("job_id", "candidate_id", "reserved", "place_in_job").collect()
         assert sorted(map(tuple, got)) == sorted(want)
