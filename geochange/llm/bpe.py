@@ -235,6 +235,7 @@ class Tokenizer:
         self.automaton = Automaton(model["vocab"], merges, model["end_of_word_suffix"], self.special)
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.latin = pattern == self.PATTERN
+        self.content, self.library = content, None
         self.pattern = regex.compile(pattern.replace("\\s", "\\p{White_Space}"))
 
     def words(self, text: str) -> list[str]:
@@ -244,10 +245,23 @@ class Tokenizer:
                 return self.LATIN.findall(text.lower())
             except UnicodeEncodeError:
                 pass
+        if any(unicodedata.category(c) == "Cn" for c in set(text)):
+            return self.library_words(text)
         # Letter by letter: a final sigma is lower-cased like any other. White space is not made one space first, as
         # the pattern drops it.
         return [m[0] for m in self.pattern.finditer(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())]
 
+    def library_words(self, text: str) -> list[str]:
+        """The same by the library's own steps, for texts with code points that newer versions of Unicode have letters at:
+        what these are there is the version's that the library was built with."""
+        if self.library is None:
+            from tokenizers import Tokenizer as Library
+
+            self.library = Library.from_str(self.content)
+        back = {c: b for b, c in enumerate(byte_symbols())}
+        cut = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))
+        return [bytes(map(back.__getitem__, word)).decode() for word, _ in cut]
+
     def packed(self, text: str | None) -> bytes:
         if not text:
             return b""

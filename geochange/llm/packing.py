@@ -16,6 +16,7 @@ from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -56,37 +57,41 @@ def two_that_fit(lengths: np.ndarray, counts: np.ndarray, room: int) -> tuple[in
 def plan(counts: dict[int, int], capacity: int) -> list[tuple[list[int], int]]:
     """Bins and how often each is repeated, of counts[length] pieces; lengths of a bin fall. The plan's size grows with
     the capacity, not with the pieces: a bin is repeated until a length that it was made with runs short."""
-    left = {k: n for k, n in sorted(counts.items()) if n > 0}
-    if left and not 1 <= min(left) <= max(left) <= capacity:
+    if any(n > 0 and not 1 <= k <= capacity for k, n in counts.items()):
         raise ValueError("lengths must be from 1 to the capacity")
-    lengths = list(left)
+    left = np.zeros(capacity + 1, dtype=np.int64)
+    for k, n in counts.items():
+        left[k] = max(n, 0)
+    lengths = np.flatnonzero(left).tolist()
     out: list[tuple[list[int], int]] = []
     while lengths:
         used: Counter[int] = Counter()
         gap, top = capacity, len(lengths)
         while top := bisect_right(lengths, gap, 0, top):
             k = lengths[top - 1]
-            take = min(gap // k, left[k])
+            take = min(gap // k, int(left[k]))
             used[k] += take
             gap -= take * k
             top -= 1
         need = Counter(used)
-        if gap and len(lengths):
+        if gap:
             small = min(used)
-            after = {k: left[k] - used[k] for k in lengths}
-            free = np.array([k for k in lengths if after[k]], dtype=np.int64)
-            found = two_that_fit(free, np.array([after[k] for k in free.tolist()], dtype=np.int64), gap + small) if len(free) else None
+            after = left.copy()
+            for k, n in used.items():
+                after[k] -= n
+            free = np.flatnonzero(after[: gap + small])
+            found = two_that_fit(free, after[free], gap + small)
             if found and sum(found) > small:
                 used[small] -= 1
                 used.update(found)
                 need.update(found)
-        # need: what must be there for the next bin to come out like this one.
-        times = max(1, min(left[k] // n for k, n in need.items()))
+        # The next bin comes out like this one as long as all that this one was made with is there again.
+        times = 1 + min((int(left[k]) - need[k]) // n for k, n in used.items() if n)
         out.append((sorted((+used).elements(), reverse=True), times))
         for k, n in used.items():
             left[k] -= n * times
-        if any(not left[k] for k in need):
-            lengths = [k for k in lengths if left[k]]
+        if any(not left[k] for k in used):
+            lengths = np.flatnonzero(left).tolist()
     return out
 
 
@@ -123,6 +128,39 @@ def slots(bins: list[tuple[list[int], int]]) -> Slots:
     return Slots(*(np.array(c, dtype=np.int64) for c in (zip(*sorted(rows), strict=True) if rows else [[]] * 5)))
 
 
+class _Words(dict):
+    """Packed ids of the words that a task has met, others by the library's model; beyond bpe.CACHE words it starts anew."""
+
+    def __init__(self, content: str):
+        from tokenizers import Tokenizer
+
+        self.model, self.symbols = Tokenizer.from_str(content).model, bpe.byte_symbols()
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) >= bpe.CACHE:
+            self.clear()
+        own = "".join([self.symbols[b] for b in word.encode()])
+        found = self[word] = np.array([t.id for t in self.model.tokenize(own)], "<u4").tobytes()
+        return found
+
+
+@lru_cache(maxsize=1)
+def _coder(content: str) -> tuple[bpe.Tokenizer, _Words]:
+    """The rules of splitting texts into words, read from the file, and the ids of words."""
+    return bpe._compiled(content), _Words(content)
+
+
+def packed_ids(text: str | None, coder: tuple[bpe.Tokenizer, _Words]) -> bytes:
+    """Ids of a whole text as little-endian unsigned 32-bit integers: words are encoded once a task, not once a place."""
+    t, words = coder
+    if not text:
+        return b""
+    get = words.__getitem__
+    if not any(x in text for x in t.special):
+        return b"".join(map(get, t.words(text)))
+    return b"".join([np.array([t.special[x]], "<u4").tobytes() if x in t.special else b"".join(map(get, t.words(x))) for x in t.cut.split(text)])
+
+
 def pieces(docs: DataFrame, tokenizer: str, opts: Packing = Packing(), ids: bool = True) -> DataFrame:
     """(doc_id, piece, start, length, ids if asked for, ids_crc32, task, number): the pieces of each document, and each
     one's number among those of its length in its task."""
@@ -130,12 +168,12 @@ def pieces(docs: DataFrame, tokenizer: str, opts: Packing = Packing(), ids: bool
     names = ["doc_id", "piece", "start", "length", *(["ids"] if ids else []), "ids_crc32", "task", "number"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t, task, seen = bpe._compiled(held.value), TaskContext.get().partitionId(), Counter()
+        coder, task, seen = _coder(held.value), TaskContext.get().partitionId(), Counter()
         end = np.array([opts.end], "<u4").tobytes()
         for batch in batches:
             out: list[tuple] = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                raw = t.packed(text) + end
+                raw = packed_ids(text, coder) + end
                 for i, at in enumerate(range(0, len(raw), 4 * opts.capacity)):
                     own = raw[at : at + 4 * opts.capacity]
                     n = len(own) // 4

@@ -186,6 +186,13 @@ def test_bpe_equals_the_library(tokenizers_pair, text):
     assert own.decode(ids) == lib.decode(ids, skip_special_tokens=False)
 
 
+@pytest.mark.parametrize("text", [":\U0003d000", "a\u0558b ₯\u088f9", "\U00013460x\U000105c0 y", "\ufdd0\uffff!"])
+def test_bpe_code_points_of_other_versions(tokenizers_pair, text):
+    """Letters of newer versions of Unicode than one of the libraries knows, and what is none in any."""
+    own, lib = tokenizers_pair
+    assert own.encode(text) == lib.encode(text, add_special_tokens=False).ids
+
+
 def test_bpe_table_accepts_what_merging_makes(tokenizers_pair):
     """Pairs of tokens: an arc leads on exactly if merging the pair's symbols by rank gives the pair back."""
     import json

@@ -235,6 +235,17 @@ def test_packing(spark, capacity):
         assert made[r["sequence_id"]]["ids"][r["offset"] : r["offset"] + r["length"]] == r["ids"]
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.text(max_size=80) | st.lists(st.sampled_from(["<|endoftext|>", "<|startoftext|>", "don't", "ΣΑΣ", "e\u0301", "½", "\u00a0", "हिन्दी", "x9", "  "]), max_size=8).map("".join))
+def test_ids_of_words_are_those_of_the_library(text):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path(queries.TOKENIZER)
+    got = np.frombuffer(packing.packed_ids(text, packing._coder(queries.tokenizer_file())), "<u4").tolist()
+    assert got == Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
+
+
 def test_packing_of_nothing(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert packing.pack(none, queries.tokenizer_file()).count() == 0
