@@ -17,13 +17,17 @@ from . import common, zstd_models
 #: A text has a letter if this finds one; numbers such as those in circles or fractions are none.
 LETTER = regex.compile(r"\p{L}")
 UNKNOWN = "und"
-#: What is no letter says little about a language; a run of it becomes one space.
-NO_LETTERS = re.compile(r"[\W\d_]+")
+#: What is neither a letter nor a mark on one says little about a language; a run of it becomes one space. The second is
+#: the same for texts without other letters.
+NO_LETTERS = regex.compile(r"[^\p{L}\p{M}]+")
+NO_ASCII_LETTERS = re.compile(r"[^a-z]+")
 LEVEL, BLOCK = 6, 2000
 
 
 def prepared(text: str) -> bytes:
-    return NO_LETTERS.sub(" ", text.lower()).encode()
+    """Letters in lower case with their marks, such as vowel signs and accents that are code points of their own."""
+    low = text.lower()
+    return (NO_ASCII_LETTERS if low.isascii() else NO_LETTERS).sub(" ", low).encode()
 
 
 @dataclass(frozen=True)

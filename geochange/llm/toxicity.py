@@ -147,13 +147,14 @@ def fit_chain(examples: list[tuple[list[list[str]], np.ndarray]], names: list[st
 
 def expected_tags(features: list[list[list[str]]], toxic: np.ndarray, doc: np.ndarray, emission: dict[str, float], bias: float, transition: np.ndarray, start: np.ndarray) -> list[np.ndarray]:
     """Each chain's chances of toxic words given its document's label: none in a clean document; in a toxic one the
-    chain's marginals over the chance that one of the document's words is toxic."""
+    chain's marginals over the chance that one of the document's words is toxic. That none is toxic is one path of each
+    of its chains, so its chance is exact: the path's score less the chain's log-partition, added up over the chains."""
     lengths = np.array([len(c) for c in features], dtype=np.int64)
     scores = np.array([bias + sum(emission.get(f, 0.0) for f in fs) for c in features for fs in c])
-    p = marginals(scores, lengths, transition, start)[0]
-    own = np.repeat(doc, lengths)
-    none = np.exp(np.bincount(own, weights=np.log1p(-np.minimum(p, 1 - 1e-9)), minlength=int(doc.max()) + 1))
-    q = np.where(np.repeat(toxic, lengths), np.minimum(p / np.maximum(1 - none[own], 1e-9), 1.0), 0.0)
+    p, _, z = marginals(scores, lengths, transition, start)
+    clean = start[0] + (lengths - 1) * transition[0, 0] - z
+    some = -np.expm1(np.minimum(np.bincount(doc, weights=clean, minlength=int(doc.max()) + 1), 0.0))
+    q = np.where(np.repeat(toxic, lengths), np.minimum(p / np.maximum(some, 1e-9)[np.repeat(doc, lengths)], 1.0), 0.0)
     return np.split(q, np.cumsum(lengths)[:-1])
 
 

@@ -550,6 +550,74 @@ def test_marginals_equal_enumeration(seed):
     assert p == pytest.approx(want_p) and pairs == pytest.approx(want_pairs)
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_expected_tags_equal_enumeration(seed):
+    """Documents of several chains: every tagging of a toxic one but the clean one, weighed by the model."""
+    rng = np.random.default_rng(seed)
+    names = ["a", "b", "c", "<a", ">b"]
+    emission, bias = dict(zip(names, rng.normal(0, 2, len(names)).tolist(), strict=True)), float(rng.normal(-1, 1))
+    tr, start = rng.normal(size=(2, 2)), rng.normal(size=2)
+    lengths, doc, toxic = [3, 1, 2, 5, 2, 1], np.array([0, 0, 0, 1, 2, 2]), np.array([True, True, True, True, False, False])
+    features = [[[str(x) for x in rng.choice(names, rng.integers(0, 3), replace=False)] for _ in range(n)] for n in lengths]
+    got = toxicity.expected_tags(features, toxic, doc, emission, bias, tr, start)
+    for d in range(3):
+        own = [k for k in range(len(lengths)) if doc[k] == d]
+        total, hit = 0.0, [np.zeros(lengths[k]) for k in own]
+        for tags in itertools.product(*[itertools.product((0, 1), repeat=lengths[k]) for k in own]):
+            if not any(map(any, tags)):
+                continue
+            e = 0.0
+            for k, t in zip(own, tags, strict=True):
+                e += start[t[0]] + sum(bias + sum(emission[f] for f in fs) for fs, x in zip(features[k], t, strict=True) if x) + sum(tr[a, b] for a, b in itertools.pairwise(t))
+            total += np.exp(e)
+            for h, t in zip(hit, tags, strict=True):
+                h += np.exp(e) * np.array(t)
+        for k, h in zip(own, hit, strict=True):
+            assert got[k] == pytest.approx(h / total if toxic[k] else np.zeros(lengths[k]))
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_chain_is_fitted_to_the_top(seed):
+    """The likelihood with its ridge can't be raised by a step along any one weight."""
+    rng = np.random.default_rng(seed)
+    names = ["a", "b", "<a"]
+    examples = [([[str(x) for x in rng.choice(names, rng.integers(0, 3), replace=False)] for _ in range(n)], (rng.random(n) < 0.4).astype(float)) for n in rng.integers(1, 6, 40)]
+    emission, bias, tr, start = toxicity.fit_chain(examples, names, rounds=600)
+
+    def value(theta):
+        w, b, t, s = dict(zip(names, theta[:3], strict=True)), theta[3], theta[4:8].reshape(2, 2), theta[8:]
+        out = -0.5 * (theta**2).sum()
+        for fs, tags in examples:
+            own = np.array([b + sum(w[f] for f in x) for x in fs])
+            y = tags.astype(int)
+            out += s[y[0]] + (own * y).sum() + sum(t[i, j] for i, j in itertools.pairwise(y)) - toxicity.marginals(own, np.array([len(y)]), t, s)[2][0]
+        return out
+
+    theta = np.concatenate([[emission[n] for n in names], [bias], tr.ravel(), start])
+    for i in range(len(theta)):
+        for step in (0.05, -0.05):
+            other = theta.copy()
+            other[i] += step
+            assert value(other) < value(theta)
+
+
+def test_ids_of_a_sample(spark):
+    """At most n ids of each value: those of the smallest hashes, repeated rows once, null values none."""
+    rows = [(i, "x" if i % 3 else None) for i in range(4000)] + [(7, "x"), (8, "y"), (8, "y")]
+    df = spark.createDataFrame(rows, "doc_id long, by string")
+    got = common.pick_ids(df, "by", 50).collect()
+    hashed = [r.doc_id for r in df.where("by = 'x'").select("doc_id").distinct().orderBy(F.xxhash64("doc_id")).limit(50).collect()]
+    assert {r.doc_id for r in got if r.by == "x"} == set(hashed) and sorted(r.doc_id for r in got if r.by == "y") == [8]
+    assert len(got) == 51
+
+
+def test_marks_stay_on_their_letters():
+    assert language.prepared("हिन्दी भाषा में 12!").decode() == "हिन्दी भाषा में "
+    assert language.prepared("nai\u0308ve ½ Cafe\u0301_x").decode() == "nai\u0308ve cafe\u0301 x"
+    assert language.prepared("ภาษาไทย, ที่").decode() == "ภาษาไทย ที่"
+    assert language.prepared("Don't 3 times_").decode() == "don t times "
+
+
 def _plain_sizes(raw, content, level, block):
     """The summed sizes of a text's blocks, each compressed by a new compressor under the raw dictionary."""
     known = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
