@@ -340,9 +340,17 @@ def utm_zone(lon: Column) -> Column:
     return F.least(F.greatest(F.floor((lon + 180) / 6).cast("int") + 1, F.lit(1)), F.lit(60))
 
 
-def utm(lon: Column, lat: Column) -> dict[str, Column]:
-    """zone, easting and northing on WGS84, by Krueger's series to the third order."""
-    zone = utm_zone(lon)
+def grid_zone(lon: Column, lat: Column) -> Column:
+    """the zone that grid references use: that of the longitude, but for the wider 32V on Norway's coast and the four
+    zones of two that are left between 72 and 84 degrees north from 0 to 42 east."""
+    high = F.when(lon < 9, 31).when(lon < 21, 33).when(lon < 33, 35).otherwise(37)
+    return F.when((lat >= 56) & (lat < 64) & (lon >= 3) & (lon < 12), 32).when((lat >= 72) & (lat <= 84) & (lon >= 0) & (lon < 42), high).otherwise(utm_zone(lon))
+
+
+def utm(lon: Column, lat: Column, zone: Column | None = None) -> dict[str, Column]:
+    """zone (that of the longitude unless another is asked for), easting and northing on WGS84, by Krueger's series to
+    the third order."""
+    zone = utm_zone(lon) if zone is None else zone
     dl = F.radians(lon - (zone * 6 - 183))
     e = 2 * math.sqrt(_N) / (1 + _N)
     s = F.sin(F.radians(lat))
@@ -368,8 +376,8 @@ def lonlat(zone: Column, easting: Column, northing: Column, south: Column) -> di
 
 
 def mgrs(lat: Column, lon: Column) -> Column:
-    """a ten-digit grid reference; null outside of 80 S to 84 N. The standard zones, without their few exceptions."""
-    at = utm(lon, lat)
+    """a ten-digit grid reference; null outside of 80 S to 84 N."""
+    at = utm(lon, lat, grid_zone(lon, lat))
     bands, columns, rows = "CDEFGHJKLMNPQRSTUVWX", ("ABCDEFGH", "JKLMNPQR", "STUVWXYZ"), "ABCDEFGHJKLMNPQRSTUV"
     band = F.substring(F.lit(bands), F.least(F.floor((lat + 80) / 8).cast("int"), F.lit(19)) + 1, F.lit(1))
     col = F.substring(F.element_at(F.array(*map(F.lit, columns)), F.pmod(at["zone"] - 1, F.lit(3)) + 1), F.floor(at["easting"] / 100000).cast("int"), F.lit(1))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
-from ..operators import alignment, catalog, features, raster, resampling, summed
+from ..operators import alignment, catalog, features, outlines, raster, resampling, summed
 from ..operators.resampling import Grid
 from ..params import P
 
@@ -87,12 +87,13 @@ def normalised(pixels: DataFrame) -> tuple[DataFrame, dict]:
     return pixels.withColumns({n: F.when(F.col(n) != 0, F.when(x == 0, 1e-6).otherwise(x)).otherwise(F.col(n)) for n, x in lines.items()}), trace
 
 
-def detect(pixels: DataFrame, width: int, same_tile: bool = True, normalise: bool = True, cloud_trust: float = 1.0, pixel_ha: float | None = 0.01, min_px: int = P.min_blob_px, levels: tuple[int, ...] = (*P.large_dilations, *P.near_dilations), chunk: int = raster.CHUNK, scale: float = 10000.0, offsets: tuple[float, ...] = (0.0, 0.0, 0.0, 0.0)) -> Detection:
+def detect(pixels: DataFrame, width: int, same_tile: bool = True, normalise: bool = True, cloud_trust: float = 1.0, pixel_ha: float | None = 0.01, min_px: int = P.min_blob_px, levels: tuple[int, ...] = (*P.large_dilations, *P.near_dilations), chunk: int = raster.CHUNK, scale: float = 10000.0, offsets: tuple[float, ...] = (0.0, 0.0, 0.0, 0.0), grid: Grid | None = None) -> Detection:
     """R20, R21 and the steps before them, in the order in which they must run: coverage, alignment unless both scenes
     are of one tile and grid, coverage again, the radiometric fit, the difference; groups before ranks, as the pool of
     ranks is one peak a group, of blobs with little valid ground too, which are dropped afterwards; the floor on
     confidence after merging. pixel_ha: hectares of a pixel, null where the grid is not in metres. cloud_trust: see
-    scalar.job_trust. scale, offsets: see raster.pixel_features. The driver sees a few numbers a step."""
+    scalar.job_trust. scale, offsets: see raster.pixel_features. grid: where the pixels lie; with it
+    detections have their boxes, outlines with holes, centres and grid references on the ground. The driver sees a few numbers a step."""
     def covered(px: DataFrame) -> tuple[int, float, int]:
         n, valid, height = px.agg(F.count("*"), F.count_if(raster.validity(px, "a") & raster.validity(px, "b")), F.max("r") + 1).first()
         return n, valid / n if n else 0.0, height or 0
@@ -157,8 +158,11 @@ def detect(pixels: DataFrame, width: int, same_tile: bool = True, normalise: boo
     labels = labels.join(members.select(F.col("candidate_id").alias("label")), "label", "left_semi")
     own = labels.join(groups.select("label", "group"), "label")
     centre = own.groupBy("group").agg((F.avg("c") + 0.5).alias("centre_x"), (F.avg("r") + 0.5).alias("centre_y"))
-    rings = alignment.outlines(labels).join(groups.select("label", "group"), "label").groupBy("group").agg(F.array_sort(F.collect_list("ring")).alias("outline"))
+    traced = raster.kept(outlines.rings(labels, width, chunk))
+    rings = traced.where("not hole").join(groups.select("label", "group"), "label").groupBy("group").agg(F.array_sort(F.collect_list("ring")).alias("outline"))
     merged = merged.join(members.select("candidate_id", "evidence"), "candidate_id").join(centre, "group").join(rings, "group").withColumn("_job", F.lit(0))
+    if grid:
+        merged = outlines.located(merged.join(outlines.geometries(traced, groups, grid), "group"), grid)
     kept = catalog.area_capped(raster.kept(merged), "_job", P.store_cap, P.area_reserve).drop("_job", "reserved", "place_in_job")
     return Detection("completed", trace, kept)
 

@@ -1,5 +1,6 @@
 """The raster plan on made scenes with a known truth, registration and outlines."""
 
+import json
 from dataclasses import replace
 
 import numpy as np
@@ -7,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from geochange.functions import scalar as S
-from geochange.operators import alignment, features, raster, resampling, summed
+from geochange.operators import alignment, features, outlines, raster, resampling, summed
 from geochange.operators.resampling import Grid
 from geochange.plans import detect
 
@@ -360,3 +361,98 @@ def test_outlines(spark):
     assert {k: area(v) for k, v in got.items()} == {1: 3.0, 2: 1.0, 3: 9.0}
     line = [(float(i), 0.01 * (i % 2)) for i in range(50)]
     assert alignment.simplified(line, 0.1) == [line[0], line[-1]]
+
+
+def _mask_rings(labels, width=60, chunk=512, spark=None, **more):
+    rows = [(int(r), int(c), int(v)) for (r, c), v in np.ndenumerate(labels) if v]
+    df = spark.createDataFrame(rows, "r long, c long, label long")
+    return outlines.rings(df, width, chunk, **more).collect()
+
+
+@pytest.mark.parametrize("chunk", [3, 8, 512])
+def test_rings_fill_to_the_pixels(spark, chunk):
+    """Random components, whose corners touch in many places, over chunks: each has one outer ring, no ring touches itself,
+    and outer less holes, filled by crossings, are exactly its pixels."""
+    rng = np.random.default_rng(7)
+    mask = np.zeros((26, 31), dtype=bool)
+    mask[1:-1, 1:-1] = rng.random((24, 29)) < 0.62
+    labels, n = np.zeros(mask.shape, dtype=int), 0
+    for r, c in zip(*np.nonzero(mask), strict=True):
+        if not labels[r, c]:
+            n += 1
+            todo = [(r, c)]
+            while todo:
+                y, x = todo.pop()
+                if mask[y, x] and not labels[y, x]:
+                    labels[y, x] = n
+                    todo += [(y + 1, x), (y - 1, x), (y, x + 1), (y, x - 1)]
+    found = _mask_rings(labels, chunk=chunk, spark=spark)
+    assert sorted(x.label for x in found if not x.hole) == list(range(1, n + 1))
+    assert sum(x.hole for x in found) > 3
+    for k in range(1, n + 1):
+        inside = np.zeros(mask.shape, dtype=int)
+        for x in (x for x in found if x.label == k):
+            p = x.ring
+            assert p[0] == p[-1] and len({tuple(q) for q in p}) == len(p) - 1
+            area = sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(p, p[1:], strict=False)) / 2
+            assert (area > 0) == x.hole
+            for r, c in np.ndindex(*mask.shape):  # crossings of the ring to the left of a pixel's centre
+                inside[r, c] += sum(1 for a, b in zip(p, p[1:], strict=False) if a[0] == b[0] and a[0] < c + 0.5 and min(a[1], b[1]) < r + 0.5 < max(a[1], b[1])) % 2 * (-1 if x.hole else 1)
+        assert (inside == (labels == k)).all()
+    if chunk == 3:
+        key = lambda x: (x.label, x.hole, x.ring)
+        assert sorted(map(key, found)) == sorted(map(key, _mask_rings(labels, chunk=512, spark=spark)))
+
+
+def test_rings_of_a_long_snake_and_simplified(spark):
+    labels = np.zeros((40, 40), dtype=int)
+    for i in range(0, 40, 2):
+        labels[i] = 1
+        labels[i + 1 if i + 1 < 40 else i, 0 if i % 4 else 39] = 1
+    (ring,) = _mask_rings(labels, chunk=4, spark=spark, most=None)
+    (same,) = _mask_rings(labels, chunk=64, spark=spark, most=None)
+    assert ring.ring == same.ring and len(ring.ring) > 70
+    (short,) = _mask_rings(labels, chunk=4, spark=spark, most=20)
+    assert len(short.ring) <= 20 and short.ring[0] == short.ring[-1]
+    assert _mask_rings(np.array([[1]]) * 0 + [[1]], spark=spark)[0].ring == [[0.0, 0.0], [0.0, 1.0], [1.0, 1.0], [1.0, 0.0], [0.0, 0.0]]
+
+
+def test_detections_on_the_ground(spark):
+    """A patch with a hole in it: outline, box, centre and grid reference against the projection itself."""
+    grid = Grid("EPSG:32643", 80, 80, (10.0, 0.0, 600000.0, 0.0, -10.0, 3000000.0))
+    px = scene(spark)
+    hole = F.col("r").between(30, 39) & F.col("c").between(40, 49)
+    px = px.withColumn("b08_b", F.when(hole, F.col("b08_a")).otherwise(F.col("b08_b")))
+    (one,) = detect.detect(px, 80, levels=(10,), chunk=32, grid=grid).detections.collect()
+    shape = json.loads(one.geometry)
+    assert shape["type"] == "Polygon" and [len(r) for r in shape["coordinates"]] == [5, 5]
+    at = lambda c, r: tuple(float(v[0]) for v in resampling.utm_backward(np.array([600000.0 + 10 * c]), np.array([3000000.0 - 10 * r]), 43, False))
+    for ring, ends in zip(shape["coordinates"], [[(30, 20), (60, 50)], [(40, 30), (50, 40)]], strict=True):
+        want = {tuple(round(v, 6) for v in at(x, y)) for x in (ends[0][0], ends[1][0]) for y in (ends[0][1], ends[1][1])}
+        assert {tuple(p) for p in ring} == want
+        area = sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(ring, ring[1:], strict=False))
+        assert (area > 0) == (ring is shape["coordinates"][0])  # against the clock outside, with it inside
+    assert (one.native_min_x, one.native_min_y, one.native_max_x, one.native_max_y) == (600300.0, 2999500.0, 600600.0, 2999800.0)
+    corners = [at(x, y) for x in (30, 60) for y in (20, 50)]
+    assert one.min_lon == pytest.approx(min(c[0] for c in corners)) and one.max_lat == pytest.approx(max(c[1] for c in corners), abs=1e-7)
+    assert (one.centroid_lon, one.centroid_lat) == pytest.approx(at(45, 35), abs=1e-6)
+    assert one.mgrs_ref == spark.range(1).select(S.mgrs(F.lit(one.centroid_lat), F.lit(one.centroid_lon))).first()[0]
+    assert one.area_px == 800
+
+
+def test_two_patches_of_one_detection_are_a_multipolygon(spark):
+    labels = spark.createDataFrame([(r, c, 1 if c < 5 else 2) for r in range(4) for c in (*range(3), *range(7, 9))], "r long, c long, label long")
+    groups = spark.createDataFrame([(1, 1), (2, 1)], "label long, group long")
+    grid = Grid("EPSG:4326", 10, 10, (0.1, 0.0, 10.0, 0.0, -0.1, 50.0))
+    (one,) = outlines.geometries(outlines.rings(labels, 60), groups, grid).collect()
+    shape = json.loads(one.geometry)
+    assert shape["type"] == "MultiPolygon" and [len(p) for p in shape["coordinates"]] == [1, 1]
+    assert {tuple(p) for p in shape["coordinates"][1][0]} == {(10.7, 50.0), (10.9, 50.0), (10.7, 49.6), (10.9, 49.6)}
+
+
+def test_zones_of_grid_references(spark):
+    places = {(60.39, 5.32): "32V", (60.0, 2.9): "31V", (63.99, 11.9): "32V", (64.0, 5.0): "31W", (78.2, 15.6): "33X", (78.0, 8.9): "31X", (78.0, 9.0): "33X", (80.0, 21.0): "35X", (83.9, 33.0): "37X", (78.0, 41.9): "37X", (78.0, 42.0): "38X", (28.6, 77.2): "43R"}
+    rows = spark.createDataFrame([(a, o) for a, o in places], "lat double, lon double")
+    got = {(r.lat, r.lon): r.ref for r in rows.select("lat", "lon", S.mgrs(F.col("lat"), F.col("lon")).alias("ref")).collect()}
+    assert {k: v[:3] for k, v in got.items()} == places
+    assert spark.range(1).select(S.mgrs(F.lit(59.9139), F.lit(10.7522))).first()[0][:7] == "32VNM97"  # Oslo
