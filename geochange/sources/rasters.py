@@ -2,82 +2,15 @@
 
 from __future__ import annotations
 
-import struct
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
-from .files import files
-
-#: Bytes of a file's start, and of its directory, that go to Python.
-SLICE = 1 << 16
+from . import tiff
 
 #: Centre of the box that stands for a raster of unknown place.
 UNKNOWN_LON, UNKNOWN_LAT = 78.9629, 20.5937
 
-BOUNDS = "min_x double, min_y double, max_x double, max_y double"
-HEADER = f"path string, name string, length long, width long, height long, bands int, dtype string, nodata double, epsg int, projected boolean, res_x double, res_y double, {BOUNDS}, problem string"
-
-#: Formats and lengths of TIFF's field types.
-_TYPES = {1: ("B", 1), 2: ("c", 1), 3: ("H", 2), 4: ("I", 4), 12: ("d", 8)}
-
-
-def _fields(lead: bytes, directory: bytes, at: int) -> dict[int, tuple]:
-    """The values of a TIFF's first directory by tag. Values outside of both slices are left out."""
-    order = "<" if lead[:2] == b"II" else ">"
-    found = {}
-    for i in range(struct.unpack_from(order + "H", directory)[0]):
-        tag, kind, n = struct.unpack_from(order + "HHI", directory, 2 + 12 * i)
-        if kind not in _TYPES:
-            continue
-        code, size = _TYPES[kind]
-        place, source = 10 + 12 * i, directory
-        if n * size > 4:
-            place = struct.unpack_from(order + "I", directory, place)[0]
-            source, place = (lead, place) if place + n * size <= len(lead) else (directory, place - at)
-        if 0 <= place and place + n * size <= len(source):
-            found[tag] = struct.unpack_from(f"{order}{n}{code}", source, place)
-    return found
-
-
-def _header(lead: bytes, directory: bytes, at: int) -> dict:
-    """Of one file. Without a grid it is one of pixels from (0, 0) on."""
-    tags = _fields(lead, directory, at)
-    width, height = tags[256][0], tags[257][0]
-    (sx, sy), (i, j, x, y) = (1.0, 1.0), (0.0, float(height), 0.0, 0.0)
-    if 33550 in tags and 33922 in tags:
-        (sx, sy), (i, j, _, x, y) = tags[33550][:2], tags[33922][:5]
-    left, top = x - i * sx, y + j * sy
-    codes = tags.get(34735, ())
-    keys = {codes[k]: codes[k + 3] for k in range(4, len(codes) - 3, 4) if codes[k + 1] == 0}
-    projected = keys.get(1024) == 1
-    text = b"".join(tags.get(42113, ())).split(b"\0")[0].strip()
-    kind = {2: "int", 3: "float"}.get(tags.get(339, (1,))[0], "uint")
-    return {
-        "width": width, "height": height, "bands": tags.get(277, (1,))[0], "dtype": f"{kind}{tags.get(258, (1,))[0]}", "nodata": float(text) if text else None,
-        "epsg": keys.get(3072 if projected else 2048), "projected": projected, "res_x": sx, "res_y": sy,
-        "min_x": left, "min_y": top - height * sy, "max_x": left + width * sx, "max_y": top,
-    }
-
-
-def _headers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    names = [c.split()[0] for c in HEADER.split(", ")]
-    for pdf in batches:
-        out = []
-        for r in pdf.itertuples():
-            row = {"path": r.path, "name": r.name, "length": r.length}
-            try:
-                row |= _header(r.lead, r.directory, int(r.at))
-            except (KeyError, ValueError, TypeError, struct.error):
-                row["problem"] = "no TIFF header that can be read"
-            out.append(row)
-        whole = pd.DataFrame(out, columns=names).astype(object)
-        yield whole.where(whole.notna(), None)
-
-
 def _with_lonlat_bounds(rows: DataFrame) -> DataFrame:
     """The box in degrees: of the corners for a UTM zone, the bounds where they are degrees (or could be), else a box of
     one degree at a fixed place."""
@@ -93,21 +26,13 @@ def _with_lonlat_bounds(rows: DataFrame) -> DataFrame:
     return rows.withColumn("_corners", F.when(utm, placed)).withColumns(out).drop("_corners")
 
 
-def raster_headers(spark: SparkSession, root: str, pattern: str = "*.{tif,tiff,TIF,TIFF}") -> DataFrame:
-    """A row for each TIFF under root: what the header says, bounds in degrees, id, sensor and date by name, digest.
+def raster_headers(spark: SparkSession, root: str, digest: bool = True) -> DataFrame:
+    """A row for each TIFF under root: what the header says, bounds in degrees, id, sensor and date by name, and unless
+    it isn't asked for the digest, which alone reads a file whole.
 
-    Two slices of a file go to Python, its start and its directory; the digest is made where the file is read. Files
-    that are no TIFF, are cut off, or are of the form for over 4 GB have a `problem` and no header. Spark reads files of
-    up to 2 GB whole. Projections other than UTM have no bounds in degrees of their own (see _with_lonlat_bounds). Spark lists no empty files."""
-    digits = F.hex(F.substring("content", 5, 4))
-    pairs = [F.substring(digits, i, 2) for i in (1, 3, 5, 7)]
-    little = F.hex(F.substring("content", 1, 2)) == "4949"
-    magic = F.hex(F.substring("content", 1, 4)).isin("49492A00", "4D4D002A")
-    at = F.when(magic, F.conv(F.when(little, F.concat(*pairs[::-1])).otherwise(F.concat(*pairs)), 16, 10).cast("long"))
-    found = files(spark, root, pattern).withColumn("at", at)
-    cut = found.select("path", "name", "length", "at", F.substring("content", 1, SLICE).alias("lead"), F.expr(f"substring(content, cast(least(at, 2147483646) as int) + 1, {SLICE})").alias("directory"))
-    sums = found.select("path", F.sha2("content", 256).alias("sha256"))
-    out = _with_lonlat_bounds(cut.mapInPandas(_headers, HEADER).join(sums, "path"))
+    Files that are no TIFF or are cut off have a `problem` and no header. Projections other than UTM have no bounds in
+    degrees of their own (see _with_lonlat_bounds)."""
+    out = _with_lonlat_bounds(tiff.read_headers(spark, root, digest).withColumn("name", F.regexp_extract("path", r"([^/\\]+)$", 1)))
     by_name, by_grid = S.detect_sensor(F.col("name")), S.infer_sensor(F.col("bands"), F.col("projected"), F.col("res_x"))
     sensor = F.when(by_name != "unknown", by_name).otherwise(F.coalesce(by_grid, F.lit("unknown")))
     return out.withColumns({"scene_id": S.safe_id(F.regexp_replace("name", r"\.[^.]*$", "")), "sensor": sensor, "acquired": S.acquisition_date(F.col("name"))})
@@ -115,4 +40,4 @@ def raster_headers(spark: SparkSession, root: str, pattern: str = "*.{tif,tiff,T
 
 def raster_bounds(spark: SparkSession, root: str) -> DataFrame:
     """Bounds alone, in the raster's own units and in degrees."""
-    return raster_headers(spark, root).select("path", "min_x", "min_y", "max_x", "max_y", "west", "south", "east", "north")
+    return raster_headers(spark, root, digest=False).select("path", "min_x", "min_y", "max_x", "max_y", "west", "south", "east", "north")

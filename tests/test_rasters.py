@@ -47,7 +47,7 @@ def test_raster_headers(spark, tmp_path):
     (tmp_path / "empty.tif").write_bytes(b"")
     (tmp_path / "cut.tif").write_bytes(tiff("<", 10, 10, 1, None, ())[:20])
     got = {r.name: r for r in rasters.raster_headers(spark, str(tmp_path)).collect()}
-    assert len(got) == 6  # Spark lists no empty file
+    assert len(got) == 7
     a = got["scene 2024-01-15.tif"]
     assert (a.width, a.height, a.bands, a.dtype, a.nodata, a.epsg, a.projected, a.res_x) == (100, 50, 3, "uint16", 0.0, 32643, True, 24.0)
     assert (a.min_x, a.min_y, a.max_x, a.max_y) == (300000.0, 3098800.0, 302400.0, 3100000.0)
@@ -59,7 +59,7 @@ def test_raster_headers(spark, tmp_path):
     p = got["plain.tif"]
     assert (p.min_x, p.min_y, p.max_x, p.max_y, p.epsg, p.projected) == (0.0, 0.0, 400.0, 300.0, None, False)
     assert (p.west, p.north) == (78.9629 - 0.5, 20.5937 + 0.5)
-    for bad in ("large.tif", "cut.tif"):
+    for bad in ("large.tif", "cut.tif", "empty.tif"):
         assert got[bad].problem and got[bad].width is None and got[bad].west is None
     assert rasters.raster_bounds(spark, str(tmp_path)).columns == ["path", "min_x", "min_y", "max_x", "max_y", "west", "south", "east", "north"]
 
