@@ -294,14 +294,15 @@ def encode(docs: DataFrame, tokenizer: str, ids: bool = True) -> DataFrame:
 
     tokenizer is the content of the file, see read_tokenizer. Texts are encoded whole; null counts as empty and gives
     no tokens. ids_sha256 is over the ids as little-endian unsigned 32-bit integers, decoded_sha256 over the decoded
-    text in UTF-8. Columns of docs that are named like a new one keep their place under `source_<name>`.
+    text in UTF-8. Columns of docs that are named like a new one keep their place under
+    `source_<name>` (see common.renamed).
     """
     held = docs.sparkSession.sparkContext.broadcast(tokenizer)
     new = {"n_tokens": pa.int64(), "ids": pa.list_(pa.int32()), "ids_sha256": pa.string(), "decoded_sha256": pa.string()}
     if not ids:
         new.pop("ids")
     kept = [c for c in docs.columns if c != "text"]
-    names = [f"source_{c}" if c in new else c for c in kept]
+    names = common.renamed(kept, list(new))
     rows = docs.select("text", *[F.col(f"`{c}`").alias(n) for c, n in zip(kept, names, strict=True)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

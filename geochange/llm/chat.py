@@ -9,14 +9,14 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common
+from . import bpe, common, packing
 
 #: Fixed values of the template: what opens and closes a turn of each role. Other roles carry their name in the text.
 TEMPLATE = {"system": ("<<SYS>>", "<</SYS>>"), "user": ("[INST]", "[/INST]"), "assistant": ("<s>", "</s>")}
@@ -67,14 +67,24 @@ def read_turns(formatted: str) -> list[tuple[str, str, int, int]]:
 
 
 def tokens(text: str | None) -> int:
-    """The budget's unit: a word, or four characters where words are longer than that."""
+    """A cheap count for a budget: a word, or four characters where words are longer than that."""
     text = text or ""
     return max(len(text.split()), -(-len(text) // 4))
 
 
+def token_counter(spark: SparkSession, path: str | None = None) -> Callable[[str | None], int]:
+    """Counts a text's tokens in the vocabulary file at path, by default the installed public one of word ends."""
+    if path is None:
+        import public_tokenizers
+
+        path = public_tokenizers.path("word_bpe_49k.json")
+    held = spark.sparkContext.broadcast(bpe.read_tokenizer(path))
+    return lambda text: len(packing.packed_ids(text, packing._coder(held.value))) // 4
+
+
 @dataclass(frozen=True)
 class Windows:
-    """budget: tokens of a window, as tokens() counts them; history: tokens of repeated turns at most. A turn that
+    """budget: tokens of a window; history: tokens of repeated turns at most. A turn that
     exceeds the budget has a window of its own, with the system turn before it."""
 
     budget: int = 2048
@@ -85,7 +95,7 @@ _SCHEMA = "conv_id long, window int, formatted string, repeated int, loss array<
 _LOSS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
 
-def _windows(conv_id: int | None, turns: Iterator[tuple[str | None, str | None]], opts: Windows) -> Iterator[tuple]:
+def _windows(conv_id: int | None, turns: Iterator[tuple[str | None, str | None]], opts: Windows, count: Callable[[str | None], int]) -> Iterator[tuple]:
     """Cuts one conversation, turn by turn: only the open window, the history and the system turn are held."""
     number, system = 0, None
     window: list[tuple[str | None, str | None, int, bool]] = []
@@ -104,7 +114,7 @@ def _windows(conv_id: int | None, turns: Iterator[tuple[str | None, str | None]]
         return conv_id, number, "".join(text), repeated, loss
 
     for i, (role, body) in enumerate(turns):
-        cost = tokens(body)
+        cost = count(body)
         if any(x[3] for x in window) and spent + cost > opts.budget:
             yield finished()
             number += 1
@@ -126,7 +136,7 @@ def _windows(conv_id: int | None, turns: Iterator[tuple[str | None, str | None]]
         yield finished()
 
 
-def format_chats(conversations: DataFrame, opts: Windows = Windows()) -> DataFrame:
+def format_chats(conversations: DataFrame, opts: Windows = Windows(), count: Callable[[str | None], int] | None = None) -> DataFrame:
     """One row per window: conv_id, window, formatted, repeated (how many turns at its front are repeats) and loss, the
     code point offsets [start, end) in formatted that are learned from.
 
@@ -134,7 +144,9 @@ def format_chats(conversations: DataFrame, opts: Windows = Windows()) -> DataFra
     and roles count as empty, and null conv_ids are one conversation. Rows that repeat are turns of their own. The
     first turn, if its role is system, opens every window. An empty table gives an empty result. Turns go by in the
     order of the sort, which Spark keeps on disk where need be; of a conversation of any length one window is held.
+    count: the tokens of a turn's text, those of token_counter by default.
     """
+    count = count or token_counter(conversations.sparkSession)
     n = common.shuffle_parts(conversations.sparkSession)
     rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), "turn", "role", "text")
     rows = rows.repartition(n, "conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text")
@@ -143,7 +155,7 @@ def format_chats(conversations: DataFrame, opts: Windows = Windows()) -> DataFra
         names = ["conv_id", "window", "formatted", "repeated", "loss"]
         kinds = [pa.int64(), pa.int32(), pa.string(), pa.int32(), _LOSS]
         out: list[tuple] = []
-        for made in _by_conversation(batches, lambda key, turns: _windows(key, turns, opts)):
+        for made in _by_conversation(batches, lambda key, turns: _windows(key, turns, opts, count)):
             out.append(made)
             if len(out) >= 512:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)

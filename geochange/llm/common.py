@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -64,6 +64,19 @@ def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def renamed(columns: Sequence[str], new: Sequence[str]) -> list[str]:
+    """The names that columns keep beside new ones: one that is named like a new one becomes source_<name>, with as many
+    more source_ before it as it takes to be the only one."""
+    taken, out = {*columns, *new}, []
+    for c in columns:
+        name = c
+        while c in new and name in taken:
+            name = f"source_{name}"
+        taken.add(name)
+        out.append(name)
+    return out
+
+
 def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """mapInArrow whose function sees pieces of ARROW_ROWS rows, so that long texts don't add up to much memory. Spark
     bounds the bytes of a batch itself; the session's settings stay as they are."""

@@ -99,11 +99,11 @@ def line_dedup(docs: DataFrame, min_words: int = 40) -> DataFrame:
     run the first copy stays, in the order of doc_id, the hash of the text and the place; within a document too. A run
     may be one line. Null texts stay null, with no line; an empty text has one empty line. Rows that repeat a doc_id
     and text are one document and get one result each; a null doc_id comes first. A document of deleted lines only
-    gets an empty text. Columns of docs that are named like a new one are kept as `source_<name>`. An empty table gives
-    an empty result.
+    gets an empty text. Columns of docs that are named like a new one are kept as `source_<name>` (see common.renamed). An
+    empty table gives an empty result.
     """
     new = ("n_lines", "n_deleted")
-    docs = docs.select(*[F.col(f"`{c}`").alias(f"source_{c}" if c in new else c) for c in docs.columns])
+    docs = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, common.renamed(docs.columns, new), strict=True)])
     runs = common.written(repeated_runs(docs.select("doc_id", "text"), min_words), "deleted")
     # The row travels as one column, so that no name of it meets one made here.
     text = F.col("row.text")

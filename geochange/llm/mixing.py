@@ -96,7 +96,7 @@ def mix_sources(docs: DataFrame, opts: Mix = Mix()) -> DataFrame:
     come from one small row each, and only the block that the budget ends in needs the sums of its documents.
     """
     new = ("mix_repeat", "mix_weight", "mix_position")
-    docs = docs.select(*[F.col(f"`{c}`").alias(f"source_{c}" if c in new else c) for c in docs.columns])
+    docs = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, common.renamed(docs.columns, new), strict=True)])
     columns = docs.columns
     # The digest sets apart texts that share a doc_id.
     key = F.concat_ws("/", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.md5(F.coalesce("text", F.lit(""))))

@@ -94,7 +94,8 @@ def score_quality(docs: DataFrame, model: QualityModel) -> DataFrame:
 
 
 def filter_quality(docs: DataFrame, model: QualityModel, threshold: float = 0.3) -> DataFrame:
-    """The rows of docs, with all their columns, whose score is at least threshold."""
+    """The rows of docs, with all their columns, whose score is at least threshold. A null text counts as empty and is
+    scored as such; rows that repeat are kept or dropped together; an empty table gives an empty result."""
     held = docs.sparkSession.sparkContext.broadcast((model.bad, model.good, model.weights))
     at = docs.columns.index("text")
 

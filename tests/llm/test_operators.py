@@ -464,7 +464,7 @@ def test_chats(spark, opts):
         rows += [(c, t, "assistant" if t % 2 == 0 else "user", " ".join(["word"] * rng.randint(0, 15))) for t in range(1, rng.randint(2, 14))]
     rng.shuffle(rows)
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("window", F.lit("clash"))
-    windows = chat.format_chats(df, opts)
+    windows = chat.format_chats(df, opts, chat.tokens)
     got = {r.conv_id: r for r in chat.read_back(windows).collect()}
     by = collections.defaultdict(list)
     low = lambda x: (x is not None, x if x is not None else 0)
@@ -486,6 +486,28 @@ def test_chats(spark, opts):
     assert chat.read_back(chat.format_chats(df.where("false"))).count() == 0
 
 
+def test_budgets_are_in_tokens_of_the_vocabulary(spark, tokenizers_pair):
+    count = lambda t: len(tokenizers_pair[1].encode(t, add_special_tokens=False).ids)
+    said = "Don't count words, count 12345 tokens!"
+    rows = [(1, t, "assistant" if t % 2 else "user", said) for t in range(9)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    n = count(said)
+    assert n != chat.tokens(said)
+    windows = sorted(chat.format_chats(df, chat.Windows(budget=3 * n, history=n)).collect(), key=lambda r: r.window)
+    assert [(len(chat.read_turns(w.formatted)), w.repeated) for w in windows] == [(3, 0), (3, 1), (3, 1), (3, 1)]
+    assert len(chat.format_chats(df, chat.Windows(budget=3 * n - 1, history=0)).collect()) == 5
+
+
+def test_names_never_clash(spark):
+    """A column named like a new one beside its escape name, in each operator that carries columns."""
+    rows = spark.createDataFrame([(1, "some words here", "a", 5, 6, 7)], "doc_id long, text string, source string, x int, y int, z int")
+    for of, new in ((line_dedup.line_dedup, "n_lines"), (mixing.mix_sources, "mix_repeat"), (lambda df: bpe.encode(df, queries.tokenizer_file()), "n_tokens")):
+        (got,) = of(rows.withColumnsRenamed({"x": new, "y": f"source_{new}", "z": f"source_source_{new}"})).collect()
+        assert len(got) == len(set(got.__fields__))
+        assert (got[f"source_{new}"], got[f"source_source_{new}"], got[f"source_source_source_{new}"]) == (6, 7, 5)
+    assert common.renamed(["a", "source_a", "b"], ["a", "c"]) == ["source_source_a", "source_a", "b"]
+
+
 # --- models -----------------------------------------------------------------------------------------------------
 
 
