@@ -8,7 +8,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
@@ -340,15 +340,22 @@ def labelled(rows: DataFrame, width: int, chunk: int = CHUNK) -> DataFrame:
     return local.join(labels, local["local"] == labels["node"], "left").select("r", "c", F.coalesce("label", "local").alias("label"))
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """Cut from its lineage by a checkpoint in the shared folder; one of this machine only where none is set."""
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the cluster shares; one of this machine only where none is set and the master is local."""
     import tempfile
 
-    spark = df.sparkSession
-    if not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()):
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='spark-shared-')}")
+        found = f"file://{tempfile.mkdtemp(prefix='spark-shared-')}"
+        spark.sparkContext.setCheckpointDir(found)
+    return found
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """Cut from its lineage by a checkpoint in the shared folder."""
+    shared_dir(df.sparkSession)
     return df.checkpoint()
 
 

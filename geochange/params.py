@@ -50,6 +50,8 @@ class Params:
     # Seasons
     season_days: int = 30
     season_priors: int = 3
+    season_min_valid: float = 0.5
+    season_sample_px: int = 256
     season_sigmas: float = 2.0
     season_min_std: float = 0.05
     season_factor: float = 0.5

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import scalar as S
-from .operators import raster, summed
+from .operators import history, raster, summed
 from .plans import detect
 from .sources.projections import load, sql_round, with_projections
 
@@ -280,6 +281,36 @@ def upsampled_mask(spark, d):
     return raster.upsampled(load(spark, d, "pixels").withColumnRenamed("scl_a", "scl"), "scl")
 
 
+#: Five dates of one ground, date 0 the latest: each with numbers and masks of its own.
+DATES = """select s as scene_id, r, c, cast(300 + (b04_a + s * 211 + r * 3) % 1500 as bigint) as b04, cast(600 + (b08_a + s * s * 97 - case when s = 0 and floor(c / 10) % 2 = 0 then 500 else 0 end) % 2800 as bigint) as b08, cast((scl_a + s * 5 + c) % 12 as int) as scl
+    from {pixels} cross join (select explode(sequence(0, 4)) as s)"""
+
+
+@query(f"""with d as ({DATES.replace('select explode(sequence(0, 4)) as s', 'select unnest(range(0, 5)) as s')}), x as (select scene_id, cast(floor(r / 10) * 100 + floor(c / 10) as bigint) as candidate_id, scl in (4, 5, 6, 7, 11) as ok, (b08 / 1e4 - b04 / 1e4) / (b08 / 1e4 + b04 / 1e4) as ndvi from d),
+    n as (select candidate_id, scene_id, case when avg(ok::int) >= 0.5 then avg(ndvi) filter (where ok) end as ndvi from x group by candidate_id, scene_id),
+    h as (select candidate_id, count(ndvi) as n_clear, avg(ndvi) as mean, greatest(stddev_samp(ndvi), 0.05) as std from n where scene_id > 0 group by candidate_id),
+    v as (select h.*, n.ndvi as current from h join n on h.candidate_id = n.candidate_id and n.scene_id = 0),
+    w as (select *, case when n_clear < 3 or current is null then 'unverified' when mean - current <= 2 * std then 'seasonal' else 'anomalous' end as status from v)
+    select candidate_id, 4 as priors, n_clear, case when status <> 'unverified' then round(mean, 6) end as prior_mean, case when status <> 'unverified' then round(std, 6) end as prior_std, case when status <> 'unverified' then round(current, 6) end as current,
+      case when status <> 'unverified' then round((mean - current) / std, 4) end as drop_in_std, status, case status when 'seasonal' then 0.5 when 'unverified' then 0.85 else 1.0 end as factor from w""")
+def seasonal_from_pixels(spark, d):
+    """Blocks of ten by ten pixels as detections, looked up in an archive of chunk files of five dates."""
+    p = load(spark, d, "pixels")
+    height = _height(p)
+    archive = f"{raster.shared_dir(spark)}/archive-{uuid.uuid4().hex}"
+    history.write_archive(spark.sql(DATES, pixels=p), archive, chunk=64)
+    grid = {"crs": F.lit("EPSG:4326"), "width": F.lit(WIDTH), "height": F.lit(height), "transform": F.lit([0.001, 0.0, 70.0, 0.0, -0.001, 20.0])}
+    date = F.make_date(2024 - F.col("id").cast("int"), F.lit(3), 10 + F.col("id").cast("int"))
+    scenes = spark.range(5).select(F.col("id").alias("scene_id"), F.lit("s").alias("sensor"), date.alias("acquired"), F.lit(70.0).alias("min_x"), F.lit(20.0 - 0.001 * height).alias("min_y"), F.lit(70.0 + 0.001 * WIDTH).alias("max_x"), F.lit(20.0).alias("max_y"), *[v.alias(k) for k, v in grid.items()])
+    block = p.select(F.floor(F.col("r") / 10).alias("i"), F.floor(F.col("c") / 10).alias("j")).distinct()
+    ends = {"min_lon": 70 + F.col("j") * 0.01, "max_lon": 70 + (F.col("j") + 1) * 0.01, "max_lat": 20 - F.col("i") * 0.01, "min_lat": 20 - F.least((F.col("i") + 1) * 10, F.lit(height)) * 0.001}
+    c = block.select((F.col("i") * 100 + F.col("j")).alias("candidate_id"), F.lit(0).cast("long").alias("after_scene"), F.lit("s").alias("sensor"), F.make_date(F.lit(2024), F.lit(3), F.lit(10)).alias("acquired"), *[v.alias(k) for k, v in ends.items()])
+    ring = F.array(*[F.array(F.col(x), F.col(y)) for x, y in (("min_lon", "min_lat"), ("max_lon", "min_lat"), ("max_lon", "max_lat"), ("min_lon", "max_lat"), ("min_lon", "min_lat"))])
+    c = c.withColumns({"geometry": F.to_json(F.struct(F.lit("Polygon").alias("type"), F.array(ring).alias("coordinates"))), "centroid_lon": F.lit(None).cast("double"), "centroid_lat": F.lit(None).cast("double")})
+    found = history.verdicts(spark, c, scenes, archive, chunk=64)
+    return found.withColumns({k: F.round(k, n) for k, n in (("prior_mean", 6), ("prior_std", 6), ("current", 6), ("drop_in_std", 4))})
+
+
 @query("""with x as (select cast(floor(r / 10) * 100 + floor(c / 10) as bigint) as label, scl_b in (4, 5, 6, 7, 11) as ok, case when b08_b / 10000.0 + b04_b / 10000.0 > 1e-6 then (b08_b / 10000.0 - b04_b / 10000.0) / (b08_b / 10000.0 + b04_b / 10000.0) end as ndvi from {pixels})
     select label, round(case when avg(ok::int) >= 0.3 then avg(ndvi) filter (where ok) end, 9) as ndvi from x group by label""")
 def outline_ndvi(spark, d):
