@@ -414,14 +414,26 @@ def confidence_terms(terms: dict[str, tuple[Column, float]], factor: Column) ->
     return F.struct(F.array(*rows).alias("terms"), F.coalesce(factor, F.lit(1.0)).alias("factor"))
 
 
-#: How steps are named to the reader.
-METHOD_NAMES = {"same_tile": "Shared tile grid", "ecc": "Intensity correlation", "orb": "Feature matching", "pif": "Invariant pixels", "identity": "None needed"}
+#: How an export names masks, ways of alignment and of normalisation; other codes stand for themselves.
+MASK_NAMES = {"scl": "SCL", "qa_pixel": "QA_PIXEL", "heuristic": "heuristic", "data_mask": "data_mask"}
+METHOD_NAMES = {"same_tile": "same_mgrs_grid", "pif": "pif_robust_regression", "identity": "none"}
+
+
+def named(code: Column, names: dict[str, str]) -> Column:
+    known = F.create_map(*[F.lit(x) for kv in names.items() for x in kv])
+    return F.coalesce(known[code], code)
 
 
 def method_name(code: Column) -> Column:
-    """the reader's name of a method, the code itself where there is none."""
-    names = F.create_map(*[F.lit(x) for kv in METHOD_NAMES.items() for x in kv])
-    return F.coalesce(names[code], code)
+    """what an export calls a way of alignment or normalisation; unknown where there is none."""
+    return F.coalesce(named(code, METHOD_NAMES), F.lit("unknown"))
+
+
+def mask_name(source_a: Column, source_b: Column) -> Column:
+    """of both scenes' masks, once where they are of one kind."""
+    a, b = (F.coalesce(named(x, MASK_NAMES), F.lit("None")) for x in (source_a, source_b))
+    both = F.concat(a, F.lit(" (A) / "), b, F.lit(" (B)"))
+    return F.when(source_a == source_b, a).when(F.coalesce(source_a, source_b).isNotNull(), both).otherwise("unknown")
 
 
 def scene_paths(analysis: Column, display: Column, sensor: Column) -> Column:
@@ -439,7 +451,7 @@ def fixed(x: Column, digits: int = 2) -> Column:
 
 
 def _line(key: str, text: Column) -> Column:
-    return F.when(text.isNotNull(), F.struct(F.lit(key).alias("key"), text.alias("text")))
+    return F.when(text.isNotNull(), F.struct(F.lit(key).alias("key"), F.lit(key.capitalize()).alias("label"), text.alias("text")))
 
 
 def trace(details: Column, c: dict[str, Column]) -> Column:
@@ -467,17 +479,22 @@ def trace(details: Column, c: dict[str, Column]) -> Column:
         .when(method == "orb", F.concat(F.lit("ORB feature matching, inlier ratio "), fixed(num("alignment.inlier_ratio")), shift))
         .otherwise(method)
     )
-    nir = F.coalesce(num("radiometry.slope[3]"), num("radiometry.slope[0]")), F.coalesce(num("radiometry.intercept[3]"), num("radiometry.intercept[0]"))
+    # Of the NIR band, the fourth; of the last where there are fewer.
+    lines = {k: F.from_json(get(f"radiometry.{k}"), "array<double>") for k in ("slope", "intercept")}
+    last = F.when(F.size(lines["slope"]) > 3, 4).otherwise(F.size(lines["slope"]))
+    nir = tuple(F.when(F.size(lines["slope"]) > 0, F.try_element_at(lines[k], last)) for k in lines)
+    notes = F.array_join(F.from_json(get("radiometry.notes"), "array<string>"), "; ")
     gain = F.when(nir[0].isNotNull() & nir[1].isNotNull(), F.concat(F.lit(", gain: "), fixed(nir[0]), F.lit(", offset: "), fixed(nir[1], 1))).otherwise("")
-    normalisation = F.when(get("radiometry.tier") == "pif", F.concat(F.lit("PIF robust regression, "), F.format_number(F.coalesce(num("radiometry.pif_pixels"), F.lit(0.0)), 0), F.lit(" anchor pixels"), gain)).when(get("radiometry").isNotNull(), "None applied (too few stable pixels)")
+    normalisation = F.when(get("radiometry.tier") == "pif", F.concat(F.lit("PIF robust regression, "), F.format_number(F.coalesce(num("radiometry.pif_pixels"), F.lit(0.0)), 0), F.lit(" anchor pixels"), gain)).when(get("radiometry").isNotNull() & (get("radiometry") != "{}"), F.concat(F.lit("None applied (too few stable pixels)"), F.when(notes != "", F.concat(F.lit(": "), notes)).otherwise("")))
     band = F.when(get("detection.difference_band").startswith("B08"), "NIR difference").otherwise("Mean-intensity difference")
     detection = F.when(get("detection.kmeans_centroids").isNotNull(), F.concat(band, F.lit(" → K-Means K=2, change centroid magnitude: "), fixed(num("detection.kmeans_centroids[1]"), 1)))
     large = F.coalesce(c["large_area"], F.lit(False))
-    grow = F.coalesce(c["merged_dilation"], F.when(large, P.large_dilations[-1]).otherwise(P.near_dilations[0]))
+    own = F.when(c["merged_dilation"] > 0, c["merged_dilation"])
+    grow = F.coalesce(own, F.when(large, P.large_dilations[0]), num("grouping.dilation_px").cast("int"), F.lit(P.near_dilations[0]))
     grouping = F.when(c["sub_blobs"] > 1, F.concat(F.when(large, "Large-area change: merged").otherwise("Merged"), F.lit(" from "), c["sub_blobs"], F.lit(" change blobs less than "), 2 * grow, F.lit(" px apart; area, outline and ΔNDVI are those of the blobs themselves")))
-    named = F.coalesce(c["direction"], F.lit("unclassified"))
-    rule = F.when((named == "unclassified") & c["rule"].isNotNull(), F.concat(F.lit(" ("), c["rule"], F.lit(")"))).otherwise("")
-    direction = F.when(c["dominant_a"].isNull(), "Not classified (analysed before direction classification, or without a NIR band)").otherwise(F.concat(F.initcap(named), F.lit(" — dominant class A: "), c["dominant_a"], F.lit(", dominant class B: "), c["dominant_b"], rule))
+    way = F.coalesce(c["direction"], F.lit("unclassified"))
+    rule = F.when((way == "unclassified") & c["rule"].isNotNull(), F.concat(F.lit(" ("), c["rule"], F.lit(")"))).otherwise("")
+    direction = F.when(c["dominant_a"].isNull(), "Not classified (analysed before direction classification, or without a NIR band)").otherwise(F.concat(F.initcap(way), F.lit(" — dominant class A: "), c["dominant_a"], F.lit(", dominant class B: "), c["dominant_b"], rule))
     evidence = F.when(c["mean_dndvi"].isNotNull(), F.concat(F.lit("ΔNDVI: "), fixed(c["mean_dndvi"])))
     clear = F.coalesce(c["priors_clear"], F.lit(0))
     spread = F.concat(F.lit("NDVI "), fixed(c["current_ndvi"]), F.lit(" against a same-season mean of "), fixed(c["prior_mean"]), F.lit(" (±"), fixed(c["prior_std"]), F.lit(") over "), clear, F.lit(" prior years"))
@@ -487,8 +504,8 @@ def trace(details: Column, c: dict[str, Column]) -> Column:
         .when(c["seasonality"] == "seasonal", F.concat(F.lit("Seasonal — "), spread, F.lit(f"; within {P.season_sigmas:g} std devs, confidence ×{P.season_factor}")))
         .when(c["seasonality"].isNotNull(), F.concat(F.lit("Anomalous — "), spread, F.lit(f"; drop exceeds {P.season_sigmas:g} std devs, confidence unchanged")))
     )
-    lines = {"masking": masking, "alignment": alignment, "normalisation": normalisation, "detection": detection, "grouping": grouping, "direction": direction, "evidence": evidence, "seasonality": season}
-    return F.array_compact(F.array(*[_line(k, x) for k, x in lines.items()]))
+    found = {"masking": masking, "alignment": alignment, "normalisation": normalisation, "detection": detection, "grouping": grouping, "direction": direction, "evidence": evidence, "seasonality": season}
+    return F.array_compact(F.array(*[_line(k, x) for k, x in found.items()]))
 
 
 def exported_feature(c: dict[str, Column], geometry: Column, details: Column) -> Column:
@@ -502,15 +519,13 @@ def exported_feature(c: dict[str, Column], geometry: Column, details: Column) ->
     ring = F.array(*[F.array(a, b) for a, b in ((x0, y0), (x1, y0), (x1, y1), (x0, y1), (x0, y0))])
     box = F.to_json(F.struct(F.lit("Polygon").alias("type"), F.array(ring).alias("coordinates")))
     source_a, source_b = get("masking.scene_a.source"), get("masking.scene_b.source")
-    masking = F.when(source_a == source_b, source_a).when(F.coalesce(source_a, source_b).isNotNull(), F.concat_ws("", F.coalesce(source_a, F.lit("None")), F.lit(" (A) / "), F.coalesce(source_b, F.lit("None")), F.lit(" (B)"))).otherwise("unknown")
-    method, tier = get("alignment.method"), get("radiometry.tier")
     processing = F.struct(
-        masking.alias("masking"),
+        mask_name(source_a, source_b).alias("masking"),
         get("masking.scene_a.cloud_trust").try_cast("double").alias("cloud_trust_a"),
         get("masking.scene_b.cloud_trust").try_cast("double").alias("cloud_trust_b"),
-        F.when(method == "same_tile", "same_mgrs_grid").otherwise(F.coalesce(method, F.lit("unknown"))).alias("alignment"),
+        method_name(get("alignment.method")).alias("alignment"),
         get("alignment.quality").try_cast("double").alias("alignment_quality"),
-        F.when(tier == "pif", "pif_robust_regression").when(tier == "identity", "none").otherwise(F.coalesce(tier, F.lit("unknown"))).alias("normalisation"),
+        method_name(get("radiometry.tier")).alias("normalisation"),
         get("radiometry.pif_pixels").try_cast("long").alias("pif_pixels"),
     )
     terms = ("alignment_quality", "cluster_distance_percentile", "terrain_flatness", "valid_coverage")

@@ -166,11 +166,11 @@ def ring_winding(spark, d):
     return c.select("candidate_id", (S.ring_area(S.wound(F.col("ring"))) > 0).alias("counter_clockwise"), (S.ring_area(F.col("ring")) < 0).alias("turned"))
 
 
-@query("""select candidate_id, case candidate_id % 4 when 0 then 'Shared tile grid' when 1 then 'Intensity correlation' when 2 then 'Invariant pixels' else 'other' end as method,
+@query("""select candidate_id, case candidate_id % 5 when 0 then 'same_mgrs_grid' when 1 then 'ecc' when 2 then 'pif_robust_regression' when 3 then 'none' else 'unknown' end as method,
     case when candidate_id % 3 = 0 then 'display_' || candidate_id else 'analysis_' || candidate_id end as raster, case candidate_id % 5 when 0 then 'scl' when 1 then 'qa' else 'data' end as mask from {candidates}""")
 def provenance(spark, d):
     i = F.col("candidate_id")
-    code = F.element_at(F.array(*map(F.lit, ("same_tile", "ecc", "pif", "other"))), (i % 4).cast("int") + 1)
+    code = F.element_at(F.array(*map(F.lit, ("same_tile", "ecc", "pif", "identity", None))), (i % 5).cast("int") + 1)
     sensor = F.when(i % 5 == 0, "sentinel2").when(i % 5 == 1, "landsat8").otherwise("liss3")
     paths = S.scene_paths(F.when(i % 3 != 0, F.concat(F.lit("analysis_"), i)), F.concat(F.lit("display_"), i), sensor)
     return load(spark, d, "candidates").select("candidate_id", S.method_name(code).alias("method"), paths["raster"].alias("raster"), paths["mask"].alias("mask"))

@@ -531,12 +531,21 @@ def export_features(spark, d):
     return catalog.filtered(_view(spark, d), 0.4).select("candidate_id", "direction", "change_type", "review", F.round("area_ha", 4).alias("area_ha"), ring.alias("ring"))
 
 
+#: A job's details as the detection plan leaves them, from its scenes' numbers.
+DETAILS = """'{"masking":{"scene_a":{"source":"scl","cloud_trust":0.9},"scene_b":{"source":"' || case scene_b % 3 when 0 then 'scl' when 1 then 'qa_pixel' else 'heuristic' end || '","cloud_trust":0.' || (50 + scene_b) || '}},"alignment":{"method":"' ||
+    case scene_a % 3 when 0 then 'same_tile' when 1 then 'ecc' else 'orb' end || '","tiles":["43RCL","43RCL"],"rho":0.9' || scene_a || ',"inlier_ratio":0.5,"max_shift_px":1.25},"radiometry":{"tier":"' || case when scene_a = 5 then 'identity","notes":["only 7 valid pixels to fit","band 2: left unchanged"],"was":"' else 'pif' end ||
+    '","slope":[1,1,1,1.0' || scene_b || '],"intercept":[0,0,0,12.5],"pif_pixels":' || (scene_a * 1000 + 7) || '},"detection":{"kmeans_centroids":[1.0,' || scene_a || '.5],"difference_band":"B08 (NIR)"},"grouping":{"dilation_px":' || case when scene_b % 2 = 0 then 10 else 5 end || '}}'"""
+
+
 @query(f"""with {VIEW}, n as (select candidate_id, count(*) as n from {{reviews}} group by candidate_id)
-    select v.candidate_id, {sql_round('confidence', 4)} as confidence, {sql_round('mean_dndvi', 4)} as delta_ndvi, {sql_round('area_ha', 2)} as area_ha, review as decision, coalesce(n, 0) as review_count, cast(a.acquired as varchar) as date_a, 'bounding_box' as source, v.min_x as west
+    select v.candidate_id, {sql_round('confidence', 4)} as confidence, {sql_round('mean_dndvi', 4)} as delta_ndvi, {sql_round('area_ha', 2)} as area_ha, review as decision, coalesce(n, 0) as review_count, cast(a.acquired as varchar) as date_a, 'bounding_box' as source, v.min_x as west,
+      case scene_b % 3 when 0 then 'SCL' when 1 then 'SCL (A) / QA_PIXEL (B)' else 'SCL (A) / heuristic (B)' end as masking, case scene_a % 3 when 0 then 'same_mgrs_grid' when 1 then 'ecc' else 'orb' end as alignment,
+      case when scene_a = 5 then 'none' else 'pif_robust_regression' end as normalisation, 0.9e0 as cloud_trust_a, cast('0.' || (50 + scene_b) as double) as cloud_trust_b, scene_a * 1000 + 7 as pif_pixels, v.change_type, v.direction
     from v left join n on v.candidate_id = n.candidate_id left join {{places}} a on v.scene_a = a.scene_id where review <> 'rejected'""")
 def export_geojson(spark, d):
     """One GeoJSON feature a row, read back for the check; export_features.write_features writes the file."""
-    f = catalog.exported(load(spark, d, "candidates"), load(spark, d, "reviews"), load(spark, d, "places"), load(spark, d, "pair_jobs"), decisions=["pending", "confirmed"])
+    jobs = load(spark, d, "pair_jobs").withColumn("details", F.expr(DETAILS))
+    f = catalog.exported(load(spark, d, "candidates"), load(spark, d, "reviews"), load(spark, d, "places"), jobs, decisions=["pending", "confirmed"])
     get = lambda path: F.get_json_object("feature", f"$.{path}")
     p = "properties"
     return f.select(
@@ -549,24 +558,22 @@ def export_geojson(spark, d):
         get(f"{p}.date_a").alias("date_a"),
         get(f"{p}.geometry_source").alias("source"),
         get("geometry.coordinates[0][0][0]").cast("double").alias("west"),
+        *[get(f"{p}.processing.{k}").alias(k) for k in ("masking", "alignment", "normalisation")],
+        *[get(f"{p}.processing.{k}").cast("double").alias(k) for k in ("cloud_trust_a", "cloud_trust_b")],
+        get(f"{p}.processing.pif_pixels").cast("long").alias("pif_pixels"),
+        *[get(f"{p}.{k}").alias(k) for k in ("change_type", "direction")],
     )
 
 
-#: A job's details as the detection plan leaves them, from its scenes' numbers.
-DETAILS = """'{"masking":{"scene_a":{"source":"scl","cloud_trust":0.9},"scene_b":{"source":"' || case scene_b % 3 when 0 then 'scl' when 1 then 'qa_pixel' else 'heuristic' end || '","cloud_trust":0.' || (50 + scene_b) || '}},"alignment":{"method":"' ||
-    case scene_a % 3 when 0 then 'same_tile' when 1 then 'ecc' else 'orb' end || '","tiles":["43RCL","43RCL"],"rho":0.9' || scene_a || ',"inlier_ratio":0.5,"max_shift_px":1.25},"radiometry":{"tier":"' || case when scene_a = 5 then 'identity' else 'pif' end ||
-    '","slope":[1,1,1,1.0' || scene_b || '],"intercept":[0,0,0,12.5],"pif_pixels":' || (scene_a * 1000 + 7) || '},"detection":{"kmeans_centroids":[1.0,' || scene_a || '.5],"difference_band":"B08"}}'"""
-
-
 @query(f"""with {VIEW} select candidate_id, array_to_string(list_filter([
-      case when scene_b % 3 = 0 then 'SCL-based, CloudTrust A: 0.90, CloudTrust B: 0.' || (50 + scene_b) else 'A: scl, B: ' || case scene_b % 3 when 1 then 'qa_pixel' else 'heuristic' end || ', CloudTrust A: 0.90, CloudTrust B: 0.' || (50 + scene_b) end,
-      case scene_a % 3 when 0 then 'Same MGRS tile (T43RCL) — grid verified by definition' when 1 then 'ECC registration, correlation 0.9' || scene_a || '0, largest shift 1.25 px' else 'ORB feature matching, inlier ratio 0.50, largest shift 1.25 px' end,
-      case when scene_a = 5 then 'None applied (too few stable pixels)' else 'PIF robust regression, ' || case when scene_a > 0 then scene_a || ',007' else '7' end || ' anchor pixels, gain: 1.0' || scene_b || ', offset: 12.5' end,
-      'NIR difference → K-Means K=2, change centroid magnitude: ' || scene_a || '.5',
-      case when sub_blobs > 1 then case when candidate_id % 5 = 0 then 'Large-area change: merged' else 'Merged' end || ' from ' || sub_blobs || ' change blobs less than ' || case when candidate_id % 5 = 0 then 40 else 20 end || ' px apart; area, outline and ΔNDVI are those of the blobs themselves' end,
-      case when candidate_id % 4 = 0 then 'Not classified (analysed before direction classification, or without a NIR band)' else upper(direction[1]) || direction[2:] || ' — dominant class A: vegetation, dominant class B: bare' || case when direction = 'unclassified' then ' (no rule)' else '' end end,
-      case when mean_dndvi is not null then 'ΔNDVI: ' || printf('%.2f', {sql_round('mean_dndvi', 2)}) end,
-      case seasonality when 'unverified' then 'Unverified — ' || candidate_id % 3 || ' clear same-season prior observation' || case when candidate_id % 3 = 1 then '' else 's' end || ' (needs 3); confidence ×0.85'
+      'Masking: ' || case when scene_b % 3 = 0 then 'SCL-based, CloudTrust A: 0.90, CloudTrust B: 0.' || (50 + scene_b) else 'A: scl, B: ' || case scene_b % 3 when 1 then 'qa_pixel' else 'heuristic' end || ', CloudTrust A: 0.90, CloudTrust B: 0.' || (50 + scene_b) end,
+      'Alignment: ' || case scene_a % 3 when 0 then 'Same MGRS tile (T43RCL) — grid verified by definition' when 1 then 'ECC registration, correlation 0.9' || scene_a || '0, largest shift 1.25 px' else 'ORB feature matching, inlier ratio 0.50, largest shift 1.25 px' end,
+      'Normalisation: ' || case when scene_a = 5 then 'None applied (too few stable pixels): only 7 valid pixels to fit; band 2: left unchanged' else 'PIF robust regression, ' || case when scene_a > 0 then scene_a || ',007' else '7' end || ' anchor pixels, gain: 1.0' || scene_b || ', offset: 12.5' end,
+      'Detection: ' || 'NIR difference → K-Means K=2, change centroid magnitude: ' || scene_a || '.5',
+      'Grouping: ' || case when sub_blobs > 1 then case when candidate_id % 5 = 0 then 'Large-area change: merged' else 'Merged' end || ' from ' || sub_blobs || ' change blobs less than ' || case when candidate_id % 7 = 3 then 42 when candidate_id % 5 = 0 then 60 when scene_b % 2 = 0 then 20 else 10 end || ' px apart; area, outline and ΔNDVI are those of the blobs themselves' end,
+      'Direction: ' || case when candidate_id % 4 = 0 then 'Not classified (analysed before direction classification, or without a NIR band)' else upper(direction[1]) || direction[2:] || ' — dominant class A: vegetation, dominant class B: bare' || case when direction = 'unclassified' then ' (no rule)' else '' end end,
+      'Evidence: ' || case when mean_dndvi is not null then 'ΔNDVI: ' || printf('%.2f', {sql_round('mean_dndvi', 2)}) end,
+      'Seasonality: ' || case seasonality when 'unverified' then 'Unverified — ' || candidate_id % 3 || ' clear same-season prior observation' || case when candidate_id % 3 = 1 then '' else 's' end || ' (needs 3); confidence ×0.85'
         when 'seasonal' then 'Seasonal — NDVI 0.50 against a same-season mean of 0.55 (±0.05) over ' || candidate_id % 3 || ' prior years; within 2 std devs, confidence ×0.5'
         when 'anomalous' then 'Anomalous — NDVI 0.50 against a same-season mean of 0.55 (±0.05) over ' || candidate_id % 3 || ' prior years; drop exceeds 2 std devs, confidence unchanged' end], lambda x: x is not null), ' | ') as trace from v""")
 def trace_lines(spark, d):
@@ -575,9 +582,9 @@ def trace_lines(spark, d):
     i = F.col("candidate_id")
     num = lambda x: F.lit(x).cast("double")
     own = {k: F.col(k) for k in ("sub_blobs", "direction", "mean_dndvi", "seasonality")}
-    own |= {"merged_dilation": F.lit(None).cast("int"), "large_area": i % 5 == 0, "dominant_a": F.when(i % 4 != 0, "vegetation"), "dominant_b": F.lit("bare"), "rule": F.lit("no rule")}
+    own |= {"merged_dilation": F.when(i % 7 == 3, 21).when(i % 7 == 4, 0), "large_area": i % 5 == 0, "dominant_a": F.when(i % 4 != 0, "vegetation"), "dominant_b": F.lit("bare"), "rule": F.lit("no rule")}
     own |= {"priors_clear": i % 3, "current_ndvi": num(0.5), "prior_mean": num(0.55), "prior_std": num(0.05)}
-    return v.select("candidate_id", F.array_join(F.transform(S.trace(F.col("details"), own), lambda x: x["text"]), " | ").alias("trace"))
+    return v.select("candidate_id", F.array_join(F.transform(S.trace(F.col("details"), own), lambda x: F.concat(x["label"], F.lit(": "), x["text"])), " | ").alias("trace"))
 
 
 @query("""with w as (select k.scene_a, k.scene_b, a.acquired as date_a, b.acquired as date_b, cast(coalesce(json_extract_string(details, '$.mutual_coverage_after_alignment'), json_extract_string(details, '$.mutual_coverage')) as double) as coverage,
