@@ -47,9 +47,6 @@ def filtered(view: DataFrame, min_confidence: float = 0.0, types: Sequence[str]
     return view
 
 
-SORTS: dict[str, list[Column | str]] = {}
-
-
 def sort_keys(by: str) -> list[Column]:
     """Orders of the browser, each with the id as the last word."""
     keys = {
@@ -122,6 +119,23 @@ def cascade_counts(scene_ids: DataFrame, tiles: DataFrame, candidates: DataFrame
     return out
 
 
+def without_scenes(scene_ids: DataFrame, tiles: DataFrame, candidates: DataFrame, reviews: DataFrame, alerts: DataFrame) -> dict[str, DataFrame]:
+    """What of each table is left without the given scenes: their tiles, detections of pairs with them, and these
+    detections' reviews and alerts go."""
+    ids = scene_ids.select("scene_id").distinct()
+    left = candidates
+    for side in ("scene_a", "scene_b"):
+        left = left.join(ids.withColumnRenamed("scene_id", side), side, "left_anti")
+    left = left.select(*candidates.columns)
+    gone = candidates.select("candidate_id").join(left.select("candidate_id"), "candidate_id", "left_anti").distinct()
+    return {
+        "tiles": tiles.join(ids, "scene_id", "left_anti").select(*tiles.columns),
+        "candidates": left,
+        "reviews": reviews.join(gone, "candidate_id", "left_anti").select(*reviews.columns),
+        "alerts": alerts.join(gone, "candidate_id", "left_anti").select(*alerts.columns),
+    }
+
+
 def exported(candidates: DataFrame, reviews: DataFrame, places: DataFrame, jobs: DataFrame, job_id: int | None = None, min_confidence: float = 0.0, decisions: Sequence[str] | None = None) -> DataFrame:
     """(candidate_id, feature): detections with a filter by job, confidence and decision, each as a GeoJSON feature
     with where it comes from; an outline where candidates have a `geometry` in JSON, else the box."""
@@ -185,6 +199,7 @@ def merged(members: DataFrame, group: str) -> DataFrame:
     return base.join(types, group).join(lead, group)
 
 
+#: States in which a pair is not run again.
 FINAL = ("completed", "insufficient_evidence", "alignment_failed", "grid_mismatch")
 
 

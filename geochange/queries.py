@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import scalar as S
-from .operators import catalog, seasonal, spatial, vector
+from .operators import catalog, raster, seasonal, spatial, vector, versions
 from .params import CHANGE_TYPES, P
 from .plans import requests, search
 from .sources.projections import load, sql_round, with_projections
+from .streaming import incremental
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -717,22 +719,45 @@ def incremental_pairs(spark, d):
     return _through_stream(spark, d, "pairs")
 
 
-@query(f"with {ALERTS} select * from al")
+@query(f"with {ALERTS} select * from al where job_id <> 3")
 def incremental_alerts(spark, d):
+    """I4: of jobs that are completed; the third still runs."""
     return _through_stream(spark, d, "alerts")
 
 
-def _through_stream(spark, d, what):
-    """Feeds a projection through files in the shared folder, in two batches, and reads what the stream has written."""
-    import tempfile
-    import uuid
+@query(f"""with {ALERTS}, k as (select job_id, candidate_id, confidence >= case when job_id in (1, 2) then 0.5 else 0 end as stays from {{candidates}}),
+    n as (select job_id, count(*) filter (where stays) as detections from k group by job_id), a as (select al.job_id, count(*) as alerts from al join k on al.candidate_id = k.candidate_id where stays group by al.job_id)
+    select n.job_id, case n.job_id when 5 then 'running' else 'completed' end as state, case when n.job_id = 5 then 0 else detections end as detections, case when n.job_id = 5 then 0 else coalesce(alerts, 0) end as alerts from n left join a on n.job_id = a.job_id""")
+def replaced_jobs(spark, d):
+    """Jobs planned in a stream are run and published with their detections and alerts; two are then run anew
+    with a floor on confidence, which takes the alerts of what goes with it. What a run that died has written isn't seen."""
+    top = f"{raster.shared_dir(spark)}/jobs-{uuid.uuid4().hex}"
+    c = load(spark, d, "candidates").select("job_id", "candidate_id", "confidence", "area_px", *S.BOX)
+    watch = load(spark, d, "watchlist")
+    kinds = {"detections": "job_id long, candidate_id long, confidence double", "alerts": "job_id long, candidate_id long, watch_id long"}
+
+    def rows(jobs, floor):
+        own = c.join(jobs.select("job_id"), "job_id", "left_semi").where(F.col("confidence") >= floor)
+        return {"detections": own.select("job_id", "candidate_id", "confidence"), "alerts": spatial.watch_alerts(own, watch).select("job_id", "candidate_id", "watch_id")}
+
+    def run(jobs):
+        done = jobs.select("job_id", F.when(F.col("job_id") == 5, "running").otherwise("completed").alias("state"), F.lit("{}").alias("details"))
+        return done, rows(jobs.where("job_id <> 5"), 0.0)
+
+    c.select("job_id").distinct().write.parquet(f"{top}/planned")
+    for _ in range(2):  # the second time nothing that is final runs
+        incremental.job_stream(spark.readStream.schema("job_id long").parquet(f"{top}/planned"), f"{top}/tables", run, f"{top}/state-{uuid.uuid4().hex}").awaitTermination()
+    again = spark.createDataFrame([(1, "completed", "{}"), (2, "completed", "{}")], "job_id long, state string, details string")
+    rows(again, 0.9)["detections"].withColumn("version", F.lit("died")).write.mode("append").partitionBy("version").parquet(f"{top}/tables/detections")
+    versions.publish(again, rows(again, 0.5), f"{top}/tables")
+    n = {k: versions.read_table(spark, f"{top}/tables", k, kind).groupBy("job_id").agg(F.count("*").alias(k)) for k, kind in kinds.items()}
+    jobs = versions.current_jobs(spark, f"{top}/tables").select("job_id", "state")
+    return jobs.join(n["detections"], "job_id", "left").join(n["alerts"], "job_id", "left").na.fill(0, ["detections", "alerts"])
 
-    from .streaming import incremental
 
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not shared and not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    top = f"{shared or 'file://' + tempfile.mkdtemp(prefix='spark-shared-')}/{what}-{uuid.uuid4().hex}"
+def _through_stream(spark, d, what):
+    """Feeds a projection through files in the shared folder, in two batches, and reads what the stream has written."""
+    top = f"{raster.shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
     rows, key = (load(spark, d, "scenes"), "scene_id") if what == "pairs" else (load(spark, d, "candidates"), "candidate_id")
     for part in (F.col(key) % 2 == 1, F.col(key) % 2 == 0):
         rows.where(part).write.mode("append").parquet(f"{top}/in")
@@ -740,6 +765,7 @@ def _through_stream(spark, d, what):
         if what == "pairs":
             q = incremental.pair_stream(stream, f"{top}/scenes", f"{top}/out", f"{top}/state")
         else:
-            q = incremental.alert_stream(stream, load(spark, d, "watchlist"), f"{top}/out", f"{top}/state")
+            completed = lambda: rows.select("job_id").where("job_id <> 3")
+            q = incremental.alert_stream(stream, load(spark, d, "watchlist"), f"{top}/out", f"{top}/state", completed)
         q.awaitTermination()
     return spark.read.parquet(f"{top}/out")

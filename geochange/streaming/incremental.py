@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
-from ..operators import spatial
+from ..operators import catalog, raster, spatial, versions
 
 
 def _log(spark: SparkSession, path: str, schema) -> DataFrame:
@@ -58,6 +58,20 @@ def alert_stream(candidates: DataFrame, watchlist: DataFrame, alerts_path: str,
     return candidates.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def job_stream(planned: DataFrame, root: str, run: Callable[[DataFrame], tuple[DataFrame, dict[str, DataFrame]]], checkpoint: str):
+    """Runs the jobs of a stream (job_id, ...) as they are planned. run gives a batch's jobs (job_id, state, details) and
+    their rows by table; they are published together (see operators.versions). A job in a final state isn't run again, so
+    a batch that comes again adds nothing, and one that died before its commit is run anew."""
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        over = versions.current_jobs(batch.sparkSession, root).where(F.col("state").isin(*catalog.FINAL)).select("job_id")
+        fresh = raster.kept(batch.dropDuplicates(["job_id"]).join(over, "job_id", "left_anti"))
+        if fresh.limit(1).count():
+            versions.publish(*run(fresh), root)
+
+    return planned.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def rate_by_window(events: DataFrame, late: str = "10 minutes", size: str = "1 hour") -> DataFrame:
     """Counts and sums of a stream of operations by kind and window; rows later than the watermark are left out."""
     return events.withWatermark("ts", late).groupBy(F.window("ts", size), "kind").agg(F.count("*").alias("n"), F.sum("value").alias("total"))

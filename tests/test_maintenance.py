@@ -5,7 +5,7 @@ import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from geochange.operators import catalog, vector
+from geochange.operators import catalog, vector, versions
 from geochange.plans import requests
 from geochange.streaming import incremental
 
@@ -50,6 +50,78 @@ def test_jobs_are_replaced_one_by_one(spark, tmp_path):
     assert sorted((r.job_id, r.candidate_id) for r in spark.read.parquet(path).collect()) == [(1, 12), (2, 20)]
 
 
+ROWS = {"detections": "job_id long, candidate_id long", "alerts": "job_id long, candidate_id long, watch_id long"}
+
+
+def _state(spark, root):
+    own = {k: sorted(map(tuple, versions.read_table(spark, root, k, v).select(*[c.split()[0] for c in v.split(", ")]).collect())) for k, v in ROWS.items()}
+    return sorted((r.job_id, r.state) for r in versions.current_jobs(spark, root).collect()), own["detections"], own["alerts"]
+
+
+def _batch(spark, jobs, detections, alerts):
+    return spark.createDataFrame(jobs, "job_id long, state string, details string"), {"detections": spark.createDataFrame(detections, ROWS["detections"]), "alerts": spark.createDataFrame(alerts, ROWS["alerts"])}
+
+
+def test_tables_of_a_job_change_together(spark, tmp_path):
+    root = str(tmp_path / "t")
+    assert _state(spark, root) == ([], [], [])
+    versions.publish(*_batch(spark, [(1, "completed", None), (2, "completed", None)], [(1, 10), (1, 11), (2, 20), (9, 90)], [(1, 10, 7), (2, 20, 7)]), root)
+    first = ([(1, "completed"), (2, "completed")], [(1, 10), (1, 11), (2, 20)], [(1, 10, 7), (2, 20, 7)])  # rows of no named job aren't there
+    assert _state(spark, root) == first
+    # A batch that dies between two tables, and one that dies before its commit: the old state stays whole.
+    jobs, tables = _batch(spark, [(1, "completed", None)], [(1, 12)], [(1, 12, 8)])
+    for broken in ({"detections": tables["detections"], "alerts": tables["alerts"].withColumn("watch_id", F.raise_error(F.lit("lost")).cast("long"))},):
+        with pytest.raises(Exception, match="lost"):
+            versions.publish(jobs, broken, root)
+        assert _state(spark, root) == first
+    with pytest.raises(Exception, match="lost"):
+        versions.publish(jobs.withColumn("state", F.raise_error(F.lit("lost"))), tables, root)
+    assert _state(spark, root) == first
+    # Run again, twice, it gives one result, with the job's old alerts gone.
+    for _ in range(2):
+        versions.publish(jobs, tables, root)
+        second = ([(1, "completed"), (2, "completed")], [(1, 12), (2, 20)], [(1, 12, 8), (2, 20, 7)])
+        assert _state(spark, root) == second
+    versions.publish(*_batch(spark, [(2, "no_change", None)], [], []), root)
+    third = ([(1, "completed"), (2, "no_change")], [(1, 12)], [(1, 12, 8)])
+    assert _state(spark, root) == third
+    assert versions.vacuum(spark, root, ROWS) > 4 and _state(spark, root) == third
+
+
+def test_planned_jobs_run_once(spark, tmp_path):
+    root, ran = str(tmp_path / "t"), []
+
+    def run(jobs):
+        ids = [r.job_id for r in jobs.collect()]
+        ran.append(sorted(ids))
+        if ran == [[1, 2]]:
+            raise RuntimeError("lost")
+        return _batch(spark, [(i, "failed" if i == 2 and len(ran) < 3 else "completed", None) for i in ids], [(i, 10 * i) for i in ids], [])
+
+    def go(state):
+        stream = spark.readStream.schema("job_id long").parquet(str(tmp_path / "in"))
+        return incremental.job_stream(stream, root, run, str(tmp_path / state)).awaitTermination()
+
+    spark.createDataFrame([(1,), (2,), (2,)], "job_id long").coalesce(1).write.parquet(str(tmp_path / "in"))
+    with pytest.raises(Exception, match="lost"):
+        go("s")
+    assert _state(spark, root)[0] == []
+    go("s")  # the batch that was lost comes again
+    assert _state(spark, root) == ([(1, "completed"), (2, "failed")], [(1, 10), (2, 20)], [])
+    go("other")  # a stream that reads all anew runs what isn't final
+    assert ran == [[1, 2], [1, 2], [2]] and _state(spark, root) == ([(1, "completed"), (2, "completed")], [(1, 10), (2, 20)], [])
+
+
+def test_scenes_go_with_all_that_rests_on_them(spark):
+    t = spark.createDataFrame([(1, 5), (2, 6)], "tile_id long, scene_id long")
+    c = spark.createDataFrame([(1, 5, 6), (2, 6, 7), (3, 7, 8), (4, 8, 5)], "candidate_id long, scene_a long, scene_b long")
+    r = spark.createDataFrame([(1, "x"), (3, "y"), (4, "z"), (99, "of none")], "candidate_id long, decision string")
+    a = spark.createDataFrame([(4, 1), (3, 1)], "candidate_id long, watch_id long")
+    left = {k: sorted(map(tuple, v.collect())) for k, v in catalog.without_scenes(spark.createDataFrame([(5,)], "scene_id long"), t, c, r, a).items()}
+    assert left == {"tiles": [(2, 6)], "candidates": [(2, 6, 7), (3, 7, 8)], "reviews": [(3, "y"), (99, "of none")], "alerts": [(3, 1)]}
+    assert {k: v.columns for k, v in catalog.without_scenes(spark.createDataFrame([(5,)], "scene_id long"), t, c, r, a).items()}["candidates"] == c.columns
+
+
 def test_reviews_are_checked(spark, tmp_path):
     with pytest.raises(ValueError):
         catalog.append_reviews(spark.createDataFrame([(1, "maybe")], "candidate_id long, decision string"), str(tmp_path / "r"))
