@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import scalar as S
+from .operators import vector
 from .plans import search
 from .params import P
 from .sources.projections import load, sql_round, with_projections
@@ -28,10 +29,24 @@ def query(sql: str):
 BOX = ", ".join(S.BOX)
 
 
-@query(f"select tile_id, scene_id, {BOX} from {{tiles}} where tile_id in (select candidate_id from {{candidates}} where job_id = 3)")
+@query(f"""with t as (select tile_id, scene_id, {', '.join(f'case when tile_id % 6 <> 0 then {c} end as {c}, 10 * {c} + 500000 as native_{c}' for c in S.BOX)} from {{tiles}})
+    select tile_id, scene_id, {', '.join(f'case when min_x is null then native_{c} else {c} end as {c}' for c in S.BOX)} from t where tile_id in (select candidate_id from {{candidates}} where job_id = 3)""")
 def tiles_by_ids(spark, d):
+    """P10: boxes in degrees, and where a tile has none its box on the ground."""
     ids = load(spark, d, "candidates").where("job_id = 3").select(F.col("candidate_id").alias("tile_id"))
-    return load(spark, d, "tiles").join(ids, "tile_id", "left_semi").select("tile_id", "scene_id", *S.BOX)
+    box = {c: F.when(F.col("tile_id") % 6 != 0, F.col(c)) for c in S.BOX} | {f"native_{c}": 10 * F.col(c) + 500000 for c in S.BOX}
+    t = load(spark, d, "tiles").select("tile_id", "scene_id", *[v.alias(k) for k, v in box.items()])
+    return t.join(ids, "tile_id", "left_semi").select("tile_id", "scene_id", *[F.when(F.col("min_x").isNull(), F.col(f"native_{c}")).otherwise(F.col(c)).alias(c) for c in S.BOX])
+
+
+@query("""select t.tile_id, len(embedding) as dims, cast(embedding[1] as double) as first, list_sum(list_transform(embedding, lambda x: cast(x as double) * cast(x as double))) as square
+    from {tiles} t where tile_id in (select candidate_id from {candidates} where job_id = 3)""")
+def vectors_by_ids(spark, d):
+    """V4: the vectors of ids that come from elsewhere; ids without a vector have no row."""
+    ids = load(spark, d, "candidates").where("job_id = 3").select(F.col("candidate_id").alias("tile_id"))
+    own = load(spark, d, "tiles").join(ids, "tile_id", "left_semi")
+    e = F.col("embedding")
+    return own.select("tile_id", F.size(e).alias("dims"), e[0].cast("double").alias("first"), vector.dot(e, e).alias("square"))
 
 
 @query("select tile_id, min_x, min_y from {tiles} where scene_id = 4 and embedding is not null and min_x is not null")
@@ -79,21 +94,20 @@ def scope_set(spark, d):
     return search.scope_scenes(load(spark, d, "places"), 3)
 
 
-@query("select day from (select acquired as day from {scenes} where sensor % 10 = 1 union select cast(found_at as date) from {candidates} where job_id = 4) x")
+@query("select day from (select acquired as day from {scenes} union select cast(found_at as date) from {candidates}) x")
 def dates_analysed(spark, d):
-    a = load(spark, d, "scenes").where("sensor % 10 = 1").select(F.col("acquired").alias("day"))
-    return a.union(load(spark, d, "candidates").where("job_id = 4").select(F.col("found_at").cast("date"))).distinct()
+    a = load(spark, d, "scenes").select(F.col("acquired").alias("day"))
+    return a.union(load(spark, d, "candidates").select(F.col("found_at").cast("date"))).distinct()
 
 
-@query("""select k.scene_a, k.scene_b, a.acquired as date_a, b.acquired as date_b, row_number() over (order by b.acquired desc, a.acquired desc, k.scene_a, k.scene_b) as place
-    from {pair_jobs} k join {places} a on k.scene_a = a.scene_id join {places} b on k.scene_b = b.scene_id order by place limit 20""")
+@query("""select k.scene_a, k.scene_b, a.acquired as date_a, b.acquired as date_b
+    from {pair_jobs} k join {places} a on k.scene_a = a.scene_id join {places} b on k.scene_b = b.scene_id order by date_b desc, date_a desc, scene_a, scene_b""")
 def pairs_by_date(spark, d):
-    """T5: the newest pairs."""
+    """T5: all pairs, the newest first."""
     out, places = load(spark, d, "pair_jobs").select("scene_a", "scene_b"), load(spark, d, "places")
     for side in "ab":
         out = out.join(places.select(F.col("scene_id").alias(f"scene_{side}"), F.col("acquired").alias(f"date_{side}")), f"scene_{side}")
-    order = (F.desc("date_b"), F.desc("date_a"), "scene_a", "scene_b")
-    return out.orderBy(*order).limit(20).withColumn("place", F.row_number().over(Window.orderBy(*order)))  # over twenty rows
+    return out.orderBy(F.desc("date_b"), F.desc("date_a"), "scene_a", "scene_b")
 
 
 @query("""select k.scene_a, k.scene_b, cast(coalesce(json_extract_string(details, '$.mutual_coverage_after_alignment'), json_extract_string(details, '$.mutual_coverage')) as double) as coverage,
@@ -176,11 +190,16 @@ def provenance(spark, d):
     return load(spark, d, "candidates").select("candidate_id", S.method_name(code).alias("method"), paths["raster"].alias("raster"), paths["mask"].alias("mask"))
 
 
-@query("select r, c, case when b02_a + b03_a + b04_a = 0 then 0 else cast(floor(least(greatest(b04_a / 10000e0 / 0.30e0 * 255, 1), 255)) as int) end as red from {pixels}")
+def _shown(band: str) -> str:
+    return f"case when b02_a + b03_a + b04_a = 0 then 0 else cast(floor(least(greatest({band} / 10000e0 / 0.30e0 * 255, 1), 255)) as int) end"
+
+
+@query(f"select r, c, {', '.join(f'{_shown(b)} as {n}' for n, b in (('red', 'b04_a'), ('green', 'b03_a'), ('blue', 'b02_a')))} from {{pixels}}")
 def display_rgb(spark, d):
-    b = F.col("b04_a")
-    empty = F.col("b02_a") + F.col("b03_a") + b == 0
-    return load(spark, d, "pixels").select("r", "c", F.when(empty, 0).otherwise(S.display_rgb(S.reflectance(b, F.lit(0), F.lit(10000.0)))).alias("red"))
+    """F21 of all three bands: black where none has data."""
+    empty = F.col("b02_a") + F.col("b03_a") + F.col("b04_a") == 0
+    shown = {n: F.when(empty, 0).otherwise(S.display_rgb(S.reflectance(F.col(b), F.lit(0), F.lit(10000.0)))) for n, b in (("red", "b04_a"), ("green", "b03_a"), ("blue", "b02_a"))}
+    return load(spark, d, "pixels").select("r", "c", *[v.alias(n) for n, v in shown.items()])
 
 
 @query("""select id, case when bands between 3 and 4 and projected and res between 21 and 26 then 'liss3' else 'unknown' end as sensor from (select id, id % 6 as bands, id % 2 = 0 as projected, 20 + id % 8 as res from {products}) x""")

@@ -23,7 +23,7 @@ def candidate_view(candidates: DataFrame, reviews: DataFrame, places: DataFrame
         S.normal_type(F.col("raw_type")).alias("change_type"),
         F.coalesce("raw_direction", F.lit("unclassified")).alias("direction"),
         F.coalesce("raw_sub_blobs", F.lit(1)).alias("sub_blobs"),
-        F.coalesce("area_ha", F.col("area_px") / 100).alias("area_ha"),
+        F.coalesce("area_ha", F.nullif(F.col("area_px"), F.lit(0)) / 100).alias("area_ha"),
         F.coalesce("review", F.lit("pending")).alias("review"),
     )
     if places is not None:

@@ -38,10 +38,11 @@ def similarities(tiles: DataFrame, queries: DataFrame) -> DataFrame:
     return tiles.join(F.broadcast(queries), F.lit(True)).select("query_id", "tile_id", "scene_id", dot(F.col("embedding"), F.col("query")).alias("similarity"))
 
 
-def similarities_in_blocks(tiles: DataFrame, queries: DataFrame, block: int = 256, parts: int = 8) -> DataFrame:
+def similarities_in_blocks(tiles: DataFrame, queries: DataFrame, block: int = 256, share: int = 50_000) -> DataFrame:
     """similarities of any number of queries. Queries and tiles are dealt by hash: each block of about `block` queries
-    meets each of `parts` shares of the tiles in a group of its own, so that no side is broadcast."""
-    n = max(1, -(-queries.count() // block))
+    meets each share of about `share` tiles (eight shares at least) in a group of its own, so that no side is broadcast
+    and a group holds no more as the table grows."""
+    n, parts = max(1, -(-queries.count() // block)), max(8, -(-tiles.count() // share))
     shares, blocks = F.sequence(F.lit(0), F.lit(parts - 1)), F.sequence(F.lit(0), F.lit(n - 1))
     q = queries.select("query_id", "query", F.pmod(F.xxhash64("query_id"), F.lit(n)).cast("int").alias("_b"), F.explode(shares).alias("_p"))
     t = tiles.select("tile_id", "scene_id", "embedding", F.pmod(F.xxhash64("tile_id"), F.lit(parts)).cast("int").alias("_p"), F.explode(blocks).alias("_b"))

@@ -190,10 +190,10 @@ def blob_stats(spark, d):
 
 @query()
 def group_levels(spark, d):
-    """Levels of the elliptical dilation; a test holds it against a dense computation."""
+    """All levels of the elliptical dilation; a test holds it against a dense computation."""
     found, h = _opened(spark, d)
     labels = raster.labelled(found, WIDTH, chunk=64)
-    return raster.groups(labels, h, WIDTH, levels=(10, 5), chunk=256)
+    return raster.groups(labels, h, WIDTH, chunk=256)
 
 
 def _count(k: str, d: str) -> str:

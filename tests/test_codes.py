@@ -79,3 +79,11 @@ def test_odd_vectors(spark, clumped):
     with pytest.raises(ValueError):
         codes.fit(odd, parts=7)
     assert [codes.list_count(n) for n in (0, 10**4, 10**12)] == [8, 100, 4096]
+
+
+def test_the_query_finds_what_is_near(spark):
+    from geochange import queries as engine
+
+    d = "/root/testdata/sf0.01"
+    exact = engine.knn_exact(spark, d)
+    assert codes.recall(engine.knn_coded(spark, d), exact) >= 0.9
