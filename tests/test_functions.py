@@ -82,7 +82,7 @@ def test_features_are_geojson(spark):
     p = f["properties"]
     assert f["type"] == "Feature" and f["id"] == 1 and f["geometry"]["coordinates"][0][2] == [3.0, 4.0] and len(p) == 26
     assert (p["confidence"], p["area_ha"], p["analyst_decision"], p["review_count"], p["delta_ndvi"], p["geometry_source"], p["sensor"]) == (round(0.12345, 4), 1.2, "rejected", 2, None, "bounding_box", "sentinel2")
-    assert p["processing"]["alignment"] == "same_mgrs_grid" and p["processing"]["normalisation"] == "pif_robust_regression" and p["processing"]["pif_pixels"] == 12 and p["processing"]["masking"] == "scl"
+    assert p["processing"]["alignment"] == "same_mgrs_grid" and p["processing"]["normalisation"] == "pif_robust_regression" and p["processing"]["pif_pixels"] == 12 and p["processing"]["masking"] == "SCL"
     outline = json.loads(catalog.exported(c.withColumn("geometry", F.lit('{"type":"Polygon","coordinates":[]}')), reviews, places, jobs, decisions=["rejected"]).first().feature)
     assert outline["properties"]["geometry_source"] == "changed_pixel_outline" and outline["geometry"]["coordinates"] == []
     assert catalog.exported(c, reviews, places, jobs, decisions=["pending"]).count() == 0
