@@ -63,15 +63,35 @@ def capped(view: DataFrame, by: str = "confidence", cap: int = P.display_cap) ->
     return view.withColumn("place_in_job", F.row_number().over(over)).where(F.col("place_in_job") <= cap)
 
 
-def counters(view: DataFrame, min_confidence: float) -> DataFrame:
-    """A7 by job in one pass: all, matching, excluded by confidence, and reviews in three classes."""
+def counters(view: DataFrame, min_confidence: float, jobs: DataFrame | None = None) -> DataFrame:
+    """A7 by job in one pass: all, matching, excluded by confidence, and reviews in three classes. With jobs (job_id,
+    details in JSON) a job without a detection has its row too, `found` is what its trace says was found before storing,
+    else what is stored, and what was dropped for its confidence at storing is excluded as well."""
     keep = F.col("confidence") >= min_confidence
-    return view.groupBy("job_id").agg(
+    out = view.groupBy("job_id").agg(
         F.count("*").alias("total"),
         F.count_if(keep).alias("matching"),
         F.count_if(~keep).alias("excluded"),
         *[F.count_if(F.col("review") == d).alias(d) for d in ("pending", "confirmed", "rejected")],
     )
+    if jobs is None:
+        return out
+    traced = {k: F.get_json_object("details", f"$.scoring.{k}").try_cast("long") for k in ("candidates_found", "dropped_low_confidence")}
+    both = jobs.select("job_id", *[v.alias(f"_{k}") for k, v in traced.items()]).join(out, "job_id", "left").na.fill(0, [c for c in out.columns if c != "job_id"])
+    return both.withColumns({"found": F.coalesce("_candidates_found", "total"), "excluded": F.col("excluded") + F.coalesce("_dropped_low_confidence", F.lit(0))}).drop(*[f"_{k}" for k in traced])
+
+
+def negative_evidence(windows: DataFrame, found: DataFrame, coverage: DataFrame) -> DataFrame:
+    """Of analysed pairs (scene_a, scene_b, date_a, date_b, box) without a detection among found: the area, dates and
+    coverage, which is how sure an absence is; the least coverage of all such pairs; the thresholds, and the statement, whose
+    sentences are fixed values."""
+    out = windows.join(found.select("scene_a", "scene_b"), ["scene_a", "scene_b"], "left_anti").join(coverage, ["scene_a", "scene_b"])
+    least = out.agg(F.min("confidence_in_absence").alias("valid_coverage"))  # one row
+    shown = F.when(F.col("confidence_in_absence").isNull(), "unknown").otherwise(F.concat(S.fixed(F.col("confidence_in_absence") * 100, 0), F.lit("%")))
+    said = F.concat(F.lit("This area was observed on the listed dates with "), shown, F.lit(" valid coverage. No changes were detected above the confidence threshold."))
+    days = F.datediff("date_b", "date_a").cast("long").alias("days")
+    both = out.join(F.broadcast(least), F.lit(True))
+    return both.select("scene_a", "scene_b", "date_a", "date_b", days, *S.BOX, "confidence_in_absence", "valid_coverage", F.lit(P.min_blob_px).alias("minimum_mapping_unit_px"), F.lit(P.stored_confidence).alias("minimum_confidence"), said.alias("statement"))
 
 
 def scene_summaries(places: DataFrame, tiles: DataFrame, candidates: DataFrame, reviews: DataFrame) -> DataFrame:

@@ -88,10 +88,16 @@ for _by in _ORDERS:
     _capped(_by)
 
 
-@query(f"""with {VIEW} select job_id, count(*) as total, count(*) filter (where confidence >= 0.5) as matching, count(*) filter (where not confidence >= 0.5) as excluded,
-    count(*) filter (where review = 'pending') as pending, count(*) filter (where review = 'confirmed') as confirmed, count(*) filter (where review = 'rejected') as rejected from v group by job_id""")
+@query(f"""with {VIEW}, j as (select unnest(range(1, 8)) as job_id), n as (select job_id, count(*) as total, count(*) filter (where confidence >= 0.5) as matching, count(*) filter (where not confidence >= 0.5) as excluded,
+    count(*) filter (where review = 'pending') as pending, count(*) filter (where review = 'confirmed') as confirmed, count(*) filter (where review = 'rejected') as rejected from v group by job_id)
+    select j.job_id, coalesce(total, 0) as total, coalesce(matching, 0) as matching, coalesce(excluded, 0) + case when j.job_id % 2 = 1 then j.job_id * 3 else 0 end as excluded, coalesce(pending, 0) as pending, coalesce(confirmed, 0) as confirmed, coalesce(rejected, 0) as rejected,
+      case when j.job_id % 2 = 1 then 100000 + j.job_id else coalesce(total, 0) end as found from j left join n on j.job_id = n.job_id""")
 def browse_counters(spark, d):
-    return catalog.counters(_view(spark, d), 0.5)
+    """A7 with the traces of seven jobs, of which two have no detection."""
+    j = F.col("job_id")
+    trace = F.format_string('{"scoring":{"candidates_found":%d,"dropped_low_confidence":%d}}', 100000 + j, j * 3)
+    jobs = spark.range(1, 8).select(F.col("id").alias("job_id")).withColumn("details", F.when(j % 2 == 1, trace).otherwise("{}"))
+    return catalog.counters(_view(spark, d), 0.5, jobs)
 
 
 @query("select job_id, count(*) as candidates, min(confidence) as lowest, max(confidence) as highest from {candidates} group by job_id")
@@ -602,15 +608,15 @@ def trace_lines(spark, d):
 @query("""with w as (select k.scene_a, k.scene_b, a.acquired as date_a, b.acquired as date_b, cast(coalesce(json_extract_string(details, '$.mutual_coverage_after_alignment'), json_extract_string(details, '$.mutual_coverage')) as double) as coverage,
       greatest(a.min_x, b.min_x) as min_x, greatest(a.min_y, b.min_y) as min_y, least(a.max_x, b.max_x) as max_x, least(a.max_y, b.max_y) as max_y
       from {pair_jobs} k join {places} a on k.scene_a = a.scene_id join {places} b on k.scene_b = b.scene_id where status = 'completed')
-    select scene_a, scene_b, date_a, date_b, datediff('day', date_a, date_b) as days, coverage as confidence_in_absence from w where min_x < max_x and min_y < max_y
+    select scene_a, scene_b, date_a, date_b, datediff('day', date_a, date_b) as days, min_x, min_y, max_x, max_y, coverage as confidence_in_absence, min(coverage) over () as valid_coverage, 100 as minimum_mapping_unit_px, 0.3e0 as minimum_confidence,
+      'This area was observed on the listed dates with ' || printf('%.0f', coverage * 100) || '% valid coverage. No changes were detected above the confidence threshold.' as statement from w where min_x < max_x and min_y < max_y
       and not exists (select 1 from {candidates} c where c.scene_a = w.scene_a and c.scene_b = w.scene_b and c.confidence >= 0.999)""")
 def negative_evidence(spark, d):
-    """Analysed pairs without a detection of that confidence: dates, and how sure an absence is, the coverage."""
+    """Analysed pairs without a detection of that confidence."""
     k = load(spark, d, "pair_jobs").where("status = 'completed'")
     w = spatial.pair_windows(k.select("scene_a", "scene_b"), load(spark, d, "places"))
-    found = load(spark, d, "candidates").where("confidence >= 0.999").select("scene_a", "scene_b")
-    out = w.join(found, ["scene_a", "scene_b"], "left_anti").join(k.select("scene_a", "scene_b", S.job_coverage(F.col("details")).alias("confidence_in_absence")), ["scene_a", "scene_b"])
-    return out.select("scene_a", "scene_b", "date_a", "date_b", F.datediff("date_b", "date_a").cast("long").alias("days"), "confidence_in_absence")
+    coverage = k.select("scene_a", "scene_b", S.job_coverage(F.col("details")).alias("confidence_in_absence"))
+    return catalog.negative_evidence(w, load(spark, d, "candidates").where("confidence >= 0.999"), coverage)
 
 
 def _date_sql() -> str:
