@@ -42,7 +42,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near copies: that of the smallest doc_id, rows without one last, then by the text's hash.
 
-    Near copies are of the stage's own definition (five words, 0.8), not of op7's: see near_copies. Needs doc_id, text,
+    Near copies are of the stage's own definition (five words, 0.8), not of op7's, and are found by op7's method: see near_copies. Needs doc_id, text,
     source and lang. Null and blank texts are copies of one another; an empty table stays empty."""
     rows = near_copies.grouped(docs.select("doc_id", "text"))
     # Rows are told apart by doc_id and text. The key has no nulls for the join and the window: the texts are shuffled once.

@@ -6,6 +6,9 @@ such a pair is at distance 0 and so, by the triangle inequality, at the same dis
 branch but one of the vantage-point partition need be visited for it. The shards are the rings around the vantage
 points. Within a shard a vantage-point tree over the whole fingerprint finds the exact pairs; there a query visits
 both sides where it lies within reach of the boundary.
+
+Fingerprints may be of several words of 64 places, with rings of other metrics (near_copies): ring_links joins within
+rings that are given. Within a shard they are an array with a row for each word and a column for each point.
 """
 
 from __future__ import annotations
@@ -97,19 +100,28 @@ class _Forest:
                 self.to[max(i, j)] = min(i, j)
 
 
-def _tree(fp: np.ndarray, at: np.ndarray, bits: int, forest: _Forest, rng: np.random.Generator) -> None:
-    """Joins all linked points of fp[at]. What lies within reach of the vantage point is joined with it at once, and
+def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """In how many places fingerprints differ; their first axis is that of words."""
+    found = np.bitwise_count(a[0] ^ b[0])
+    for x, y in zip(a[1:], b[1:], strict=True):
+        found = found + np.bitwise_count(x ^ y).astype(np.int16)
+    return found
+
+
+def _tree(fp: np.ndarray, at: np.ndarray, bits: int, forest: _Forest) -> None:
+    """Joins all linked points of fp[:, at]. What lies within reach of the vantage point is joined with it at once, and
     those points are not compared with one another."""
-    todo = [at]
+    todo, rng = [at], None
     while todo:
         at = todo.pop()
         if len(at) <= LEAF:
-            x = fp[at]
-            i, j = np.nonzero(np.triu(np.bitwise_count(x[:, None] ^ x[None, :]) <= bits, 1))
+            x = fp[:, at]
+            i, j = np.nonzero(np.triu(_apart(x[:, :, None], x[:, None, :]) <= bits, 1))
             forest.join(at[i], at[j])
             continue
+        rng = rng or np.random.default_rng(1)
         v = at[rng.integers(len(at))]
-        d = np.bitwise_count(fp[at] ^ fp[v]).astype(np.int64)
+        d = _apart(fp[:, at], fp[:, [v]]).astype(np.int64)
         near = d <= bits
         forest.join(np.full(int(near.sum()), v), at[near])
         rest, ring = at[~near], d[~near]
@@ -135,38 +147,49 @@ def _cross(fp: np.ndarray, a: np.ndarray, b: np.ndarray, bits: int, forest: _For
         return
     step = max(1, 2_000_000 // len(b))
     for i in range(0, len(a), step):
-        x, y = np.nonzero(np.bitwise_count(fp[a[i : i + step], None] ^ fp[None, b]) <= bits)
+        x, y = np.nonzero(_apart(fp[:, a[i : i + step], None], fp[:, None, b]) <= bits)
         forest.join(a[i : i + step][x], b[y])
 
 
 def shard_edges(fp: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """A forest of links (u, v) that joins whatever is joined by pairs of the distinct fingerprints fp."""
-    forest = _Forest(len(fp))
-    _tree(fp, np.arange(len(fp)), bits, forest, np.random.default_rng(1))
-    roots = np.array([forest.root(i) for i in range(len(fp))])
-    at = np.flatnonzero(roots != np.arange(len(fp)))
-    return fp[roots[at]], fp[at]
-
-
-def _links(bits: int):
+    """A forest of links (u, v) that joins whatever is joined by pairs of the distinct fingerprints fp. Those of several
+    words, a row each, are named by the first."""
+    words = fp.reshape(-1, fp.shape[-1])
+    n = words.shape[1]
+    forest = _Forest(n)
+    _tree(words, np.arange(n), bits, forest)
+    roots = np.array([forest.root(i) for i in range(n)], np.int64)
+    at = np.flatnonzero(roots != np.arange(n))
+    return words[0, roots[at]], words[0, at]
+
+
+def _links(bits: int, words: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come in the order of shard: rows of one shard follow one another, over the ends of batches too."""
-        kept_key, kept_fp = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        """Rows come in the order of shard and words: rows of one shard follow one another, over the ends of batches too."""
+        kept_key, kept_fp = np.zeros(0, np.int64), np.zeros((len(words), 0), np.int64)
 
         def solve(key: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
             cut = np.flatnonzero(np.diff(key)) + 1
             start, stop = np.concatenate([[0], cut]), np.concatenate([cut, [len(key)]])
             size, us, vs, x = stop - start, [], [], fp.view(np.uint64)
+            pairs = [np.zeros((2, 0), np.int64)]
             small = np.repeat(size <= 16, size)
             for gap in range(1, 16):  # all small shards at once: each row against the gap-th after it
                 if gap >= len(key):
                     break
                 i = np.flatnonzero((key[:-gap] == key[gap:]) & small[:-gap])
-                i = i[(np.bitwise_count(x[i] ^ x[i + gap]) <= bits) & (x[i] != x[i + gap])]
-                us.append(x[i])
-                vs.append(x[i + gap])
+                i = i[(_apart(x[:, i], x[:, i + gap]) <= bits) & (x[0, i] != x[0, i + gap])]
+                pairs.append(np.stack([i, i + gap]))
+            i, j = np.concatenate(pairs, axis=1)
+            low = np.arange(len(key))
+            np.minimum.at(low, j, i)
+            keep = (low[j] == i) | (low[i] != low[j])  # a pair that meets at one earlier point is joined there
+            us.append(x[0, i[keep]])
+            vs.append(x[0, j[keep]])
+            first = np.concatenate([[True], (x[:, 1:] != x[:, :-1]).any(axis=0)])
             for a, b in zip(start[size > 16], stop[size > 16], strict=True):
-                u, v = shard_edges(np.unique(x[a:b]), bits)
+                first[a] = True
+                u, v = shard_edges(x[:, a:b][:, first[a:b]], bits)
                 us.append(u)
                 vs.append(v)
             u, v = (np.concatenate([np.zeros(0, np.uint64), *y]).view(np.int64) for y in (us, vs))
@@ -174,15 +197,15 @@ def _links(bits: int):
 
         for batch in batches:
             key = np.concatenate([kept_key, batch.column("shard").to_numpy()])
-            fp = np.concatenate([kept_fp, batch.column("fp").to_numpy()])
+            fp = np.concatenate([kept_fp, np.stack([batch.column(w).to_numpy() for w in words])], axis=1)
             if not len(key):
                 continue
             end = int(np.searchsorted(key != key[-1], False)) if key[0] == key[-1] else int(np.flatnonzero(key != key[-1])[-1]) + 1
             if end:
-                yield solve(key[:end], fp[:end])
-            kept_key, kept_fp = key[end:], fp[end:]
+                yield solve(key[:end], np.ascontiguousarray(fp[:, :end]))
+            kept_key, kept_fp = key[end:], fp[:, end:]
         if len(kept_key):
-            yield solve(kept_key, kept_fp)
+            yield solve(kept_key, np.ascontiguousarray(kept_fp))
 
     return run
 
@@ -190,22 +213,28 @@ def _links(bits: int):
 def near_links(distinct: DataFrame, bits: int = 4, extra: int = 2, block: int = BLOCK) -> DataFrame:
     """Links (u, v) between the distinct fingerprints fp of a table: enough of them to join all that is linked. The more
     extra blocks of places a choice has, the smaller are the shards and the more copies of each point are dealt out."""
-    spark = distinct.sparkSession
     masks = choices(bits, extra)
     shards = []
     for i, mask in enumerate(masks):
         rings = [F.bit_count(F.col("fp").bitwiseAND(F.lit(_signed(mask))).bitwiseXOR(F.lit(_signed(v)))) for v in vantage_points(mask)]
         shards.append(F.xxhash64(F.lit(i), *rings))
     rows = distinct.select("fp", F.explode(F.array(*shards)).alias("ring"))
+    return ring_links(rows, rows.groupBy("ring").agg(F.count("*").alias("n")), bits, ["fp"], block)
+
+
+def ring_links(rows: DataFrame, size: DataFrame, bits: int, words: list[str], block: int = BLOCK) -> DataFrame:
+    """Links (u, v), first words of fingerprints within `bits` places over all words, that share a ring of rows(ring,
+    words); enough of them to join all that is linked so. size(ring, n) has the rows of the larger rings, nearly at least:
+    it only decides in how many blocks a ring is met."""
+    spark = rows.sparkSession
     # A shard of over block points is met block against block, so that no task holds more than two blocks of it.
-    size = rows.groupBy("ring").agg(F.count("*").alias("n"))
     large = size.where(F.col("n") > block).select("ring", F.ceil(F.col("n") / F.lit(block / 2)).cast("int").alias("b"))
-    dealt = rows.join(large, "ring", "left").withColumn("own", F.pmod(F.xxhash64("fp"), F.col("b")))
+    dealt = rows.join(large, "ring", "left").withColumn("own", F.pmod(F.xxhash64(*words), F.col("b")))
     pair = F.transform(F.sequence(F.lit(0), F.col("b") - 1), lambda o: F.xxhash64("ring", F.least(F.col("own"), o.cast("long")), F.greatest(F.col("own"), o.cast("long"))))
     shard = F.explode(F.when(F.col("b").isNull(), F.array("ring")).otherwise(pair)).alias("shard")
     n = common.shuffle_parts(spark)
-    placed = dealt.select(shard, "fp").repartition(n, "shard").sortWithinPartitions("shard", "fp")
-    return common.arrow_map(placed, _links(bits), "u long, v long").distinct()
+    placed = dealt.select(shard, *words).repartition(n, "shard").sortWithinPartitions("shard", *words)
+    return common.arrow_map(placed, _links(bits, words), "u long, v long").distinct()
 
 
 def near_components(docs: DataFrame, bits: int = 4, shingle: int = 4, seed: int = 42, extra: int = 2) -> DataFrame:

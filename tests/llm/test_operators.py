@@ -877,3 +877,65 @@ def test_pipeline_drops_planted_near_copies(spark, monkeypatch):
     assert {r.doc_id for r in pipe.drop_near_copies(spark, docs, D).collect()} == want
     monkeypatch.setattr(near_copies, "BLOCK", 3)  # pools of several blocks
     assert {r.doc_id for r in pipe.drop_near_copies(spark, docs, D).collect()} == want
+
+
+def test_rings_are_those_of_vantage_points():
+    rng = np.random.default_rng(8)
+    a, b = (near_copies.fingerprint(rng.integers(0, 2**64, n, dtype=np.uint64)) for n in (700, 3))
+    few = rng.integers(0, 2**64, 600, dtype=np.uint64)
+    bits = np.unpackbits(few.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0)
+    assert near_copies.simhash_of(few) == sum(1 << i for i in range(64) if 2 * bits[i] > 600) == near_copies.fingerprint(few)[0]
+    found = near_copies.rings(np.stack([a, b]))
+    assert found.shape == (2, near_copies.METRICS) and len(np.unique(found)) > near_copies.METRICS
+    m = 0
+    for word in range(near_copies.CHECK, near_copies.WORDS):
+        for at in range(0, 60, near_copies.PLACES):
+            mask = ((1 << near_copies.PLACES) - 1) << at
+            ab = [[bin((int(x[word]) ^ v) & mask).count("1") for v in simhash.vantage_points(mask)] for x in (a, b)]
+            assert (ab[0] == ab[1]) == (found[0, m] == found[1, m])
+            m += 1
+    assert m == near_copies.METRICS
+
+
+def test_four_fifths_share_a_ring_whatever_the_size():
+    rng, missed = np.random.default_rng(9), 0
+    for n, less in ((5, 1), (6, 1), (9, 1), (10, 2), (50, 10), (300, 60)):
+        for _ in range(300):
+            x = rng.integers(0, 2**64, n, dtype=np.uint64)
+            a, b = near_copies.fingerprint(x), near_copies.fingerprint(x[: n - less])
+            near = np.bitwise_count(a ^ b)[: near_copies.CHECK].sum() <= near_copies.CHECK_REACH
+            missed += not (near and (near_copies.rings(a[None]) == near_copies.rings(b[None])).any())
+    assert missed <= 2
+
+
+def test_near_copies_come_through_vantage_rings(spark, monkeypatch):
+    """Links of fingerprints of several words, whole and in blocks, join what all pairs do; the stage has no others."""
+    import corpus_pipeline as pipe
+
+    rng = random.Random(12)
+    base = _planted(rng, 0)[0].split()
+    texts = [t for i in range(8) for t in _planted(rng, 1 + i)]
+    for i in range(60):  # a hot group, next to which are other texts
+        texts.append(" ".join(base[:200] + [f"z{rng.randrange(10**6)}" for _ in range(i // 6)] + base[200:]))
+    prints = np.stack([near_copies.fingerprint(near_copies.shingles(near_copies.words_of(t))) for t in texts])
+    keys = near_copies.rings(prints)
+    names = [int(x) for x in prints[:, 0].view(np.int64)]
+    brute = set()
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        if (keys[i] == keys[j]).any() and np.bitwise_count(prints[i] ^ prints[j])[: near_copies.CHECK].sum() <= near_copies.CHECK_REACH:
+            brute.add((names[i], names[j]))
+
+    def classes(edges):
+        frame = spark.createDataFrame(sorted(edges), "u long, v long")
+        return {r.node: r.root for r in components.components(frame).collect()}
+
+    df = spark.createDataFrame([(i, [int(x) for x in p.view(np.int64)]) for i, p in enumerate(prints)], "w long, fp array<long>")
+    assert classes({(r.u, r.v) for r in near_copies.candidates(df).collect()}) == classes(brute)
+    monkeypatch.setattr(near_copies, "COUNTED", 1)
+    monkeypatch.setattr(simhash, "BLOCK", 10)
+    assert classes({(r.u, r.v) for r in near_copies.candidates(df).collect()}) == classes(brute)
+
+    docs = spark.createDataFrame([(i, t, "en", "a", 1) for i, t in enumerate(texts)], DOC)
+    assert pipe.drop_near_copies(spark, docs, D).count() == 9
+    monkeypatch.setattr(simhash, "ring_links", lambda rows, *_: spark.createDataFrame([], "u long, v long"))
+    assert pipe.drop_near_copies(spark, docs, D).count() == len(set(names)) > 50  # texts of one first word still meet
