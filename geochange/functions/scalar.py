@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..params import CHANGE_TYPES, HINTS, SEASONAL_TYPES, P
@@ -454,43 +454,69 @@ def _line(key: str, text: Column) -> Column:
     return F.when(text.isNotNull(), F.struct(F.lit(key).alias("key"), F.lit(key.capitalize()).alias("label"), text.alias("text")))
 
 
-def trace(details: Column, c: dict[str, Column]) -> Column:
-    """F32: what led to a detection, a line for each step that took part, in the order of the plan. details: a job's,
-    in JSON; c: sub_blobs, merged_dilation, large_area, direction, dominant_a, dominant_b, rule, mean_dndvi, seasonality,
-    priors_clear, current_ndvi, prior_mean, prior_std of the detection. The sentences are fixed values."""
-
-    def get(path: str) -> Column:
-        return F.get_json_object(details, f"$.{path}")
-
-    def num(path: str) -> Column:
-        return get(path).try_cast("double")
-
-    source_a, source_b = get("masking.scene_a.source"), get("masking.scene_b.source")
-    trust = F.concat(F.lit("CloudTrust A: "), fixed(num("masking.scene_a.cloud_trust")), F.lit(", CloudTrust B: "), fixed(num("masking.scene_b.cloud_trust")))
+_SCENE = "struct<source: string, cloud_trust: string>"
+#: What a trace reads of a job's details; objects and lists are kept as they are written.
+_DETAILS = (
+    f"struct<masking: struct<scene_a: {_SCENE}, scene_b: {_SCENE}>, alignment: struct<method: string, tiles: array<string>, rho: string, inlier_ratio: string, max_shift_px: string>, "
+    "radiometry: string, detection: struct<difference_band: string, kmeans_centroids: string>, grouping: struct<dilation_px: string>>"
+)
+_RADIOMETRY = "struct<tier: string, notes: array<string>, pif_pixels: string, slope: array<double>, intercept: array<double>>"
+
+
+def with_job_facts(jobs: DataFrame, details: str = "details") -> tuple[DataFrame, dict[str, Column]]:
+    """jobs with what a trace reads of their details, in JSON, as columns of their own, and these by name. Details are
+    parsed once a job: each fact stands many times in the sentences."""
+    read = jobs.withColumn("_details", F.from_json(details, _DETAILS)).withColumn("_radiometry", F.from_json("_details.radiometry", _RADIOMETRY))
+    at = lambda path: F.col(f"_details.{path}")
+    num = lambda path: at(path).try_cast("double")
+    facts = {f"source_{s}": at(f"masking.scene_{s}.source") for s in "ab"} | {f"trust_{s}": num(f"masking.scene_{s}.cloud_trust") for s in "ab"}
+    facts |= {"method": at("alignment.method"), "tiles": at("alignment.tiles")} | {k: num(f"alignment.{k}") for k in ("rho", "inlier_ratio", "max_shift_px")}
+    facts |= {"radiometry": at("radiometry"), "notes": F.array_join("_radiometry.notes", "; "), "pif_pixels": F.col("_radiometry.pif_pixels").try_cast("double")}
+    facts |= {k: F.col(f"_radiometry.{k}") for k in ("tier", "slope", "intercept")}
+    centroids = at("detection.kmeans_centroids")
+    facts |= {"band": at("detection.difference_band"), "centroids": centroids, "centroid": F.get_json_object(centroids, "$[1]").try_cast("double")}
+    facts |= {"dilation_px": num("grouping.dilation_px").cast("int")}
+    out = read.withColumns({f"_f_{k}": v for k, v in facts.items()})
+    return out.drop("_details", "_radiometry"), {k: F.col(f"_f_{k}") for k in facts}
+
+
+def with_job_sentences(jobs: DataFrame, details: str = "details") -> DataFrame:
+    """F32: jobs with the sentences of a trace that hold for all of a job's detections, and its dilation. The sentences are
+    fixed values."""
+    rows, f = with_job_facts(jobs, details)
+    source_a, source_b = f["source_a"], f["source_b"]
+    trust = F.concat(F.lit("CloudTrust A: "), fixed(f["trust_a"]), F.lit(", CloudTrust B: "), fixed(f["trust_b"]))
     described = F.when(source_a == "scl", "SCL-based").when(source_a == "qa_pixel", "QA_PIXEL-based").when(source_a == "heuristic", "Heuristic (no QA band: CloudTrust reduced, no pixel removed)").otherwise("Data-mask based (no QA band available)")
     unknown = F.lit("unknown")
     masking = F.when(source_a == source_b, F.concat_ws(", ", described, trust)).when(F.coalesce(source_a, source_b).isNotNull(), F.concat(F.lit("A: "), F.coalesce(source_a, unknown), F.lit(", B: "), F.coalesce(source_b, unknown), F.lit(", "), trust))
-    method, shift = get("alignment.method"), F.concat(F.lit(", largest shift "), fixed(num("alignment.max_shift_px")), F.lit(" px"))
-    tile = F.coalesce(get("alignment.tiles[0]"), get("alignment.tiles[1]"))
+    method, shift = f["method"], F.concat(F.lit(", largest shift "), fixed(f["max_shift_px"]), F.lit(" px"))
+    tile = F.coalesce(*[F.try_element_at(f["tiles"], F.lit(i)) for i in (1, 2)])
     tile = F.when(tile.startswith("T"), tile).otherwise(F.coalesce(F.concat(F.lit("T"), tile), unknown))
     alignment = (
         F.when(method == "same_tile", F.concat(F.lit("Same MGRS tile ("), tile, F.lit(") — grid verified by definition")))
-        .when(method == "ecc", F.concat(F.lit("ECC registration, correlation "), fixed(num("alignment.rho"), 3), shift))
-        .when(method == "orb", F.concat(F.lit("ORB feature matching, inlier ratio "), fixed(num("alignment.inlier_ratio")), shift))
+        .when(method == "ecc", F.concat(F.lit("ECC registration, correlation "), fixed(f["rho"], 3), shift))
+        .when(method == "orb", F.concat(F.lit("ORB feature matching, inlier ratio "), fixed(f["inlier_ratio"]), shift))
         .otherwise(method)
     )
     # Of the NIR band, the fourth; of the last where there are fewer.
-    lines = {k: F.from_json(get(f"radiometry.{k}"), "array<double>") for k in ("slope", "intercept")}
-    last = F.when(F.size(lines["slope"]) > 3, 4).otherwise(F.size(lines["slope"]))
-    nir = tuple(F.when(F.size(lines["slope"]) > 0, F.try_element_at(lines[k], last)) for k in lines)
-    notes = F.array_join(F.from_json(get("radiometry.notes"), "array<string>"), "; ")
+    last = F.when(F.size(f["slope"]) > 3, 4).otherwise(F.size(f["slope"]))
+    nir = tuple(F.when(F.size(f["slope"]) > 0, F.try_element_at(f[k], last)) for k in ("slope", "intercept"))
     gain = F.when(nir[0].isNotNull() & nir[1].isNotNull(), F.concat(F.lit(", gain: "), fixed(nir[0]), F.lit(", offset: "), fixed(nir[1], 1))).otherwise("")
-    normalisation = F.when(get("radiometry.tier") == "pif", F.concat(F.lit("PIF robust regression, "), F.format_number(F.coalesce(num("radiometry.pif_pixels"), F.lit(0.0)), 0), F.lit(" anchor pixels"), gain)).when(get("radiometry").isNotNull() & (get("radiometry") != "{}"), F.concat(F.lit("None applied (too few stable pixels)"), F.when(notes != "", F.concat(F.lit(": "), notes)).otherwise("")))
-    band = F.when(get("detection.difference_band").startswith("B08"), "NIR difference").otherwise("Mean-intensity difference")
-    detection = F.when(get("detection.kmeans_centroids").isNotNull(), F.concat(band, F.lit(" → K-Means K=2, change centroid magnitude: "), fixed(num("detection.kmeans_centroids[1]"), 1)))
+    normalisation = F.when(f["tier"] == "pif", F.concat(F.lit("PIF robust regression, "), F.format_number(F.coalesce(f["pif_pixels"], F.lit(0.0)), 0), F.lit(" anchor pixels"), gain)).when(f["radiometry"].isNotNull() & (f["radiometry"] != "{}"), F.concat(F.lit("None applied (too few stable pixels)"), F.when(f["notes"] != "", F.concat(F.lit(": "), f["notes"])).otherwise("")))
+    band = F.when(f["band"].startswith("B08"), "NIR difference").otherwise("Mean-intensity difference")
+    detection = F.when(f["centroids"].isNotNull(), F.concat(band, F.lit(" → K-Means K=2, change centroid magnitude: "), fixed(f["centroid"], 1)))
+    told = {"masking": masking, "alignment": alignment, "normalisation": normalisation, "detection": detection}
+    return rows.select(*jobs.columns, *[v.alias(f"_{k}") for k, v in told.items()], f["dilation_px"].alias("_dilation_px"))
+
+
+def with_trace(rows: DataFrame, c: dict[str, Column]) -> DataFrame:
+    """F32: what led to a detection, a line (key, label, text) for each step that took part, in the order of the plan, as
+    `trace` of detections with their job's sentences (with_job_sentences). c: sub_blobs, merged_dilation, large_area,
+    direction, dominant_a, dominant_b, rule, mean_dndvi, seasonality, priors_clear, current_ndvi, prior_mean, prior_std of
+    the detection. Sentences are columns of their own, so that each is worked out once."""
     large = F.coalesce(c["large_area"], F.lit(False))
     own = F.when(c["merged_dilation"] > 0, c["merged_dilation"])
-    grow = F.coalesce(own, F.when(large, P.large_dilations[0]), num("grouping.dilation_px").cast("int"), F.lit(P.near_dilations[0]))
+    grow = F.coalesce(own, F.when(large, P.large_dilations[0]), F.col("_dilation_px"), F.lit(P.near_dilations[0]))
     grouping = F.when(c["sub_blobs"] > 1, F.concat(F.when(large, "Large-area change: merged").otherwise("Merged"), F.lit(" from "), c["sub_blobs"], F.lit(" change blobs less than "), 2 * grow, F.lit(" px apart; area, outline and ΔNDVI are those of the blobs themselves")))
     way = F.coalesce(c["direction"], F.lit("unclassified"))
     rule = F.when((way == "unclassified") & c["rule"].isNotNull(), F.concat(F.lit(" ("), c["rule"], F.lit(")"))).otherwise("")
@@ -504,8 +530,9 @@ def trace(details: Column, c: dict[str, Column]) -> Column:
         .when(c["seasonality"] == "seasonal", F.concat(F.lit("Seasonal — "), spread, F.lit(f"; within {P.season_sigmas:g} std devs, confidence ×{P.season_factor}")))
         .when(c["seasonality"].isNotNull(), F.concat(F.lit("Anomalous — "), spread, F.lit(f"; drop exceeds {P.season_sigmas:g} std devs, confidence unchanged")))
     )
-    found = {"masking": masking, "alignment": alignment, "normalisation": normalisation, "detection": detection, "grouping": grouping, "direction": direction, "evidence": evidence, "seasonality": season}
-    return F.array_compact(F.array(*[_line(k, x) for k, x in found.items()]))
+    told = {"grouping": grouping, "direction": direction, "evidence": evidence, "seasonality": season}
+    out = rows.withColumns({f"_{k}": x for k, x in told.items()})
+    return out.withColumn("trace", F.array_compact(F.array(*[_line(k, F.col(f"_{k}")) for k in ("masking", "alignment", "normalisation", "detection", *told)])))
 
 
 def exported_feature(c: dict[str, Column], geometry: Column, details: Column) -> Column:

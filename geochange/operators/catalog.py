@@ -16,16 +16,21 @@ def latest_review(reviews: DataFrame) -> DataFrame:
     return reviews.groupBy("candidate_id").agg(F.max_by("decision", "seq").alias("review"))
 
 
-def candidate_view(candidates: DataFrame, reviews: DataFrame, places: DataFrame | None = None) -> DataFrame:
-    """Candidates with repaired fields, their review (pending where there is none) and both scenes' names."""
-    out = candidates.join(latest_review(reviews), "candidate_id", "left").select(
-        *[c for c in candidates.columns if not c.startswith("raw_") and c != "area_ha"],
+def repaired(candidates: DataFrame) -> DataFrame:
+    """Candidates with fields that are missing or of an unknown kind repaired; other columns stay."""
+    return candidates.select(
+        *[c for c in candidates.columns if not c.startswith("raw_") and c not in ("area_ha", "review")],
         S.normal_type(F.col("raw_type")).alias("change_type"),
         F.coalesce("raw_direction", F.lit("unclassified")).alias("direction"),
         F.coalesce("raw_sub_blobs", F.lit(1)).alias("sub_blobs"),
         F.coalesce("area_ha", F.nullif(F.col("area_px"), F.lit(0)) / 100).alias("area_ha"),
-        F.coalesce("review", F.lit("pending")).alias("review"),
+        *(["review"] if "review" in candidates.columns else []),
     )
+
+
+def candidate_view(candidates: DataFrame, reviews: DataFrame, places: DataFrame | None = None) -> DataFrame:
+    """Candidates with repaired fields, their review (pending where there is none) and both scenes' names."""
+    out = repaired(candidates.join(latest_review(reviews), "candidate_id", "left").withColumn("review", F.coalesce("review", F.lit("pending"))))
     if places is not None:
         for side in "ab":
             named = places.select(F.col("scene_id").alias(f"scene_{side}"), F.col("name").alias(f"scene_{side}_name"))
@@ -47,6 +52,14 @@ def filtered(view: DataFrame, min_confidence: float = 0.0, types: Sequence[str]
     return view
 
 
+def traced(detections: DataFrame, jobs: DataFrame, c: dict[str, Column]) -> DataFrame:
+    """F32: detections with their `trace`. jobs: (scene_a, scene_b, details in JSON), one a pair of scenes; a detection
+    without one has the lines of its own alone. Details are read once a job, not once a detection. c: see S.with_trace."""
+    told = S.with_job_sentences(jobs.select("scene_a", "scene_b", "details")).drop("details")
+    both = detections.join(told, ["scene_a", "scene_b"], "left")
+    return S.with_trace(both, c).select(*detections.columns, "trace")
+
+
 def sort_keys(by: str) -> list[Column]:
     """Orders of the browser, each with the id as the last word."""
     keys = {

@@ -596,13 +596,14 @@ def export_geojson(spark, d):
         when 'anomalous' then 'Anomalous — NDVI 0.50 against a same-season mean of 0.55 (±0.05) over ' || candidate_id % 3 || ' prior years; drop exceeds 2 std devs, confidence unchanged' end], lambda x: x is not null), ' | ') as trace from v""")
 def trace_lines(spark, d):
     """F32 over details in JSON."""
-    v = _view(spark, d).withColumn("details", F.expr(DETAILS))
+    jobs = load(spark, d, "pair_jobs").withColumn("details", F.expr(DETAILS))
     i = F.col("candidate_id")
     num = lambda x: F.lit(x).cast("double")
     own = {k: F.col(k) for k in ("sub_blobs", "direction", "mean_dndvi", "seasonality")}
     own |= {"merged_dilation": F.when(i % 7 == 3, 21).when(i % 7 == 4, 0), "large_area": i % 5 == 0, "dominant_a": F.when(i % 4 != 0, "vegetation"), "dominant_b": F.lit("bare"), "rule": F.lit("no rule")}
     own |= {"priors_clear": i % 3, "current_ndvi": num(0.5), "prior_mean": num(0.55), "prior_std": num(0.05)}
-    return v.select("candidate_id", F.array_join(F.transform(S.trace(F.col("details"), own), lambda x: F.concat(x["label"], F.lit(": "), x["text"])), " | ").alias("trace"))
+    found = catalog.traced(catalog.repaired(load(spark, d, "candidates")), jobs, own)
+    return found.select("candidate_id", F.array_join(F.transform("trace", lambda x: F.concat(x["label"], F.lit(": "), x["text"])), " | ").alias("trace"))
 
 
 @query("""with w as (select k.scene_a, k.scene_b, a.acquired as date_a, b.acquired as date_b, cast(coalesce(json_extract_string(details, '$.mutual_coverage_after_alignment'), json_extract_string(details, '$.mutual_coverage')) as double) as coverage,

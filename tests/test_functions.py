@@ -239,3 +239,28 @@ def test_groups_of_blobs(spark):
     df = spark.createDataFrame(blobs, "r long, c long")
     found = {x.label: (x.group, x.dilation_px) for x in raster.groups(raster.labelled(df, 100, 32), 100, 100, levels=(10, 5), chunk=64).collect()}
     assert found == {0: (0, 10), 12: (0, 10), 6080: (6080, 0)}
+
+
+def test_details_are_read_once_a_job(spark):
+    from geochange import queries as engine
+
+    details = '{"masking":{"scene_a":{"source":"scl","cloud_trust":"0.9"},"scene_b":{"source":"scl","cloud_trust":0.85}},"alignment":{"method":"same_tile","tiles":[null,"43RCL"]},"radiometry":{"tier":"pif","slope":[2],"intercept":[1]},"detection":{"kmeans_centroids":[1,2.25]},"grouping":{"dilation_px":"7"}}'
+    texts = [details, details[:-9], None, '{"radiometry":{},"masking":"none","grouping":{"dilation_px":3}}', '{"radiometry":{"x":1}}']
+    jobs = spark.createDataFrame([(i, i + 1, t) for i, t in enumerate(texts)], "scene_a int, scene_b int, details string")
+    found = spark.createDataFrame([(i, None if i == 8 else i, i + 1, 3) for i in (0, 1, 2, 3, 4, 8, 9)], "candidate_id int, scene_a int, scene_b int, sub_blobs int")
+    names = "merged_dilation large_area direction dominant_a dominant_b rule mean_dndvi seasonality priors_clear current_ndvi prior_mean prior_std".split()
+    c = {k: F.lit(None) for k in names} | {"sub_blobs": F.col("sub_blobs")}
+    rows = catalog.traced(found, jobs, c).collect()
+    got = {r.candidate_id: {x.key: x.text for x in r.trace if x.key != "direction"} for r in rows}
+    assert len(rows) == 7
+    far = lambda px: f"Merged from 3 change blobs less than {px} px apart; area, outline and ΔNDVI are those of the blobs themselves"
+    assert got[0] == {
+        "masking": "SCL-based, CloudTrust A: 0.90, CloudTrust B: 0.85", "alignment": "Same MGRS tile (T43RCL) — grid verified by definition",
+        "normalisation": "PIF robust regression, 0 anchor pixels, gain: 2.00, offset: 1.0", "detection": "Mean-intensity difference → K-Means K=2, change centroid magnitude: 2.2",
+        "grouping": far(14),
+    }
+    assert got[1] == got[2] == got[8] == got[9] == {"grouping": far(20)} and got[3] == {"grouping": far(6)}
+    assert got[4] == {"normalisation": "None applied (too few stable pixels)", "grouping": far(20)}
+    # Details are parsed before the join, once a job.
+    plan = engine.trace_lines(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "get_json_object" not in plan[: plan.index("Join LeftOuter")] and plan.index("from_json") > plan.index("Join LeftOuter")
