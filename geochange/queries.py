@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import scalar as S
-from .operators import catalog, codes, raster, seasonal, spatial, vector, versions
+from .operators import catalog, codes, pairs, raster, seasonal, spatial, vector, versions
 from .params import CHANGE_TYPES, P
 from .plans import requests, search
 from .sources.projections import load, sql_round, with_projections
@@ -322,6 +322,10 @@ def _scored(spark, d):
     return vector.similarities_in_blocks(tiles, _query_tiles(tiles))
 
 
+def _nearest(tiles, queries, k, others=False):
+    return vector.shown(vector.top_k(pairs.nearest(tiles, queries, k, others), k))
+
+
 def _scored_77(spark, d):
     tiles = load(spark, d, "tiles")
     return vector.similarities(tiles, tiles.where("tile_id = 77").select(F.col("tile_id").alias("query_id"), F.col("embedding").alias("query")))
@@ -333,7 +337,8 @@ def _ranked(where: str, k: int) -> str:
 
 @query(_ranked("true", 10))
 def knn_exact(spark, d):
-    return vector.shown(vector.top_k(_scored(spark, d), 10))
+    tiles = load(spark, d, "tiles")
+    return _nearest(tiles, _query_tiles(tiles), 10)
 
 
 @query()
