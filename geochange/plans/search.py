@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
-from ..operators import spatial, vector
+from ..operators import pairs, spatial, vector
 from ..params import P
 
 
@@ -92,11 +92,13 @@ def searched_pairs(found: ChangeSearch) -> DataFrame:
     return out.select("scene_a", "scene_b", "date_a", "date_b", "coverage", F.coalesce("candidates", F.lit(0)).alias("candidates"))
 
 
-def search_hits(scored: DataFrame, tiles: DataFrame, places: DataFrame, k: int = P.search_top_k) -> DataFrame:
-    """The top_k hits that have a tile row and a scene: the join comes before the limit, so nothing need be
-    fetched in excess."""
-    known = scored.join(tiles.select("tile_id", *S.BOX), "tile_id").join(places.select("scene_id", "name", "acquired"), "scene_id")
-    return vector.shown(vector.top_k(known, k))
+def search_hits(tiles: DataFrame, queries: DataFrame, places: DataFrame, k: int = P.search_top_k) -> DataFrame:
+    """The top_k hits of queries (query_id, query) that have a tile row and a scene: tiles without a scene go before
+    the ranking, so nothing need be fetched in excess."""
+    known = tiles.join(places.select("scene_id"), "scene_id", "left_semi")
+    hits = vector.top_k(pairs.nearest(known, queries, k), k).drop("rank")
+    shown = hits.join(tiles.select("tile_id", *S.BOX), "tile_id").join(places.select("scene_id", "name", "acquired"), "scene_id")
+    return vector.shown(vector.top_k(shown, k))
 
 
 def similar_changes(candidates: DataFrame, jobs: DataFrame, seed_id: int, tiles: DataFrame, k: int = P.search_top_k) -> DataFrame:

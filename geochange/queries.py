@@ -453,7 +453,8 @@ def scope_of_scene(spark, d):
 
 @query(f"with {SCORED}, x as (select s.query_id, s.tile_id, s.scene_id, t.min_x, t.min_y, t.max_x, t.max_y, name, acquired, similarity, row_number() over (partition by query_id order by similarity desc, s.tile_id) as rank from s join {{tiles}} t on s.tile_id = t.tile_id join {{places}} p on s.scene_id = p.scene_id) select * replace (round(similarity, 4) as similarity) from x where rank <= 10")
 def search_hits(spark, d):
-    return search.search_hits(_scored(spark, d), load(spark, d, "tiles"), load(spark, d, "places"))
+    tiles = load(spark, d, "tiles")
+    return search.search_hits(tiles, _query_tiles(tiles), load(spark, d, "places"))
 
 
 @query(f"with {BEST} select count(*) as candidates, count(*) - count(b.candidate_id) as unscored from {{candidates}} c left join b on c.candidate_id = b.candidate_id")
