@@ -368,7 +368,8 @@ def knn_scoped(spark, d):
 
 @query(_ranked("tile_id <> query_id", 10))
 def find_similar(spark, d):
-    return vector.shown(vector.top_k(_scored(spark, d).where("tile_id <> query_id"), 10))
+    tiles = load(spark, d, "tiles")
+    return _nearest(tiles, _query_tiles(tiles), 10, others=True)
 
 
 @query(f"with {SCORED} select query_id, tile_id, scene_id, round(similarity, 4) as similarity, cume_dist() over (partition by query_id, scene_id order by similarity) as percentile from s")
