@@ -363,7 +363,8 @@ def knn_coded(spark, d):
 
 @query(_ranked("scene_id in (2, 4)", 5))
 def knn_scoped(spark, d):
-    return vector.shown(vector.top_k(_scored(spark, d).where(F.col("scene_id").isin(2, 4)), 5))
+    tiles = load(spark, d, "tiles")
+    return _nearest(tiles.where(F.col("scene_id").isin(2, 4)), _query_tiles(tiles), 5)
 
 
 @query(_ranked("tile_id <> query_id", 10))
