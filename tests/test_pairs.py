@@ -68,7 +68,7 @@ def test_ties_within_the_error_of_a_product(spark):
 
 def test_searches_shuffle_vectors_not_pairs(spark):
     d = "/root/testdata/sf0.01"
-    for name in ("knn_exact", "search_hits", "find_similar", "knn_scoped"):
+    for name in ("knn_exact", "search_hits", "find_similar", "knn_scoped", "semantic_percentile"):
         df = engine.QUERIES[name](spark, d)
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "FlatMapGroupsInArrow" in plan and "lambdafunction" not in plan, name
