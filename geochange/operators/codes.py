@@ -2,7 +2,7 @@
 what they name.
 
 A vector's code is a byte for each of its parts: the nearest of 256 centres of what the parts of vectors differ from their
-list's centre by. A query reads the codes of its nearest lists alone, a thirtieth of the vectors' bytes or less, and only
+list's centre by. A query reads the codes of its nearest lists alone, a sixteenth of the vectors' bytes or less, and only
 the best of them are compared as they are. Centres are fitted once, on a bounded sample; vectors are added, marked as
 deleted and compacted without a new fit.
 """
@@ -10,14 +10,17 @@ deleted and compacted without a new fit.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import vector
+from . import pairs, vector
 from .raster import kept
 
 #: Vectors that the centres of lists and codes are fitted on, about.
@@ -36,6 +39,10 @@ class Codes:
     def parts(self) -> int:
         return len(self.books)
 
+    def vectors(self, lists: np.ndarray, code: np.ndarray) -> np.ndarray:
+        """What lists and codes stand for."""
+        return self.lists[lists] + self.books[np.arange(self.parts), code].reshape(len(code), -1)
+
     def place(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The list and the code of vectors of length one."""
         near = (unit @ self.lists.T - (self.lists**2).sum(axis=1) / 2).argmax(axis=1)
@@ -65,9 +72,10 @@ def _means(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 12) ->
     return c
 
 
-def fit(tiles: DataFrame, parts: int = 8, lists: int | None = None, rows: int = FIT_ROWS) -> Codes:
+def fit(tiles: DataFrame, parts: int | None = None, lists: int | None = None, rows: int = FIT_ROWS) -> Codes:
     """Centres of lists and codes on about `rows` vectors that a hash of their id picks: the driver holds that sample, of a
-    fixed size whatever the table's. Vectors that are null or not finite are left out; dims must be a multiple of parts."""
+    fixed size whatever the table's. Vectors that are null or not finite are left out; dims must be a multiple of parts, by
+    default one for four components: codes of eight for 64 name too few of the nearest where vectors are evenly spread."""
     fine = tiles.where(F.coalesce(vector.finite(F.col("embedding")), F.lit(False)))
     n = fine.count()
     if not n:
@@ -75,6 +83,7 @@ def fit(tiles: DataFrame, parts: int = 8, lists: int | None = None, rows: int =
     share = min(1.0, rows / n)
     picked = fine.where(F.pmod(F.xxhash64("tile_id"), F.lit(1 << 20)) < math.ceil(share * (1 << 20))).orderBy("tile_id").select("embedding").collect()
     x = np.array([r[0] for r in picked], dtype=float)
+    parts = parts or max(1, x.shape[1] // 4)
     if x.shape[1] % parts:
         raise ValueError(f"{x.shape[1]} components can't be cut into {parts} parts")
     x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
@@ -101,47 +110,60 @@ def coded(tiles: DataFrame, codes: Codes) -> DataFrame:
     return fine.select("tile_id", "scene_id", "embedding").mapInPandas(work, _CODES)
 
 
-def named(index: DataFrame, queries: DataFrame, codes: Codes, probes: int, keep: int, shares: int = 4) -> DataFrame:
+def _scanned(codes: Codes, probes: int, keep: int):
+    """Of each query of a group the `keep` rows whose codes are most like it, of its `probes` nearest lists."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        both = pa.Table.from_batches(list(batches))
+        own, asked = both.filter(pc.is_valid(both["code"])), both.filter(pc.is_null(both["code"]))
+        if not own.num_rows or not asked.num_rows:
+            return
+        ids, lists = (np.array(own[c]) for c in ("id", "list"))
+        order = np.lexsort((ids, lists))
+        ids, lists = ids[order], lists[order]
+        code = np.frombuffer(b"".join(own["code"].to_pylist()), np.uint8).reshape(len(ids), -1)[order]
+        ends = np.searchsorted(lists, np.arange(len(codes.lists) + 1))
+        whole, queries = None, np.array(asked["id"])
+        _, q = pairs.vectors(asked["v"])[codes.lists.shape[1]]
+        near = np.concatenate([np.argsort(-(q[a : a + 1024] @ codes.lists.T - (codes.lists**2).sum(axis=1) / 2), axis=1, kind="stable")[:, :probes].astype(np.int32) for a in range(0, len(q), 1024)])
+        by_list = np.argsort(near[:, 0], kind="stable")  # queries that read the same lists are met together
+        for a in range(0, len(by_list), 256):
+            rows = by_list[a : a + 256]
+            read = np.zeros((len(rows), len(codes.lists)), bool)
+            np.put_along_axis(read, near[rows], True, axis=1)
+            cols = np.concatenate([np.arange(ends[i], ends[i + 1]) for i in np.flatnonzero(read.any(axis=0))])
+            if not len(cols):
+                continue
+            if 2 * len(cols) > len(ids):
+                cols = np.arange(len(ids))
+                whole = whole or pairs.Pool(codes.vectors(lists, code), ids)
+            pool, held = whole if len(cols) == len(ids) and whole else pairs.Pool(codes.vectors(lists[cols], code[cols]), ids[cols]), lists[cols]
+            for qi, ti, s in pool.best(q[rows], keep, allowed=lambda r, c, read=read, held=held: read[r][:, held[c]]):
+                yield pa.RecordBatch.from_arrays([pa.array(queries[rows[qi]]), pa.array(ids[cols[ti]]), pa.array(held[ti].astype(np.int32)), pa.array(s)], names=["query_id", "tile_id", "list", "score"])
+
+    return work
+
+
+def named(index: DataFrame, queries: DataFrame, codes: Codes, probes: int, keep: int, block: int = 2048, share: int = 131_072) -> DataFrame:
     """(query_id, tile_id, list): of each query (query_id, query) the `keep` vectors of its `probes` nearest lists whose
-    codes are most like it. A list is dealt into shares, so that a large one is several groups; each group sends on no
-    more than `keep` of each query."""
-
-    def lists_of(batches):
-        for pdf in batches:
-            if len(pdf):
-                q = np.array(pdf["query"].tolist(), dtype=float)
-                score = q @ codes.lists.T - (codes.lists**2).sum(axis=1) / 2
-                yield pd.DataFrame({"query_id": pdf["query_id"], "query": pdf["query"], "list": np.argsort(-score, axis=1, kind="stable")[:, :probes].astype(np.int32).tolist()})
-
-    asked = queries.where(F.coalesce(vector.finite(F.col("query")), F.lit(False))).select("query_id", F.transform("query", lambda v: v.cast("double")).alias("query"))
-    asked = asked.mapInPandas(lists_of, "query_id long, query array<double>, list array<int>")
-    asked = asked.select("query_id", "query", F.explode("list").alias("list")).withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))))
-    held = index.select("tile_id", "list", "code", F.pmod(F.xxhash64("tile_id"), F.lit(shares)).cast("int").alias("share"))
-    books, centres = codes.books, codes.lists
-
-    def scored(key, own: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
-        if not len(own) or not len(q):
-            return pd.DataFrame({"query_id": [], "tile_id": [], "list": [], "score": []}).astype({"query_id": "int64", "tile_id": "int64", "list": "int32", "score": "float64"})
-        code = np.frombuffer(b"".join(own["code"]), np.uint8).reshape(len(own), -1)
-        ids, out = own["tile_id"].to_numpy(), []
-        for i, query in zip(q["query_id"], q["query"], strict=True):
-            v = np.asarray(query, dtype=float)
-            table = np.einsum("mkd,md->mk", books, v.reshape(len(books), -1))
-            score = v @ centres[int(key[0])] + table[np.arange(len(books)), code].sum(axis=1)
-            top = np.argpartition(-score, keep - 1)[:keep] if len(score) > keep else np.arange(len(score))
-            out.append(pd.DataFrame({"query_id": i, "tile_id": ids[top], "list": np.int32(key[0]), "score": score[top]}))
-        return pd.concat(out)
-
-    both = held.groupBy("list", "share").cogroup(asked.groupBy("list", "share")).applyInPandas(scored, "query_id long, tile_id long, list int, score double")
-    return vector.top_k(both.withColumnRenamed("score", "similarity"), keep).select("query_id", "tile_id", "list")
+    codes are most like it, ties by id. Codes and queries are dealt by hash: a group is a block of queries and a share of the
+    codes, and sends on no more than `keep` of each query. Of a share only the lists are read that its queries name."""
+    parts = max(1, -(-index.count() // share))
+    blocks = max(-(-16 // parts), -(-queries.count() // block))
+    deal = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    fine = F.coalesce(vector.finite(F.col("query")), F.lit(False)) & (F.size("query") == codes.lists.shape[1])
+    asked = queries.where(fine).select(F.col("query_id").alias("id"), F.transform("query", lambda v: v.cast("double")).alias("v"), deal("query_id", blocks).alias("_b"), each(parts).alias("_p"))
+    held = index.select(F.col("tile_id").alias("id"), "list", "code", deal("tile_id", parts).alias("_p"), each(blocks).alias("_b"))
+    both = held.unionByName(asked, allowMissingColumns=True).repartition(max(1, min(blocks * parts, 2000)), "_b", "_p")
+    found = both.groupBy("_b", "_p").applyInArrow(_scanned(codes, probes, keep), "query_id long, tile_id long, list int, score double")
+    return vector.top_k(found.withColumnRenamed("score", "similarity"), keep).select("query_id", "tile_id", "list")
 
 
 def search(index: DataFrame, tiles: DataFrame, queries: DataFrame, codes: Codes, k: int, probes: int, keep: int | None = None) -> DataFrame:
     """V2: (query_id, tile_id, scene_id, similarity, rank): the k most similar of each query among those that its codes
     name (`keep` of them, 20 k by default), ranked by the vectors themselves. tiles: (tile_id, scene_id, embedding)."""
-    found = named(index, queries, codes, probes, keep or 20 * k)
-    both = found.join(tiles.select("tile_id", "scene_id", "embedding"), "tile_id").join(queries.select("query_id", "query"), "query_id")
-    return vector.top_k(both.select("query_id", "tile_id", "scene_id", vector.dot(F.col("embedding"), F.col("query")).alias("similarity")), k)
+    return vector.top_k(pairs.ranked(named(index, queries, codes, probes, keep or 20 * k), tiles, queries, k), k)
 
 
 def recall(found: DataFrame, exact: DataFrame) -> float:
@@ -150,15 +172,36 @@ def recall(found: DataFrame, exact: DataFrame) -> float:
     return hit / n if n else 1.0
 
 
+def plan_for(index: DataFrame, tiles: DataFrame, queries: DataFrame, codes: Codes, k: int, least: float = 0.95, few: int = vector.FEW) -> tuple[int, int]:
+    """(probes, keep): the lists to read and the vectors to name so that this share of the k nearest is found, measured on
+    `few` queries, by a hash of their id, against all vectors. As many lists are read as hold that share; where the codes lose
+    more than a hundredth of it, twice as many vectors are named, else more lists are read."""
+    some = kept(queries.where(F.coalesce(vector.finite(F.col("query")), F.lit(False))).orderBy(F.xxhash64("query_id")).limit(few))
+    exact = kept(vector.top_k(pairs.nearest(tiles, some, k), k).select("query_id", "tile_id"))
+    asked = {r.query_id: np.array(r.query, dtype=float) for r in some.collect()}
+    places = []
+    for r in exact.join(index.select("tile_id", "list"), "tile_id").select("query_id", "list").collect():  # at most few * k
+        score = codes.lists @ asked[r.query_id] - (codes.lists**2).sum(axis=1) / 2
+        places.append(int((score > score[r.list]).sum()) + 1)
+    if not places:
+        return 1, 20 * k
+    n, want, keep, rows = len(places), least, 20 * k, index.count()
+    while True:
+        probes = sorted(places)[min(n, math.ceil(want * n)) - 1]
+        found = recall(search(index, tiles, some, codes, k, probes, keep), exact)
+        if found >= least:
+            return probes, keep
+        if found < sum(p <= probes for p in places) / n - 0.01 and keep < rows:
+            keep *= 2
+        elif probes < max(places):
+            want = (1 + want) / 2
+        else:
+            return len(codes.lists), keep
+
+
 def probes_for(index: DataFrame, tiles: DataFrame, queries: DataFrame, codes: Codes, k: int, least: float = 0.95, few: int = vector.FEW) -> int:
-    """The lists to read so that this share of the k nearest is found: 1, 2, 4, ... lists, measured on `few` queries, by a
-    hash of their id, against all vectors."""
-    some = kept(queries.orderBy(F.xxhash64("query_id")).limit(few))
-    exact = kept(vector.top_k(vector.similarities(tiles, some), k).select("query_id", "tile_id"))
-    probes = 1
-    while probes < len(codes.lists) and recall(search(index, tiles, some, codes, k, probes), exact) < least:
-        probes *= 2
-    return min(probes, len(codes.lists))
+    """The lists of plan_for."""
+    return plan_for(index, tiles, queries, codes, k, least, few)[0]
 
 
 class StoredIndex:

@@ -353,7 +353,7 @@ def knn_coded(spark, d):
     tiles = load(spark, d, "tiles")
     model = codes.fit(tiles)
     index, queries = raster.kept(codes.coded(tiles, model)), _query_tiles(tiles)
-    return vector.shown(codes.search(index, tiles, queries, model, 10, codes.probes_for(index, tiles, queries, model, 10)))
+    return vector.shown(codes.search(index, tiles, queries, model, 10, *codes.plan_for(index, tiles, queries, model, 10)))
 
 
 @query(_ranked("scene_id in (2, 4)", 5))
