@@ -9,6 +9,8 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import pairs
+
 
 def dot(a: Column, b: Column) -> Column:
     """V5, in double."""
@@ -17,8 +19,8 @@ def dot(a: Column, b: Column) -> Column:
 
 def normalised(v: Column) -> Column:
     """V6; a zero vector stays."""
-    norm = F.sqrt(dot(v, v))
-    return F.transform(v, lambda x: F.when(norm > 0, x / norm).otherwise(x))
+    # In a list of its own the norm is worked out once, and not for each element.
+    return F.transform(F.array(F.sqrt(dot(v, v))), lambda norm: F.transform(v, lambda x: F.when(norm > 0, x / norm).otherwise(x)))[0]
 
 
 def finite(v: Column) -> Column:
@@ -150,7 +152,7 @@ def probes_for(index: DataFrame, queries: DataFrame, k: int, recall: float = 0.9
     (rows of with_lists, by a hash of their id) against all vectors. Vectors in clumps need few lists, evenly spread
     ones more than half."""
     few = queries.orderBy(F.xxhash64("query_id")).limit(FEW)
-    hits = top_k(similarities(index, few), k).select("query_id", "tile_id")
+    hits = top_k(pairs.nearest(index, few, k), k).select("query_id", "tile_id")
     place = F.array_position("lists", F.col("list"))
     at = hits.join(index.select("tile_id", "list"), "tile_id").join(few.select("query_id", "lists"), "query_id").select(place.alias("place"))
     most = at.agg(F.percentile("place", F.lit(recall))).first()[0]
@@ -164,3 +166,16 @@ def similarities_in_lists(index: DataFrame, queries: DataFrame, probes: int, par
     q = q.select("*", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("_p"))
     t = index.withColumn("_p", F.pmod(F.xxhash64("tile_id"), F.lit(parts)).cast("int"))
     return t.join(q, ["list", "_p"]).select("query_id", "tile_id", "scene_id", dot(F.col("embedding"), F.col("query")).alias("similarity"))
+
+
+def nearest_in_lists(index: DataFrame, queries: DataFrame, probes: int, k: int, block: int = pairs.BLOCK, share: int = pairs.SHARE) -> DataFrame:
+    """(query_id, tile_id, scene_id, similarity) with rows of at least the k most similar vectors of each query (rows of
+    with_lists) in its `probes` nearest lists. A list meets those that ask for it in groups: large lists are cut into shares,
+    queries into blocks, and a group sends on k of each query."""
+    blocks = max(1, -(-queries.count() // block))
+    sizes = F.broadcast(index.groupBy("list").agg(F.ceil(F.count("*") / share).cast("int").alias("_n")))  # a row a list
+    q = queries.select("query_id", "query", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("_b"), F.explode(F.slice("lists", 1, probes)).alias("list"))
+    q = q.join(sizes, "list").withColumn("_p", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+    t = index.join(sizes, "list").withColumn("_p", F.pmod(F.xxhash64("tile_id"), "_n").cast("int"))
+    t = t.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    return pairs.nearest_in_groups(t, q, ["list", "_p", "_b"], k, 64 * blocks)

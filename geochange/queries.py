@@ -341,9 +341,9 @@ def knn_indexed(spark, d):
     """V2 through an index of lists, read as far as recall needs; a test holds its recall against knn_exact."""
     tiles = load(spark, d, "tiles")
     model = vector.fit_lists(tiles)
-    index, queries = vector.indexed(tiles, model), vector.with_lists(_query_tiles(tiles), model)
+    index, queries = raster.kept(vector.indexed(tiles, model)), raster.kept(vector.with_lists(_query_tiles(tiles), model))
     probes = vector.probes_for(index, queries, 10)
-    return vector.shown(vector.top_k(vector.similarities_in_lists(index, queries, probes), 10))
+    return vector.shown(vector.top_k(vector.nearest_in_lists(index, queries, probes, 10), 10))
 
 
 @query()

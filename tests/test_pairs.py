@@ -73,3 +73,17 @@ def test_searches_shuffle_vectors_not_pairs(spark):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "FlatMapGroupsInArrow" in plan and "lambdafunction" not in plan, name
         assert compare(df, engine.SQL[name], d) == "", name
+
+
+def test_lists_by_definition(odd):
+    tiles, _ = odd
+    fine = tiles.where((F.size("embedding") == 6) & vector.finite(F.col("embedding")))
+    model = vector.fit_lists(fine, 4)
+    index = vector.indexed(fine, model).cache()
+    queries = vector.with_lists(fine.where("tile_id % 20 = 0").select(F.col("tile_id").alias("query_id"), F.col("embedding").alias("query")), model)
+    want = vector.top_k(vector.similarities_in_lists(index, queries, 2), 5)
+    for block, share in ((3, 20), (1000, 1000)):
+        assert plain(vector.top_k(vector.nearest_in_lists(index, queries, 2, 5, block, share), 5).select(want.columns)) == plain(want)
+    # The norm is worked out once a vector: outside of the lambda over its elements.
+    expression = fine.select(vector.normalised(F.col("embedding")))._jdf.queryExecution().analyzed().toString()
+    assert "Project [transform(array(" in expression
